@@ -1,24 +1,78 @@
-"""Corpus pipeline: stages over documents, each by one of the operators."""
+"""Corpus pipeline: toxicity, near duplicates, benchmark decontamination, mixing
+to target weights, sharding.  Each stage works on all that its predecessor kept."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleaner.llm.common import shared_dir, table
+from gleaner.llm import decontam, mixing, neardup, sharding, toxicity
+from gleaner.llm.common import keep_rows, save, shared_dir, table
 
-STAGES: list = []
+#: Each document's copies in the mix, before a draw by its id decides on the part
+#: of a copy that blocks cut off.
+_SEED = 11
 
-#: Trained scores and iterative components aren't expressible in SQL.
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject.  Fits on ``docs``."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    rejected = save(toxicity.score(docs, model).where("predicted = 1").select("doc_id"), "toxic-ids")
+    return keep_rows(docs, rejected, "left_anti")
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (the smallest doc_id) of each class of near duplicates."""
+    rest = save(neardup.classes(docs, size=5, percent=80).where("not kept").select("doc_id"), "near-ids")
+    return keep_rows(docs, rest, "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage like a benchmark item."""
+    leaks = save(decontam.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id"), "leak-ids")
+    return keep_rows(docs, leaks, "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: a row for each whole copy, and
+    one more with the probability of the rest.  Documents without a word stay as
+    they are, once: no mix takes words of them."""
+    taken = mixing.mix(docs).docs.where("size > 0")
+    exact = F.col("taken") / F.col("size")
+    chance = F.pmod(F.xxhash64("doc_id", F.lit(_SEED)), F.lit(1_000_000)) / 1e6
+    copies = F.floor(exact) + F.when(chance < exact - F.floor(exact), 1).otherwise(0)
+    counts = save(taken.groupBy(F.col("doc_id").alias("__id")).agg(F.max(copies).cast("int").alias("__copies")), "copies").hint("shuffle_hash")
+    rows = docs.join(counts, docs["doc_id"].eqNullSafe(F.col("__id")), "left")
+    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.coalesce("__copies", F.lit(1))))).select(*(docs[c] for c in docs.columns))
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each row goes: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+    return sharding.assign(docs, 16)
+
+
+STAGES = [
+    ("toxicity", remove_toxic),
+    ("near_duplicates", keep_one_of_near_duplicates),
+    ("decontamination", decontaminate),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
+
+#: Trained scores and iterated components aren't expressible in SQL; the tests
+#: hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents; each result is written as Parquet in the
+    shared folder and read again for the next."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/gleaner/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{i}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(path := f"{folder}/{i}-{name}")
+        docs = spark.read.schema(made.schema).parquet(path)
     return docs

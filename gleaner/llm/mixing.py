@@ -65,7 +65,7 @@ def _walk(step: Column, blocks: Column, salt: Column) -> Column:
     return F.pmod(F.pmod(F.lit(PRIME), blocks) * step + F.pmod(salt, blocks), blocks)
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, block: int = 1024, shards: int = 16, seed: int = 7, rows_in_bucket: int = 20_000) -> Mix:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, block: int = 1024, shards: int = 16, seed: int = 7, rows_in_bucket: int = 2_000) -> Mix:
     """Mixes ``docs`` (doc_id, source, text).  Null or empty texts have size 0 and
     nothing is taken of them; repeated rows count each; a null source is a source
     of its own.  A source may have up to 2**31 blocks."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import chat, linededup, mixing, sharding, tokencount
+from gleaner.llm import chat, decontam, linededup, mixing, neardup, sharding, tokencount, toxicity
 from gleaner.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), pieces)
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), 16)
 
@@ -33,6 +37,15 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.segments(turns))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).docs.select("doc_id", "size", "source_size", "target", "taken")
 
@@ -81,8 +94,11 @@ OP10_SIZE = r"length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_minhash": op3_minhash,
     "op4_sharding": op4_sharding,
     "op5_chat_format": op5_chat_format,
+    "op6_decontamination": op6_decontamination,
+    "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
 }
 

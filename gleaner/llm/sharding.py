@@ -84,7 +84,7 @@ def shard_of(key: Column, tree: Tree) -> Column:
     return _choose(key, regions).cast("int")
 
 
-def assign(docs: DataFrame, shards: int = 16, tree: Tree | None = None, rows_in_bucket: int = 20_000) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 16, tree: Tree | None = None, rows_in_bucket: int = 2_000) -> DataFrame:
     """Each row of ``docs`` with all its columns' identity reduced to: doc_id,
     size, text_crc32, law, shard, slot, grown_shard.
 
