@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import chat, decontam, linededup, mixing, neardup, sharding, tokencount, toxicity
+from gleaner.llm import ann, chat, decontam, linededup, mixing, neardup, pii, sharding, tokencount, toxicity
 from gleaner.llm.common import table
 
 
@@ -41,6 +41,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op8_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -98,6 +106,8 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_chat_format": op5_chat_format,
     "op6_decontamination": op6_decontamination,
+    "op7_pii": op7_pii,
+    "op8_graph_ann": op8_graph_ann,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
 }
