@@ -24,12 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
     return (set_dir or "/tmp/checkpoints/gleaner").rstrip("/")
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, batch: int = 1_000) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back:
-    lineage ends there, and a lost executor costs nothing that was written."""
+    lineage ends there, and a lost executor costs nothing that was written.
+    Meanwhile Python workers get at most ``batch`` rows at a time."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gleaner/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,12 +7,19 @@ MinHash.  Documents that agree in a band meet in its bucket; two documents of
 similarity 0.8 miss each other in all 32 bands with probability 5e-8.
 
 Equal sets are one node from the start.  Nodes of a bucket are linked by stars:
-each to the bucket's two centres, never all pairs of a group.  Links count only
-when the full sets confirm them.  Connected components of the confirmed links
-settle most buckets; in those that still hold nodes of different components every
-pair of nodes from different components follows, unless sizes rule it out or
-one-bit signatures differ by more than five standard deviations of what similar
-sets show.  So no link between components goes untested because of skew.
+each to two centres of the bucket, never all pairs of a group; one centre is the
+smallest node, the other one drawn by the bucket's own hash, so a node meets
+different centres in different bands.  Links count only when the full sets confirm
+them.  Connected components of the confirmed links settle most buckets.  In those
+that still hold nodes of different components all pairs across components follow
+that their parity sketches leave: no set of links between components goes untested
+because of skew.
+
+A parity sketch has PARITY bits, each the parity of the number of shingles whose
+hash falls on it.  Two sketches differ in at most as many bits as their sets differ
+in shingles, and similarity s allows (1 - s) / (1 + s) of both sizes, so for sets of
+up to LEVEL_SIZE shingles the test is exact.  Larger sets use sketches of an eighth
+or a 64th of the shingles, drawn by hash, and five standard deviations of slack.
 
 Null and empty texts have no shingle and are linked with nothing.  Rows with one
 doc_id and one text are one document.  Rows without a doc_id take part under
@@ -22,11 +29,12 @@ their text's hash; a component of such rows alone has a null component_id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import save
@@ -36,17 +44,17 @@ PERMUTATIONS = 64
 ROWS = 4  # values of a band: minima and maxima of two permutations
 BANDS = 2 * PERMUTATIONS // ROWS
 CACHE_WORDS = 200_000
-#: Of 128 one-bit values, sets of similarity 0.8 differ in 12.8 +- 3.4.
-MOST_BITS = 30
+PARITY = 512
+LEVELS = (1, 8, 64)  # one in so many shingles
+LEVEL_SIZE = 600  # shingles up to which a level serves, times its number above
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(0, 2**63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**64, PERMUTATIONS, np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Orders nodes for the second centre of a bucket.
-_ORDER = 0x2545F4914F6CDD1D
 #: Rows without a doc_id get ids from here on, behind all others.
 NAMELESS = 2**62
+_LONGS = len(LEVELS) * PARITY // 64
 
 
 class _WordHashes(dict):
@@ -96,45 +104,50 @@ def _bands(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bits(low: np.ndarray, high: np.ndarray) -> tuple[int, int]:
-    pack = lambda x: int(np.packbits((_mixed(x) & np.uint64(1)).astype(np.uint8)).view(">i8")[0])
-    return pack(low), pack(high)
+def _parities(shingles: np.ndarray) -> np.ndarray:
+    """The set's parity sketches, one after the other, as longs."""
+    out = []
+    for every in LEVELS:
+        own = shingles[shingles % np.uint64(every) == 0] if every > 1 else shingles
+        odd = np.bincount(((own >> np.uint64(20)) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+    return np.concatenate(out)
 
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """id, nameless, n (set size), key (128-bit hash of the set), s1, s2 (one-bit
-    signatures), bands; the last four null for an empty set."""
+    """id, nameless, n (set size), key (128-bit hash of the set), parities,
+    bands; the last three null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                n, keys, s1, s2, bands = [], [], [], [], []
+                n, keys, parities, bands = [], [], [], []
                 for text in part.column(2).cast(pa.binary()).to_pylist():
                     own = shingle_set(text, size, hashes)
                     n.append(len(own))
                     if not len(own):
-                        for x in (keys, s1, s2, bands):
+                        for x in (keys, parities, bands):
                             x.append(None)
                         continue
                     low, high = _signature(own)
                     keys.append(xxhash.xxh3_128_digest(own.tobytes()))
-                    a, b = _bits(low, high)
-                    s1.append(a)
-                    s2.append(b)
+                    parities.append(_parities(own))
                     bands.append(_bands(low, high).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "nameless", "n", "key", "s1", "s2", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(parities, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], ["id", "nameless", "n", "key", "parities", "bands"])
 
-    return docs.select("id", "nameless", "text").mapInArrow(run, "id long, nameless boolean, n long, key binary, s1 long, s2 long, bands array<long>")
+    return docs.select("id", "nameless", "text").mapInArrow(run, "id long, nameless boolean, n long, key binary, parities array<long>, bands array<long>")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
-            own = [shingle_set(x, size, hashes).tobytes() for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["node", "shingles"])
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                own = [shingle_set(x, size, hashes).tobytes() for x in part.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], ["node", "shingles"])
 
     return docs.select("id", "text").mapInArrow(run, "node long, shingles binary")
 
@@ -150,8 +163,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (2, 3))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * common >= percent * (len(x) + len(y) - common):
                     good.append(i)
@@ -169,27 +182,26 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     full = rows.where("key is not null")
     nodes = save(full.groupBy("key").agg(F.min("id").alias("node")), "near-nodes")
 
-    own = full.select("key", F.col("id").alias("node"), "n", "s1", "s2", "bands").join(nodes, ["key", "node"])
-    members = own.select("node", "n", "s1", "s2", F.explode("bands").alias("bucket"))
-    met = members.groupBy("bucket").agg(F.count("*").alias("c"), F.min("node").alias("first"), F.min(F.col("node").bitwiseXOR(F.lit(_ORDER))).alias("other")).where("c > 1")
-    shared = save(members.join(met, "bucket").select("bucket", "node", "n", "s1", "s2", "first", F.col("other").bitwiseXOR(F.lit(_ORDER)).alias("second")), "near-buckets")
+    own = full.select("key", F.col("id").alias("node"), "n", "parities", "bands").join(nodes, ["key", "node"])
+    members = own.select("node", F.explode("bands").alias("bucket"))
+    met = members.groupBy("bucket").agg(F.count("*").alias("c"), F.min("node").alias("first"), F.min(F.col("node").bitwiseXOR(F.col("bucket"))).alias("other")).where("c > 1")
+    shared = save(members.join(met, "bucket").select("bucket", "node", "first", F.col("other").bitwiseXOR(F.col("bucket")).alias("second")), "near-buckets")
 
     star = shared.select("node", F.explode(F.array("first", "second")).alias("centre")).where("node <> centre")
     star = save(star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "near-pairs")
-    facts = own.select("node", "n", "s1", "s2").dropDuplicates(["node"])
-    side = lambda c: facts.select(*(F.col(k).alias(c if k == "node" else c + k) for k in ("node", "n", "s1", "s2")))
-    tried = star.join(side("a"), "a").join(side("b"), "b").where(_may_link("an", "bn", "as1", "bs1", "as2", "bs2", percent)).select("a", "b")
+    facts = own.select("node", "n", *(F.get("parities", F.lit(i)).alias(f"p{i}") for i in range(_LONGS))).dropDuplicates(["node"])
+    side = lambda c: facts.select(*(F.col(k).alias(c + k) for k in facts.columns))
+    tried = star.join(side("u"), F.col("a") == F.col("unode")).join(side("v"), F.col("b") == F.col("vnode")).where(_may_link(percent)).select("a", "b")
     links = save(confirm(save(tried, "near-tried"), source, size, percent), "near-links")
     labels = components(links)
 
     # Buckets whose nodes aren't all in one component yet: the pairs across.
     tagged = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_buckets = tagged.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c")).where("low < high and c > 2").select("bucket")
-    rest = save(tagged.join(open_buckets, "bucket"), "near-open")
-    u = rest.select("bucket", *(F.col(k).alias("u" + k) for k in ("node", "n", "s1", "s2", "component", "first", "second")))
-    v = rest.select("bucket", *(F.col(k).alias("v" + k) for k in ("node", "n", "s1", "s2", "component")))
+    rest = save(tagged.join(open_buckets, "bucket").join(facts, "node"), "near-open")
+    u, v = (rest.select(*(F.col(k).alias(c + k) for k in rest.columns)) for c in "uv")
     untested = ~F.col("unode").isin(F.col("ufirst"), F.col("usecond")) & ~F.col("vnode").isin(F.col("ufirst"), F.col("usecond"))
-    across = u.join(v, (u["bucket"] == v["bucket"]) & (F.col("ucomponent") < F.col("vcomponent")) & untested & _may_link("un", "vn", "us1", "vs1", "us2", "vs2", percent))
+    across = u.join(v, (F.col("ubucket") == F.col("vbucket")) & (F.col("ucomponent") < F.col("vcomponent")) & untested & _may_link(percent))
     across = save(across.select(F.least("unode", "vnode").alias("a"), F.greatest("unode", "vnode").alias("b")).distinct(), "near-across")
     if not across.isEmpty():
         more = save(confirm(across, source, size, percent), "near-more")
@@ -206,7 +218,18 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     )
 
 
-def _may_link(n1: str, n2: str, a1: str, b1: str, a2: str, b2: str, percent: int):
-    sizes = F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
-    bits = F.bit_count(F.col(a1).bitwiseXOR(F.col(b1))) + F.bit_count(F.col(a2).bitwiseXOR(F.col(b2)))
-    return sizes & (bits <= MOST_BITS)
+def _may_link(percent: int) -> Column:
+    """Whether sizes and parity sketches of two nodes, in columns named with u and
+    v before, leave a similarity of ``percent``."""
+    least, most, both = F.least("un", "vn"), F.greatest("un", "vn"), F.col("un") + F.col("vn")
+    longs = PARITY // 64
+    # Shingles that the sets may differ in, at most.
+    differ = both * F.lit((100 - percent) / (100 + percent))
+    test = None
+    for level in range(len(LEVELS) - 1, -1, -1):
+        bits = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"up{i}").bitwiseXOR(F.col(f"vp{i}"))) for i in range(level * longs, (level + 1) * longs)))
+        drawn = differ / LEVELS[level]
+        allowed = drawn if level == 0 else drawn + 5 * F.sqrt(drawn) + 2
+        fits = bits <= allowed + 1e-6
+        test = fits if test is None else F.when(most <= LEVEL_SIZE * LEVELS[level], fits).otherwise(test)
+    return (least * 100 >= most * percent) & test
