@@ -74,30 +74,55 @@ FROM marked GROUP BY doc_id
 """
 
 
-def _draw_sql(key: str, name: str, weight: float) -> str:
-    return f"(ln((CAST('0x' || substr(md5({key} || ':{name}'), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0) / {weight})"
-
-
-def _choose_sql(key: str, options: list[tuple[str, float, str]]) -> str:
-    if len(options) == 1:
-        return options[0][2]
-    draws = [_draw_sql(key, n, w) for n, w, _ in options]
-    best = f"greatest({', '.join(draws)})"
-    return "CASE " + " ".join(f"WHEN {d} = {best} THEN {v}" for d, (_, _, v) in zip(draws, options, strict=True)) + " END"
-
-
-def _tree_sql(key: str, tree: sharding.Tree) -> str:
-    regions = []
-    for r, region in enumerate(tree.regions):
-        racks = [(f"r{r}k{k}", sum(rack.values()), _choose_sql(key, [(f"s{s}", w, str(s)) for s, w in rack.items()])) for k, rack in enumerate(region)]
-        regions.append((f"r{r}", sum(w for _, w, _ in racks), _choose_sql(key, racks)))
-    return _choose_sql(key, regions)
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+')"
+
+OP3_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+n AS (SELECT doc_id, w, least(4, length(w)) AS k FROM w),
+sets AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, length(w) - k + 2)) AS i FROM n WHERE k > 0) x),
+size AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON edge.a = reach.r)
+SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN size USING (doc_id) JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
+"""
 
 
+def _escaped(x: str) -> str:
+    """Length of a text once control characters are escaped."""
+    return f"(length({x}) + length(regexp_replace({x}, '[^<\\[\\\\]', '', 'g')))"
 
 
+OP5_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
+  SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) AS v(conv_id, turn, role, text)),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS seq, {len("<s>") + len("<|text|>") + len("</s>")} + {_escaped("role")} + {_escaped("text")} AS size FROM t),
+c AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY seq) AS upto FROM n)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY seq)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY seq) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(coalesce(sum(upto) FILTER (WHERE role = 'assistant'), 0) + sum(size) - coalesce(max(upto) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS formatted_chars, count(*) FILTER (WHERE role = 'assistant') AS n_examples
+FROM c GROUP BY conv_id
+"""
 
-OP10_SIZE = r"length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+_LEAK_WORDS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+OP6_SQL = f"""
+WITH i AS (SELECT item_id, w, length(w) AS m, least(5, length(w)) AS k FROM (SELECT item_id, {_LEAK_WORDS} AS w FROM benchmark) x WHERE length(w) > 0),
+ig AS (SELECT item_id, m, k, array_to_string(w[p:p + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, m - k + 2)) AS p FROM i) x),
+ic AS (SELECT item_id, m, k, g, count(*) AS v FROM ig GROUP BY 1, 2, 3, 4), it AS (SELECT item_id, sum(v) AS v FROM ic GROUP BY 1),
+d AS (SELECT doc_id, w, length(w) AS n FROM (SELECT doc_id, {_LEAK_WORDS} AS w FROM documents) x WHERE length(w) > 0),
+dg AS (SELECT doc_id, n, k, p, array_to_string(w[p:p + k - 1], ' ') AS g FROM (SELECT d.*, s.k, unnest(range(1, n - s.k + 2)) AS p FROM d, (SELECT DISTINCT k FROM i) s) x),
+hit AS (SELECT DISTINCT dg.doc_id, dg.n, ic.item_id, ic.m, ic.k, dg.p FROM dg JOIN ic ON ic.k = dg.k AND ic.g = dg.g),
+win AS (SELECT DISTINCT doc_id, n, item_id, m, k, s FROM (SELECT *, unnest(range(greatest(1, least(p - (m - k), greatest(n - m + 1, 1))), greatest(1, least(p, n - m + 1)) + 1)) AS s FROM hit) x),
+own AS (SELECT win.doc_id, win.item_id, win.m, win.n, s, dg.g, count(*) AS c FROM win JOIN dg ON dg.doc_id = win.doc_id AND dg.k = win.k AND dg.p BETWEEN s AND s + least(m, win.n) - win.k GROUP BY 1, 2, 3, 4, 5, 6),
+sim AS (SELECT own.doc_id, own.item_id, s, least(own.m, own.n) AS window_words, sum(least(c, coalesce(ic.v, 0))) AS shared, sum(c) + max(it.v) - sum(least(c, coalesce(ic.v, 0))) AS total
+  FROM own JOIN it USING (item_id) LEFT JOIN ic ON ic.item_id = own.item_id AND ic.g = own.g GROUP BY 1, 2, 3, 4),
+good AS (SELECT * FROM sim WHERE 100 * shared >= 80 * total),
+best AS (SELECT *, count(*) OVER w AS n_windows, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / total DESC, s) AS r FROM good WINDOW w AS (PARTITION BY doc_id, item_id))
+SELECT doc_id, item_id, CAST(s - 1 AS BIGINT) AS start_word, CAST(window_words AS BIGINT) AS window_words, CAST(shared AS BIGINT) AS shared, CAST(total AS BIGINT) AS total, CAST(shared AS DOUBLE) / CAST(total AS DOUBLE) AS similarity, n_windows FROM best WHERE r = 1
+"""
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -112,4 +137,9 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLES = {"op1_line_dedup": OP1_SQL}
+ORACLES = {
+    "op1_line_dedup": OP1_SQL,
+    "op3_minhash": OP3_SQL,
+    "op5_chat_format": OP5_SQL,
+    "op6_decontamination": OP6_SQL,
+}
