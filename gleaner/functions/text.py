@@ -38,7 +38,7 @@ TAGS = {
 }
 PRODUCT_CODE = r"(?i)\bP\d{2}D\d{5}(?:-\d{2})?(?:-[A-Z0-9]+)?\b"
 CHIP = r"(?i)\b(?:RK\d{4}[A-Z0-9]*|STM32[A-Z0-9]+|RTL\d+[A-Z0-9]*|RZ/[A-Z0-9]+)\b"
-IMX = r"\bi\.MX[0-9A-Za-z]+(?:\s+\w+)?\b"
+IMX = r"(?U)\bi\.MX[0-9A-Za-z]+(?:\s+\w+)?\b"
 LIST_INTENT = r"(?i)(產品|型號|有哪些|列出|尋找|list|which|what|product|model)"
 VENDORS = ("NXP", "Rockchip", "ST", "Realtek", "Renesas")
 

@@ -140,7 +140,7 @@ def text_headings(spark, sf_dir):
     return all_texts(spark, sf_dir).select("id", T.section_of(text).alias("section"), T.title_of(text).alias("title"), T.heading_level(text).cast("int").alias("heading_level"))
 
 
-_ID_ROWS = [(-1, "manual", "P05D00107-00", "P05D00107-00", "STM32F407", "ST", "ST STM32F407"), (-2, "faq", "", "", "RK3568", "Rockchip", "RK3568"), (-3, "datasheet", "", "", "i.MX8M", "NXP", "i.MX8M"), (-4, "datasheet", "", "", "i.MX8M Mini", "NXP", "i.MX8M Mini"), (-5, "document", "", "", "RTL8111,RZ/G2L", "ST,Rockchip,NXP,Realtek,Renesas", "RTL8111"), (-6, "document", "", "", "", "", ""), (-7, "document", "", "", "", "", "")]
+_ID_ROWS = [(-1, "manual", "P05D00107-00", "P05D00107-00", "STM32F407", "ST", "ST STM32F407"), (-2, "faq", "", "", "RK3568", "Rockchip", "RK3568"), (-3, "datasheet", "", "", "i.MX8M 支援四個串口", "NXP", "i.MX8M 支援四個串口"), (-4, "datasheet", "", "", "i.MX8M Mini", "NXP", "i.MX8M Mini"), (-5, "document", "", "", "RTL8111,RZ/G2L", "ST,Rockchip,NXP,Realtek,Renesas", "RTL8111"), (-6, "document", "", "", "", "", ""), (-7, "document", "", "", "", "", "")]
 
 
 @query(f"SELECT * FROM {X.values([(a, 'document' if a == -3 else b, *r) for a, b, *r in _ID_ROWS], 't', 'id, doc_type, text_codes, source_codes, chips, vendors, product')}")

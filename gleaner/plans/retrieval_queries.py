@@ -62,9 +62,9 @@ sc AS (SELECT q.query_id, p.id, round(sum(q.qtf * ln(1 + (f.n - d.df + 0.5) / (d
 bm25 AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY lexical_score DESC, id) AS INT) AS lexical_rank FROM sc WHERE lexical_score > 0) x WHERE lexical_rank <= 20)"""
 
 
-@query(f"WITH {BM25} SELECT query_id, id, round(lexical_score, 4) AS lexical_score, lexical_rank FROM bm25")
+@query(f"WITH {BM25} SELECT query_id, id, lexical_score, lexical_rank FROM bm25")
 def bm25_topk(spark, sf_dir):
-    return retrieval.lexical(asked_items(spark, sf_dir), searched(spark, sf_dir)).withColumn("lexical_score", F.round("lexical_score", 4))
+    return retrieval.lexical(asked_items(spark, sf_dir), searched(spark, sf_dir))
 
 
 @query(f"WITH {BM25} SELECT n, round(average, 6) AS average FROM facts")
@@ -198,7 +198,7 @@ def known_vendors(spark, sf_dir):
 ROLLUP = """spec_rows AS (SELECT p_brand AS label, l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(l_quantity AS INT) END AS uart_count, CASE WHEN l_linenumber % 2 = 0 THEN round(l_extendedprice / 1000, 2) END AS ram_gb,
   CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_returnflag = 'A' AND l_quantity > 45 AND p_size < 3 END AS has_lvds, 'Vendor' || CAST(l_suppkey % 7 AS VARCHAR) AS vendor, 'P' || lpad(CAST(p_size AS VARCHAR), 2, '0') AS code, l_linestatus || p_size % 4 AS system FROM lineitem JOIN part ON p_partkey = l_partkey),
 seen AS (SELECT label, lower(system) AS k, arg_min(system, l_orderkey * 10 + l_linenumber) AS s, min(l_orderkey * 10 + l_linenumber) AS first_at FROM spec_rows GROUP BY 1, 2),
-systems AS (SELECT label, string_agg(s, ',' ORDER BY first_at) AS os_list FROM seen GROUP BY 1),
+systems AS (SELECT label, string_agg(s, ',' ORDER BY first_at, s) AS os_list FROM seen GROUP BY 1),
 rolled AS (SELECT label, max(uart_count) AS uart_count, max(ram_gb) AS ram_gb, bool_or(has_lvds) AS has_lvds, string_agg(DISTINCT vendor, ',' ORDER BY vendor) AS vendors, string_agg(DISTINCT code, ',' ORDER BY code) AS product_codes FROM spec_rows GROUP BY 1)"""
 
 

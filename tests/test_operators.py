@@ -150,7 +150,7 @@ def test_overlap_and_gap(spark):
 
 def test_pdf_folder(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"x")
-    decode = lambda _: [(1, ["Head line", "body of page one", "Foot line"], [[["Name", "Size"], ["ram", "2GB"]]]), (2, ["Head line", "second body", "Foot line"], [])]
+    decode = lambda _: [(1, ["Head line", "body of page one", "Foot line"], [[["Name", "Size"], ["ram", "2GB"]]]), (2, ["Head line", "second body", "more of it", "Foot line"], [])]
     rows = files.read_pdfs(spark, str(tmp_path), decode).orderBy("page").collect()
     assert [r["page"] for r in rows] == [1, 2] and "[TABLE 1]" in rows[0]["text"] and "second body" in rows[1]["text"]
     with pytest.raises(FileNotFoundError):
