@@ -13,11 +13,11 @@ def raw_sections(documents: DataFrame) -> DataFrame:
     """(source, section_no, start, end, text, section, heading_level): a document
     heading starts a section; blank ones are dropped, and a document without any
     is one section."""
-    rows = documents.select("source", "text", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    rows = documents.select("source", F.length("text").alias("length"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     upto = Window.partitionBy("source").orderBy("pos")
     rows = rows.withColumn("start", F.coalesce(F.sum(F.length("line") + 1).over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
     rows = rows.withColumn("heading", T.is_document_heading(F.col("line"))).withColumn("part", F.sum(F.col("heading").cast("int")).over(upto))
-    parts = rows.groupBy("source", "part").agg(F.min("start").alias("start"), F.max("heading").alias("headed"), F.min_by("line", "pos").alias("line"), F.max(F.length("text")).alias("length"))
+    parts = rows.groupBy("source", "part").agg(F.min("start").alias("start"), F.max("heading").alias("headed"), F.min_by("line", "pos").alias("line"), F.max("length").alias("length"))
     ahead = Window.partitionBy("source").orderBy("part")
     parts = parts.withColumn("end", F.coalesce(F.lead("start").over(ahead), F.col("length")))
     name = F.when(F.col("headed"), T.strip(F.col("line"))).otherwise("")
