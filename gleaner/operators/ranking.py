@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleaner.functions import text as T
-from gleaner.functions.display import identity_key, joined, metadata_text
+from gleaner.functions.display import identity_key, metadata_text
 from gleaner.operators.planner import requested_vendors
 
 MATCH = "metadata_vendor_match"
@@ -110,6 +110,3 @@ def select_final(reranked: DataFrame, top_k: int = 5, listing_k: int = 20) -> Da
 def searchable(chunks: DataFrame) -> DataFrame:
     """(id, text): the metadata-aware text that lexical search goes over."""
     return chunks.select("id", metadata_text(chunks.columns).alias("text"))
-
-
-__all__ = ["bonus", "heuristic_score", "inject", "intents", "joined", "known_vendors", "rerank", "searchable", "select_final"]

@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleaner.functions import display as D
 from gleaner.functions import specs as S
 from gleaner.functions import text as T
-from gleaner.operators import chunking, evaluate, expand, inspect, pages, planner, products, prompts, ranking, retrieval, sections
+from gleaner.operators import chunking, inspect, pages, planner, sections
 from gleaner.plans import fixtures as X
 from gleaner.plans import retrieve as R
 from gleaner.sources import files

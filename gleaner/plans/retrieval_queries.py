@@ -10,7 +10,7 @@ from gleaner.functions import text as T
 from gleaner.operators import evaluate, expand, inspect, planner, products, prompts, ranking, retrieval
 from gleaner.plans import fixtures as X
 from gleaner.plans import retrieve as R
-from gleaner.plans.queries import LEXICAL, PAGES, SQL, STRIDES, own_chunks, page_table, query, strides, table
+from gleaner.plans.queries import LEXICAL, STRIDES, own_chunks, query, strides, table
 from gleaner.sources import files
 from gleaner.sources.tables import save
 
@@ -364,6 +364,28 @@ def collection_rows(spark, sf_dir):
     return files.collection(rows, empty).select("id", "vendors", "product_codes", "document")
 
 
+@query(
+    f"""WITH {PARTS} SELECT 1 AS query_id, position AS rank, '[' || position || '] rerank=' || format('{{:.4f}}', position / 8.0) || ' hybrid=0.5000 dense=0.0000 lexical=0.0000 source=' || source || ' page=' || CASE WHEN heading_level = 0 THEN '3' ELSE '3-' || (3 + heading_level) END
+  || ' section=' || coalesce(nullif(section, ''), title) || CASE WHEN product <> '' THEN ' product=' || product ELSE '' END || CASE WHEN length(product_codes) > 0 THEN ' product_codes=' || array_to_string(product_codes, ',') ELSE '' END
+  || CASE WHEN length(chip_models) > 0 THEN ' chip_models=' || array_to_string(chip_models, ',') ELSE '' END || ' vendors=' || array_to_string(vendors, ',') AS line FROM pc"""
+)
+def printed_results(spark, sf_dir):
+    rows = part_chunks(spark, sf_dir).withColumn("query_id", F.lit(1)).withColumn("rank", F.col("position")).withColumn("rerank_score", F.col("position") / 8.0).withColumn("hybrid_score", F.lit(0.5))
+    return files.printed(rows.withColumn("start_page", F.lit(3)).withColumn("end_page", F.lit(3) + F.col("heading_level")))
+
+
+@query(f"""WITH {PARTS} SELECT CAST(position % 50 AS INT) AS query_id, 'hybrid' AS stage, '[' || string_agg('{{"id":"' || id || '","chip_models":["' || chip_models[1] || '"],"heading_level":' || heading_level || '}}', ',' ORDER BY position) || ']' AS json FROM pc WHERE length(chip_models) > 0 GROUP BY 1""")
+def debug_export(spark, sf_dir):
+    rows = part_chunks(spark, sf_dir).where("size(chip_models) > 0").select((F.col("position") % 50).alias("query_id"), F.lit("hybrid").alias("stage"), F.col("position").alias("rank"), "id", "chip_models", "tags", "version", "heading_level")
+    return files.debug_json(rows)
+
+
+@query()
+def token_windows(spark, sf_dir):
+    docs = searched(spark, sf_dir)
+    return docs.select("id", F.md5(expand.token_windows(F.col("text"), F.floor(F.length("text") / 3).cast("int"), F.floor(F.length("text") / 2).cast("int"), F.lit(120)).cast("binary")).alias("digest"))
+
+
 # -- whole plans ------------------------------------------------------------------------------
 
 
@@ -407,6 +429,3 @@ def inspection_report(spark, sf_dir):
 def answer_prompts(spark, sf_dir):
     questions, _, stages = _retrieved(spark, sf_dir)
     return R.answer_prompts(questions.select("query_id", "question"), stages["final"])
-
-
-__all__ = ["PAGES", "SQL", "page_table"]

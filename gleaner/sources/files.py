@@ -104,6 +104,8 @@ def debug_json(results: DataFrame) -> DataFrame:
     """(query_id, stage, json): each result without nulls, empty strings or arrays."""
     kept = []
     for name, kind in results.dtypes:
+        if name in ("query_id", "stage", "rank"):
+            continue
         c = F.col(name)
         kept.append(F.when(F.size(c) > 0, c).alias(name) if kind.startswith(("array", "map")) else F.nullif(c, F.lit("")).alias(name) if kind == "string" else c)
     rows = results.select("query_id", "stage", "rank", F.to_json(F.struct(*kept)).alias("j"))
@@ -138,7 +140,8 @@ def printed(results: DataFrame) -> DataFrame:
     parts = [F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("]"))]
     parts += [F.concat(F.lit(f"{label}="), score(f"{label}_score")) for label in ("rerank", "hybrid", "dense", "lexical")]
     parts += [F.concat(F.lit("source="), "source"), F.concat(F.lit("page="), page_label(F.col("start_page"), F.col("end_page")))]
-    parts += [F.when(F.col(c) != "", F.concat(F.lit(f"{c}="), F.col(c))) for c in ("section", "product") if c in results.columns]
+    has = lambda c: F.nullif(F.col(c), F.lit("")) if c in results.columns else F.lit(None)
+    parts += [F.concat(F.lit("section="), F.coalesce(has("section"), has("title"))), F.concat(F.lit("product="), has("product"))]
     parts += [F.when(F.size(c) > 0, F.concat(F.lit(f"{c}="), F.array_join(c, ","))) for c in ("product_codes", "text_product_codes", "source_product_codes", "chip_models", "vendors") if c in results.columns]
     parts += [F.when(F.col("version") != "", F.concat(F.lit("version="), "version"))] if "version" in results.columns else []
     parts += [F.when(F.col("is_adjacent"), F.lit("adjacent=true"))] if "is_adjacent" in results.columns else []
