@@ -24,19 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
     return (set_dir or "/tmp/checkpoints/gleaner").rstrip("/")
 
 
-def save(df: DataFrame, name: str, batch: int = 1_000) -> DataFrame:
+def save(df: DataFrame, name: str, rows: int = 1_000, size: str = "8m") -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back:
     lineage ends there, and a lost executor costs nothing that was written.
-    Meanwhile Python workers get at most ``batch`` rows at a time."""
+    Meanwhile Python workers get at most ``rows`` rows and ``size`` at a time."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gleaner/{name}-{uuid.uuid4().hex}"
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(batch))
+    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
