@@ -498,3 +498,29 @@ def test_pipeline(spark, sf_dir, tmp_path):
     empty = kept["toxicity"].limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_pipeline_on_odd_rows(spark, sf_dir, odd):
+    """Null ids and texts, empty and long texts and repeated rows go through every
+    stage; what isn't toxic, copied or leaked stays."""
+    import corpus_pipeline as P
+
+    columns = odd.columns
+    toxic, single, clean, mixed, shards = (f for _, f in P.STAGES)
+    a = toxic(spark, odd, sf_dir)
+    assert a.columns == columns and a.count() == odd.count()
+    b = single(spark, a, sf_dir)
+    left = Counter(rows_of(b))
+    assert b.columns == columns and left[1, None] == left[2, ""] == left[3, "  \n\t"] == 1 and left[4, "one"] == 1 and not left[5, "one"]
+    c = clean(spark, b, sf_dir)
+    assert Counter(rows_of(c)) == left
+    d = mixed(spark, c, sf_dir)
+    assert d.columns == columns and set(rows_of(d)) <= set(left) and Counter(rows_of(d))[1, None] == 1
+    assert shards(spark, d, sf_dir).count() == d.count()
+
+
+def test_ann_takes_one_row_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (3, [2.0, 0.0]), (50, [-1.0, 0.0]), (4, [1.0, 0.0, 0.0])]
+    got = [tuple(r) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id = 0").orderBy("rank").collect()]
+    assert [(r[1], r[2]) for r in got] == [(1, 3), (2, 1), (3, 2), (4, 50)]
+    assert got[0][3] == 1.0
