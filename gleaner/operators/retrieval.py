@@ -28,7 +28,7 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = 20, measure: str = "i
     """(query_id, id, dense_score, dense_rank): exact search over ``vectors`` (id,
     vector) for ``queries`` (query_id, vector).  ip: inner product; l2: 1 / (1 +
     squared distance).  Queries go in blocks of QUERY_BLOCK, each broadcast."""
-    blocks = 1 + (queries.count() - 1) // QUERY_BLOCK if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK else 1
+    blocks = 1 + max(queries.count() - 1, 0) // QUERY_BLOCK
     out = None
     q, v = F.col("q"), F.col("v").cast("array<double>")
     if measure == "ip":
