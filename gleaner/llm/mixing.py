@@ -2,13 +2,17 @@
 
 The words of each source, its documents in hashed order, are packed into blocks
 of a fixed number of words.  Each source gets as many output slots as its target
-needs; a pseudorandom permutation deals all slots out to output shards, which
-makes a shard's source counts a multinomial draw given the fixed totals (a free
-multinomial draw would miss the targets by its sampling error).  A source's slots
-walk through a pseudorandom permutation of its blocks, round after round, and are
-joined to the blocks by index.  The last slot takes only the words still wanted,
+needs; all slots in the order of a seeded hash are dealt out to output shards in
+turn, which makes a shard's source counts a multinomial draw given the fixed totals
+(a free multinomial draw would miss the targets by its sampling error).  A source's
+slots walk through a pseudorandom permutation of its blocks, round after round, and
+are joined to the blocks by index.  The last slot takes only the words still wanted,
 so a source's words meet its target to a word.
 
+The joined slots are the mix: they are written with their words, each file in the
+order of shard and position (a shard is the merge of its runs in the files), and
+what each document gave is counted in them.
+
 Native: DataFrame functions only.  Positions come from sums of small
 (source, bucket) cells, so a hot source is never ordered in one task.
 """
@@ -21,15 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleaner.llm.common import n_words, save
+from gleaner.llm.common import n_words, save, words
 
 #: Multiplier of the permutations: a Mersenne prime, so it shares no factor with
 #: a smaller number of blocks.
 PRIME = 2**31 - 1
-#: Multipliers for dealing the slots out, primes whose product with a slot's
-#: number stays below 2**63; the first that doesn't divide their number is used.
-DEAL = (1_048_573, 524_287, 131_071)
 CHUNK = 65_536
+#: Slots ordered at a time when they are dealt.
+SLOTS_IN_CELL = 10_000
 
 
 @dataclass
@@ -37,6 +40,8 @@ class Mix:
     docs: DataFrame  # doc_id, size, source, source_size, target, taken
     slots: DataFrame  # shard, position, source, block, words
     sources: DataFrame  # source, source_size, target, blocks, slots
+    blocks: DataFrame  # source, block, pieces (low, start, doc_id, text)
+    mixed: DataFrame  # shard, position, source, block, pieces (start, doc_id, n, text)
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0) -> DataFrame:
@@ -69,61 +74,88 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: flo
     """Mixes ``docs`` (doc_id, source, text).  Null or empty texts have size 0 and
     nothing is taken of them; repeated rows count each; a null source is a source
     of its own.  A source may have up to 2**31 blocks."""
-    sized = save(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
-    rows = sized.count()
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("t"), "text")
+    sized = save(rows.drop("text"), "sizes")
+    buckets = 1 + sized.count() // rows_in_bucket
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(per_source, weights, most).withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block)))
     plan = plan.withColumn("last", F.col("source_size") - (F.col("blocks") - 1) * block).withColumn("want", F.round("target").cast("long"))
     plan = plan.withColumn("rounds", F.when(F.col("blocks") > 0, F.floor(F.col("want") / F.col("source_size"))).otherwise(0))
     plan = plan.withColumn("rest", F.col("want") - F.col("rounds") * F.col("source_size")).withColumn("salt", F.xxhash64("source", F.lit(seed)))
-    plan = save(plan, "mix-plan")
-
-    # Word offsets of the documents in their source, in hashed order.
-    buckets = 1 + rows // rows_in_bucket
-    hashed = sized.where("size > 0").withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(seed))).withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    cells = hashed.groupBy("source", "bucket").agg(F.sum("size").alias("cell"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("cell").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("source", "bucket").orderBy("h", F.asc_nulls_first("doc_id"), "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = hashed.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(cells, placed["source"].eqNullSafe(cells["s"]) & (placed["bucket"] == cells["b"]))
-    placed = save(placed.select("doc_id", "source", "size", (F.col("first") + F.col("inner")).alias("start")), "places")
-
-    slots = _slots(plan, block, shards)
-    taken = slots.groupBy("source", "block").agg(F.count_if("whole").alias("times"), F.max(F.when(~F.col("whole"), F.col("words"))).alias("part"))
-    pieces = placed.select(F.col("doc_id"), "size", "start", F.col("source").alias("src"), F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("at"))
-    joined = pieces.join(taken, F.col("src").eqNullSafe(F.col("source")) & (F.col("at") == F.col("block")))
-    low = F.greatest(F.col("start") - F.col("at") * block, F.lit(0))
-    high = F.least(F.col("start") + F.col("size") - F.col("at") * block, F.lit(block))
-    words = F.col("times") * (high - low) + F.greatest(F.least(high, F.coalesce(F.col("part"), F.lit(0))) - low, F.lit(0))
-    got = joined.groupBy("src", "start").agg(F.sum(words).alias("taken"))
-    whole = placed.join(got, placed["source"].eqNullSafe(got["src"]) & (placed["start"] == got["start"]), "left").select("doc_id", "source", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    plan = save(plan.withColumn("sid", F.row_number().over(Window.orderBy(F.asc_nulls_last("source")))), "mix-plan")
+
+    ids = plan.select(F.col("source").alias("s"), "sid")
+    hashed = lambda x: x.where("size > 0").withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(seed))).withColumn("bucket", F.pmod("h", F.lit(buckets))).join(F.broadcast(ids), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    cells = hashed(sized).groupBy("sid", "bucket").agg(F.sum("size").alias("cell"))
+    before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cells = save(cells.select("sid", "bucket", F.coalesce(F.sum("cell").over(before), F.lit(0)).alias("first")), "mix-cells")
+
+    slots = save(_slots(plan, block, shards, seed), "slots")
+    blocks = _blocks(_places(hashed(rows), cells), block)
+    mixed = _mixed(slots, blocks)
+
+    got = mixed.select("sid", F.explode(F.arrays_zip("pieces.start", "pieces.n"))).groupBy("sid", "col.start").agg(F.sum("col.n").alias("taken"))
+    whole = _places(hashed(sized), cells).join(got, ["sid", "start"], "left").select("doc_id", "source", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     everything = whole.unionByName(sized.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken")))
     named = plan.select(F.col("source").alias("s"), "source_size", "target")
     out = everything.join(named, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source", "source_size", "target", "taken")
-    return Mix(out, slots, plan)
+    return Mix(out, slots.drop("sid"), plan.drop("sid"), blocks.drop("sid"), mixed.drop("sid"))
+
+
+def _places(hashed: DataFrame, cells: DataFrame) -> DataFrame:
+    """With start, the word offset of each row in its source, in hashed order."""
+    inside = Window.partitionBy("sid", "bucket").orderBy("h", F.asc_nulls_first("doc_id"), "size", "t").rowsBetween(Window.unboundedPreceding, -1)
+    placed = hashed.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    return placed.join(cells, ["sid", "bucket"]).withColumn("start", F.col("first") + F.col("inner")).drop("h", "t", "bucket", "inner", "first")
+
+
+def _blocks(placed: DataFrame, block: int) -> DataFrame:
+    """One row for each block: sid, source, block, pieces: the part of each document
+    in it, with its offset there (low) and its words, by offset."""
+    start, size = F.col("start"), F.col("size")
+    at = F.sequence(F.floor(start / block), F.floor((start + size - 1) / block))
+    low = lambda b: F.greatest(start - b * block, F.lit(0))
+    skipped = lambda b: F.greatest(b * block - start, F.lit(0))
+    piece = lambda b: F.struct(b.alias("block"), low(b).alias("low"), F.array_join(F.slice("all", (skipped(b) + 1).cast("int"), (F.lit(block) - low(b)).cast("int")), " ").alias("text"))
+    cut = placed.withColumn("all", words(F.col("text"))).select("sid", "source", "doc_id", "start", F.explode(F.transform(at, piece)).alias("x"))
+    pieces = F.array_sort(F.collect_list(F.struct("x.low", "start", "doc_id", "x.text")))
+    return cut.withColumn("block", F.col("x.block")).groupBy("sid", "block").agg(F.first("source").alias("source"), pieces.alias("pieces"))
+
+
+def _mixed(slots: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The slots with the words of their blocks, cut to the words they take, written
+    in order of shard and position: sid, shard, position, source, block, pieces."""
+
+    def taken(p):
+        own = F.slice(F.split(p["text"], " "), F.lit(1), (F.col("words") - p["low"]).cast("int"))
+        return F.struct(p["start"].alias("start"), p["doc_id"].alias("doc_id"), F.size(own).cast("long").alias("n"), F.array_join(own, " ").alias("text"))
+
+    kept = F.transform(F.filter("pieces", lambda p: p["low"] < F.col("words")), taken)
+    joined = slots.select("sid", "shard", "position", "block", "words").join(blocks, ["sid", "block"])
+    rows = joined.select("sid", "shard", "position", "source", "block", kept.alias("pieces"))
+    return save(rows.sortWithinPartitions("shard", "position"), "mixed")
 
 
-def _slots(plan: DataFrame, block: int, shards: int) -> DataFrame:
-    """One row for each output slot: shard, position, source, block, words, whole."""
+def _slots(plan: DataFrame, block: int, shards: int, seed: int) -> DataFrame:
+    """One row for each output slot: sid, shard, position, source, block, words."""
     n = F.col("blocks")
     # Steps in chunks, so that a hot source's steps are made by many tasks.
-    chunks = plan.where("blocks > 0").select("*", F.explode(F.sequence(F.lit(0), n - 1, F.lit(CHUNK))).alias("chunk")).repartition("source", "chunk")
+    chunks = plan.where("blocks > 0").select("*", F.explode(F.sequence(F.lit(0), n - 1, F.lit(CHUNK))).alias("chunk")).repartition("sid", "chunk")
     steps = chunks.select("*", F.explode(F.sequence(F.col("chunk"), F.least(n - 1, F.col("chunk") + (CHUNK - 1)), F.lit(1))).alias("step"))
     steps = steps.withColumn("block", _walk(F.col("step"), n, F.col("salt"))).withColumn("length", F.when(F.col("block") == n - 1, F.col("last")).otherwise(F.lit(block)))
     # Words of the steps before: all of full length but for the short block.
-    found = steps.where(F.col("block") == n - 1).select(F.col("source").alias("s"), F.col("step").alias("q"))
-    steps = steps.join(found, F.col("source").eqNullSafe(F.col("s")), "left")
+    found = steps.where(F.col("block") == n - 1).select("sid", F.col("step").alias("q"))
+    steps = steps.join(found, "sid", "left")
     done = F.col("step") * block - F.when(F.col("step") > F.col("q"), block - F.col("last")).otherwise(0)
     part = F.least(F.col("length"), F.greatest(F.col("rest") - done, F.lit(0)))
     turns = steps.withColumn("part", part).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("rounds"), F.lit(1)))).where((F.col("turn") < F.col("rounds")) | (F.col("part") > 0))
-    words = F.when(F.col("turn") < F.col("rounds"), F.col("length")).otherwise(F.col("part"))
-    # Deal the slots: number them over all sources, then permute the numbers.
-    counts = plan.select(F.col("source").alias("s2"), (F.when(F.col("blocks") > 0, (F.col("rounds") + 1) * F.col("blocks")).otherwise(0)).alias("room"))
-    counts = counts.withColumn("base", F.coalesce(F.sum("room").over(Window.orderBy(F.asc_nulls_last("s2")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("room").over(Window.partitionBy()))
-    turns = turns.withColumn("words", words).join(counts, F.col("source").eqNullSafe(F.col("s2")))
-    by = F.when(F.col("all") % DEAL[0] != 0, DEAL[0]).when(F.col("all") % DEAL[1] != 0, DEAL[1]).otherwise(DEAL[2])
-    number = F.pmod(by * (F.col("base") + F.col("turn") * n + F.col("step")), F.col("all"))
-    return turns.select(
-        F.pmod(number, F.lit(shards)).cast("int").alias("shard"), F.floor(number / shards).alias("position"), "source", "block", "words", (F.col("words") == F.col("length")).alias("whole")
-    )
+    turns = turns.withColumn("words", F.when(F.col("turn") < F.col("rounds"), F.col("length")).otherwise(F.col("part")))
+    # Deal the slots: their numbers in the order of a seeded hash, by cells of it.
+    room = plan.agg(F.sum((F.col("rounds") + 1) * n)).first()[0] or 0
+    turns = turns.withColumn("h", F.xxhash64("sid", "turn", "step", F.lit(seed))).withColumn("cell", F.pmod("h", F.lit(1 + int(room) // SLOTS_IN_CELL)))
+    turns = save(turns.select("sid", "source", "block", "words", "turn", "step", "h", "cell"), "turns")
+    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = turns.groupBy("cell").agg(F.count("*").alias("c")).select("cell", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("first"))
+    inside = F.row_number().over(Window.partitionBy("cell").orderBy("h", "sid", "turn", "step")) - 1
+    number = F.col("first") + F.col("inside")
+    return turns.withColumn("inside", inside).join(cells, "cell").select("sid", F.pmod(number, F.lit(shards)).cast("int").alias("shard"), F.floor(number / shards).alias("position"), "source", "block", "words")

@@ -452,6 +452,52 @@ def test_mixing(docs, odd, none, block):
         assert len({(s["shard"], s["position"]) for s in slots}) == len(slots)
 
 
+def test_mixed_shards_hold_the_words(docs, odd):
+    """Every slot has the words of its block, and the words taken are those."""
+    for df in (docs, odd):
+        made = mixing.mix(clashing(df), block=64, rows_in_bucket=11)
+        source = defaultdict(Counter)
+        for r in df.collect():
+            source[r["source"]].update(WORDS.findall(r["text"] or ""))
+        blocks = {(r["source"], r["block"]): [w for p in r["pieces"] for w in p["text"].split(" ")] for r in made.blocks.collect()}
+        packed = defaultdict(Counter)
+        for (s, _), own in blocks.items():
+            packed[s].update(own)
+        assert all(packed[s] == source[s] for s in source)
+        last = {s: max(b for x, b in blocks if x == s) for s in {x for x, _ in blocks}}
+        assert all(len(own) == 64 for (s, b), own in blocks.items() if b != last[s])
+        slots = {(r["shard"], r["position"]): r for r in made.slots.collect()}
+        mixed, taken = made.mixed.collect(), Counter()
+        assert len(mixed) == len(slots)
+        for r in mixed:
+            slot = slots[r["shard"], r["position"]]
+            own = [w for p in r["pieces"] for w in p["text"].split(" ")]
+            assert (r["source"], r["block"]) == (slot["source"], slot["block"]) and own == blocks[r["source"], r["block"]][: slot["words"]]
+            for p in r["pieces"]:
+                taken[r["source"], p["doc_id"]] += len(p["text"].split(" "))
+        given = Counter()
+        for r in made.docs.collect():
+            given[r["source"], r["doc_id"]] += r["taken"]
+        assert +given == taken
+
+
+def test_slots_are_dealt_by_seed(docs):
+    """A shard's sources are a draw: not the same as with another seed, and not the
+    even split that dealing in turn gives."""
+    by = []
+    for seed in (7, 8):
+        slots = mixing.mix(docs, block=16, seed=seed).slots.collect()
+        share = Counter(r["source"] for r in slots)
+        cells = Counter((r["shard"], r["source"]) for r in slots)
+        chi = sum((cells[k, s] - share[s] / 16) ** 2 / (share[s] / 16) for s in share for k in range(16))
+        free = 15 * (len(share) - 1)
+        assert abs(chi - free) < 5 * math.sqrt(2 * free)
+        sizes = Counter(r["shard"] for r in slots)
+        assert max(sizes.values()) - min(sizes.values()) <= 1
+        by.append(cells)
+    assert by[0] != by[1]
+
+
 # queries
 
 
