@@ -20,7 +20,8 @@ Native: DataFrame functions only.  Items of over ITEM_WORDS words are cut into
 pieces of that length (a document that holds one is contaminated), items of fewer
 than five words are one shingle, empty items match nothing; a document shorter than
 the item is one window.  Null and empty texts have no window.  Rows with one doc_id
-give one result.  The anchors are broadcast in groups of at most GROUP rows each.
+give one result; rows without one, and items without an item_id, one for each text.
+The anchors are broadcast in groups of at most GROUP rows each.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ RADIUS = 23
 ITEM_WORDS = 20_000
 GROUP = 200_000
 _LANES = 0x0001000100010001
-_KEY = ["doc_id", "rid", "item_id", "piece"]
+#: Non-null throughout: joins go by it.
+_KEY = ["nameless", "did", "rid", "item", "piece"]
 
 
 def _blocks() -> list[tuple[int, int]]:
@@ -73,31 +75,33 @@ def _fingerprints(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """item_id, piece, words, m (words), k (words of a shingle), grams."""
-    own = benchmark.select("item_id", words(F.lower(text_or_empty())).alias("all")).where("size(all) > 0").distinct()
-    cut = own.select("item_id", F.explode(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / ITEM_WORDS).cast("int"))).alias("piece"), "all")
-    cut = cut.select("item_id", "piece", F.slice("all", F.col("piece") * ITEM_WORDS + 1, ITEM_WORDS).alias("words"))
+    """item (hash of item_id and words), item_id, piece, words, m (words), k (words of
+    a shingle), grams."""
+    own = benchmark.select("item_id", words(F.lower(text_or_empty())).alias("all")).where("size(all) > 0").distinct().withColumn("item", F.xxhash64("item_id", "all"))
+    cut = own.select("item", "item_id", F.explode(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / ITEM_WORDS).cast("int"))).alias("piece"), "all")
+    cut = cut.select("item", "item_id", "piece", F.slice("all", F.col("piece") * ITEM_WORDS + 1, ITEM_WORDS).alias("words"))
     cut = cut.withColumn("m", F.size("words")).withColumn("k", F.least(F.lit(5), "m"))
     return cut.withColumn("grams", _grams(F.col("words"), F.col("k")))
 
 
 def anchors_of(items: DataFrame) -> DataFrame:
-    """item_id, piece, m, k, anchor: words of which every window that is similar
+    """item, piece, m, k, anchor: words of which every window that is similar
     enough holds one, within a shingle that it shares with the item."""
     order = F.array_sort(F.array_distinct("words"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    ranked = items.select("item_id", "piece", "m", "k", "words", order.alias("order")).withColumn("ranks", F.map_from_arrays("order", F.sequence(F.lit(1), F.size("order"))))
+    ranked = items.select("item", "piece", "m", "k", "words", order.alias("order")).withColumn("ranks", F.map_from_arrays("order", F.sequence(F.lit(1), F.size("order"))))
     ranks = F.transform("words", lambda w: F.element_at("ranks", w))
-    ranked = ranked.select("item_id", "piece", "m", "k", "order", ranks.alias("at"))
+    ranked = ranked.select("item", "piece", "m", "k", "order", ranks.alias("at"))
     least = F.array_sort(F.transform(F.sequence(F.lit(1), F.size("at") - F.col("k") + 1), lambda i: F.array_min(F.slice("at", i, F.col("k")))))
     needed = F.element_at(least, (F.floor(F.size(least) * 0.2) + 1).cast("int"))
-    return ranked.select("item_id", "piece", "m", "k", F.explode(F.slice("order", F.lit(1), needed)).alias("anchor"))
+    return ranked.select("item", "piece", "m", "k", F.explode(F.slice("order", F.lit(1), needed)).alias("anchor"))
 
 
 def _hits(docs: DataFrame, anchors: DataFrame, shingles: DataFrame) -> DataFrame:
-    """Places of anchors whose shingles hold one that the item has too: doc_id,
-    rid, item_id, piece, m, k, p, n, low (first word of region), region."""
-    split = docs.select("doc_id", F.xxhash64("text").alias("rid"), words(F.lower(text_or_empty())).alias("words"))
-    placed = split.select("doc_id", "rid", "words", F.posexplode("words").alias("p", "word"))
+    """Places of anchors whose shingles hold one that the item has too: nameless
+    (no doc_id), did (doc_id, else 0), rid, item, piece, m, k, p, n, low (first word
+    of region), region."""
+    split = docs.select(F.col("doc_id").isNull().alias("nameless"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("did"), F.xxhash64("text").alias("rid"), words(F.lower(text_or_empty())).alias("words"))
+    placed = split.select("nameless", "did", "rid", "words", F.posexplode("words").alias("p", "word"))
     found = placed.join(F.broadcast(anchors), F.col("word") == F.col("anchor"))
     low = F.greatest(F.col("p") - F.col("m") + 1, F.lit(0))
     region = F.slice("words", low + 1, F.least(F.col("p") + F.col("m"), F.size("words")) - low)
@@ -106,21 +110,22 @@ def _hits(docs: DataFrame, anchors: DataFrame, shingles: DataFrame) -> DataFrame
     first = F.greatest(F.col("p") - F.col("k") + 1, F.lit(0)) - F.col("low")
     last = F.least("p", F.col("n") - F.col("k")) - F.col("low")
     near = F.when(last >= first, F.transform(F.sequence(first + 1, last + 1), lambda i: F.array_join(F.slice("region", i, F.col("k")), " ")))
-    tested = found.withColumn("gram", F.explode(near)).join(F.broadcast(shingles), ["item_id", "piece", "gram"], "left_semi")
+    tested = found.withColumn("gram", F.explode(near)).join(F.broadcast(shingles), ["item", "piece", "gram"], "left_semi")
     return tested.drop("gram").dropDuplicates([*_KEY, "p"])
 
 
-def find(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
-    """One row for each contaminated (doc_id, item_id): start_word (of the first of
-    the best windows), window_words, shared and total weight, similarity."""
+def find(docs: DataFrame, benchmark: DataFrame, percent: int = 80, keyed: bool = False) -> DataFrame:
+    """One row for each contaminated (doc_id, item_id), with ``keyed`` also
+    row_key: start_word (of the first of the best windows), window_words, shared and
+    total weight, similarity."""
     items = save(items_of(benchmark), "items")
-    anchors = save(anchors_of(items).withColumn("group", F.pmod(F.xxhash64("item_id", "piece"), F.lit(1 << 20))), "anchors")
-    shingles = items.select("item_id", "piece", F.explode("grams").alias("gram"))
+    anchors = save(anchors_of(items).withColumn("group", F.pmod(F.xxhash64("item", "piece"), F.lit(1 << 20))), "anchors")
+    shingles = items.select("item", "piece", F.explode("grams").alias("gram"))
     groups = 1 + shingles.count() // GROUP
     hits = []
     for g in range(groups):  # one group unless the benchmark itself is huge
         mine = F.pmod("group", F.lit(groups)) == g
-        own = shingles.distinct().where(F.pmod(F.pmod(F.xxhash64("item_id", "piece"), F.lit(1 << 20)), F.lit(groups)) == g)
+        own = shingles.distinct().where(F.pmod(F.pmod(F.xxhash64("item", "piece"), F.lit(1 << 20)), F.lit(groups)) == g)
         hits.append(_hits(docs, anchors.where(mine).drop("group"), own))
     hits = save(reduce(DataFrame.unionByName, hits), "hits")
 
@@ -135,12 +140,12 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
     inside = F.slice("hashes", F.col("s") - F.col("low") + 1, F.least("m", "n") - F.col("k") + 1)
     each = window.where("size(hashes) > 0").select(*_KEY, "s", F.size(inside).alias("shingles"), F.explode(inside).alias("h"))
     prints = _fingerprints(each, [*_KEY, "s"])
-    item_rows = items.select("item_id", "piece", F.size("grams").alias("shingles"), F.explode("grams").alias("gram")).select("item_id", "piece", "shingles", F.xxhash64("gram").alias("h"))
-    item_prints = _fingerprints(item_rows, ["item_id", "piece"])
+    item_rows = items.select("item", "piece", F.size("grams").alias("shingles"), F.explode("grams").alias("gram")).select("item", "piece", "shingles", F.xxhash64("gram").alias("h"))
+    item_prints = _fingerprints(item_rows, ["item", "piece"])
 
     left = prints.select(*_KEY, "s", "fp", _block_values("fp"))
-    right = item_prints.select("item_id", "piece", F.col("shingles").alias("item_weight"), F.col("fp").alias("item_fp"), _block_values("fp"))
-    near = left.join(right, ["item_id", "piece", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    right = item_prints.select("item", "piece", F.col("shingles").alias("item_weight"), F.col("fp").alias("item_fp"), _block_values("fp"))
+    near = left.join(right, ["item", "piece", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     near = near.select(*_KEY, "s", "item_weight").dropDuplicates([*_KEY, "s"])
     near = save(near, "near")
 
@@ -149,9 +154,12 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
     window = near.join(texts, _KEY).where("s between `from` and `to`")
     own = F.slice("region", F.col("s") - F.col("low") + 1, F.least("m", "n"))
     counted = window.select(*_KEY, "s", "item_weight", F.size(own).alias("window_words"), F.explode(_grams(own, F.col("k"))).alias("gram")).groupBy(*_KEY, "s", "item_weight", "window_words", "gram").agg(F.count("*").alias("w"))
-    item_counts = shingles.groupBy("item_id", "piece", "gram").agg(F.count("*").alias("v"))
-    sums = counted.join(item_counts, ["item_id", "piece", "gram"], "left").groupBy(*_KEY, "s", "item_weight", "window_words").agg(F.sum("w").alias("weight"), F.sum(F.least("w", F.coalesce("v", F.lit(0)))).alias("shared"))
+    item_counts = shingles.groupBy("item", "piece", "gram").agg(F.count("*").alias("v"))
+    sums = counted.join(item_counts, ["item", "piece", "gram"], "left").groupBy(*_KEY, "s", "item_weight", "window_words").agg(F.sum("w").alias("weight"), F.sum(F.least("w", F.coalesce("v", F.lit(0)))).alias("shared"))
     sums = sums.withColumn("total", F.col("weight") + F.col("item_weight") - F.col("shared")).where(F.col("shared") * 100 >= F.col("total") * percent)
-    best = sums.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("shared") / F.col("total"), -F.col("s"), -F.col("piece"), "window_words", "shared", "total")).alias("x"), F.count("*").alias("n_windows"))
+    named = sums.join(F.broadcast(items.select("item", "item_id").distinct()), "item")
+    named = named.withColumn("own", F.when(F.col("nameless"), F.col("rid"))).withColumn("own_item", F.when(F.col("item_id").isNull(), F.col("item")))
+    best = named.groupBy("nameless", "did", "own", "item_id", "own_item").agg(F.max(F.struct(F.col("shared") / F.col("total"), -F.col("s"), -F.col("piece"), "window_words", "shared", "total")).alias("x"), F.count("*").alias("n_windows"))
     x = lambda i: F.col(f"x.col{i}")
-    return best.select("doc_id", "item_id", (-x(2)).cast("long").alias("start_word"), F.col("x.window_words").cast("long").alias("window_words"), F.col("x.shared").cast("long").alias("shared"), F.col("x.total").cast("long").alias("total"), x(1).alias("similarity"), F.col("n_windows").cast("long").alias("n_windows"))
+    key = [(F.col("own").bitwiseAND(F.lit(2**62 - 1)) + 2**62).alias("row_key")] if keyed else []
+    return best.select(F.when(~F.col("nameless"), F.col("did")).alias("doc_id"), *key, "item_id", (-x(2)).cast("long").alias("start_word"), F.col("x.window_words").cast("long").alias("window_words"), F.col("x.shared").cast("long").alias("shared"), F.col("x.total").cast("long").alias("total"), x(1).alias("similarity"), F.col("n_windows").cast("long").alias("n_windows"))

@@ -294,6 +294,15 @@ def test_decontamination(spark, docs, odd, none, sf_dir):
     assert decontam.find(none, items).count() == 0 and decontam.find(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_null_ids(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    other = " ".join(f"v{i}" for i in range(30))
+    docs = spark.createDataFrame([(None, "a " + item), (None, "b c " + item + " " + other), (None, "clean text"), (0, "d e f " + other), (1, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, item), (None, other), (3, item)], "item_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"], r["start_word"], r["similarity"]) for r in decontam.find(docs, items).collect()), key=repr)
+    assert got == sorted([(None, None, 1, 1.0), (None, 3, 1, 1.0), (None, None, 2, 1.0), (None, 3, 2, 1.0), (None, None, 32, 1.0), (0, None, 3, 1.0)], key=repr)
+
+
 def test_items_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(decontam, "ITEM_WORDS", 12)
     item = " ".join(f"w{i}" for i in range(30))
