@@ -17,7 +17,8 @@ of words has a weighted similarity of 0.8 or more with it: shingles of five word
 4. Verification.  Exact weighted similarity of the shingles themselves.
 
 Native: DataFrame functions only.  Items of over ITEM_WORDS words are cut into
-pieces of that length (a document that holds one is contaminated), items of fewer
+pieces of that length, the last one ending with the item (a document that holds one
+is contaminated, and the similarity is the piece's), items of fewer
 than five words are one shingle, empty items match nothing; a document shorter than
 the item is one window.  Null and empty texts have no window.  Rows with one doc_id
 give one result; rows without one, and items without an item_id, one for each text.
@@ -79,7 +80,8 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     a shingle), grams."""
     own = benchmark.select("item_id", words(F.lower(text_or_empty())).alias("all")).where("size(all) > 0").distinct().withColumn("item", F.xxhash64("item_id", "all"))
     cut = own.select("item", "item_id", F.explode(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / ITEM_WORDS).cast("int"))).alias("piece"), "all")
-    cut = cut.select("item", "item_id", "piece", F.slice("all", F.col("piece") * ITEM_WORDS + 1, ITEM_WORDS).alias("words"))
+    first = F.least(F.col("piece") * ITEM_WORDS, F.greatest(F.size("all") - ITEM_WORDS, F.lit(0)))
+    cut = cut.select("item", "item_id", "piece", F.slice("all", first + 1, F.lit(ITEM_WORDS)).alias("words"))
     cut = cut.withColumn("m", F.size("words")).withColumn("k", F.least(F.lit(5), "m"))
     return cut.withColumn("grams", _grams(F.col("words"), F.col("k")))
 
@@ -159,7 +161,7 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = 80, keyed: bool =
     sums = sums.withColumn("total", F.col("weight") + F.col("item_weight") - F.col("shared")).where(F.col("shared") * 100 >= F.col("total") * percent)
     named = sums.join(F.broadcast(items.select("item", "item_id").distinct()), "item")
     named = named.withColumn("own", F.when(F.col("nameless"), F.col("rid"))).withColumn("own_item", F.when(F.col("item_id").isNull(), F.col("item")))
-    best = named.groupBy("nameless", "did", "own", "item_id", "own_item").agg(F.max(F.struct(F.col("shared") / F.col("total"), -F.col("s"), -F.col("piece"), "window_words", "shared", "total")).alias("x"), F.count("*").alias("n_windows"))
+    best = named.groupBy("nameless", "did", "own", "item_id", "own_item").agg(F.max(F.struct(F.col("shared") / F.col("total"), -F.col("s"), -F.col("piece"), "window_words", "shared", "total")).alias("x"), F.count_distinct("rid", "item", "s").alias("n_windows"))
     x = lambda i: F.col(f"x.col{i}")
     key = [(F.col("own").bitwiseAND(F.lit(2**62 - 1)) + 2**62).alias("row_key")] if keyed else []
     return best.select(F.when(~F.col("nameless"), F.col("did")).alias("doc_id"), *key, "item_id", (-x(2)).cast("long").alias("start_word"), F.col("x.window_words").cast("long").alias("window_words"), F.col("x.shared").cast("long").alias("shared"), F.col("x.total").cast("long").alias("total"), x(1).alias("similarity"), F.col("n_windows").cast("long").alias("n_windows"))

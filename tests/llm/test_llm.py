@@ -310,6 +310,14 @@ def test_items_in_pieces(spark, monkeypatch):
     assert [r["doc_id"] for r in decontam.find(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()] == [1]
 
 
+def test_last_piece_is_never_short(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "ITEM_WORDS", 12)
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(13)))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b w12 c"), (2, "x " + " ".join(f"w{i}" for i in range(1, 13))), (3, " ".join(f"w{i}" for i in range(13)))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["start_word"], r["similarity"], r["n_windows"]) for r in decontam.find(docs, bench).collect()}
+    assert got == {2: (1, 1.0, got[2][2]), 3: (0, 1.0, 2)}
+
+
 # 7
 
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
