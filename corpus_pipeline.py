@@ -19,19 +19,19 @@ _SEED = 11
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject.  Fits on ``docs``."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    rejected = save(toxicity.score(docs, model).where("predicted = 1").select("doc_id"), "toxic-ids")
+    rejected = save(toxicity.score(docs, model, keyed=True).where("predicted = 1").select("doc_id", "row_key"), "toxic-ids")
     return keep_rows(docs, rejected, "left_anti")
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest doc_id) of each class of near duplicates."""
-    rest = save(neardup.classes(docs, size=5, percent=80).where("not kept").select("doc_id"), "near-ids")
+    rest = save(neardup.classes(docs, size=5, percent=80, keyed=True).where("not kept").select("doc_id", "row_key"), "near-ids")
     return keep_rows(docs, rest, "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage like a benchmark item."""
-    leaks = save(decontam.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id"), "leak-ids")
+    leaks = save(decontam.find(docs, table(spark, sf_dir, "benchmark"), keyed=True).select("doc_id", "row_key"), "leak-ids")
     return keep_rows(docs, leaks, "left_anti")
 
 

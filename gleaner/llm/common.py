@@ -70,10 +70,18 @@ def n_words(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_key() -> Column:
+    """What tells rows without a doc_id apart: a hash of their text, 2**62 or more.
+    Null for other rows."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text").bitwiseAND(F.lit(2**62 - 1)) + 2**62)
+
+
 def keep_rows(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """``docs`` whose doc_id is (left_semi) or isn't (left_anti) in ``ids``; a
-    null doc_id is an id like others.  The ids build the hash table, so texts are
-    dealt out at most once and never sorted; Spark broadcasts the ids instead
-    while they are under its own measured threshold."""
-    ids = ids.select(F.col("doc_id").alias("__id")).distinct().hint("shuffle_hash")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("__id")), how)
+    """``docs`` whose (doc_id, row_key) is (left_semi) or isn't (left_anti) in ``ids``;
+    rows without a doc_id are told apart by their text.  The ids build the hash
+    table, so texts are dealt out at most once and never sorted; Spark broadcasts the
+    ids instead while they are under its own measured threshold."""
+    ids = ids.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).distinct().hint("shuffle_hash")
+    keyed = docs.withColumn("__own", row_key())
+    same = keyed["doc_id"].eqNullSafe(F.col("__id")) & keyed["__own"].eqNullSafe(F.col("__key"))
+    return keyed.join(ids, same, how).select(*(keyed[c] for c in docs.columns))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import save
+from gleaner.llm.common import row_key, save
 from gleaner.llm.components import components
 
 PERMUTATIONS = 64
@@ -52,7 +52,7 @@ _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(0, 2**63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**64, PERMUTATIONS, np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Rows without a doc_id get ids from here on, behind all others.
+#: Rows without a doc_id get ids from here on (their row_key), behind all others.
 NAMELESS = 2**62
 _LONGS = len(LEVELS) * PARITY // 64
 
@@ -173,11 +173,12 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def classes(docs: DataFrame, size: int = 5, percent: int = 80, keyed: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id,
-    text): the component is the smallest doc_id reachable by confirmed links."""
+    text): the component is the smallest doc_id reachable by confirmed links.  With
+    ``keyed`` also the row's row_key."""
     own_id = F.col("doc_id").cast("long")
-    source = docs.select(F.coalesce(own_id, F.xxhash64("text").bitwiseAND(F.lit(NAMELESS - 1)) + NAMELESS).alias("id"), own_id.isNull().alias("nameless"), "text")
+    source = docs.select(F.coalesce(own_id, row_key()).alias("id"), own_id.isNull().alias("nameless"), "text")
     rows = save(sketch(source, size), "near-sketch")
     full = rows.where("key is not null")
     nodes = save(full.groupBy("key").agg(F.min("id").alias("node")), "near-nodes")
@@ -215,6 +216,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         F.col("n").alias("n_shingles"),
         F.when(F.col("component") < NAMELESS, F.col("component")).alias("component_id"),
         (F.col("id") == F.col("component")).alias("kept"),
+        *([F.when(F.col("nameless"), F.col("id")).alias("row_key")] if keyed else []),
     )
 
 

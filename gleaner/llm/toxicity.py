@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import save
+from gleaner.llm.common import row_key, save
 
 FIT_ROWS = 6_000
 MAX_VOTERS = 200
@@ -186,8 +186,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     return Model(voters, weights, bias, rates, correlation)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of ``docs``."""
+def score(docs: DataFrame, model: Model, keyed: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row of ``docs``; with ``keyed`` also
+    its row_key."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +196,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         votes = _Votes(model.voters)
         for batch in batches:
             scores = model.scores(_counts(batch.column(2).cast(pa.binary()).to_pylist(), votes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+            own = [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32()), *batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays(own, ["doc_id", "held_out", "score", "predicted", "row_key"][: len(own)])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text", *([row_key().alias("row_key")] if keyed else []))
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int" + (", row_key long" if keyed else ""))

@@ -582,6 +582,24 @@ def test_pipeline_on_odd_rows(spark, sf_dir, odd):
     assert shards(spark, d, sf_dir).count() == d.count()
 
 
+def test_pipeline_decides_on_null_ids_by_row(spark, sf_dir):
+    """A toxic, copied or leaked row without an id takes no other such row with it."""
+    import corpus_pipeline as P
+
+    leak = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first()["text"]
+    near = " ".join(f"near{i}" for i in range(60))
+    rows = [(None, "you stupid idiot"), (None, near), (None, near + " tail"), (None, "clean words of its own"), (None, None), (None, "x " + leak), (4, "one"), (None, "one")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    clean = {(None, "clean words of its own"), (None, None), (4, "one")}
+    toxic, single, decontaminate = (f for _, f in P.STAGES[:3])
+    a = rows_of(toxic(spark, docs, sf_dir))
+    assert clean | {(None, near)} <= set(a) and (None, "you stupid idiot") not in a
+    b = rows_of(single(spark, docs, sf_dir))
+    assert clean <= set(b) and (None, "one") not in b and len({(None, near), (None, near + " tail")} & set(b)) == 1
+    c = rows_of(decontaminate(spark, docs, sf_dir))
+    assert sorted(c, key=repr) == sorted(set(rows) - {(None, "x " + leak)}, key=repr)
+
+
 def test_ann_takes_one_row_an_id(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (3, [2.0, 0.0]), (50, [-1.0, 0.0]), (4, [1.0, 0.0, 0.0])]
     got = [tuple(r) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id = 0").orderBy("rank").collect()]
