@@ -110,6 +110,11 @@ class State:
     shards: int
     min_docs: int
     min_chars: int
+    cold: bool = True  # holds the keys of fewer documents too
+
+    def check_whole(self) -> None:
+        if not self.cold:
+            raise ValueError("a state built with cold=False lacks the keys of fewer documents: it can't be changed")
 
 
 def _lines(text: bytes | None) -> list[bytes]:
@@ -186,7 +191,7 @@ def build(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, cold: bool =
     counts = save(counts if cold else counts.where(F.col("n_docs") >= min_docs), "line-counts")
     hot = counts.where(F.col("n_docs") >= min_docs)
     shards = 1 + hot.count() // SHARD_KEYS
-    return State(rows, counts, save(_build_filters(hot, shards), "line-filters"), shards, min_docs, min_chars)
+    return State(rows, counts, save(_build_filters(hot, shards), "line-filters"), shards, min_docs, min_chars, cold)
 
 
 def _changed(state: State, counts: DataFrame) -> DataFrame:
@@ -216,6 +221,7 @@ def _changed(state: State, counts: DataFrame) -> DataFrame:
 
 def insert(state: State, docs: DataFrame) -> State:
     """With the lines of ``docs``; what the state has already isn't counted again."""
+    state.check_whole()
     fresh = save(postings(docs, state.min_chars).alias("n").join(state.postings.alias("o"), F.col("n.key").eqNullSafe(F.col("o.key")) & F.col("n.doc_id").eqNullSafe(F.col("o.doc_id")), "left_anti"), "line-fresh")
     counts = state.counts.unionByName(_count(fresh)).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
     counts = save(counts, "line-counts")
@@ -224,6 +230,7 @@ def insert(state: State, docs: DataFrame) -> State:
 
 def delete(state: State, ids: DataFrame) -> State:
     """Without the documents whose doc_id is in ``ids``."""
+    state.check_whole()
     gone = ids.select(F.col("doc_id").alias("__id")).distinct()
     touched = state.postings.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("key").distinct()
     rest = save(state.postings.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti"), "line-postings")

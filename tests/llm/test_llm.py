@@ -89,6 +89,13 @@ def test_line_dedup_is_reversible(docs):
     assert linededup.delete(both, docs).counts.count() == 0
 
 
+def test_line_dedup_state_without_cold_keys_is_not_changed(docs):
+    state = linededup.build(docs.where("doc_id < 20"), cold=False)
+    for change in (linededup.insert, linededup.delete):
+        with pytest.raises(ValueError):
+            change(state, docs)
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     keys, others = (rng.integers(0, 2**64, 5000, np.uint64) for _ in range(2))
