@@ -19,8 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the
-    session, else the context's checkpoint folder, else (tests) one in /tmp."""
+    session, else the context's checkpoint folder, else, on a local master only, one
+    in /tmp.  A cluster without such a folder would lose what a lost machine held."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not set_dir and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     return (set_dir or "/tmp/checkpoints/gleaner").rstrip("/")
 
 
@@ -70,18 +73,49 @@ def n_words(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def row_key() -> Column:
-    """What tells rows without a doc_id apart: a hash of their text, 2**62 or more.
-    Null for other rows."""
-    return F.when(F.col("doc_id").isNull(), F.xxhash64("text").bitwiseAND(F.lit(2**62 - 1)) + 2**62)
+def row_key() -> list[Column]:
+    """What tells rows of one doc_id, or of none, apart: 128 bits of their text, as
+    the columns ``key_a`` and ``key_b``.  Rows that repeat a doc_id and a text share it."""
+    return [F.xxhash64("text").alias("key_a"), F.xxhash64(F.lit(1), "text").alias("key_b")]
+
+
+def unique(name: str) -> str:
+    """A column name that no input has."""
+    return f"__{name}_{uuid.uuid4().hex[:12]}"
 
 
 def keep_rows(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """``docs`` whose (doc_id, row_key) is (left_semi) or isn't (left_anti) in ``ids``;
-    rows without a doc_id are told apart by their text.  The ids build the hash
-    table, so texts are dealt out at most once and never sorted; Spark broadcasts the
-    ids instead while they are under its own measured threshold."""
-    ids = ids.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).distinct().hint("shuffle_hash")
-    keyed = docs.withColumn("__own", row_key())
-    same = keyed["doc_id"].eqNullSafe(F.col("__id")) & keyed["__own"].eqNullSafe(F.col("__key"))
-    return keyed.join(ids, same, how).select(*(keyed[c] for c in docs.columns))
+    """``docs`` whose (doc_id, key_a, key_b) is (left_semi) or isn't (left_anti) in
+    ``ids``, null-safe: a decision on one row touches no other of its doc_id.  The ids
+    build the hash table, so texts are dealt out at most once and never sorted; Spark
+    broadcasts the ids instead while they are under its own measured threshold."""
+    i, a, b, x, y = map(unique, ("id", "a", "b", "x", "y"))
+    ids = ids.select(F.col("doc_id").alias(i), F.col("key_a").alias(a), F.col("key_b").alias(b)).distinct().hint("shuffle_hash")
+    mine, mine_too = row_key()
+    keyed = docs.select("*", mine.alias(x), mine_too.alias(y))
+    same = keyed["doc_id"].cast("long").eqNullSafe(F.col(i)) & (F.col(x) == F.col(a)) & (F.col(y) == F.col(b))
+    return keyed.join(ids, same, how).drop(x, y)
+
+
+#: A key is hot if it has more rows than this, and more than one in HOT_SHARE of all:
+#: there are at most HOT_SHARE such keys, whatever the size of the data.
+HOT_ROWS = 500
+HOT_SHARE = 1_000
+
+
+def hot_keys(counts: DataFrame, key: str, rows: int) -> DataFrame:
+    """(key, parts) of the hot keys of ``counts`` (key, c) of a table of ``rows``
+    rows: at most HOT_SHARE rows, so they may be broadcast."""
+    limit = max(HOT_ROWS, rows // HOT_SHARE)
+    return counts.where(F.col("c") > limit).select(key, F.ceil(F.col("c") / limit).cast("int").alias("parts"))
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, by: Column, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, which has each key once.  The rows of a hot key
+    are dealt by the hash of ``by`` into its parts, and ``one``'s row is copied into
+    each, so no task meets all rows of a key."""
+    k, n, salt = unique("key"), unique("parts"), unique("salt")
+    hot = F.broadcast(hot.select(F.col(key).alias(k), F.col("parts").alias(n)))
+    left = many.join(hot, F.col(key) == F.col(k), "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(by), F.col(n)), F.lit(0)).cast("int")).drop(k, n)
+    right = one.join(hot, F.col(key) == F.col(k), "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))).drop(k, n)
+    return left.join(right, [key, salt], how).drop(salt)

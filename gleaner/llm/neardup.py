@@ -6,24 +6,33 @@ maximum, so BANDS bands of four values cost half the hash evaluations of plain
 MinHash.  Documents that agree in a band meet in its bucket; two documents of
 similarity 0.8 miss each other in all 32 bands with probability 5e-8.
 
-Equal sets are one node from the start.  Nodes of a bucket are linked by stars:
-each to two centres of the bucket, never all pairs of a group; one centre is the
-smallest node, the other one drawn by the bucket's own hash, so a node meets
-different centres in different bands.  Links count only when the full sets confirm
-them.  Connected components of the confirmed links settle most buckets.  In those
-that still hold nodes of different components all pairs across components follow
-that their parity sketches leave: no set of links between components goes untested
-because of skew.
+Equal sets are one node from the start, named by its first row's number and found
+by the set's 128-bit hash, so neither repeated nor null doc_ids mix up texts.  Nodes of
+a bucket are linked by stars: each to two centres of the bucket, never all pairs of a
+group; one centre is the smallest node, the other one drawn by the bucket's own
+hash, so a node meets different centres in different bands.  Links count only when
+the full sets confirm them.  Connected components of the confirmed links settle most
+buckets.  In those that still hold nodes of different components all pairs across
+components follow that their parity sketches leave, in blocks of at most BLOCK by
+BLOCK nodes: no set of links between components goes untested because of skew, and
+no task holds a whole bucket.
 
 A parity sketch has PARITY bits, each the parity of the number of shingles whose
 hash falls on it.  Two sketches differ in at most as many bits as their sets differ
-in shingles, and similarity s allows (1 - s) / (1 + s) of both sizes, so for sets of
-up to LEVEL_SIZE shingles the test is exact.  Larger sets use sketches of an eighth
-or a 64th of the shingles, drawn by hash, and five standard deviations of slack.
-
-Null and empty texts have no shingle and are linked with nothing.  Rows with one
-doc_id and one text are one document.  Rows without a doc_id take part under
-their text's hash; a component of such rows alone has a null component_id.
+in shingles, and similarity s allows (1 - s) / (1 + s) of both sizes, so the test
+loses no link at any size.  Beyond some 3,000 shingles it leaves most pairs, which go
+to the full sets.
+
+Hot keys (a bucket, a centre, a set or a component with many rows) are dealt out in
+parts, see ``common.salted_join``; full sets go once to each part of their centre and
+are streamed past it.
+
+Null and empty texts have no shingle and are linked with nothing.  A component's id
+is its smallest doc_id; rows without a doc_id link documents like others, and a
+component of such rows alone has a null id.  ``kept`` is doc_id = component_id, so
+null without a doc_id.  Rows that repeat a doc_id and a text count as one document;
+two texts of one doc_id are two.  Other columns are ignored, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,24 +46,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import row_key, save
+from gleaner.llm.common import hot_keys, row_key, salted_join, save
 from gleaner.llm.components import components
 
 PERMUTATIONS = 64
 ROWS = 4  # values of a band: minima and maxima of two permutations
 BANDS = 2 * PERMUTATIONS // ROWS
 CACHE_WORDS = 200_000
-PARITY = 512
-LEVELS = (1, 8, 64)  # one in so many shingles
-LEVEL_SIZE = 600  # shingles up to which a level serves, times its number above
+PARITY = 1536
+BLOCK = 512
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(0, 2**63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**64, PERMUTATIONS, np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Rows without a doc_id get ids from here on (their row_key), behind all others.
-NAMELESS = 2**62
-_LONGS = len(LEVELS) * PARITY // 64
+_LONGS = PARITY // 64
 
 
 class _WordHashes(dict):
@@ -105,133 +111,148 @@ def _bands(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def _parities(shingles: np.ndarray) -> np.ndarray:
-    """The set's parity sketches, one after the other, as longs."""
-    out = []
-    for every in LEVELS:
-        own = shingles[shingles % np.uint64(every) == 0] if every > 1 else shingles
-        odd = np.bincount(((own >> np.uint64(20)) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
-        out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-    return np.concatenate(out)
+    """The set's parity sketch as longs."""
+    odd = np.bincount(((shingles >> np.uint64(20)) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """id, nameless, n (set size), key (128-bit hash of the set), parities,
-    bands; the last three null for an empty set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                n, keys, parities, bands = [], [], [], []
-                for text in part.column(2).cast(pa.binary()).to_pylist():
-                    own = shingle_set(text, size, hashes)
-                    n.append(len(own))
-                    if not len(own):
-                        for x in (keys, parities, bands):
-                            x.append(None)
-                        continue
-                    low, high = _signature(own)
-                    keys.append(xxhash.xxh3_128_digest(own.tobytes()))
-                    parities.append(_parities(own))
-                    bands.append(_bands(low, high).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(parities, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], ["id", "nameless", "n", "key", "parities", "bands"])
-
-    return docs.select("id", "nameless", "text").mapInArrow(run, "id long, nameless boolean, n long, key binary, parities array<long>, bands array<long>")
-
+    """``docs`` (row, doc_id, key_a, key_b, text) with n (set size), key (128-bit hash
+    of the set), parities, bands and shingles instead of the text; all but n
+    null for an empty set."""
+    names = ["row", "doc_id", "key_a", "key_b", "n", "key", "parities", "bands", "shingles"]
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                own = [shingle_set(x, size, hashes).tobytes() for x in part.column(1).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], ["node", "shingles"])
-
-    return docs.select("id", "text").mapInArrow(run, "node long, shingles binary")
-
-
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    own = docs.join(nodes.hint("shuffle_hash"), docs["id"] == nodes["node"], "left_semi")
-    sets = save(_sets(own, size).dropDuplicates(["node"]), "near-sets")
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+                n, made = [], []
+                for text in part.column(4).cast(pa.binary()).to_pylist():
+                    own = shingle_set(text, size, hashes)
+                    n.append(len(own))
+                    if len(own):
+                        body = own.tobytes()
+                        made.append((xxhash.xxh3_128_digest(body), _parities(own), _bands(*_signature(own)).view(np.int64), body))
+                    else:
+                        made.append((None,) * 4)
+                kinds = (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(n, pa.int64()), *(pa.array([x[i] for x in made], k) for i, k in enumerate(kinds))], names)
+
+    return docs.select(*names[:4], "text").mapInArrow(run, "row long, doc_id long, key_a long, key_b long, n long, key binary, parities array<long>, bands array<long>, shingles binary")
+
+
+def confirm(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+
+    The sets of all b of a centre a are streamed past the set of a, in as many
+    parts as the centre's number of pairs asks for; no set is copied into each pair."""
+    total = pairs.count()
+    sizes = save(pairs.groupBy("a").agg(F.count("*").alias("c")), "near-centres")
+    hot = hot_keys(sizes, "a", total).select(F.col("a").alias("centre"), "parts")
+    wanted = pairs.select(F.col("b").alias("node")).union(sizes.select("a")).distinct()
+    sets = save(rows.join(wanted, rows["row"] == F.col("node"), "left_semi").select(F.col("row").alias("node"), "shingles"), "near-sets")
+
+    parts = F.coalesce("parts", F.lit(1))
+    spread = F.broadcast(hot)
+    centres = sizes.select(F.col("a").alias("centre")).join(spread, "centre", "left").select("centre", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    centres = centres.join(sets, F.col("centre") == F.col("node")).select("centre", "part", F.lit(None).cast("long").alias("member"), "shingles")
+    members = pairs.select(F.col("a").alias("centre"), F.col("b").alias("member")).join(spread, "centre", "left").select("centre", F.pmod(F.xxhash64("member"), parts).cast("int").alias("part"), "member")
+    members = members.join(sets, F.col("member") == F.col("node")).select("centre", "part", "member", "shingles")
+    both = centres.unionByName(members).repartition("centre", "part").sortWithinPartitions("centre", "part", F.asc_nulls_first("member"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, x = None, np.zeros(0, np.uint64)
         for batch in batches:
             good = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (2, 3))
+            for i, (centre, part, member) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+                y = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
+                if member is None:
+                    now, x = (centre, part), y.copy()
+                    continue
+                if now != (centre, part):
+                    raise ValueError("a pair without its centre's set")
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * common >= percent * (len(x) + len(y) - common):
                     good.append(i)
-            yield batch.take(pa.array(good, pa.int64())).select(["a", "b"])
+            kept = batch.take(pa.array(good, pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(2)], ["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("centre", "part", "member", "shingles").mapInArrow(run, "a long, b long")
+
+
+def _bounded(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and parities leave; b has few partners, a may have
+    very many."""
+    side = lambda c: facts.select(*(F.col(k).alias(c + k) for k in facts.columns))
+    hot = hot_keys(pairs.groupBy("a").agg(F.count("*").alias("c")), "a", pairs.count())
+    seen = pairs.join(side("v"), F.col("b") == F.col("vnode")).drop("vnode")
+    return salted_join(seen, side("u").withColumnRenamed("unode", "a"), "a", hot, F.col("b")).where(_may_link(percent)).select("a", "b")
 
 
 def classes(docs: DataFrame, size: int = 5, percent: int = 80, keyed: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id,
-    text): the component is the smallest doc_id reachable by confirmed links.  With
-    ``keyed`` also the row's row_key."""
-    own_id = F.col("doc_id").cast("long")
-    source = docs.select(F.coalesce(own_id, row_key()).alias("id"), own_id.isNull().alias("nameless"), "text")
-    rows = save(sketch(source, size), "near-sketch")
+    text).  With ``keyed`` also key_a and key_b (``row_key``) and ``stays``: whether the
+    row's document is the one of its component that stays, the smallest by doc_id
+    (nulls last) and key."""
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *row_key(), "text")
+    rows = save(sketch(source, size), "near-sketch")  # written, so the row numbers stay
+    total = rows.count()
+    least = [F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key_a", "key_b")).alias("least")] if keyed else []
     full = rows.where("key is not null")
-    nodes = save(full.groupBy("key").agg(F.min("id").alias("node")), "near-nodes")
+    nodes = save(full.groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("id"), F.count("*").alias("c"), *least), "near-nodes")
 
-    own = full.select("key", F.col("id").alias("node"), "n", "parities", "bands").join(nodes, ["key", "node"])
+    own = full.join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi")
+    own = save(own.select(F.col("row").alias("node"), "n", "parities", "bands"), "near-own")
     members = own.select("node", F.explode("bands").alias("bucket"))
     met = members.groupBy("bucket").agg(F.count("*").alias("c"), F.min("node").alias("first"), F.min(F.col("node").bitwiseXOR(F.col("bucket"))).alias("other")).where("c > 1")
-    shared = save(members.join(met, "bucket").select("bucket", "node", "first", F.col("other").bitwiseXOR(F.col("bucket")).alias("second")), "near-buckets")
+    met = save(met.select("bucket", "c", "first", F.col("other").bitwiseXOR(F.col("bucket")).alias("second")), "near-met")
+    in_buckets = met.agg(F.sum("c")).first()[0] or 0
+    shared = save(salted_join(members, met, "bucket", hot_keys(met, "bucket", in_buckets), F.col("node")), "near-buckets")
 
     star = shared.select("node", F.explode(F.array("first", "second")).alias("centre")).where("node <> centre")
-    star = save(star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "near-pairs")
-    facts = own.select("node", "n", *(F.get("parities", F.lit(i)).alias(f"p{i}") for i in range(_LONGS))).dropDuplicates(["node"])
-    side = lambda c: facts.select(*(F.col(k).alias(c + k) for k in facts.columns))
-    tried = star.join(side("u"), F.col("a") == F.col("unode")).join(side("v"), F.col("b") == F.col("vnode")).where(_may_link(percent)).select("a", "b")
-    links = save(confirm(save(tried, "near-tried"), source, size, percent), "near-links")
+    star = save(star.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
+    facts = own.select("node", "n", *(F.get("parities", F.lit(i)).alias(f"p{i}") for i in range(_LONGS)))
+    links = save(confirm(save(_bounded(star, facts, percent), "near-tried"), rows, percent), "near-links")
     labels = components(links)
 
     # Buckets whose nodes aren't all in one component yet: the pairs across.
     tagged = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_buckets = tagged.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c")).where("low < high and c > 2").select("bucket")
-    rest = save(tagged.join(open_buckets, "bucket").join(facts, "node"), "near-open")
+    open_buckets = tagged.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many")).where("low < high and many > 2")
+    open_buckets = save(open_buckets.select("bucket", F.col("many").alias("c")), "near-open")
+    hot = hot_keys(open_buckets, "bucket", open_buckets.agg(F.sum("c")).first()[0] or 0)
+    rest = salted_join(tagged.drop("c"), open_buckets, "bucket", hot, F.col("node")).join(facts, "node")
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    rest = save(rest.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int")).withColumn("others", F.sequence(F.lit(0), blocks - 1)), "near-rest")
     u, v = (rest.select(*(F.col(k).alias(c + k) for k in rest.columns)) for c in "uv")
+    u, v = u.withColumn("vside", F.explode("uothers")).drop("uothers"), v.withColumn("uside", F.explode("vothers")).drop("vothers")
     untested = ~F.col("unode").isin(F.col("ufirst"), F.col("usecond")) & ~F.col("vnode").isin(F.col("ufirst"), F.col("usecond"))
-    across = u.join(v, (F.col("ubucket") == F.col("vbucket")) & (F.col("ucomponent") < F.col("vcomponent")) & untested & _may_link(percent))
-    across = save(across.select(F.least("unode", "vnode").alias("a"), F.greatest("unode", "vnode").alias("b")).distinct(), "near-across")
+    met_here = (F.col("ubucket") == F.col("vbucket")) & (F.col("ublock") == F.col("uside")) & (F.col("vside") == F.col("vblock"))
+    across = u.join(v, met_here & (F.col("ucomponent") < F.col("vcomponent")) & untested & _may_link(percent))
+    across = save(across.select(F.col("unode").alias("a"), F.col("vnode").alias("b")).distinct(), "near-across")
     if not across.isEmpty():
-        more = save(confirm(across, source, size, percent), "near-more")
+        more = save(confirm(across, rows, percent), "near-more")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
 
-    named = rows.join(nodes, "key", "left")
-    named = named.join(labels, "node", "left").select("id", "nameless", "n", F.coalesce("component", "node", "id").alias("component"))
-    return named.select(
-        F.when(~F.col("nameless"), F.col("id")).alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("component") < NAMELESS, F.col("component")).alias("component_id"),
-        (F.col("id") == F.col("component")).alias("kept"),
-        *([F.when(F.col("nameless"), F.col("id")).alias("row_key")] if keyed else []),
-    )
+    # From nodes to components to rows.
+    named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = save(named.withColumnRenamed("c", "copies"), "near-named")
+    firsts = [F.min("least").alias("first")] if keyed else []
+    ids = save(named.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("c"), *firsts), "near-ids")
+    named = salted_join(named.drop("id", "least"), ids.drop("c"), "component", hot_keys(ids, "component", total), F.col("node"))
+    hot = hot_keys(named.select("key", F.col("copies").alias("c")), "key", total)
+    plain = rows.select("row", "doc_id", "key_a", "key_b", "n", "key")
+    out = salted_join(plain.where("key is not null"), named.drop("node", "component", "copies"), "key", hot, F.col("row"))
+    none = plain.where("key is null").withColumn("component_id", F.col("doc_id"))
+    out = out.unionByName(none, allowMissingColumns=True)
+    stays = F.col("key").isNull() | (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.key_a") == F.col("key_a")) & (F.col("first.key_b") == F.col("key_b"))) if keyed else None
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), *(["key_a", "key_b", stays.alias("stays")] if keyed else []))
 
 
 def _may_link(percent: int) -> Column:
-    """Whether sizes and parity sketches of two nodes, in columns named with u and
-    v before, leave a similarity of ``percent``."""
-    least, most, both = F.least("un", "vn"), F.greatest("un", "vn"), F.col("un") + F.col("vn")
-    longs = PARITY // 64
-    # Shingles that the sets may differ in, at most.
-    differ = both * F.lit((100 - percent) / (100 + percent))
-    test = None
-    for level in range(len(LEVELS) - 1, -1, -1):
-        bits = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"up{i}").bitwiseXOR(F.col(f"vp{i}"))) for i in range(level * longs, (level + 1) * longs)))
-        drawn = differ / LEVELS[level]
-        allowed = drawn if level == 0 else drawn + 5 * F.sqrt(drawn) + 2
-        fits = bits <= allowed + 1e-6
-        test = fits if test is None else F.when(most <= LEVEL_SIZE * LEVELS[level], fits).otherwise(test)
-    return (least * 100 >= most * percent) & test
+    """Whether sizes and parities of two nodes, in columns named with u and v before,
+    leave a similarity of ``percent``."""
+    least, most = F.least("un", "vn"), F.greatest("un", "vn")
+    bits = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"up{i}").bitwiseXOR(F.col(f"vp{i}"))) for i in range(_LONGS)))
+    return (least * 100 >= most * percent) & (bits * (100 + percent) <= (F.col("un") + F.col("vn")) * (100 - percent))
