@@ -4,25 +4,29 @@ A document is contaminated by an item if one of its windows of the item's number
 of words has a weighted similarity of 0.8 or more with it: shingles of five words
 (lower case), weighted by how often they occur, sum of minima over sum of maxima.
 
-1. Anchors.  For each item a few of its rarest-looking (longest) words are chosen
-   such that more than a fifth of its shingles hold one; a window that similar
-   must share a shingle with the item that holds one of them.  Looking them up in
-   a broadcast table is all that happens to most words, and it loses no window.
-2. Windows.  Each item-sized window that holds such a shared shingle gets a 64-bit
-   SimHash.  Sixteen sums of 64-bit numbers with four 16-bit counters each make
-   the 64 counts.
-3. Multi-index Hamming blocks.  Fingerprints are cut into RADIUS + 1 blocks; two
-   within RADIUS agree in at least one, so the equality join on blocks finds all.
-   Similarity 0.8 means a distance of 9.6 +- 2.9.
-4. Verification.  Exact weighted similarity of the shingles themselves.
-
-Native: DataFrame functions only.  Items of over ITEM_WORDS words are cut into
-pieces of that length, the last one ending with the item (a document that holds one
-is contaminated, and the similarity is the piece's), items of fewer
-than five words are one shingle, empty items match nothing; a document shorter than
-the item is one window.  Null and empty texts have no window.  Rows with one doc_id
-give one result; rows without one, and items without an item_id, one for each text.
-The anchors are broadcast in groups of at most GROUP rows each.
+1. Filter.  A window that similar shares more than four fifths of the item's
+   shingles.  For each item a few of its longest words are chosen such that more
+   than a fifth of its shingles hold one, so such a window has a shingle of an item
+   of its length with one of these words.  Only windows that do are fingerprinted;
+   the filter says nothing about which item, and loses no window.
+2. Fingerprints.  Each such window gets a 64-bit SimHash of its shingles, from
+   running sums along the document: 32 longs of two 32-bit counters each, so a window
+   costs the same whatever its length.
+3. Candidates.  Fingerprints are cut into RADIUS + 1 blocks; two within RADIUS agree
+   in at least one, so joining windows and items of one length by block value finds
+   every such pair.  Similarity 0.8 means a distance of 9.6 +- 2.9.
+4. Verification.  The exact weighted similarity of every candidate: a shingle's
+   occurrence counts in the windows that start after the occurrence as many places
+   before as the item has it, so running sums give all windows' shared weight.
+
+Native: DataFrame functions only.  An item has any number of words below 2**31; items
+of fewer than five words are one shingle, empty ones match nothing; a document shorter
+than the item is one window.  Null and empty texts have no window.  Rows that repeat
+a doc_id and a text are one document, several texts of one doc_id give one row for the
+best of them; rows without a doc_id are told apart by their text, and items without an
+item_id too.  Of equally similar windows the first is named.  Other columns are ignored, whatever their names; empty tables give an
+empty result.  Spark broadcasts items and words while they are under its own measured
+threshold and joins by key beyond it.
 """
 
 from __future__ import annotations
@@ -33,14 +37,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleaner.llm.common import save, text_or_empty, words
+from gleaner.llm.common import keep_rows, row_key, save, text_or_empty, words
 
 RADIUS = 23
-ITEM_WORDS = 20_000
-GROUP = 200_000
-_LANES = 0x0001000100010001
-#: Non-null throughout: joins go by it.
-_KEY = ["nameless", "did", "rid", "item", "piece"]
+#: Windows that share one copy of the items' block values.
+WINDOWS_IN_PART = 200_000
+_LANES = 0x0000000100000001
+_LOW = 0xFFFFFFFF
+#: A document (doc_id may be null), and its windows of one length: ``doc`` and
+#: ``key_b`` are 128 bits of it, never null.
+_DOC = ["doc_id", "key_a", "key_b"]
+_RUN = ["doc", "key_b", "m"]
 
 
 def _blocks() -> list[tuple[int, int]]:
@@ -53,115 +60,157 @@ def _blocks() -> list[tuple[int, int]]:
     return out
 
 
-def _grams(array: Column, k: Column) -> Column:
-    """Shingles of k words, in order."""
-    return F.transform(F.sequence(F.lit(1), F.size(array) - k + 1), lambda i: F.array_join(F.slice(array, i, k), " "))
+def _gram(array: Column, i: Column, k: Column) -> Column:
+    return F.array_join(F.slice(array, i, k), " ")
 
 
 def _block_values(fp: str) -> Column:
     return F.posexplode(F.array(*(F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << bits) - 1)) for at, bits in _blocks()))).alias("block", "value")
 
 
-def _fingerprints(rows: DataFrame, by: list[str]) -> DataFrame:
-    """``rows`` (by, h, shingles): a SimHash for each group of hashes h."""
-    lanes = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_LANES))).alias(f"l{k}") for k in range(16)]
-    counts = rows.groupBy(*by).agg(*lanes, F.max("shingles").alias("shingles"))
-    # A counter is over half of the shingles: its bit 15 shows it in the lower
-    # three lanes, a comparison in the highest (where it would be the sign).
-    half = F.floor(F.col("shingles") / 2)
-    low = [F.shiftrightunsigned(F.col(f"l{k}").bitwiseAND(F.lit((1 << 48) - 1)) + (F.lit(32767) - half) * F.lit(_LANES & ((1 << 48) - 1)), 15).bitwiseAND(F.lit(_LANES & ((1 << 48) - 1))) for k in range(16)]
-    high = [F.when(F.shiftrightunsigned(f"l{k}", 48) > half, F.lit(1 << 48)).otherwise(F.lit(0)) for k in range(16)]
-    bits = [F.shiftleft(low[k].bitwiseOR(high[k]), k) for k in range(16)]
-    return counts.select(*by, "shingles", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp"))
+def _lanes(h: str) -> list[Column]:
+    return [F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_LANES)).alias(f"l{j}") for j in range(32)]
+
+
+def _fingerprint(shingles: Column) -> Column:
+    """Of the sums l0 .. l31 of the lanes of that many shingles."""
+    bits = []
+    for j in range(32):
+        lane = F.col(f"l{j}")
+        bits.append(F.when(lane.bitwiseAND(F.lit(_LOW)) * 2 > shingles, F.lit(1 << j)).otherwise(F.lit(0)))
+        top = (1 << (32 + j)) - (1 << 64 if j == 31 else 0)
+        bits.append(F.when(F.shiftrightunsigned(lane, 32) * 2 > shingles, F.lit(top)).otherwise(F.lit(0)))
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """item (hash of item_id and words), item_id, piece, words, m (words), k (words of
-    a shingle), grams."""
-    own = benchmark.select("item_id", words(F.lower(text_or_empty())).alias("all")).where("size(all) > 0").distinct().withColumn("item", F.xxhash64("item_id", "all"))
-    cut = own.select("item", "item_id", F.explode(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / ITEM_WORDS).cast("int"))).alias("piece"), "all")
-    first = F.least(F.col("piece") * ITEM_WORDS, F.greatest(F.size("all") - ITEM_WORDS, F.lit(0)))
-    cut = cut.select("item", "item_id", "piece", F.slice("all", first + 1, F.lit(ITEM_WORDS)).alias("words"))
-    cut = cut.withColumn("m", F.size("words")).withColumn("k", F.least(F.lit(5), "m"))
-    return cut.withColumn("grams", _grams(F.col("words"), F.col("k")))
+    """item (number), item_id, m (words), k (words of a shingle), words, grams."""
+    own = benchmark.select("item_id", words(F.lower(text_or_empty())).alias("words")).where("size(words) > 0").distinct()
+    own = own.withColumn("m", F.size("words")).withColumn("k", F.least(F.lit(5), "m"))
+    grams = F.transform(F.sequence(F.lit(1), F.col("m") - F.col("k") + 1), lambda i: _gram(F.col("words"), i, F.col("k")))
+    return save(own.select(F.monotonically_increasing_id().alias("item"), "item_id", "m", "k", "words", grams.alias("grams")), "items")
 
 
 def anchors_of(items: DataFrame) -> DataFrame:
-    """item, piece, m, k, anchor: words of which every window that is similar
-    enough holds one, within a shingle that it shares with the item."""
+    """anchor, m, k: words of which every window of m words that is similar enough
+    to an item holds one, within a shingle that it shares with the item."""
     order = F.array_sort(F.array_distinct("words"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    ranked = items.select("item", "piece", "m", "k", "words", order.alias("order")).withColumn("ranks", F.map_from_arrays("order", F.sequence(F.lit(1), F.size("order"))))
-    ranks = F.transform("words", lambda w: F.element_at("ranks", w))
-    ranked = ranked.select("item", "piece", "m", "k", "order", ranks.alias("at"))
-    least = F.array_sort(F.transform(F.sequence(F.lit(1), F.size("at") - F.col("k") + 1), lambda i: F.array_min(F.slice("at", i, F.col("k")))))
-    needed = F.element_at(least, (F.floor(F.size(least) * 0.2) + 1).cast("int"))
-    return ranked.select("item", "piece", "m", "k", F.explode(F.slice("order", F.lit(1), needed)).alias("anchor"))
+    placed = items.select("item", "m", "k", "words", order.alias("order"))
+    rank = placed.select("item", F.posexplode("order").alias("rank", "word"))
+    where = placed.select("item", "m", "k", F.posexplode("words").alias("p", "word")).join(rank, ["item", "word"])
+    # The rank of each shingle: its lowest-ranked word's.
+    first, last = F.greatest(F.col("p") - F.col("k") + 1, F.lit(0)), F.least(F.col("p"), F.col("m") - F.col("k"))
+    least = where.select("item", "m", "k", F.explode(F.sequence(first, last)).alias("at"), "rank").groupBy("item", "m", "k", "at").agg(F.min("rank").alias("rank"))
+    turn = F.row_number().over(Window.partitionBy("item").orderBy("rank", "at"))
+    needed = F.floor((F.col("m") - F.col("k") + 1) * 0.2) + 1
+    needed = least.withColumn("turn", turn).where(F.col("turn") == needed).select("item", "m", "k", F.col("rank").alias("most"))
+    return needed.join(rank, "item").where("rank <= most").select(F.col("word").alias("anchor"), "m", "k").distinct()
 
 
 def _hits(docs: DataFrame, anchors: DataFrame, shingles: DataFrame) -> DataFrame:
-    """Places of anchors whose shingles hold one that the item has too: nameless
-    (no doc_id), did (doc_id, else 0), rid, item, piece, m, k, p, n, low (first word
-    of region), region."""
-    split = docs.select(F.col("doc_id").isNull().alias("nameless"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("did"), F.xxhash64("text").alias("rid"), words(F.lower(text_or_empty())).alias("words"))
-    placed = split.select("nameless", "did", "rid", "words", F.posexplode("words").alias("p", "word"))
-    found = placed.join(F.broadcast(anchors), F.col("word") == F.col("anchor"))
-    low = F.greatest(F.col("p") - F.col("m") + 1, F.lit(0))
-    region = F.slice("words", low + 1, F.least(F.col("p") + F.col("m"), F.size("words")) - low)
-    found = found.select(*_KEY, "m", "k", "p", F.size("words").alias("n"), low.alias("low"), region.alias("region"))
-    # The shingles that hold p.
-    first = F.greatest(F.col("p") - F.col("k") + 1, F.lit(0)) - F.col("low")
-    last = F.least("p", F.col("n") - F.col("k")) - F.col("low")
-    near = F.when(last >= first, F.transform(F.sequence(first + 1, last + 1), lambda i: F.array_join(F.slice("region", i, F.col("k")), " ")))
-    tested = found.withColumn("gram", F.explode(near)).join(F.broadcast(shingles), ["item", "piece", "gram"], "left_semi")
-    return tested.drop("gram").dropDuplicates([*_KEY, "p"])
+    """doc_id, key_a, key_b, m, k, n (words of the document), p: places of anchors
+    whose shingles hold one that an item of m words has too."""
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(), words(F.lower(text_or_empty())).alias("words"))
+    found = split.select(*_DOC, "words", F.posexplode("words").alias("p", "word")).join(anchors, F.col("word") == F.col("anchor"))
+    n, k, p = F.size("words"), F.col("k"), F.col("p")
+    # The shingles that hold p.  No lambda here: the document's words are looked at
+    # where they are and not copied for each of its hits.
+    near = F.array(*(F.when((F.lit(j) < k) & (p >= j) & (p - j + k <= n), _gram(F.col("words"), p - j + 1, k)) for j in range(5)))
+    found = found.select(*_DOC, "m", "k", n.alias("n"), "p", F.explode(near).alias("gram")).where("gram is not null")
+    return found.join(shingles.select("m", "gram").distinct(), ["m", "gram"], "left_semi").drop("gram").distinct()
+
+
+def _grams(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """_RUN, run, p, gram: the shingles of each run of windows, in one more pass over
+    the documents that have one."""
+    wanted = runs.groupBy("doc", *_DOC).agg(F.collect_list(F.struct("m", "k", "run", "low", "high")).alias("runs"))
+    mine = keep_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "left_semi").dropDuplicates(["doc_id", "text"])
+    mine = mine.select(F.col("doc_id").alias("id"), *(c.alias(x) for c, x in zip(row_key(), "xy", strict=True)), "text")
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("x") == F.col("key_a")) & (F.col("y") == F.col("key_b"))
+    each = mine.join(wanted, same).select("doc", "key_b", words(F.lower(text_or_empty())).alias("words"), F.explode("runs").alias("r"))
+    at = F.transform(F.sequence("r.low", "r.high"), lambda p: F.struct(p.alias("p"), _gram(F.col("words"), p + 1, F.col("r.k")).alias("gram")))
+    return each.select("doc", "key_b", "r.m", "r.run", F.explode(at).alias("x")).select(*_RUN, "run", "x.p", "x.gram")
+
+
+def candidates(grams: DataFrame, runs: DataFrame, items: DataFrame) -> DataFrame:
+    """_RUN, run, s, item: pairs of a window and an item of its length whose
+    fingerprints are within RADIUS."""
+    along = Window.partitionBy(*_RUN, "run").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    hashed = grams.select(*_RUN, "run", "p", F.xxhash64("gram").alias("h")).join(runs.select(*_RUN, "run", "span"), [*_RUN, "run"])
+    sums = hashed.select(*_RUN, "run", "p", "span", *_lanes("h")).select(*_RUN, "run", "p", "span", *(F.struct(F.sum(f"l{j}").over(along).alias("upto"), F.col(f"l{j}").alias("own")).alias(f"l{j}") for j in range(32)))
+    # A window from s has the sums up to its last shingle less those before s.
+    ends = sums.withColumn("end", F.explode(F.array(F.lit(True), F.lit(False))))
+    lane = lambda j: F.when(F.col("end"), F.col(f"l{j}.upto")).otherwise(F.col(f"l{j}.own") - F.col(f"l{j}.upto")).alias(f"l{j}")
+    ends = ends.select(*_RUN, "run", "span", F.when(F.col("end"), F.col("p") - F.col("span") + 1).otherwise(F.col("p")).alias("s"), *(lane(j) for j in range(32)))
+    windows = ends.groupBy(*_RUN, "run", "s").agg(F.max("span").alias("span"), F.count("*").alias("c"), *(F.sum(f"l{j}").alias(f"l{j}") for j in range(32))).where("c = 2")
+    windows = save(windows.select(*_RUN, "run", "s", _fingerprint(F.col("span")).alias("fp")), "leak-windows")
+
+    rows = items.select("item", "m", F.size("grams").alias("weight"), F.explode("grams").alias("gram")).select("item", "m", "weight", F.xxhash64("gram").alias("h"))
+    prints = rows.select("item", "m", "weight", *_lanes("h")).groupBy("item", "m", "weight").agg(*(F.sum(f"l{j}").alias(f"l{j}") for j in range(32)))
+    prints = prints.select("item", "m", _fingerprint(F.col("weight")).alias("item_fp"))
+    parts = 1 + windows.count() // WINDOWS_IN_PART
+    left = windows.withColumn("part", F.pmod(F.xxhash64("doc", "s"), F.lit(parts)).cast("int")).select("*", _block_values("fp"))
+    right = prints.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("*", _block_values("item_fp"))
+    differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    near = left.join(right, ["m", "part", "block", "value"]).where(F.bit_count(differ) <= RADIUS)
+    # Each pair once: in the first block that agrees.
+    for b, (at, bits) in enumerate(_blocks()[:-1]):
+        near = near.where((F.col("block") <= b) | (differ.bitwiseAND(F.lit(((1 << bits) - 1) << at)) != 0))
+    return near.select(*_RUN, "run", "s", "item")
+
+
+def _steps(near: DataFrame, grams: DataFrame, runs: DataFrame, items: DataFrame) -> DataFrame:
+    """Steps d at s of the weight that windows of a run share with an item: a window's
+    is the sum of those up to it.  The candidates are the rows without a step."""
+    key = [*_RUN, "run", "item"]
+    counts = items.select("item", F.explode("grams").alias("gram")).groupBy("item", "gram").agg(F.count("*").cast("int").alias("v"))
+    pairs = near.select(*key).distinct()
+    held = pairs.join(runs.select(*_RUN, "run", "span"), [*_RUN, "run"]).join(grams, [*_RUN, "run"]).join(counts, ["item", "gram"])
+    places = held.groupBy(*key, "gram", "v", "span").agg(F.sort_array(F.collect_list("p")).alias("at"))
+    turn = places.select(*key, "v", "span", "at", F.posexplode("at").alias("i", "p"))
+    before = F.when(F.col("i") >= F.col("v"), F.element_at("at", F.greatest(F.col("i") - F.col("v") + 1, F.lit(1)))).otherwise(-1)
+    # It counts in the windows from behind ``before`` up to p that reach it.
+    from_ = F.greatest(before + 1, F.col("p") - F.col("span") + 1)
+    steps = turn.select(*key, F.explode(F.array(F.struct(from_.alias("s"), F.lit(1).alias("d")), F.struct((F.col("p") + 1).alias("s"), F.lit(-1).alias("d")))).alias("x"))
+    steps = steps.select(*key, "x.s", "x.d").groupBy(*key, "s").agg(F.sum("d").alias("d"))
+    return steps.unionByName(near.select(*key, "s", F.lit(None).cast("long").alias("d")))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, percent: int = 80, keyed: bool = False) -> DataFrame:
-    """One row for each contaminated (doc_id, item_id), with ``keyed`` also
-    row_key: start_word (of the first of the best windows), window_words, shared and
-    total weight, similarity."""
-    items = save(items_of(benchmark), "items")
-    anchors = save(anchors_of(items).withColumn("group", F.pmod(F.xxhash64("item", "piece"), F.lit(1 << 20))), "anchors")
-    shingles = items.select("item", "piece", F.explode("grams").alias("gram"))
-    groups = 1 + shingles.count() // GROUP
-    hits = []
-    for g in range(groups):  # one group unless the benchmark itself is huge
-        mine = F.pmod("group", F.lit(groups)) == g
-        own = shingles.distinct().where(F.pmod(F.pmod(F.xxhash64("item", "piece"), F.lit(1 << 20)), F.lit(groups)) == g)
-        hits.append(_hits(docs, anchors.where(mine).drop("group"), own))
-    hits = save(reduce(DataFrame.unionByName, hits), "hits")
-
-    # Each window goes with the first hit in it.
-    by = Window.partitionBy(*_KEY).orderBy("p")
-    ordered = hits.withColumn("before", F.lag("p").over(by))
-    from_ = F.greatest(F.col("p") - F.col("m") + 1, F.coalesce(F.col("before") + 1, F.lit(0)), F.lit(0))
-    to = F.greatest(F.least("p", F.col("n") - F.col("m")), F.lit(0))
-    starts = ordered.withColumn("from", F.when(F.col("n") < F.col("m"), F.when(F.col("before").isNull(), 0)).otherwise(from_)).withColumn("to", to).where("from <= to")
-    hashes = starts.withColumn("hashes", F.transform(_grams(F.col("region"), F.col("k")), lambda g: F.xxhash64(g)))
-    window = hashes.withColumn("s", F.explode(F.sequence("from", "to")))
-    inside = F.slice("hashes", F.col("s") - F.col("low") + 1, F.least("m", "n") - F.col("k") + 1)
-    each = window.where("size(hashes) > 0").select(*_KEY, "s", F.size(inside).alias("shingles"), F.explode(inside).alias("h"))
-    prints = _fingerprints(each, [*_KEY, "s"])
-    item_rows = items.select("item", "piece", F.size("grams").alias("shingles"), F.explode("grams").alias("gram")).select("item", "piece", "shingles", F.xxhash64("gram").alias("h"))
-    item_prints = _fingerprints(item_rows, ["item", "piece"])
-
-    left = prints.select(*_KEY, "s", "fp", _block_values("fp"))
-    right = item_prints.select("item", "piece", F.col("shingles").alias("item_weight"), F.col("fp").alias("item_fp"), _block_values("fp"))
-    near = left.join(right, ["item", "piece", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    near = near.select(*_KEY, "s", "item_weight").dropDuplicates([*_KEY, "s"])
-    near = save(near, "near")
-
-    # Exact: the window's shingles against the item's.
-    texts = starts.select(*_KEY, "m", "n", "k", "low", "from", "to", "region")
-    window = near.join(texts, _KEY).where("s between `from` and `to`")
-    own = F.slice("region", F.col("s") - F.col("low") + 1, F.least("m", "n"))
-    counted = window.select(*_KEY, "s", "item_weight", F.size(own).alias("window_words"), F.explode(_grams(own, F.col("k"))).alias("gram")).groupBy(*_KEY, "s", "item_weight", "window_words", "gram").agg(F.count("*").alias("w"))
-    item_counts = shingles.groupBy("item", "piece", "gram").agg(F.count("*").alias("v"))
-    sums = counted.join(item_counts, ["item", "piece", "gram"], "left").groupBy(*_KEY, "s", "item_weight", "window_words").agg(F.sum("w").alias("weight"), F.sum(F.least("w", F.coalesce("v", F.lit(0)))).alias("shared"))
-    sums = sums.withColumn("total", F.col("weight") + F.col("item_weight") - F.col("shared")).where(F.col("shared") * 100 >= F.col("total") * percent)
-    named = sums.join(F.broadcast(items.select("item", "item_id").distinct()), "item")
-    named = named.withColumn("own", F.when(F.col("nameless"), F.col("rid"))).withColumn("own_item", F.when(F.col("item_id").isNull(), F.col("item")))
-    best = named.groupBy("nameless", "did", "own", "item_id", "own_item").agg(F.max(F.struct(F.col("shared") / F.col("total"), -F.col("s"), -F.col("piece"), "window_words", "shared", "total")).alias("x"), F.count_distinct("rid", "item", "s").alias("n_windows"))
-    x = lambda i: F.col(f"x.col{i}")
-    key = [(F.col("own").bitwiseAND(F.lit(2**62 - 1)) + 2**62).alias("row_key")] if keyed else []
-    return best.select(F.when(~F.col("nameless"), F.col("did")).alias("doc_id"), *key, "item_id", (-x(2)).cast("long").alias("start_word"), F.col("x.window_words").cast("long").alias("window_words"), F.col("x.shared").cast("long").alias("shared"), F.col("x.total").cast("long").alias("total"), x(1).alias("similarity"), F.col("n_windows").cast("long").alias("n_windows"))
+    """One row for each contaminated (doc_id, item_id), with ``keyed`` also key_a
+    and key_b (``row_key``): start_word (of the first of the best windows), window_words,
+    shared and total weight, similarity, n_windows (that are similar enough)."""
+    items = items_of(benchmark)
+    shingles = items.select("m", F.explode("grams").alias("gram"))
+    hits = save(_hits(docs, save(anchors_of(items), "anchors"), shingles), "hits")
+
+    # Runs of windows: those around hits whose windows meet.
+    by = Window.partitionBy(*_DOC, "m").orderBy("p")
+    p, m, n, k = (F.col(c) for c in ("p", "m", "n", "k"))
+    runs = hits.withColumn("new", F.coalesce(p - F.lag("p").over(by) > m, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(by))
+    runs = runs.groupBy(*_DOC, "m", "k", "n", "run").agg(F.min("p").alias("first"), F.max("p").alias("last"))
+    span = F.least(m, n) - k + 1
+    low = F.when(n <= m, F.lit(0)).otherwise(F.greatest(F.col("first") - m + 1, F.lit(0)))
+    top = F.when(n <= m, F.lit(0)).otherwise(F.least(F.col("last"), n - m))
+    runs = runs.withColumn("span", span).withColumn("low", low).withColumn("top", top).where("span > 0 and low <= top")
+    runs = runs.withColumn("high", F.col("top") + F.col("span") - 1).withColumn("doc", F.xxhash64("doc_id", F.col("doc_id").isNull(), "key_a"))
+    runs = save(runs, "leak-runs")
+    grams = save(_grams(docs, runs), "leak-grams")
+    near = save(candidates(grams, runs, items), "leak-candidates")
+
+    key = [*_RUN, "run", "item"]
+    along = Window.partitionBy(*key).orderBy("s").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    span = runs.select(*_RUN, "run", "span", F.least("m", "n").alias("window_words"), *_DOC)
+    sums = _steps(near, grams, runs, items).withColumn("step", F.sum("d").over(along)).where("d is null").select(*key, "s", F.coalesce("step", F.lit(0)).alias("inside"))
+    return _best(sums, span, items, percent, keyed)
+
+
+def _best(sums: DataFrame, span: DataFrame, items: DataFrame, percent: int, keyed: bool) -> DataFrame:
+    weights = items.select("item", "item_id", F.size("grams").alias("weight"))
+    sums = sums.withColumnRenamed("inside", "shared").join(span, [*_RUN, "run"]).join(weights, "item")
+    sums = sums.withColumn("total", F.col("span") + F.col("weight") - F.col("shared")).where(F.col("shared") * 100 >= F.col("total") * percent)
+    doc = _DOC if keyed else ["doc_id"]
+    named = sums.withColumn("own", F.when(F.col("doc_id").isNull(), F.struct("key_a", F.col("key_b").alias("b")))).withColumn("own_item", F.when(F.col("item_id").isNull(), F.col("item")))
+    best = named.groupBy(*doc, "own", "item_id", "own_item").agg(F.max(F.struct((F.col("shared") / F.col("total")).alias("similarity"), (-F.col("s")).alias("s"), "window_words", "shared", "total")).alias("x"), F.count_distinct("doc", "item", "s").alias("n_windows"))
+    long = lambda c, name: c.cast("long").alias(name)
+    return best.select(*doc, "item_id", long(-F.col("x.s"), "start_word"), long(F.col("x.window_words"), "window_words"), long(F.col("x.shared"), "shared"), long(F.col("x.total"), "total"), F.col("x.similarity").alias("similarity"), long(F.col("n_windows"), "n_windows"))
