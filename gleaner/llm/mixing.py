@@ -1,20 +1,31 @@
 """Mixing sources to target weights by blocks.
 
-The words of each source, its documents in hashed order, are packed into blocks
-of a fixed number of words.  Each source gets as many output slots as its target
-needs; all slots in the order of a seeded hash are dealt out to output shards in
-turn, which makes a shard's source counts a multinomial draw given the fixed totals
-(a free multinomial draw would miss the targets by its sampling error).  A source's
-slots walk through a pseudorandom permutation of its blocks, round after round, and
-are joined to the blocks by index.  The last slot takes only the words still wanted,
-so a source's words meet its target to a word.
-
-The joined slots are the mix: they are written with their words, each file in the
-order of shard and position (a shard is the merge of its runs in the files), and
+Packing.  The words of each source are packed into blocks of a fixed number of
+words.  Documents are dealt by hash into buckets; each bucket fills whole blocks of its
+own, and what is left of all buckets of a source fills further blocks, so only a
+source's last block is short, and nearly all text moves once.
+
+Drawing.  A source gets as many output slots as its target needs: whole rounds of
+its blocks and part of one more, whose last slot takes only the words still wanted, so
+a source's words meet its target to a word.  All slots in the order of a seeded hash
+are dealt to the output shards in turn: each shard's source counts are a multinomial
+draw, given the sources' totals and shards of one size (free draws would miss small
+targets by their sampling error).
+
+Joining.  A source's slots walk through its blocks by a pseudorandom permutation of
+the block numbers, that of their seeded hashes in order, and are joined to the
+blocks by index.  The joined slots are the mix: they are written with their words, each
+file in order of shard and position (a shard is the merge of its runs in the files), and
 what each document gave is counted in them.
 
-Native: DataFrame functions only.  Positions come from sums of small
-(source, bucket) cells, so a hot source is never ordered in one task.
+Native: DataFrame functions only.  Positions and ranks come from sums of small cells,
+so a hot source is never ordered in one task.  A source may have any number of blocks
+below 2**46; tables of one row a source, and of one a cell, are ordered in one task.
+
+Null or empty texts have size 0, and nothing is taken of them; repeated rows count
+each; a null source is a source of its own; ties in a hash are broken by the row's other
+values, so reruns agree.  Other columns are ignored, whatever their names; an empty
+table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -25,21 +36,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleaner.llm.common import n_words, save, words
+from gleaner.llm.common import n_words, row_key, save, words
 
-#: Multiplier of the permutations: a Mersenne prime, so it shares no factor with
-#: a smaller number of blocks.
-PRIME = 2**31 - 1
 CHUNK = 65_536
-#: Slots ordered at a time when they are dealt.
-SLOTS_IN_CELL = 10_000
+#: Rows ranked at a time.
+ROWS_IN_CELL = 10_000
 
 
 @dataclass
 class Mix:
-    docs: DataFrame  # doc_id, size, source, source_size, target, taken
+    docs: DataFrame  # doc_id, key_a, key_b, size, source, source_size, target, taken
     slots: DataFrame  # shard, position, source, block, words
-    sources: DataFrame  # source, source_size, target, blocks, slots
+    sources: DataFrame  # source, source_size, target, blocks
     blocks: DataFrame  # source, block, pieces (low, start, doc_id, text)
     mixed: DataFrame  # shard, position, source, block, pieces (start, doc_id, n, text)
 
@@ -65,97 +73,134 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most
     return rows.select("source", "source_size", F.least(F.col("cap"), F.coalesce(level * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def _walk(step: Column, blocks: Column, salt: Column) -> Column:
-    """The block at a step of a source's permutation of 0..blocks-1."""
-    return F.pmod(F.pmod(F.lit(PRIME), blocks) * step + F.pmod(salt, blocks), blocks)
-
-
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, block: int = 1024, shards: int = 16, seed: int = 7, rows_in_bucket: int = 2_000) -> Mix:
-    """Mixes ``docs`` (doc_id, source, text).  Null or empty texts have size 0 and
-    nothing is taken of them; repeated rows count each; a null source is a source
-    of its own.  A source may have up to 2**31 blocks."""
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("t"), "text")
+    """Mixes ``docs`` (doc_id, source, text)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), *row_key(), "text")
     sized = save(rows.drop("text"), "sizes")
     buckets = 1 + sized.count() // rows_in_bucket
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(per_source, weights, most).withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block)))
     plan = plan.withColumn("last", F.col("source_size") - (F.col("blocks") - 1) * block).withColumn("want", F.round("target").cast("long"))
     plan = plan.withColumn("rounds", F.when(F.col("blocks") > 0, F.floor(F.col("want") / F.col("source_size"))).otherwise(0))
-    plan = plan.withColumn("rest", F.col("want") - F.col("rounds") * F.col("source_size")).withColumn("salt", F.xxhash64("source", F.lit(seed)))
+    plan = plan.withColumn("rest", F.col("want") - F.col("rounds") * F.col("source_size"))
     plan = save(plan.withColumn("sid", F.row_number().over(Window.orderBy(F.asc_nulls_last("source")))), "mix-plan")
 
     ids = plan.select(F.col("source").alias("s"), "sid")
-    hashed = lambda x: x.where("size > 0").withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(seed))).withColumn("bucket", F.pmod("h", F.lit(buckets))).join(F.broadcast(ids), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    h = F.xxhash64("doc_id", "key_a", "key_b", F.lit(seed))
+    hashed = lambda x: x.where("size > 0").withColumn("h", h).withColumn("bucket", F.pmod("h", F.lit(buckets))).join(ids, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     cells = hashed(sized).groupBy("sid", "bucket").agg(F.sum("size").alias("cell"))
+    cells = cells.withColumn("full", F.floor(F.col("cell") / block)).withColumn("left", F.col("cell") % block)
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = save(cells.select("sid", "bucket", F.coalesce(F.sum("cell").over(before), F.lit(0)).alias("first")), "mix-cells")
+    upto = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    cells = save(cells.select("sid", "bucket", "full", upto("cell").alias("first"), upto("full").alias("first_block"), upto("left").alias("first_left"), F.sum("full").over(Window.partitionBy("sid")).alias("all_full")), "mix-cells")
 
     slots = save(_slots(plan, block, shards, seed), "slots")
-    blocks = _blocks(_places(hashed(rows), cells), block)
-    mixed = _mixed(slots, blocks)
+    blocks, mixed = _mixed(slots, _pieces(_places(hashed(rows), cells), block), cells, block)
 
-    got = mixed.select("sid", F.explode(F.arrays_zip("pieces.start", "pieces.n"))).groupBy("sid", "col.start").agg(F.sum("col.n").alias("taken"))
-    whole = _places(hashed(sized), cells).join(got, ["sid", "start"], "left").select("doc_id", "source", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    everything = whole.unionByName(sized.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken")))
+    got = mixed.select("sid", F.explode("pieces").alias("p")).groupBy("sid", "p.start").agg(F.sum("p.n").alias("taken"))
+    facts = ["doc_id", "key_a", "key_b", "source", "size"]
+    whole = _places(hashed(sized), cells).join(got, ["sid", "start"], "left").select(*facts, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    everything = whole.unionByName(sized.where("size = 0").select(*facts, F.lit(0).cast("long").alias("taken")))
     named = plan.select(F.col("source").alias("s"), "source_size", "target")
-    out = everything.join(named, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source", "source_size", "target", "taken")
+    out = everything.join(named, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "key_a", "key_b", "size", "source", "source_size", "target", "taken")
     return Mix(out, slots.drop("sid"), plan.drop("sid"), blocks.drop("sid"), mixed.drop("sid"))
 
 
 def _places(hashed: DataFrame, cells: DataFrame) -> DataFrame:
-    """With start, the word offset of each row in its source, in hashed order."""
-    inside = Window.partitionBy("sid", "bucket").orderBy("h", F.asc_nulls_first("doc_id"), "size", "t").rowsBetween(Window.unboundedPreceding, -1)
+    """With inner, the word offset of each row in its bucket in hashed order, and start,
+    that in its source."""
+    inside = Window.partitionBy("sid", "bucket").orderBy("h", F.asc_nulls_first("doc_id"), "size", "key_a", "key_b").rowsBetween(Window.unboundedPreceding, -1)
     placed = hashed.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return placed.join(cells, ["sid", "bucket"]).withColumn("start", F.col("first") + F.col("inner")).drop("h", "t", "bucket", "inner", "first")
+    return placed.join(cells, ["sid", "bucket"]).withColumn("start", F.col("first") + F.col("inner")).drop("h", "first")
+
+
+def _cut(rows: DataFrame, at: Column, block: int, number) -> DataFrame:
+    """``rows`` (words in ``all``, from offset ``at`` on) cut where blocks end: a row
+    for each piece with block (``number`` of the place), low (offset in the block), text."""
+    size = F.size("all")
+    low = lambda b: F.greatest(at - b * block, F.lit(0))
+    skipped = lambda b: F.greatest(b * block - at, F.lit(0))
+    piece = lambda b: F.struct(number(b).alias("block"), low(b).alias("low"), F.array_join(F.slice("all", (skipped(b) + 1).cast("int"), (F.lit(block) - low(b)).cast("int")), " ").alias("text"))
+    places = F.sequence(F.floor(at / block), F.floor((at + size - 1) / block))
+    cut = rows.where(size > 0).select("sid", "bucket", "source", "doc_id", "start", F.explode(F.transform(places, piece)).alias("x"))
+    return cut.select("sid", "bucket", "source", "doc_id", "start", "x.block", "x.low", "x.text")
+
+
+def _pieces(placed: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """The pieces of the buckets' own blocks, and those of the blocks that are made of
+    what is left of them."""
+    split = placed.withColumn("all", words(F.col("text"))).drop("text")
+    inside = F.greatest(F.lit(0), F.least(F.col("size"), F.col("full") * block - F.col("inner"))).cast("int")
+    own = split.withColumn("all", F.slice("all", F.lit(1), inside))
+    rest = split.withColumn("all", F.slice("all", inside + 1, F.size("all")))
+    # Offset in the source's stream of rests.
+    at = F.col("first_left") + F.greatest(F.col("inner") - F.col("full") * block, F.lit(0))
+    return _cut(own, F.col("inner"), block, lambda b: F.col("first_block") + b), _cut(rest, at, block, lambda b: F.col("all_full") + b)
+
+
+def _mixed(slots: DataFrame, pieces: tuple[DataFrame, DataFrame], cells: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """The blocks, and the slots with the words of their blocks, cut to the words
+    they take: sid, shard, position, source, block, pieces, written in order of shard and
+    position.  The slots of a bucket's own blocks come to where its texts already are."""
+    slot = F.struct("block", "shard", "position", "words")
+    bounds = cells.where("full > 0").select("sid", "bucket", F.col("first_block").alias("block"))
+    # The bucket of a slot: the last whose first block isn't behind it.  Range by
+    # range of block numbers, so a hot source's slots are looked up by many tasks.
+    ranged = bounds.join(cells.select("sid", "bucket", "full"), ["sid", "bucket"]).select("sid", "bucket", "block", "full", F.explode(F.sequence(F.floor(F.col("block") / CHUNK), F.floor((F.col("block") + F.col("full") - 1) / CHUNK))).alias("range"))
+    by_range = slots.withColumn("range", F.floor(F.col("block") / CHUNK)).groupBy("sid", "range", F.floor(F.col("block") / 64).alias("part")).agg(F.collect_list(slot).alias("slots"))
+    found = by_range.join(ranged, ["sid", "range"]).where((F.col("part") * 64 < F.col("block") + F.col("full")) & (F.col("part") * 64 + 64 > F.col("block")))
+    mine = F.filter("slots", lambda x: (x["block"] >= F.col("block")) & (x["block"] < F.col("block") + F.col("full")))
+    mine = found.select("sid", "bucket", F.explode(mine).alias("x")).groupBy("sid", "bucket", "x.block").agg(F.collect_list(F.struct("x.shard", "x.position", "x.words")).alias("slots"))
+    mine = mine.groupBy("sid", "bucket").agg(F.map_from_entries(F.collect_list(F.struct("block", "slots"))).alias("by_block"))
+
+    packed = lambda rows, by: rows.groupBy(*by).agg(F.first("source").alias("source"), F.array_sort(F.collect_list(F.struct("low", "start", "doc_id", "text"))).alias("pieces"))
+    own, rest = packed(pieces[0], ["sid", "bucket", "block"]), packed(pieces[1], ["sid", "block"])
+    filled = own.join(mine.hint("shuffle_hash"), ["sid", "bucket"]).withColumn("slots", F.element_at("by_block", F.col("block")))
+    left = rest.join(slots.groupBy("sid", "block").agg(F.collect_list(F.struct("shard", "position", "words")).alias("slots")), ["sid", "block"])
+    columns = ["sid", "source", "block", "pieces", "slots"]
+    joined = filled.select(*columns).unionByName(left.select(*columns)).withColumn("slot", F.explode("slots"))
 
+    def taken(p):
+        own = F.slice(F.split(p["text"], " "), F.lit(1), (F.col("slot.words") - p["low"]).cast("int"))
+        return F.struct(p["start"].alias("start"), p["doc_id"].alias("doc_id"), F.size(own).cast("long").alias("n"), F.array_join(own, " ").alias("text"))
 
-def _blocks(placed: DataFrame, block: int) -> DataFrame:
-    """One row for each block: sid, source, block, pieces: the part of each document
-    in it, with its offset there (low) and its words, by offset."""
-    start, size = F.col("start"), F.col("size")
-    at = F.sequence(F.floor(start / block), F.floor((start + size - 1) / block))
-    low = lambda b: F.greatest(start - b * block, F.lit(0))
-    skipped = lambda b: F.greatest(b * block - start, F.lit(0))
-    piece = lambda b: F.struct(b.alias("block"), low(b).alias("low"), F.array_join(F.slice("all", (skipped(b) + 1).cast("int"), (F.lit(block) - low(b)).cast("int")), " ").alias("text"))
-    cut = placed.withColumn("all", words(F.col("text"))).select("sid", "source", "doc_id", "start", F.explode(F.transform(at, piece)).alias("x"))
-    pieces = F.array_sort(F.collect_list(F.struct("x.low", "start", "doc_id", "x.text")))
-    return cut.withColumn("block", F.col("x.block")).groupBy("sid", "block").agg(F.first("source").alias("source"), pieces.alias("pieces"))
+    kept = F.transform(F.filter("pieces", lambda p: p["low"] < F.col("slot.words")), taken)
+    rows = joined.select("sid", "slot.shard", "slot.position", "source", "block", kept.alias("pieces"))
+    blocks = own.select("sid", "source", "block", "pieces").unionByName(rest.select("sid", "source", "block", "pieces"))
+    return blocks, save(rows.sortWithinPartitions("shard", "position"), "mixed")
 
 
-def _mixed(slots: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The slots with the words of their blocks, cut to the words they take, written
-    in order of shard and position: sid, shard, position, source, block, pieces."""
+def _ranked(rows: DataFrame, by: list[str], h: Column, ties: list[str], total: int, name: str) -> DataFrame:
+    """``rows`` with ``name``, their number (from 0) among those of one ``by`` in order
+    of the hash ``h``: ranks in cells of the hash plus the rows of earlier cells."""
+    rows = rows.withColumn("h", h).withColumn("cell", F.shiftrightunsigned("h", 1) % F.lit(1 + total // ROWS_IN_CELL))
+    before = Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy(*by, "cell").agg(F.count("*").alias("c")).select(*by, "cell", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("first"))
+    inside = F.row_number().over(Window.partitionBy(*by, "cell").orderBy("h", *ties)) - 1
+    return rows.withColumn("inside", inside).join(cells, [*by, "cell"]).withColumn(name, F.col("first") + F.col("inside")).drop("h", "cell", "first", "inside")
 
-    def taken(p):
-        own = F.slice(F.split(p["text"], " "), F.lit(1), (F.col("words") - p["low"]).cast("int"))
-        return F.struct(p["start"].alias("start"), p["doc_id"].alias("doc_id"), F.size(own).cast("long").alias("n"), F.array_join(own, " ").alias("text"))
 
-    kept = F.transform(F.filter("pieces", lambda p: p["low"] < F.col("words")), taken)
-    joined = slots.select("sid", "shard", "position", "block", "words").join(blocks, ["sid", "block"])
-    rows = joined.select("sid", "shard", "position", "source", "block", kept.alias("pieces"))
-    return save(rows.sortWithinPartitions("shard", "position"), "mixed")
+def permutation(plan: DataFrame, seed: int) -> DataFrame:
+    """sid, block, step: each source's blocks in pseudorandom order."""
+    # In chunks, so that a hot source's blocks are made by many tasks.
+    chunks = plan.where("blocks > 0").select("sid", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1, F.lit(CHUNK))).alias("chunk")).repartition("sid", "chunk")
+    blocks = chunks.select("sid", F.explode(F.sequence(F.col("chunk"), F.least(F.col("blocks") - 1, F.col("chunk") + (CHUNK - 1)), F.lit(1))).alias("block"))
+    total = plan.agg(F.sum("blocks")).first()[0] or 0
+    return _ranked(blocks, ["sid"], F.xxhash64("sid", "block", F.lit(seed)), ["block"], int(total), "step")
 
 
 def _slots(plan: DataFrame, block: int, shards: int, seed: int) -> DataFrame:
     """One row for each output slot: sid, shard, position, source, block, words."""
     n = F.col("blocks")
-    # Steps in chunks, so that a hot source's steps are made by many tasks.
-    chunks = plan.where("blocks > 0").select("*", F.explode(F.sequence(F.lit(0), n - 1, F.lit(CHUNK))).alias("chunk")).repartition("sid", "chunk")
-    steps = chunks.select("*", F.explode(F.sequence(F.col("chunk"), F.least(n - 1, F.col("chunk") + (CHUNK - 1)), F.lit(1))).alias("step"))
-    steps = steps.withColumn("block", _walk(F.col("step"), n, F.col("salt"))).withColumn("length", F.when(F.col("block") == n - 1, F.col("last")).otherwise(F.lit(block)))
+    steps = save(permutation(plan, seed), "permutation").join(plan.select("sid", "source", "blocks", "last", "rounds", "rest"), "sid")
+    steps = steps.withColumn("length", F.when(F.col("block") == n - 1, F.col("last")).otherwise(F.lit(block)))
     # Words of the steps before: all of full length but for the short block.
-    found = steps.where(F.col("block") == n - 1).select("sid", F.col("step").alias("q"))
-    steps = steps.join(found, "sid", "left")
+    short = steps.where(F.col("block") == n - 1).select("sid", F.col("step").alias("q"))
+    steps = steps.join(short, "sid", "left")
     done = F.col("step") * block - F.when(F.col("step") > F.col("q"), block - F.col("last")).otherwise(0)
     part = F.least(F.col("length"), F.greatest(F.col("rest") - done, F.lit(0)))
     turns = steps.withColumn("part", part).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("rounds"), F.lit(1)))).where((F.col("turn") < F.col("rounds")) | (F.col("part") > 0))
     turns = turns.withColumn("words", F.when(F.col("turn") < F.col("rounds"), F.col("length")).otherwise(F.col("part")))
-    # Deal the slots: their numbers in the order of a seeded hash, by cells of it.
-    room = plan.agg(F.sum((F.col("rounds") + 1) * n)).first()[0] or 0
-    turns = turns.withColumn("h", F.xxhash64("sid", "turn", "step", F.lit(seed))).withColumn("cell", F.pmod("h", F.lit(1 + int(room) // SLOTS_IN_CELL)))
-    turns = save(turns.select("sid", "source", "block", "words", "turn", "step", "h", "cell"), "turns")
-    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = turns.groupBy("cell").agg(F.count("*").alias("c")).select("cell", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("first"))
-    inside = F.row_number().over(Window.partitionBy("cell").orderBy("h", "sid", "turn", "step")) - 1
-    number = F.col("first") + F.col("inside")
-    return turns.withColumn("inside", inside).join(cells, "cell").select("sid", F.pmod(number, F.lit(shards)).cast("int").alias("shard"), F.floor(number / shards).alias("position"), "source", "block", "words")
+    turns = save(turns.select("sid", "source", "block", "words", "turn", "step"), "turns")
+    dealt = _ranked(turns, [], F.xxhash64("sid", "turn", "step", F.lit(seed)), ["sid", "turn", "step"], turns.count(), "number")
+    return dealt.select("sid", F.pmod("number", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("number") / shards).alias("position"), "source", "block", "words")
