@@ -11,7 +11,7 @@ from gleaner.llm.common import table
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    kept = linededup.apply(linededup.build(docs, cold=False), docs)
+    kept = linededup.apply(linededup.build(docs), docs)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
