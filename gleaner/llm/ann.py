@@ -8,12 +8,19 @@ the search visits are proposed neighbours, and pruning keeps the nearest while
 dropping those that a kept one is nearer to by the factor ALPHA, so edges stay
 diverse; edges also go back, pruned alike.  A beam search from the medoid and a few
 fixed nodes answers each block of queries in every shard, and the exact cosines of
-what it finds, in double precision on the original vectors, decide.
+all that it finds, in double precision on the original vectors, decide; while the last
+of them ties with the k-th, the beam widens, to the whole shard if need be, so that ties
+go to the smaller id.  Cosines are taken after scaling each vector by its largest
+component's power of two, which neither over- nor underflows nor rounds.
 
 Every row is indexed; nothing is fitted on a sample.  Vectors that are null, empty,
 zero, or hold null or non-finite components take no part, as queries or candidates.
 Only vectors of one length are compared.  A query's own row is not its neighbour;
-rows that repeat a vec_id are one row, the one with the least vector.
+rows that repeat a vec_id are one row, the one with the least vector.  Other columns
+are ignored, whatever their names; an empty table gives an empty result.
+
+Every query searches every shard: queries grow with the rows, so searches grow with
+their square over SHARD_ROWS * QUERY_BLOCK, each at a beam's cost.
 """
 
 from __future__ import annotations
@@ -28,8 +35,8 @@ from pyspark.sql.window import Window
 
 from gleaner.llm.common import save
 
-SHARD_ROWS = 4_000
-QUERY_BLOCK = 1_024
+SHARD_ROWS = 8_000
+QUERY_BLOCK = 4_096
 DEGREE = 24
 ALPHA = 1.2
 BEAM = 96
@@ -164,17 +171,44 @@ def index(rows: DataFrame, k: int) -> tuple[DataFrame, int]:
     return save(dealt.groupBy("shard").applyInPandas(make, "shard int, body binary"), "ann-index"), shards
 
 
+def _scaled(raw: np.ndarray) -> np.ndarray:
+    """Each vector (last axis) times a power of two that brings it near 1."""
+    return np.ldexp(raw, -np.frexp(np.abs(raw).max(-1, keepdims=True))[1])
+
+
 def _unit(raw: np.ndarray) -> np.ndarray:
-    scaled = raw / np.abs(raw).max(1, keepdims=True)
+    scaled = _scaled(raw)
     return (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(np.float32)
 
 
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of the double vectors a[i] and b[i, j]."""
+    a, b = _scaled(a), _scaled(b)
     dot = (a[:, None, :] * b).sum(2)
     return dot / (np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(2)))
 
 
+def search_graph(raw: np.ndarray, x: np.ndarray, graph: np.ndarray, entries: np.ndarray, q: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes (-1: none) and exact cosines that hold each query's k + 1 best found and
+    all nodes that tie with the last of these."""
+    if beam < len(x):
+        found, _ = beam_search(x, graph, entries, _unit(q), beam)
+    else:  # the beam holds the shard
+        found = np.tile(np.arange(len(x)), (len(q), 1))
+    score = np.where(found >= 0, _cosines(q, raw[found]), -np.inf)
+    kth = -np.sort(-score, 1)[:, min(k, score.shape[1] - 1)]
+    tied = (score.min(1) >= kth) & (kth > -np.inf)
+    if beam < len(x) and tied.any():
+        at = np.flatnonzero(tied)
+        more, wider = search_graph(raw, x, graph, entries, q[at], k, min(len(x), 4 * beam))
+        grown = max(found.shape[1], more.shape[1])
+        found = np.pad(found, ((0, 0), (0, grown - found.shape[1])), constant_values=-1)
+        score = np.pad(score, ((0, 0), (0, grown - score.shape[1])), constant_values=-np.inf)
+        found[at], score[at] = -1, -np.inf
+        found[at, : more.shape[1]], score[at, : more.shape[1]] = more, wider
+    return found, score
+
+
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_column: str = "vec_id", vector_column: str = "embedding", beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by
     ``every`` its ``k`` nearest found, ties to the smaller id."""
@@ -194,9 +228,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_column: str = "v
                 for low in range(0, len(own), 256):
                     part = own.iloc[low : low + 256]
                     q = np.stack(part["v"].to_numpy())
-                    found, _ = beam_search(x, graph, entries, _unit(q), beam)
-                    found = found[:, : k + 12]  # float32 order; the exact one follows
-                    score = np.where(found >= 0, _cosines(q, raw[found]), -np.inf)
+                    found, score = search_graph(raw, x, graph, entries, q, k, beam)
                     names = np.where((found >= 0)[:, :, None], ids[found], -1)
                     me = part["vec_id"].to_numpy()
                     names[names == me[:, None, None]] = -1
