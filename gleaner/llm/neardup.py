@@ -38,6 +38,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -118,9 +119,9 @@ def _parities(shingles: np.ndarray) -> np.ndarray:
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:
     """``docs`` (row, doc_id, key_a, key_b, text) with n (set size), key (128-bit hash
-    of the set), parities, bands and shingles instead of the text; all but n
-    null for an empty set."""
-    names = ["row", "doc_id", "key_a", "key_b", "n", "key", "parities", "bands", "shingles"]
+    of the set), parities and bands instead of the text; all but n null for an empty
+    set."""
+    names = ["row", "doc_id", "key_a", "key_b", "n", "key", "parities", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
@@ -132,17 +133,48 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
                     own = shingle_set(text, size, hashes)
                     n.append(len(own))
                     if len(own):
-                        body = own.tobytes()
-                        made.append((xxhash.xxh3_128_digest(body), _parities(own), _bands(*_signature(own)).view(np.int64), body))
+                        made.append((xxhash.xxh3_128_digest(own.tobytes()), _parities(own), _bands(*_signature(own)).view(np.int64)))
                     else:
-                        made.append((None,) * 4)
-                kinds = (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+                        made.append((None,) * 3)
+                kinds = (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(n, pa.int64()), *(pa.array([x[i] for x in made], k) for i, k in enumerate(kinds))], names)
 
-    return docs.select(*names[:4], "text").mapInArrow(run, "row long, doc_id long, key_a long, key_b long, n long, key binary, parities array<long>, bands array<long>, shingles binary")
+    return docs.select(*names[:4], "text").mapInArrow(run, "row long, doc_id long, key_a long, key_b long, n long, key binary, parities array<long>, bands array<long>")
 
 
-def confirm(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+def _sets(docs: DataFrame, size: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                own = [shingle_set(x, size, hashes).tobytes() for x in part.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], ["node", "shingles"])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, shingles binary")
+
+
+@dataclass
+class Texts:
+    """Where the sets of nodes come from."""
+
+    docs: DataFrame  # doc_id, key_a, key_b, text
+    own: DataFrame  # node, doc_id, key_a, key_b: each node's first row
+    repeated: bool  # whether a doc_id and a text come twice
+    size: int
+
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, shingles) of the ``nodes``, from one more pass over the documents that
+        have them.  Both tables of nodes are written first, so Spark knows their sizes
+        before it deals out texts."""
+        wanted = save(self.own.join(save(nodes, "near-wanted"), "node", "left_semi"), "near-rows")
+        wanted = wanted.select("node", *(F.col(c).alias("w" + c) for c in ("doc_id", "key_a", "key_b")))
+        same = F.col("doc_id").eqNullSafe(F.col("wdoc_id")) & (F.col("key_a") == F.col("wkey_a")) & (F.col("key_b") == F.col("wkey_b"))
+        sets = _sets(self.docs.join(wanted, same), self.size)
+        return save(sets.dropDuplicates(["node"]) if self.repeated else sets, "near-sets")
+
+
+def confirm(pairs: DataFrame, texts: Texts, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
     The sets of all b of a centre a are streamed past the set of a, in as many
@@ -150,8 +182,7 @@ def confirm(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     total = pairs.count()
     sizes = save(pairs.groupBy("a").agg(F.count("*").alias("c")), "near-centres")
     hot = hot_keys(sizes, "a", total).select(F.col("a").alias("centre"), "parts")
-    wanted = pairs.select(F.col("b").alias("node")).union(sizes.select("a")).distinct()
-    sets = save(rows.join(wanted, rows["row"] == F.col("node"), "left_semi").select(F.col("row").alias("node"), "shingles"), "near-sets")
+    sets = texts.sets(pairs.select(F.col("b").alias("node")).union(sizes.select("a")).distinct())
 
     parts = F.coalesce("parts", F.lit(1))
     spread = F.broadcast(hot)
@@ -203,7 +234,9 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, keyed: bool = Fal
     nodes = save(full.groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("id"), F.count("*").alias("c"), *least), "near-nodes")
 
     own = full.join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi")
-    own = save(own.select(F.col("row").alias("node"), "n", "parities", "bands"), "near-own")
+    own = save(own.select(F.col("row").alias("node"), "doc_id", "key_a", "key_b", "n", "parities", "bands"), "near-own")
+    repeated = rows.select("doc_id", "key_a", "key_b").distinct().count() < total
+    texts = Texts(source.drop("row"), own.select("node", "doc_id", "key_a", "key_b"), repeated, size)
     members = own.select("node", F.explode("bands").alias("bucket"))
     met = members.groupBy("bucket").agg(F.count("*").alias("c"), F.min("node").alias("first"), F.min(F.col("node").bitwiseXOR(F.col("bucket"))).alias("other")).where("c > 1")
     met = save(met.select("bucket", "c", "first", F.col("other").bitwiseXOR(F.col("bucket")).alias("second")), "near-met")
@@ -213,7 +246,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, keyed: bool = Fal
     star = shared.select("node", F.explode(F.array("first", "second")).alias("centre")).where("node <> centre")
     star = save(star.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
     facts = own.select("node", "n", *(F.get("parities", F.lit(i)).alias(f"p{i}") for i in range(_LONGS)))
-    links = save(confirm(save(_bounded(star, facts, percent), "near-tried"), rows, percent), "near-links")
+    links = save(confirm(save(_bounded(star, facts, percent), "near-tried"), texts, percent), "near-links")
     labels = components(links)
 
     # Buckets whose nodes aren't all in one component yet: the pairs across.
@@ -231,7 +264,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, keyed: bool = Fal
     across = u.join(v, met_here & (F.col("ucomponent") < F.col("vcomponent")) & untested & _may_link(percent))
     across = save(across.select(F.col("unode").alias("a"), F.col("vnode").alias("b")).distinct(), "near-across")
     if not across.isEmpty():
-        more = save(confirm(across, rows, percent), "near-more")
+        more = save(confirm(across, texts, percent), "near-more")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
 
