@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -462,6 +463,44 @@ def test_pii_model_adds_and_redacts(spark):
     assert pii.redact(found).first()["text"] == "call [number] or secret: [secret] by [email] on 2024-01-02"
 
 
+def test_pii_generators_are_calibrated(spark):
+    """On texts that neither trees nor thresholds have seen: every generator adds
+    spans, most of them right; none is shut off, look-alikes stay out."""
+    trees, thresholds, report = pii._model(spark.sparkContext.applicationId)
+    assert all(0 <= t < 20 for t in thresholds)
+    assert all(precision > 0.88 and recall > 0.5 and n > 100 for precision, recall, n in report.values()), report
+    texts = ["follow @jane_doe84 today", "@Override\npublic", "commit " + "a1b2c3d4" * 5, "token = \"" + "a1b2c3d4" * 5 + "\"", "Telefon: 030 1234 5678 danke", "isbn 978-3-16-148410-0 page", "pages 1990-1995 of", "Konto 123456789 bitte"]
+    rows = pii.digest(pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    kinds = {r["doc_id"]: [x.split(":")[0] for x in r["spans"].split(",") if x] for r in rows}
+    assert kinds[0] == ["handle"] and kinds[1] == [] and kinds[2] == [] and kinds[3] == ["secret"] and kinds[4] == ["number"] and kinds[6] == [] and kinds[7] == ["digits"]
+    assert all(r["n_extra"] == len(kinds[r["doc_id"]]) - sum(r[f"n_{k}"] for k in pii.KINDS) and r["n_spans"] == len(kinds[r["doc_id"]]) for r in rows)
+    # The trees decide: without them no span is added.
+    assert sum(len(k) for k in kinds.values()) > 0 and len(trees) > 10
+
+
+def test_pii_overlaps_by_hand(spark):
+    """Added spans overlap neither base spans nor each other."""
+    r = random.Random(12)
+    piece = lambda: r.choice(["tel: 030 1234 5678", "call 555-123-4567", "token=" + "ab12" * 8, "@joe_91", "a@b.cd", "1.2.3.4", "4111 1111 1111 1111", "+1 234 5678 90", "account 123456789", "x", "2024-01-02"])
+    rows = [(i, r.choice(["", " "]).join(piece() + " " for _ in range(r.randint(1, 40)))) for i in range(60)]
+    added = 0
+    for x in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect():
+        spans = [(k, int(a), int(b)) for k, a, b in (y.split(":") for y in x["spans"].split(",") if y)]
+        extra = [s for s in spans if s[0] in pii.EXTRA]
+        added += len(extra)
+        assert len(extra) == x["n_extra"]
+        for i, (k, a, b) in enumerate(extra):
+            assert a < b and not any(a < d and c < b for _, c, d in [s for s in spans if s[0] in pii.KINDS] + extra[:i])
+    assert added > 100
+
+
+def test_pii_of_a_text_with_very_many_spans(spark):
+    text = " ".join(f"call 555-{i % 900 + 100}-{i % 9000 + 1000}" for i in range(64_000))
+    began = time.time()
+    row = pii.digest(pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert row["n_spans"] > 60_000 and time.time() - began < 60
+
+
 # 8
 
 
@@ -777,3 +816,17 @@ def test_ann_takes_one_row_an_id(spark):
     got = [tuple(r) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id = 0").orderBy("rank").collect()]
     assert [(r[1], r[2]) for r in got] == [(1, 3), (2, 1), (3, 2), (4, 50)]
     assert got[0][3] == 1.0
+
+
+def test_ann_of_extreme_vectors_and_ties(spark, monkeypatch):
+    """Very large and small vectors, and more scaled copies than a beam holds: ties go
+    to the smallest ids."""
+    r = random.Random(4)
+    rows = [(0, [1.0, 0.0, 0.0]), (50, [1e200, 0.0, 0.0]), (7, [1e-200, 0.0, 0.0]), (100, [0.0, 1e300, 1e300]), (101, [0.0, 1e-300, 1e-300])]
+    rows += [(1000 - i, [2.0 ** (i % 60 - 30) * (1 + i // 60), 0.0, 0.0]) for i in range(300)] + [(2000 + i, [r.random() for _ in range(3)]) for i in range(300)]
+    got = defaultdict(list)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit("x")).withColumn("shard", F.lit(1))
+    for x in ann.nearest(table).orderBy("query_id", "rank").collect():
+        got[x["query_id"]].append((x["vec_id"], x["score"]))
+    assert [i for i, _ in got[0]] == [7, 50, 701, 702, 703] and all(math.isclose(s, 1.0, rel_tol=1e-15) for _, s in got[0])
+    assert [i for i, _ in got[50]][:2] == [0, 7] and got[100][0] == (101, got[100][0][1]) and math.isclose(got[100][0][1], 1.0)
