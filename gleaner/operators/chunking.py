@@ -104,16 +104,17 @@ def recursive_spans(text: str, size: int, separators: tuple[str, ...] = SEPARATO
 
 
 def aligned(text: str, start: int, limit: int = 40) -> int:
-    """The nearest start of a word: up to ``limit`` characters back, else ahead."""
-    if start <= 0 or start >= len(text):
-        return max(0, min(start, len(text)))
-    for i in range(start, max(start - limit, 0), -1):
-        if text[i - 1].isspace():
-            return i
-    for i in range(start, min(start + limit, len(text))):
-        if text[i].isspace():
-            return i + 1
-    return start
+    """The nearest boundary of a word: ``start`` itself if white space is on either
+    side of it, else up to ``limit`` characters back, else ahead."""
+    if not 0 < start < len(text):
+        return min(max(start, 0), len(text))
+    low, high = max(start - limit, 0), start + limit
+    spaces = [i for i, c in enumerate(text[low:high], low) if c.isspace()]
+    if start in spaces or start - 1 in spaces:
+        return start
+    behind = [i for i in spaces if i < start]
+    found = behind[-1:] or spaces[:1]
+    return found[0] + 1 if found else start
 
 
 def overlapped(text: str, spans: list[tuple[int, int]], overlap: int) -> list[tuple[int, int]]:

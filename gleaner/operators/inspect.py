@@ -42,8 +42,9 @@ def statistics(chunks: DataFrame) -> DataFrame:
 
 
 def most_common(rows: DataFrame, value: str) -> DataFrame:
-    """(value, n, first_position) by falling count, then first appearance."""
-    return rows.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"), F.min("position").alias("first_position")).orderBy(F.desc("n"), "first_position")
+    """(value, n, first_position), in no order; a report sorts by falling count, then
+    first appearance."""
+    return rows.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"), F.min("position").alias("first_position"))
 
 
 def browse(chunks: DataFrame, source: str = "", section: str = "", tag: str = "", spec: str = "", terms: str = "", limit: int = 300) -> DataFrame:

@@ -18,8 +18,8 @@ def repeated_lines(pages: DataFrame, min_pages: int = 2) -> DataFrame:
     both = F.concat(F.slice("rows", 1, 2), F.slice("rows", F.greatest(F.size("rows") - 1, F.lit(1)), F.lit(2)))
     found = edges.select("source", F.explode(F.transform(both, T.collapse)).alias("line"))
     found = found.where(~F.col("line").rlike(r"^\d+$") & (F.length("line") >= 3)).groupBy("source", "line").agg(F.count("*").alias("n"))
-    size = pages.groupBy("source").agg(F.count("*").alias("pages"))
-    return found.join(size, "source").where(F.col("n") >= F.least(F.lit(min_pages), "pages")).select("source", "line", "n")
+    size = pages.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("pages"))
+    return found.join(size, F.col("source").eqNullSafe(F.col("s"))).where(F.col("n") >= F.least(F.lit(min_pages), "pages")).select("source", "line", "n")
 
 
 def strip_repeated(pages: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -28,12 +28,13 @@ def strip_repeated(pages: DataFrame, repeated: DataFrame) -> DataFrame:
     rows = pages.select("source", "page", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     rows = rows.withColumn("key", T.collapse(T.strip(F.col("line"))))
     rows = rows.where((F.col("key") == "") | ~(F.col("key").rlike(T.PAGE_NUMBER) | F.lower("key").isin(*T.CONFIDENTIAL)))
-    marks = repeated.select("source", F.col("line").alias("key"))
-    rows = rows.join(marks, ["source", "key"], "left_anti")
+    marks = repeated.select(F.col("source").alias("s"), F.col("line").alias("mark"))
+    rows = rows.join(marks, F.col("source").eqNullSafe(F.col("s")) & (F.col("key") == F.col("mark")), "left_anti")
     line = F.when(F.col("key") == "", "").otherwise(F.col("line"))
     texts = rows.groupBy("source", "page").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("rows"))
-    texts = texts.select("source", "page", T.normalize(F.array_join(F.col("rows.line"), "\n")).alias("text")).where("text <> ''")
-    return pages.drop("text").join(texts, ["source", "page"])
+    texts = texts.select(F.col("source").alias("s"), F.col("page").alias("p"), T.normalize(F.array_join(F.col("rows.line"), "\n")).alias("text")).where("text <> ''")
+    same = F.col("source").eqNullSafe(F.col("s")) & F.col("page").eqNullSafe(F.col("p"))
+    return pages.drop("text").join(texts, same).drop("s", "p")
 
 
 def page_spans(pages: DataFrame) -> DataFrame:
@@ -49,15 +50,30 @@ def documents_of(pages: DataFrame) -> DataFrame:
     return rows.select("source", "file_path", F.array_join(F.col("rows.text"), "\n\n").alias("text"))
 
 
+#: Characters of a stretch of a document, by which spans meet pages.
+STRETCH = 4_096
+
+
+def _stretches(start: str, end: str):
+    return F.explode(F.sequence(F.floor(F.col(start) / STRETCH), F.floor(F.greatest(F.col(end) - 1, F.col(start)) / STRETCH)))
+
+
 def pages_of_spans(spans: DataFrame, pages: DataFrame, start: str = "char_start", end: str = "char_end", out: tuple[str, str] = ("start_page", "end_page")) -> DataFrame:
     """``spans`` (source and the two offsets) with the first and the last page that
-    each overlaps; one that overlaps none gets the page that starts nearest.
-
-    Pages of a source don't overlap, so both ends are looked up by one equality
-    join on the source against its sorted page list."""
-    lists = pages.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("start", "end", "page"))).alias("__pages"))
-    joined = spans.join(lists, "source", "left")
-    hit = F.filter("__pages", lambda p: (p["start"] < F.col(end)) & (p["end"] > F.col(start)))
-    near = F.array_min(F.transform("__pages", lambda p, i: F.struct(F.abs(p["start"] - F.col(start)).alias("d"), i.alias("i"), p["page"].alias("page"))))["page"]
-    first, last = F.get(hit, F.lit(0))["page"], F.get(hit, F.size(hit) - 1)["page"]
-    return joined.withColumn(out[0], F.coalesce(first, near)).withColumn(out[1], F.coalesce(last, near)).drop("__pages")
+    each overlaps; one that overlaps none gets the page that starts nearest, of two
+    the first.
+
+    Spans and pages meet by source and stretch of the document, so a span meets only the
+    pages around it and a long source is many keys; those few spans that lie between pages
+    are compared with all of their source."""
+    at = spans.select(F.col("source").alias("s"), F.col(start).alias("a"), F.col(end).alias("b")).distinct()
+    own = pages.select(F.col("source").alias("ps"), F.col("start").alias("pa"), F.col("end").alias("pb"), "page")
+    near = at.withColumn("k", _stretches("a", "b")).join(own.withColumn("pk", _stretches("pa", "pb")), F.col("s").eqNullSafe(F.col("ps")) & (F.col("k") == F.col("pk")) & (F.col("pa") < F.col("b")) & (F.col("pb") > F.col("a")))
+    order = F.struct("pa", "pb", "page")
+    hit = near.groupBy("s", "a", "b").agg(F.min_by("page", order).alias(out[0]), F.max_by("page", order).alias(out[1]))
+    key = lambda x, y: x["s"].eqNullSafe(y["s"]) & (x["a"] == y["a"]) & (x["b"] == y["b"])
+    rest = at.join(hit, key(at, hit), "left_anti")
+    beside = rest.join(own, F.col("s").eqNullSafe(F.col("ps"))).groupBy("s", "a", "b").agg(F.min_by("page", F.struct(F.abs(F.col("pa") - F.col("a")), "pa", "pb", "page")).alias(out[0]))
+    found = hit.unionByName(beside.withColumn(out[1], F.col(out[0])))
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col(start) == F.col("a")) & (F.col(end) == F.col("b"))
+    return spans.join(found, same, "left").drop("s", "a", "b")

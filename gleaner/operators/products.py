@@ -21,7 +21,7 @@ def rollup(chunks: DataFrame) -> DataFrame:
     """One row a product: key, label, product_codes, vendors, sources, specs (the
     largest number; true before false before unknown; ordered distinct lists with a
     chunk's chips before its systems), evidence (field -> source, page, snippet).
-    ``chunks`` come in the order of their ``position``."""
+    ``chunks`` come in the order of their ``position``, products in none."""
     rows = with_key(chunks)
     none = F.array().cast("array<string>")
     codes = F.concat("product_codes", "text_product_codes", "source_product_codes")
@@ -33,7 +33,7 @@ def rollup(chunks: DataFrame) -> DataFrame:
     listed = listed_values(rows, {"cpu_soc": F.col("chips"), "os_list": F.col("specs.os_list"), "power_input": F.col("specs.power_input")})
     whole = whole.join(listed, "key", "left").withColumns({f: F.coalesce(f, none) for f in LISTS})
     whole = whole.select("key", "label", "product_codes", "vendors", "sources", F.struct(*NUMERIC, *BOOLEAN, *LISTS).alias("specs"), "first")
-    return whole.join(evidence_of(rows), "key", "left").orderBy("first").drop("first")
+    return whole.join(evidence_of(rows), "key", "left").drop("first")
 
 
 def listed_values(rows: DataFrame, fields: dict) -> DataFrame:
@@ -69,7 +69,8 @@ def condition_fields(conditions: DataFrame) -> DataFrame:
 def structured_context(ranked: DataFrame, products: DataFrame, conditions: DataFrame, limit: int = 20, per_field: int = 2) -> DataFrame:
     """(query_id, context): the plan's conditions and the products that passed, in
     order, with up to ``per_field`` lines of evidence for each field."""
-    value = F.coalesce(number(F.col("num_value")), F.initcap(F.col("bool_value").cast("string")), "str_value")
+    amount = F.when(F.endswith("field", F.lit("_gb")), F.col("num_value").cast("string")).otherwise(number(F.col("num_value")))
+    value = F.coalesce(amount, F.initcap(F.col("bool_value").cast("string")), "str_value")
     plan = conditions.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.format_string("- %s %s %s", "field", "op", value).alias("line")))).alias("p")).select("query_id", F.col("p.line").alias("plan"))
     shown = F.map_from_arrays(F.array(*(F.lit(f) for f in NUMERIC + BOOLEAN + LISTS)), F.array(*(format_spec(f, F.col(f"specs.{f}")) for f in NUMERIC + BOOLEAN + LISTS)))
     rows = ranked.where(F.col("place") <= limit).select("query_id", "place", "key").join(products, "key").join(condition_fields(conditions), "query_id").withColumn("shown", shown)

@@ -61,8 +61,13 @@ def inject(candidates: DataFrame, chunks: DataFrame, asked: DataFrame) -> DataFr
     own = asked.withColumn("listing", _is_listing())
     wanted = own.where("listing").select("query_id", "asked_vendors", "asked_chips", "wants_list")
     few = chunks.select("id", "chip_models", "vendors", "product_codes", "product", "position")
-    named = (F.col("product") != "") | (F.size("product_codes") > 0) | (F.size("chip_models") > 0)
-    matches = few.join(wanted, F.lit(True)).where(_asked_for() & named).withColumn("bonus", bonus()).select("query_id", "id", "bonus", "position")
+    few = few.where((F.col("product") != "") | (F.size("product_codes") > 0) | (F.size("chip_models") > 0))
+    # A listing question names a chip or a vendor: chunks meet it by that name.
+    names = lambda chips, vendors: F.array_union(F.transform(chips, lambda x: F.concat(F.lit("c:"), x)), F.transform(vendors, lambda x: F.concat(F.lit("v:"), x)))
+    asked_names = names(F.col("asked_chips"), F.when(F.size("asked_chips") > 0, F.array().cast("array<string>")).otherwise(F.col("asked_vendors")))
+    asks, has = wanted.select("query_id", F.explode(asked_names).alias("name")), few.select("id", F.explode(names(F.col("chip_models"), F.col("vendors"))).alias("name"))
+    met = has.join(asks, "name").select("query_id", "id").distinct()
+    matches = met.join(few, "id").join(wanted, "query_id").where(_asked_for()).withColumn("bonus", bonus()).select("query_id", "id", "bonus", "position")
     base = candidates.groupBy("query_id").agg(F.max("hybrid_score").alias("base"))
     both = candidates.join(matches, ["query_id", "id"], "full_outer").join(base, "query_id", "left").join(own.select("query_id", "listing"), "query_id", "left")
     fresh = F.col("hybrid_score").isNull()

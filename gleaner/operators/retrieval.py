@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleaner.functions import text as T
+from gleaner.sources.tables import save
 
 K1, B, RRF = 1.5, 0.75, 60  # fixed values
-#: Query vectors that are broadcast at a time; more go through in groups.
-QUERY_BLOCK = 4_096
+#: Queries and vectors that a task compares at a time.
+QUERY_BLOCK, VECTOR_BLOCK = 1_024, 1_000
+#: Parts of a token's postings.
+TOKEN_PARTS = 16
 
 
 def top(rows: DataFrame, score: str, k: int, tie: list, rank: str) -> DataFrame:
@@ -27,49 +30,66 @@ def top(rows: DataFrame, score: str, k: int, tie: list, rank: str) -> DataFrame:
 def dense(queries: DataFrame, vectors: DataFrame, k: int = 20, measure: str = "ip", digits: int = 6) -> DataFrame:
     """(query_id, id, dense_score, dense_rank): exact search over ``vectors`` (id,
     vector) for ``queries`` (query_id, vector).  ip: inner product; l2: 1 / (1 +
-    squared distance).  Queries go in blocks of QUERY_BLOCK, each broadcast."""
-    blocks = 1 + max(queries.count() - 1, 0) // QUERY_BLOCK
-    out = None
+    squared distance).  Every block of queries meets every block of vectors by key, so
+    a task compares QUERY_BLOCK by VECTOR_BLOCK whatever their numbers, and keeps ``k``."""
+    blocks, parts = 1 + queries.count() // QUERY_BLOCK, 1 + vectors.count() // VECTOR_BLOCK
     q, v = F.col("q"), F.col("v").cast("array<double>")
     if measure == "ip":
         score = F.aggregate(F.zip_with(q, "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     else:
         score = 1 / (1 + F.aggregate(F.zip_with(q, "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    corpus = vectors.select("id", F.col("vector").cast("array<double>").alias("v"))
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("q"))
-    for block in range(blocks):
-        own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        rows = corpus.join(F.broadcast(own)).select("query_id", "id", F.round(score, digits).alias("dense_score"))
-        found = top(rows, "dense_score", k, ["id"], "dense_rank")
-        out = found if out is None else out.unionByName(found)
-    return out
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    corpus = vectors.select("id", F.col("vector").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part")).withColumn("block", every(blocks))
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).withColumn("part", every(parts))
+    rows = corpus.join(asked, ["part", "block"]).select("query_id", "id", F.round(score, digits).alias("dense_score"))
+    return top(rows, "dense_score", k, ["id"], "dense_rank")
 
 
-def postings(documents: DataFrame) -> DataFrame:
-    """(id, token, tf, length) of ``documents`` (id, text): the inverted index.
-    Written once, sorted by token, it serves all later queries."""
+#: The token by which a document without any is in the index too.
+EVERY = ""
+
+
+def inverted(documents: DataFrame) -> DataFrame:
+    """(id, token, tf, length) of ``documents`` (id, text), and a row with the token
+    EVERY for each document: one pass over the texts gives postings and facts."""
     rows = documents.select("id", T.lexical_tokens(F.col("text")).alias("tokens"))
-    return rows.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("token")).groupBy("id", "length", "token").agg(F.count("*").alias("tf"))
+    each = rows.select("id", F.size("tokens").alias("length"), F.explode(F.concat("tokens", F.array(F.lit(EVERY)))).alias("token"))
+    return each.groupBy("id", "length", "token").agg(F.count("*").alias("tf"))
+
+
+def index_of(documents: DataFrame) -> DataFrame:
+    """The index as a written table, dealt and sorted by token: it serves all later
+    queries, which read only the files' row groups of their tokens."""
+    return save(inverted(documents).repartition("token", F.pmod(F.xxhash64("id"), F.lit(TOKEN_PARTS))).sortWithinPartitions("token"), "postings")
+
+
+def postings(documents: DataFrame) -> DataFrame:
+    return inverted(documents).where(F.col("token") != EVERY)
 
 
 def corpus_facts(documents: DataFrame) -> DataFrame:
     """One row: n (documents) and average (tokens, 1 at least)."""
-    rows = documents.select(F.size(T.lexical_tokens(F.col("text"))).alias("length"))
-    return rows.agg(F.count("*").alias("n"), F.greatest(F.avg("length"), F.lit(1.0)).alias("average"))
+    return _facts(documents.select(F.size(T.lexical_tokens(F.col("text"))).alias("length")))
+
+
+def _facts(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count("*").alias("n"), F.greatest(F.avg("length"), F.lit(1.0)).alias("average"))
 
 
 def lexical(queries: DataFrame, documents: DataFrame, k: int = 20, digits: int = 6, index: DataFrame | None = None) -> DataFrame:
     """(query_id, id, lexical_score, lexical_rank): BM25 of ``queries`` (query_id,
     question) over ``documents`` (id, text); documents without a shared token don't
     appear.  A query's tokens are joined to the postings before anything else, so
-    only matching postings are counted and scored."""
+    only matching postings are counted and scored.  A token's postings are joined in
+    TOKEN_PARTS parts, so a word of every document loads no single task."""
     asked = queries.select("query_id", F.explode(T.lexical_tokens(F.col("question"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
+    index = index_of(documents) if index is None else index
+    facts = _facts(index.where(F.col("token") == EVERY))
     used = asked.select("token").distinct()
-    index = postings(documents) if index is None else index
-    kept = index.join(used, "token", "left_semi")
-    df = kept.groupBy("token").agg(F.count("*").alias("df"))
-    facts = corpus_facts(documents)
-    rows = asked.join(kept, "token").join(df, "token").join(F.broadcast(facts))
+    df = index.join(used, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    weighed = asked.join(df, "token").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(TOKEN_PARTS - 1))))
+    kept = index.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(TOKEN_PARTS)).cast("int"))
+    rows = kept.join(weighed, ["token", "part"]).join(F.broadcast(facts))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     length = F.greatest("length", F.lit(1)) / F.col("average")
     part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length))

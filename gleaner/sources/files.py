@@ -100,19 +100,6 @@ def latest_by_id(chunks: DataFrame) -> DataFrame:
     return chunks.join(last, ["chunk_id", "position"], "left_semi")
 
 
-def debug_json(results: DataFrame) -> DataFrame:
-    """(query_id, stage, json): each result without nulls, empty strings or arrays."""
-    kept = []
-    for name, kind in results.dtypes:
-        if name in ("query_id", "stage", "rank"):
-            continue
-        c = F.col(name)
-        kept.append(F.when(F.size(c) > 0, c).alias(name) if kind.startswith(("array", "map")) else F.nullif(c, F.lit("")).alias(name) if kind == "string" else c)
-    rows = results.select("query_id", "stage", "rank", F.to_json(F.struct(*kept)).alias("j"))
-    out = rows.groupBy("query_id", "stage").agg(F.array_sort(F.collect_list(F.struct("rank", "j"))).alias("x"))
-    return out.select("query_id", "stage", F.concat(F.lit("["), F.array_join(F.col("x.j"), ","), F.lit("]")).alias("json"))
-
-
 def inspection_markdown(audit: DataFrame, preview: int = 400, full: bool = False) -> DataFrame:
     """(index, markdown): a section for each audited chunk."""
     labelled = {"page": "page_label", "chars": "char_length", "tokens": "estimated_tokens", "overlap": "overlap_with_previous_chars", "gap": "gap_from_previous_chars", "section": "section", "product": "product"}

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session, else the context's checkpoint
-    folder, else (tests) one in /tmp."""
+    folder, else, on a local master only, one in /tmp."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     return (folder or "/tmp/checkpoints/gleaner").rstrip("/")
 
 
@@ -20,3 +22,10 @@ def save(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/gleaner-tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_saved(spark: SparkSession) -> None:
+    """Removes every table that save() wrote; call it when no result that reads them is
+    needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/gleaner-tables")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
