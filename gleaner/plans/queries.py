@@ -139,43 +139,65 @@ def text_headings(spark, sf_dir):
     return all_texts(spark, sf_dir).select("id", T.section_of(text).alias("section"), T.title_of(text).alias("title"), T.heading_level(text).cast("int").alias("heading_level"))
 
 
-_ID_ROWS = [(-1, "manual", "P05D00107-00", "P05D00107-00", "STM32F407", "ST", "ST STM32F407"), (-2, "faq", "", "", "RK3568", "Rockchip", "RK3568"), (-3, "datasheet", "", "", "i.MX8M 支援四個串口", "NXP", "i.MX8M 支援四個串口"), (-4, "datasheet", "", "", "i.MX8M Mini", "NXP", "i.MX8M Mini"), (-5, "document", "", "", "RTL8111,RZ/G2L", "ST,Rockchip,NXP,Realtek,Renesas", "RTL8111"), (-6, "document", "", "", "", "", ""), (-7, "document", "", "", "", "", "")]
+IDENTITIES = """idents AS (SELECT p_partkey AS id, 'P' || lpad(CAST(p_size AS VARCHAR), 2, '0') || 'D' || lpad(CAST(p_partkey % 100000 AS VARCHAR), 5, '0') AS code, p_partkey % 4 AS kind, p_size FROM part)"""
 
 
-@query(f"SELECT * FROM {X.values([(a, 'document' if a == -3 else b, *r) for a, b, *r in _ID_ROWS], 't', 'id, doc_type, text_codes, source_codes, chips, vendors, product')}")
+@query(
+    f"""WITH {IDENTITIES}
+SELECT id, CASE WHEN p_size % 3 = 0 THEN 'manual' WHEN p_size % 3 = 1 THEN 'faq' ELSE 'datasheet' END AS doc_type, CASE WHEN kind = 0 THEN code ELSE '' END AS text_codes, code AS source_codes,
+  CASE kind WHEN 0 THEN 'STM32F' || (400 + p_size) WHEN 1 THEN 'RK' || (3500 + p_size) WHEN 2 THEN 'RTL' || (8100 + p_size) ELSE '' END AS chips,
+  CASE kind WHEN 0 THEN 'ST' WHEN 1 THEN 'Rockchip' WHEN 2 THEN 'Realtek' ELSE '' END AS vendors,
+  CASE kind WHEN 0 THEN 'ST STM32F' || (400 + p_size) WHEN 1 THEN 'RK' || (3500 + p_size) WHEN 2 THEN 'RTL' || (8100 + p_size) ELSE code END AS product FROM idents"""
+)
 def product_identity(spark, sf_dir):
-    rows = X.texts(spark).withColumn("chips", T.chip_models(F.col("text"))).withColumn("own", T.product_codes(F.col("text"))).withColumn("named", T.product_codes(F.regexp_replace("source", "_", " ")))
+    """Every part as a file whose name holds its code, and a text with a chip or none."""
+    size, kind = F.col("p_size"), F.col("p_partkey") % 4
+    code = F.concat(F.lit("P"), F.lpad(size.cast("string"), 2, "0"), F.lit("D"), F.lpad((F.col("p_partkey") % 100_000).cast("string"), 5, "0"))
+    name = F.when(size % 3 == 0, "manual").when(size % 3 == 1, "faq").otherwise("datasheet")
+    chip = F.when(kind == 0, F.concat(F.lit("STM32F"), (size + 400).cast("string"))).when(kind == 1, F.concat(F.lit("RK"), (size + 3500).cast("string"))).when(kind == 2, F.concat(F.lit("RTL"), (size + 8100).cast("string"))).otherwise("nothing")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(code, F.lit("_"), name, F.lit(".pdf")).alias("source"), F.concat(F.lit("A board of "), chip, F.when(kind == 0, F.concat(F.lit(", code "), code)).otherwise("")).alias("text"))
+    rows = rows.withColumn("chips", T.chip_models(F.col("text"))).withColumn("own", T.product_codes(F.col("text"))).withColumn("named", T.product_codes(F.regexp_replace("source", "_", " ")))
     rows = rows.withColumn("vendors", T.vendors_of(F.col("text"), F.col("chips"))).withColumn("codes", F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("named")))
-    return rows.select(F.col("id").cast("int").alias("id"), T.doc_type(F.col("source")).alias("doc_type"), F.array_join("own", ",").alias("text_codes"), F.array_join("named", ",").alias("source_codes"), F.array_join("chips", ",").alias("chips"), F.array_join("vendors", ",").alias("vendors"), T.primary_product(F.col("chips"), F.col("vendors"), F.col("codes")).alias("product"))
+    return rows.select("id", T.doc_type(F.col("source")).alias("doc_type"), F.array_join("own", ",").alias("text_codes"), F.array_join("named", ",").alias("source_codes"), F.array_join("chips", ",").alias("chips"), F.array_join("vendors", ",").alias("vendors"), T.primary_product(F.col("chips"), F.col("vendors"), F.col("codes")).alias("product"))
 
 
-_TABLES = [(1, [["Name", "Value"], ["RAM", "2GB"], ["", ""], ["Flash", None]], "Table: Table 1\nRow 1:\nName: RAM\nValue: 2GB\nRow 2:\nName: Flash"), (2, [["1", "2"], ["3"]], "Table: Table 2\nRow 1:\nColumn 1: 1\nColumn 2: 2\nRow 2:\nColumn 1: 3"), (3, [["", None]], "")]
+def order_lists(spark, sf_dir):
+    """id, and the flags, states and quantities of an order's lines in order."""
+    own = F.struct("l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", F.col("l_quantity").cast("int").cast("string").alias("quantity"), F.col("l_partkey").cast("string").alias("part"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(own)).alias("x"))
 
 
-@query(f"SELECT * FROM {X.values([(a, c) for a, _, c in _TABLES], 't', 'id, text')}")
+@query(
+    """WITH l AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus, CAST(CAST(l_quantity AS INT) AS VARCHAR)) AS n, l_partkey, CAST(l_quantity AS INT) AS q, l_linenumber % 3 = 0 AS bare FROM lineitem)
+SELECT id, 'Table: Table ' || id || string_agg(chr(10) || 'Row ' || n || ':' || chr(10) || 'Part: ' || l_partkey || CASE WHEN bare THEN '' ELSE chr(10) || 'Quantity: ' || q END, '' ORDER BY n) AS text FROM l GROUP BY id"""
+)
 def table_rows(spark, sf_dir):
-    rows = spark.createDataFrame([(a, b) for a, b, _ in _TABLES], "id int, cells array<array<string>>")
+    """Every order as a table of its lines, some with an empty cell."""
+    cells = F.concat(F.array(F.array(F.lit("Part"), F.lit("Quantity"))), F.transform("x", lambda x: F.array(x["part"], F.when(x["l_linenumber"] % 3 == 0, "").otherwise(x["quantity"]))))
+    rows = order_lists(spark, sf_dir).select("id", cells.alias("cells"))
     return rows.select("id", T.table_rows(F.col("cells"), F.col("id")).alias("text"))
 
 
-_LISTS = [(1, [" b", "B", "a  c", "", "A C"], "b|a c"), (2, [], ""), (3, ["x"], "x")]
-
-
-@query(f"SELECT * FROM {X.values([(a, c) for a, _, c in _LISTS], 't', 'id, vals')}")
+@query(
+    """WITH l AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus) AS n, trim(CASE WHEN l_linenumber % 2 = 0 THEN lower(l_returnflag) ELSE l_returnflag END || CASE WHEN l_linestatus = 'O' THEN ' o' ELSE '' END) AS v FROM lineitem),
+f AS (SELECT id, upper(v) AS k, arg_min(v, n) AS v, min(n) AS n FROM l GROUP BY 1, 2) SELECT id, string_agg(v, '|' ORDER BY n) AS vals FROM f GROUP BY id"""
+)
 def ordered_distinct(spark, sf_dir):
-    rows = spark.createDataFrame([(a, b) for a, b, _ in _LISTS], "id int, x array<string>")
-    return rows.select("id", F.array_join(T.unique(F.col("x")), "|").alias("vals"))
+    """The flags of every order's lines, in two spellings, once by upper case."""
+    flag = lambda x: F.concat(F.lit(" "), F.when(x["l_linenumber"] % 2 == 0, F.lower(x["l_returnflag"])).otherwise(x["l_returnflag"]), F.when(x["l_linestatus"] == "O", "  o").otherwise(""))
+    return order_lists(spark, sf_dir).select("id", F.array_join(T.unique(F.transform("x", flag)), "|").alias("vals"))
 
 
-@query("SELECT * FROM (VALUES (1, true, true), (2, false, true), (3, true, false)) AS t(id, subset, overlap)")
+@query("SELECT l_orderkey AS id, bool_and(l_returnflag IN ('A', 'N')) AS subset, bool_or(l_returnflag IN ('A', 'N')) AS overlap FROM lineitem GROUP BY 1")
 def array_subset(spark, sf_dir):
-    rows = spark.createDataFrame([(1, ["a"], ["a", "b"]), (2, ["a", "c"], ["a"]), (3, [], ["a"])], "id int, t array<string>, r array<string>")
-    return rows.select("id", (F.size(F.array_except("t", "r")) == 0).alias("subset"), F.arrays_overlap("t", "r").alias("overlap"))
+    wanted = F.array(F.lit("A"), F.lit("N"))
+    rows = order_lists(spark, sf_dir).select("id", F.col("x.l_returnflag").alias("t"))
+    return rows.select("id", (F.size(F.array_except("t", wanted)) == 0).alias("subset"), F.arrays_overlap("t", wanted).alias("overlap"))
 
 
 # -- pages and sections -----------------------------------------------------------
 
-PAGES = "pg AS (SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page, coalesce(text, '') AS text FROM documents)"
+PAGES = "pg AS (SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page, text FROM (SELECT source || '-' || (doc_id // 100) AS source, doc_id, coalesce(text, '') AS text FROM documents) x)"
 REPEATED = rf"""edges AS (SELECT source, unnest(list_concat(rows[1:2], rows[greatest(length(rows) - 1, 1):length(rows)])) AS line FROM (SELECT source, {sql_lines('text')} AS rows FROM pg) x),
 squeezed AS (SELECT source, regexp_replace(line, '\s+', ' ', 'g') AS line FROM edges),
 repeated AS (SELECT e.source, e.line, count(*) AS n FROM squeezed e WHERE NOT regexp_matches(e.line, '^\d+$') AND length(e.line) >= 3 GROUP BY 1, 2
@@ -326,13 +348,25 @@ def faq_pairs(spark, sf_dir):
 
 # -- specifications ----------------------------------------------------------------
 
-_SPEC_ROW = (3, 2, 1, 2.0, 16.0, "i.MX8M Mini", "Yocto Linux,Linux", "DC 12V", True)
+SHEETS = """sheets AS (SELECT p_partkey AS id, p_size AS n, p_partkey % 5 AS kind FROM part)"""
 
 
-@query("SELECT * FROM (VALUES ('once', 3, 2, 1, 2.0::DOUBLE, 16.0::DOUBLE, 'i.MX8M Mini', 'Yocto Linux,Linux', 'DC 12V', true), ('twice', 3, 2, 1, 2.0::DOUBLE, 16.0::DOUBLE, 'i.MX8M Mini', 'Yocto Linux,Linux', 'DC 12V', true)) AS t(name, uart_count, i2c_count, usb_count, ram_gb, flash_gb, cpu_soc, os_list, power_input, has_lvds)")
+@query(
+    f"""WITH {SHEETS} SELECT id, n % 4 + 1 AS uart_count, CASE WHEN kind = 1 THEN 2 END AS i2c_count, CASE WHEN kind = 2 THEN 1 + n % 3 END AS usb_count, CASE WHEN kind = 3 THEN 1 END AS ethernet_count, CAST(n AS DOUBLE) / CASE WHEN kind = 4 THEN 1024 ELSE 1 END AS ram_gb, CASE WHEN kind = 1 THEN 16.0::DOUBLE END AS flash_gb,
+  'RK' || (3500 + n) AS cpu_soc, CASE WHEN kind = 0 THEN 'Yocto Linux,Linux' ELSE 'Ubuntu ' || n END AS os_list, 'DC 12V' AS power_input, CASE WHEN n % 2 = 0 THEN true END AS has_lvds, 'CPU: RK' || (3500 + n) || ' RAM: ' || n || CASE WHEN kind = 4 THEN 'MB' ELSE 'GB' END || ' LPDDR4 Mini-PCIe with 4 x UART' AS ram_proof, (n % 4 + 1) || ' x UART' AS uart_proof FROM sheets"""
+)
 def spec_extract(spark, sf_dir):
-    rows = spark.createDataFrame([("once", X.SHEET), ("twice", X.SHEET + "\n\n" + X.SHEET)], "name string, text string").select("name", S.extract("text").alias("x"))
-    return rows.select("name", *(f"x.specs.{f}" for f in ("uart_count", "i2c_count", "usb_count", "ram_gb", "flash_gb")), *(F.array_join(f"x.specs.{f}", ",").alias(f) for f in ("cpu_soc", "os_list", "power_input")), "x.specs.has_lvds")
+    """A sheet for every part; every third one twice in one text, as in a parent."""
+    n, kind = F.col("p_size"), F.col("p_partkey") % 5
+    number = lambda c: c.cast("string")
+    more = F.when(kind == 1, "2 x I2C\nFlash: 16GB eMMC").when(kind == 2, F.concat(number(n % 3 + 1), F.lit(" x USB 2.0"))).when(kind == 3, "Ethernet 10/100").otherwise("Size: 12 x 10 mm")
+    system = F.when(kind == 0, "Yocto Linux").otherwise(F.concat(F.lit("Ubuntu "), number(n)))
+    sheet = F.concat_ws("\n", F.concat(F.lit("CPU: RK"), number(n + 3500)), F.concat(F.lit("RAM: "), number(n), F.when(kind == 4, "MB").otherwise("GB"), F.lit(" LPDDR4")), F.lit("Mini-PCIe with 4 x UART"), F.concat(number(n % 4 + 1), F.lit(" x UART")), more, F.concat(F.lit("OS: "), system), F.lit("Power Input: DC 12V"), F.when(n % 2 == 0, "LVDS display"))
+    text = F.when(F.col("p_partkey") % 3 == 0, F.concat(sheet, F.lit("\n\n"), sheet)).otherwise(sheet)
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), S.extract(text).alias("x")).select("id", "x.*")
+    single, lists = ("uart_count", "i2c_count", "usb_count", "ethernet_count", "ram_gb", "flash_gb", "has_lvds"), ("cpu_soc", "os_list", "power_input")
+    proof = lambda f: F.element_at("spec_evidence", f)[0]
+    return rows.select("id", *(f"specs.{f}" for f in single), *(F.array_join(f"specs.{f}", ",").alias(f) for f in lists), proof("ram_gb").alias("ram_proof"), proof("uart_count").alias("uart_proof"))
 
 
 def _cap_sql(include: str, exclude: str) -> str:
@@ -350,19 +384,29 @@ def spec_capacity(spark, sf_dir):
     return all_texts(spark, sf_dir).select("id", S.native_capacity(text, "ram_gb").alias("ram_gb"), S.native_capacity(text, "flash_gb").alias("flash_gb"), S.native_flag(text, "has_lvds").alias("has_lvds"), S.native_flag(text, "has_mipi_dsi").alias("has_mipi_dsi"))
 
 
-@query(f"SELECT query_id, ord, field, op, val FROM {X.values(X.CONDITIONS, 't', 'query_id, ord, field, op, val')}")
+@query(
+    """SELECT p_partkey AS query_id, ord, field, op, val FROM part, (VALUES (0, 1, 'uart_count', '>='), (1, 1, 'ram_gb', '>='), (2, 1, 'has_lvds', '=='), (2, 2, 'os_list', 'contains'), (3, 1, 'spi_count', '<='), (4, 1, 'cpu_soc', 'contains'), (4, 2, 'vendor', 'contains'), (5, 1, 'flash_gb', '>='), (5, 2, 'can_count', '>=')) AS c(kind, ord, field, op),
+  LATERAL (SELECT CASE c.field WHEN 'has_lvds' THEN 'true' WHEN 'os_list' THEN 'Yocto' WHEN 'cpu_soc' THEN 'RK' || (3500 + p_size) WHEN 'vendor' THEN 'NXP' WHEN 'flash_gb' THEN CAST(CAST(p_size AS DOUBLE) / 2 AS VARCHAR) WHEN 'can_count' THEN '1.0' ELSE p_size || '.0' END AS val) v WHERE c.kind = p_partkey % 6"""
+)
 def plan_conditions(spark, sf_dir):
+    """A question for every part, in six kinds."""
+    n, kind = F.col("p_size").cast("string"), F.col("p_partkey") % 6
+    asked = F.when(kind == 0, F.concat(n, F.lit(" x UART ports"))).when(kind == 1, F.concat(F.lit("RAM "), n, F.lit("GB 以上"))).when(kind == 2, "支援 LVDS, runs Yocto").when(kind == 3, F.concat(F.lit("SPI "), n, F.lit(" 個以下")))
+    asked = asked.when(kind == 4, F.concat(F.lit("the RK"), (F.col("p_size") + 3500).cast("string"), F.lit(" of NXP?"))).otherwise(F.concat((F.col("p_size") * 512).cast("string"), F.lit("MB Flash, supports CAN")))
     value = F.coalesce(F.col("num_value").cast("string"), F.col("bool_value").cast("string"), "str_value")
-    return planner.conditions_of(X.questions(spark)).select("query_id", "ord", "field", "op", value.alias("val"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), asked.alias("question"))
+    return planner.conditions_of(rows).select("query_id", "ord", "field", "op", value.alias("val"))
 
 
-_OPS = [("3 個以上", ">="), ("不超過", ">"), ("不少於", ">="), ("小於等於", "<="), ("=", "=="), ("少於", "<"), ("none", "")]
+_OPS = {0: ("以上", ">="), 1: ("不超過", ">"), 2: ("不少於", ">="), 3: ("小於等於", "<="), 4: ("=", "=="), 5: ("少於", "<"), 6: ("none", "")}
 
 
-@query(f"SELECT * FROM {X.values(_OPS, 't', 'text, op')}")
+@query(f"SELECT l_orderkey * 10 + l_linenumber AS id, CASE l_partkey % 7 {' '.join(f'WHEN {k} THEN {X.quoted(op)}' for k, (_, op) in _OPS.items())} END AS op FROM lineitem")
 def comparators(spark, sf_dir):
-    rows = spark.createDataFrame([(t,) for t, _ in _OPS], "text string")
+    """Every order line's quantity with a comparator's word behind it."""
+    word = F.element_at(F.create_map(*(F.lit(x) for k, (w, _) in _OPS.items() for x in (k, w))), (F.col("l_partkey") % 7).cast("int"))
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.concat(F.col("l_quantity").cast("string"), F.lit(" 個"), word).alias("text"))
     op = F.lit("")
     for name, pattern in reversed(planner.COMPARATORS.items()):
         op = F.when(F.col("text").rlike(pattern), name).otherwise(op)
-    return rows.select("text", op.alias("op"))
+    return rows.select("id", op.alias("op"))

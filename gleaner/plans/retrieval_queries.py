@@ -9,6 +9,7 @@ from gleaner.functions import display as D
 from gleaner.functions import text as T
 from gleaner.operators import evaluate, expand, inspect, planner, products, prompts, ranking, retrieval
 from gleaner.plans import fixtures as X
+from gleaner.plans import reports
 from gleaner.plans import retrieve as R
 from gleaner.plans.queries import LEXICAL, STRIDES, own_chunks, query, strides, table
 from gleaner.sources import files
@@ -21,16 +22,18 @@ def vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
-def vector_queries(spark, sf_dir, n: int = 5):
-    return vectors(spark, sf_dir).where(F.col("id") < n).select(F.col("id").alias("query_id"), "vector")
+def vector_queries(spark, sf_dir):
+    """The stated query set: vectors whose id is divisible by 100, against all."""
+    return vectors(spark, sf_dir).where(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), "vector")
 
 
 _DOT = "list_sum(list_transform(range(1, length(a.embedding) + 1), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE)))"
 _L2 = "1 / (1 + list_sum(list_transform(range(1, length(a.embedding) + 1), lambda i: (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) * (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)))))"
 
 
-def _dense_sql(score: str, name: str = "dense") -> str:
-    return f"{name} AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, id) AS INT) AS dense_rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round({score}, 6) AS dense_score FROM embeddings a, embeddings b WHERE a.vec_id < 5) x) y WHERE dense_rank <= 20)"
+def _dense_sql(score: str, asked: str = "a.vec_id % 100 = 0") -> str:
+    return f"""dense AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, id) AS INT) AS dense_rank
+  FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round({score}, 6) AS dense_score FROM embeddings a, embeddings b WHERE {asked}) x) y WHERE dense_rank <= 20)"""
 
 
 @query(f"WITH {_dense_sql(_DOT)} SELECT * FROM dense")
@@ -47,21 +50,25 @@ def searched(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def asked_items(spark, sf_dir, n: int | None = None):
-    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    return rows if n is None else rows.where(F.col("query_id") < n)
+def asked_items(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
-BM25 = f"""dt AS (SELECT doc_id AS id, {LEXICAL.format("coalesce(text, '')")} AS toks FROM documents),
+def bm25_sql(texts: str, asked: str) -> str:
+    """``texts``: a SELECT of id, text; ``asked``: one of query_id, text."""
+    return f"""dt AS (SELECT id, {LEXICAL.format("text")} AS toks FROM ({texts}) tx),
 dl AS (SELECT id, length(toks) AS n FROM dt), facts AS (SELECT count(*) AS n, greatest(avg(n), 1) AS average FROM dl),
 post AS (SELECT id, token, count(*) AS tf FROM (SELECT id, unnest(toks) AS token FROM dt) x GROUP BY 1, 2),
 dfs AS (SELECT token, count(*) AS df FROM post GROUP BY 1),
-qt AS (SELECT query_id, token, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({LEXICAL.format('text')}) AS token FROM benchmark) x GROUP BY 1, 2),
+qt AS (SELECT query_id, token, count(*) AS qtf FROM (SELECT query_id, unnest({LEXICAL.format('text')}) AS token FROM ({asked}) ax) x GROUP BY 1, 2),
 sc AS (SELECT q.query_id, p.id, round(sum(q.qtf * ln(1 + (f.n - d.df + 0.5) / (d.df + 0.5)) * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * greatest(l.n, 1) / f.average))), 6) AS lexical_score
   FROM qt q JOIN post p USING (token) JOIN dfs d USING (token) JOIN dl l ON l.id = p.id, facts f GROUP BY 1, 2),
 bm25 AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY lexical_score DESC, id) AS INT) AS lexical_rank FROM sc WHERE lexical_score > 0) x WHERE lexical_rank <= 20)"""
 
 
+BM25 = bm25_sql("SELECT doc_id AS id, coalesce(text, '') AS text FROM documents", "SELECT item_id AS query_id, text FROM benchmark")
+
+
 @query(f"WITH {BM25} SELECT query_id, id, lexical_score, lexical_rank FROM bm25")
 def bm25_topk(spark, sf_dir):
     return retrieval.lexical(asked_items(spark, sf_dir), searched(spark, sf_dir))
@@ -78,16 +85,17 @@ def term_df(spark, sf_dir):
 
 
 FUSED = """both_ AS (SELECT coalesce(d.query_id, l.query_id) AS query_id, coalesce(d.id, l.id) AS id, coalesce(dense_score, 0.0) AS dense_score, dense_rank, coalesce(lexical_score, 0.0) AS lexical_score, lexical_rank,
-  round(coalesce(1.0 / (60 + dense_rank), 0) + coalesce(1.0 / (60 + lexical_rank), 0), 6) AS hybrid_score FROM dense d FULL OUTER JOIN (SELECT * FROM bm25 WHERE query_id < 5) l ON d.query_id = l.query_id AND d.id = l.id),
+  round(coalesce(1.0 / (60 + dense_rank), 0) + coalesce(1.0 / (60 + lexical_rank), 0), 6) AS hybrid_score FROM dense d FULL OUTER JOIN bm25 l ON d.query_id = l.query_id AND d.id = l.id),
 fused AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, dense_rank NULLS LAST, lexical_rank NULLS LAST, id) AS INT) AS hybrid_rank FROM both_) x WHERE hybrid_rank <= 20)"""
 
 
-@query(f"WITH {_dense_sql(_DOT)}, {BM25}, {FUSED} SELECT query_id, id, dense_rank, lexical_rank, hybrid_score, hybrid_rank FROM fused")
+@query(f"WITH {_dense_sql(_DOT, 'a.vec_id IN (SELECT item_id FROM benchmark)')}, {BM25}, {FUSED} SELECT query_id, id, dense_rank, lexical_rank, hybrid_score, hybrid_rank FROM fused")
 def rrf_fusion(spark, sf_dir):
-    """Documents and vectors share ids; items 0 to 4 are the questions of vectors 0
-    to 4."""
-    lexical = retrieval.lexical(asked_items(spark, sf_dir, 5), searched(spark, sf_dir))
-    fused = retrieval.fuse(retrieval.dense(vector_queries(spark, sf_dir), vectors(spark, sf_dir)), lexical)
+    """Documents and vectors share ids, and an item's vector is the one with its id."""
+    asked = asked_items(spark, sf_dir)
+    lexical = retrieval.lexical(asked, searched(spark, sf_dir))
+    named = vectors(spark, sf_dir).withColumnRenamed("id", "query_id").join(asked.select("query_id"), "query_id", "left_semi")
+    fused = retrieval.fuse(retrieval.dense(named, vectors(spark, sf_dir)), lexical)
     return fused.select("query_id", "id", "dense_rank", "lexical_rank", "hybrid_score", "hybrid_rank")
 
 
@@ -111,33 +119,45 @@ def part_chunks(spark, sf_dir):
     )
 
 
-#: What the questions of X.QUESTIONS ask for.
-_ASKED = [(1, "NXP", "", True), (2, "", "", False), (3, "", "", False), (4, "", "", False), (5, "", "", False), (6, "", "", True), (7, "", "", False), (8, "Renesas", "", True), (9, "", "RK3568", True), (10, "", "", False)]
-ASKED = f"asked AS (SELECT query_id, question, CASE WHEN v = '' THEN [] ELSE [v] END AS av, CASE WHEN c = '' THEN [] ELSE [c] END AS ac, w FROM {X.values(_ASKED, 'a', 'query_id, v, c, w')} JOIN {X.values(X.QUESTIONS, 'q', 'query_id, question')} USING (query_id))"
+#: A question for every nation, of four kinds, and what it asks for.
+ASKED = """asked AS (SELECT n_nationkey AS query_id, CASE n_nationkey % 4 WHEN 0 THEN 'Which ' || ['NXP', 'Rockchip', 'ST', 'Realtek', 'Renesas'][CAST(n_nationkey % 5 + 1 AS INT)] || ' products support LVDS' WHEN 1 THEN 'list RK' || (3500 + n_nationkey) || ' boards with RAM 4GB' WHEN 2 THEN 'how thick is the board' ELSE 'Which boards can support Yocto?' END AS question,
+  CASE WHEN n_nationkey % 4 = 0 THEN [['NXP', 'Rockchip', 'ST', 'Realtek', 'Renesas'][CAST(n_nationkey % 5 + 1 AS INT)]] ELSE [] END AS av, CASE WHEN n_nationkey % 4 = 1 THEN ['RK' || (3500 + n_nationkey)] ELSE [] END AS ac, n_nationkey % 4 <> 2 AS w FROM nation)"""
+
+
+def nation_questions(spark, sf_dir):
+    n = F.col("n_nationkey")
+    vendor = F.element_at(F.array(*map(F.lit, T.VENDORS)), (n % 5 + 1).cast("int"))
+    asked = F.when(n % 4 == 0, F.concat(F.lit("Which "), vendor, F.lit(" products support LVDS"))).when(n % 4 == 1, F.concat(F.lit("list RK"), (n + 3500).cast("string"), F.lit(" boards with RAM 4GB"))).when(n % 4 == 2, "how thick is the board").otherwise("Which boards can support Yocto?")
+    return table(spark, sf_dir, "nation").select(n.alias("query_id"), asked.alias("question"))
+
+
 BONUS = """(CASE WHEN length(av) = 0 AND length(ac) = 0 THEN 0.0 ELSE (CASE WHEN length(ac) = 0 THEN 0 WHEN list_has_any(ac, chip_models) THEN 4 WHEN length(chip_models) > 0 THEN -4 ELSE 0 END
   + CASE WHEN length(av) = 0 THEN 0 WHEN list_contains(vendors, av[1]) THEN 3 ELSE -3 END) * CASE WHEN w THEN 2.0 ELSE 1.0 END
   + CASE WHEN w AND (length(product_codes) > 0 OR length(chip_models) > 0 OR product <> '') THEN 1.0 ELSE 0 END + CASE WHEN length(product_codes) > 0 AND length(chip_models) > 0 THEN 0.5 ELSE 0 END END)"""
 
 
-@query(f"SELECT query_id, vendors, chips, wants_list FROM {X.values(_ASKED, 'a', 'query_id, vendors, chips, wants_list')}")
+@query(f"WITH {ASKED} SELECT query_id, array_to_string(av, ',') AS vendors, array_to_string(ac, ',') AS chips, w AS wants_list FROM asked")
 def question_intents(spark, sf_dir):
-    rows = ranking.intents(X.questions(spark))
+    rows = ranking.intents(nation_questions(spark, sf_dir))
     return rows.select("query_id", F.array_join("asked_vendors", ",").alias("vendors"), F.array_join("asked_chips", ",").alias("chips"), "wants_list")
 
 
-@query(f"WITH {PARTS}, {ASKED} SELECT query_id, id, CAST({BONUS} AS DOUBLE) AS bonus FROM asked, pc WHERE position % 10 = query_id % 10")
+@query(f"WITH {PARTS}, {ASKED} SELECT query_id, id, CAST({BONUS} AS DOUBLE) AS bonus FROM asked, pc")
 def metadata_bonus(spark, sf_dir):
-    rows = part_chunks(spark, sf_dir).join(ranking.intents(X.questions(spark)), F.col("position") % 10 == F.col("query_id") % 10)
+    """A question for every nation against every part."""
+    rows = part_chunks(spark, sf_dir).join(F.broadcast(ranking.intents(nation_questions(spark, sf_dir))))
     return rows.select("query_id", "id", ranking.bonus().alias("bonus"))
 
 
-CANDIDATES = "cand AS (SELECT query_id, id, round(1.0 / (60 + position), 6) AS hybrid_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY position) AS INT) AS hybrid_rank FROM asked, pc WHERE position % (query_id + 3) = 0 AND position <= 120)"
+_META_SQL = "concat_ws(chr(10), 'Title: ' || nullif(title, ''), 'Section: ' || nullif(section, ''), 'Product: ' || nullif(product, ''), 'Product codes: ' || nullif(array_to_string(product_codes, ', '), ''), 'Chip models: ' || nullif(array_to_string(chip_models, ', '), ''), 'Vendors: ' || nullif(array_to_string(vendors, ', '), ''), 'Table context: ' || nullif(table_context, ''), 'List structure: ' || nullif(list_structure, ''), 'Content: ' || nullif(text, ''))"
+
+CANDIDATES = bm25_sql(f"SELECT id, {_META_SQL} AS text FROM pc", "SELECT query_id, question AS text FROM asked") + ", cand AS (SELECT query_id, id, round(1.0 / (60 + lexical_rank), 6) AS hybrid_score, lexical_rank AS hybrid_rank FROM bm25)"
 
 
 def candidates(spark, sf_dir):
-    rows = part_chunks(spark, sf_dir).select("id", "position").join(X.questions(spark).select("query_id"), (F.col("position") % (F.col("query_id") + 3) == 0) & (F.col("position") <= 120))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("position"))
-    return rows.select("query_id", "id", F.round(F.lit(1.0) / (F.col("position") + 60), 6).alias("hybrid_score"), rank.alias("hybrid_rank"))
+    """What lexical search over all parts finds."""
+    rows = retrieval.lexical(nation_questions(spark, sf_dir), ranking.searchable(part_chunks(spark, sf_dir)))
+    return rows.select("query_id", "id", F.round(F.lit(1.0) / (F.col("lexical_rank") + 60), 6).alias("hybrid_score"), F.col("lexical_rank").alias("hybrid_rank"))
 
 
 INJECTED = f"""wanted AS (SELECT query_id, id, position, {BONUS} AS bonus FROM asked, pc WHERE w AND length(av) + length(ac) > 0 AND (length(ac) = 0 OR list_has_any(ac, chip_models)) AND (length(av) = 0 OR list_has_any(av, vendors)) AND (product <> '' OR length(product_codes) > 0 OR length(chip_models) > 0)),
@@ -148,13 +168,10 @@ inj AS (SELECT m.query_id, m.id, metadata_vendor_match, CAST(hybrid_score AS DOU
 
 @query(f"WITH {PARTS}, {ASKED}, {CANDIDATES}, {INJECTED} SELECT query_id, id, metadata_vendor_match, round(hybrid_score, 6) AS hybrid_score, hybrid_rank FROM inj")
 def candidate_injection(spark, sf_dir):
-    rows = ranking.inject(candidates(spark, sf_dir), part_chunks(spark, sf_dir), ranking.intents(X.questions(spark)))
+    rows = ranking.inject(candidates(spark, sf_dir), part_chunks(spark, sf_dir), ranking.intents(nation_questions(spark, sf_dir)))
     return rows.select("query_id", "id", "metadata_vendor_match", F.round("hybrid_score", 6).alias("hybrid_score"), "hybrid_rank")
 
 
-_META_SQL = "concat_ws(chr(10), 'Title: ' || nullif(title, ''), 'Section: ' || nullif(section, ''), 'Product: ' || nullif(product, ''), 'Product codes: ' || nullif(array_to_string(product_codes, ', '), ''), 'Chip models: ' || nullif(array_to_string(chip_models, ', '), ''), 'Vendors: ' || nullif(array_to_string(vendors, ', '), ''), 'Table context: ' || nullif(table_context, ''), 'List structure: ' || nullif(list_structure, ''), 'Content: ' || nullif(text, ''))"
-
-
 @query(f"WITH {PARTS} SELECT id, {_META_SQL} AS text FROM pc")
 def metadata_text(spark, sf_dir):
     rows = part_chunks(spark, sf_dir)
@@ -168,7 +185,7 @@ rr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_s
 
 
 def reranked(spark, sf_dir):
-    asked, chunks = ranking.intents(X.questions(spark)), part_chunks(spark, sf_dir)
+    asked, chunks = ranking.intents(nation_questions(spark, sf_dir)), part_chunks(spark, sf_dir)
     return ranking.rerank(ranking.inject(candidates(spark, sf_dir), chunks, asked), chunks, asked)
 
 
@@ -257,21 +274,53 @@ def structured_rank(spark, sf_dir):
     return planner.rank_products(planner.structured_filter(table_, conditions(spark)), table_, ranks).select("query_id", "place", "label", "first_rank")
 
 
-_PLAN_TEXT = "Structured query plan:\n- uart_count >= 3\n- vendor contains NXP\n\nFiltered matching products:\n1. board: cpu_soc=i.MX8M Mini, uart_count=3, vendor=NXP\n- cpu_soc: board.pdf p.1: CPU: NXP i.MX8M Mini\n- uart_count: board.pdf p.1: 3 x UART"
+_CONDITION_LINE = "'- ' || field || ' ' || op || ' ' || CASE WHEN n IS NOT NULL THEN CASE WHEN field = 'ram_gb' THEN CAST(n AS VARCHAR) ELSE CAST(CAST(n AS INT) AS VARCHAR) END WHEN b IS NOT NULL THEN CASE WHEN b THEN 'True' ELSE 'False' END ELSE s END"
+_SHOWN = "CASE f.field WHEN 'cpu_soc' THEN 'unknown' WHEN 'uart_count' THEN CAST(p.uart_count AS VARCHAR) WHEN 'usb_count' THEN 'unknown' WHEN 'ram_gb' THEN regexp_replace(CAST(p.ram_gb AS VARCHAR), '\\.0$', '') || 'GB' WHEN 'has_lvds' THEN CASE WHEN p.has_lvds IS NULL THEN 'unknown' WHEN p.has_lvds THEN 'yes' ELSE 'no' END ELSE replace(p.os_list, ',', ', ') END"
+CONTEXT = f"""plans AS (SELECT query_id, string_agg({_CONDITION_LINE}, chr(10) ORDER BY ord) AS plan FROM conds GROUP BY 1),
+fields AS (SELECT query_id, 0 AS o, 'cpu_soc' AS field FROM plans UNION ALL SELECT query_id, min(ord), field FROM conds WHERE field <> 'vendor' GROUP BY query_id, field),
+placed AS (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY label) AS place FROM ok),
+heads AS (SELECT d.query_id, d.place, d.label, string_agg(f.field || '=' || {_SHOWN}, ', ' ORDER BY f.o) || ', vendor=' || any_value(replace(p.vendors, ',', ', ')) AS head FROM placed d JOIN prod p USING (label) JOIN fields f USING (query_id) WHERE d.place <= 20 GROUP BY 1, 2, 3),
+proofs AS (SELECT label, l_linenumber, min(l_orderkey * 10 + l_linenumber) AS at, row_number() OVER (PARTITION BY label ORDER BY min(l_orderkey * 10 + l_linenumber)) AS n FROM spec_rows WHERE has_lvds GROUP BY 1, 2),
+proven AS (SELECT h.query_id, h.place, string_agg(chr(10) || '- has_lvds: ' || h.label || '.pdf p.' || l_linenumber || ': LVDS of ' || h.label, '' ORDER BY n) AS lines FROM heads h JOIN fields f ON f.query_id = h.query_id AND f.field = 'has_lvds' JOIN proofs r ON r.label = h.label AND r.n <= 2 GROUP BY 1, 2),
+blocks AS (SELECT h.query_id, string_agg(h.place || '. ' || h.label || ': ' || h.head || coalesce(p.lines, ''), chr(10) ORDER BY h.place) AS blocks FROM heads h LEFT JOIN proven p ON p.query_id = h.query_id AND p.place = h.place GROUP BY 1),
+shown AS (SELECT query_id, 'Structured query plan:' || chr(10) || plan || chr(10) || chr(10) || 'Filtered matching products:' || chr(10) || coalesce(blocks, '- No product passed all structured conditions.') AS context FROM plans LEFT JOIN blocks USING (query_id))"""
 
 
-@query(f"SELECT 1 AS query_id, {X.quoted(_PLAN_TEXT)} AS context UNION ALL SELECT 2, {X.quoted('Structured query plan:' + chr(10) + '- uart_count >= 99' + chr(10) * 2 + 'Filtered matching products:' + chr(10) + '- No product passed all structured conditions.')}")
+def _filtered(spark, sf_dir):
+    table_ = rolled(spark, sf_dir)
+    asked = conditions(spark)
+    none = spark.createDataFrame([], "query_id int, key string, rank int")
+    return R.Filtered(asked, table_, planner.rank_products(planner.structured_filter(table_, asked), table_, none))
+
+
+@query(f"WITH {ROLLUP}, {FILTERED}, {CONTEXT} SELECT query_id, context FROM shown")
 def structured_context(spark, sf_dir):
-    from gleaner.functions import specs as S
+    f = _filtered(spark, sf_dir)
+    return products.structured_context(f.ranked, f.products, f.conditions)
 
-    rows = spark.createDataFrame([(1, "c1", "board.pdf", 1, X.SHEET)], "position int, chunk_id string, source string, page int, text string")
-    none = F.array().cast("array<string>")
-    rows = rows.withColumn("x", S.extract("text")).select("*", "x.*", *(none.alias(c) for c in ("source_product_codes", "text_product_codes", "product_codes", "chip_models")), F.array(F.lit("NXP")).alias("vendors"), F.lit("").alias("product"))
-    table_ = products.rollup(rows.drop("x"))
-    asked = spark.createDataFrame([(1, 1, "uart_count", ">=", 3.0, None, None, ""), (1, 2, "vendor", "contains", None, None, "NXP", ""), (2, 1, "uart_count", ">=", 99.0, None, None, "")], conditions(spark).schema)
-    none_ranked = spark.createDataFrame([], "query_id int, key string, rank int")
-    ranked = planner.rank_products(planner.structured_filter(table_, asked), table_, none_ranked)
-    return products.structured_context(ranked, table_, asked)
+
+@query(
+    f"""WITH {ROLLUP}, {FILTERED}, {CONTEXT}, o AS (SELECT query_id, max(ord) AS top FROM conds GROUP BY 1)
+SELECT query_id, CAST(ord - top AS INT) AS place, {_CONDITION_LINE} AS line FROM conds JOIN o USING (query_id) UNION ALL SELECT query_id, CAST(place AS INT), '[' || place || '] ' || label || ': ' || head FROM heads
+UNION ALL SELECT query_id, 1, 'No product passed all structured conditions.' FROM plans WHERE query_id NOT IN (SELECT query_id FROM ok)"""
+)
+def printed_products(spark, sf_dir):
+    f = _filtered(spark, sf_dir)
+    return reports.printed_products(f.ranked, f.products, f.conditions)
+
+
+@query(
+    f"""WITH {ROLLUP}, {FILTERED}, {CONTEXT}, q AS (SELECT n_nationkey AS query_id, 'question of ' || n_name AS question FROM nation),
+c AS (SELECT item_id AS query_id, '[Context 1]' || chr(10) || 'source: s' || item_id || '.pdf' || chr(10) || 'page: 1' || chr(10) || 'text: ' || text AS context FROM benchmark)
+SELECT q.query_id, s.query_id IS NOT NULL AS is_structured, CASE WHEN s.query_id IS NOT NULL THEN {X.quoted(prompts.STRUCTURED[0])} || question || {X.quoted(prompts.STRUCTURED[1])} || s.context || {X.quoted(prompts.STRUCTURED[2])}
+  ELSE {X.quoted(prompts.ANSWER[0])} || question || {X.quoted(prompts.ANSWER[1])} || coalesce(c.context, '') || {X.quoted(prompts.ANSWER[2])} END AS prompt FROM q LEFT JOIN shown s USING (query_id) LEFT JOIN c USING (query_id)"""
+)
+def answer_routing(spark, sf_dir):
+    """Questions with conditions get their filtered products, others the contexts found;
+    here a question for every nation, with the benchmark item of its number."""
+    asked = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("question of "), "n_name").alias("question"))
+    found = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("query_id"), F.lit(1).alias("rank"), F.concat(F.lit("s"), F.col("item_id").cast("string"), F.lit(".pdf")).alias("source"), F.lit(1).alias("page"), "text")
+    return R.answer_prompts(asked, found, _filtered(spark, sf_dir))
 
 
 # -- evaluation --------------------------------------------------------------------------
@@ -302,12 +351,51 @@ def eval_stage_summary(spark, sf_dir):
     return evaluate.stage_summary(lexical_ranks(spark, sf_dir))
 
 
-_RANKS3 = [(1, "dense", 2), (1, "rerank", 1), (1, "final", 1), (2, "dense", None), (2, "rerank", 4), (2, "final", None), (3, "dense", 6), (3, "rerank", None), (3, "final", 5)]
+#: Lexical ranks as the dense and hybrid stages; as reranked, by id; the first five of
+#: these are final.
+STAGED = """hits AS (SELECT b.query_id, b.id, lexical_rank AS dense, row_number() OVER (PARTITION BY b.query_id ORDER BY b.id) AS rerank, contains(lower(d.text), lower(q.text)) AS good FROM bm25 b JOIN documents d ON d.doc_id = b.id JOIN benchmark q ON q.item_id = b.query_id),
+first_ AS (SELECT item_id AS query_id, min(dense) FILTER (WHERE good) AS dense, min(dense) FILTER (WHERE good AND dense <= 10) AS hybrid, min(rerank) FILTER (WHERE good) AS rerank, min(rerank) FILTER (WHERE good AND rerank <= 5) AS final, count(h.id) > 0 AS found FROM benchmark LEFT JOIN hits h ON h.query_id = item_id GROUP BY 1),
+staged AS (SELECT query_id, unnest(['dense', 'hybrid', 'rerank', 'final']) AS stage, unnest([dense, hybrid, rerank, final]) AS r, found, coalesce(rerank < coalesce(dense, 2147483647), false) AS rerank_improved_vs_dense, coalesce(final < coalesce(dense, 2147483647), false) AS final_improved_vs_dense FROM first_)"""
 
 
-@query("SELECT 2::BIGINT AS rerank_improved_queries, 0.6667::DOUBLE AS rerank_improved_rate, 0.1945::DOUBLE AS delta_mrr_rerank, 0.3334::DOUBLE AS delta_hit_5_rerank, 2::BIGINT AS final_improved_queries, 0.6667::DOUBLE AS final_improved_rate, 0.1778::DOUBLE AS delta_mrr_final, 0.3334::DOUBLE AS delta_hit_5_final")
+def staged_ranks(spark, sf_dir):
+    items = asked_items(spark, sf_dir)
+    found = retrieval.lexical(items, searched(spark, sf_dir)).join(searched(spark, sf_dir), "id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("id"))
+    found = save(found.withColumn("again", rank).select("query_id", "id", F.col("lexical_rank").alias("rank"), "again", "text"), "staged")
+    stage = lambda name, column, most: found.where(F.col(column) <= most).select("query_id", F.lit(name).alias("stage"), F.col(column).alias("rank"), "text")
+    results = stage("dense", "rank", 20).unionByName(stage("hybrid", "rank", 10)).unionByName(stage("rerank", "again", 20)).unionByName(stage("final", "again", 5))
+    empty = spark.createDataFrame([], evaluate.TARGET)
+    targets = items.select("query_id", *(F.lit(None).cast(f.dataType).alias(f.name) if f.name != "text_contains" else F.col("question").alias("text_contains") for f in empty.schema))
+    stages = spark.createDataFrame([(s,) for s in reports.STAGES], "stage string")
+    return evaluate.first_ranks(results, targets, stages, items), items, results
+
+
+@query(
+    f"""WITH {BM25}, {STAGED}, p AS (SELECT count(*) AS n, {', '.join(f"round(avg(coalesce(1.0 / {s}, 0)), 4) AS m_{s}, round(avg(CASE WHEN {s} <= 5 THEN 1.0 ELSE 0.0 END), 4) AS h_{s}" for s in ('dense', 'rerank', 'final'))}, {', '.join(f"count(*) FILTER (WHERE {s} < coalesce(dense, 2147483647)) AS b_{s}" for s in ('rerank', 'final'))} FROM first_)
+SELECT {', '.join(f"b_{s} AS {s}_improved_queries, round(b_{s} / n, 4) AS {s}_improved_rate, round(m_{s} - m_dense, 4) AS delta_mrr_{s}, round(h_{s} - h_dense, 4) AS delta_hit_5_{s}" for s in ('rerank', 'final'))} FROM p"""
+)
 def eval_improvement(spark, sf_dir):
-    return evaluate.improvement(spark.createDataFrame(_RANKS3, "query_id int, stage string, first_rank int"))
+    return evaluate.improvement(staged_ranks(spark, sf_dir)[0])
+
+
+_HITS = {"dense": (1, 3, 5, 10, 20), "hybrid": (1, 3, 5, 10, 20), "rerank": (1, 3, 5, 10, 20), "final": (1, 3, 5, 10)}
+_HIT_COLUMNS = ", ".join(f"CASE WHEN found {'' if k < 20 else 'AND hits20 '}THEN coalesce(r <= {k}, false) END AS hit_{k}".replace("hits20", "stage <> 'final'") for k in (1, 3, 5, 10, 20))
+
+
+@query(f"WITH {BM25}, {STAGED} SELECT query_id, stage, CAST(r AS INT) AS first_relevant_rank, coalesce(1.0 / r, 0.0) AS mrr, {_HIT_COLUMNS}, rerank_improved_vs_dense, final_improved_vs_dense FROM staged")
+def eval_report(spark, sf_dir):
+    """The report's queries, read back from their JSON."""
+    ranks, items, results = staged_ranks(spark, sf_dir)
+    made = reports.query_reports(ranks, items.withColumnRenamed("question", "query"), results)
+    kind = lambda s: f"{s}:struct<first_relevant_rank:int,mrr:double,{','.join(f'`hit@{k}`:boolean' for k in _HITS[s])}>"
+    read = made.select("query_id", F.from_json("json", f"struct<query:string,stages:struct<{','.join(map(kind, _HITS))}>,rerank_improved_vs_dense:boolean,final_improved_vs_dense:boolean>").alias("x"))
+    out = None
+    for s, cutoffs in _HITS.items():
+        hits = [(F.col(f"x.stages.{s}")[f"hit@{k}"] if k in cutoffs else F.lit(None).cast("boolean")).alias(f"hit_{k}") for k in (1, 3, 5, 10, 20)]
+        own = read.select("query_id", F.lit(s).alias("stage"), F.col(f"x.stages.{s}.first_relevant_rank"), F.col(f"x.stages.{s}.mrr"), *hits, "x.rerank_improved_vs_dense", "x.final_improved_vs_dense")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 # -- inspection and reports ----------------------------------------------------------------
@@ -336,9 +424,9 @@ _BLOCK = """'[Context ' || position || ']' || chr(10) || 'source: ' || source ||
   || chr(10) || 'heading_level: ' || heading_level || CASE WHEN list_structure <> '' THEN chr(10) || 'list_structure: ' || list_structure ELSE '' END || CASE WHEN table_context <> '' THEN chr(10) || 'table_context: ' || table_context ELSE '' END || chr(10) || 'text: ' || text"""
 
 
-@query(f"WITH {PARTS}, b AS (SELECT position % 100 AS query_id, position, {_BLOCK} AS block FROM pc WHERE position <= 1000) SELECT CAST(query_id AS INT) AS query_id, string_agg(block, chr(10) || chr(10) ORDER BY position) AS context FROM b GROUP BY 1")
+@query(f"WITH {PARTS}, b AS (SELECT position // 10 AS query_id, position, {_BLOCK} AS block FROM pc) SELECT CAST(query_id AS INT) AS query_id, string_agg(block, chr(10) || chr(10) ORDER BY position) AS context FROM b GROUP BY 1")
 def context_block(spark, sf_dir):
-    rows = part_chunks(spark, sf_dir).where("position <= 1000").withColumn("rank", F.col("position")).withColumn("query_id", F.col("position") % 100).withColumn("page", F.lit(3))
+    rows = part_chunks(spark, sf_dir).withColumn("rank", F.col("position")).withColumn("query_id", F.floor(F.col("position") / 10).cast("int")).withColumn("page", F.lit(3))
     return prompts.contexts(rows.drop("position"))
 
 
@@ -374,10 +462,21 @@ def printed_results(spark, sf_dir):
     return files.printed(rows.withColumn("start_page", F.lit(3)).withColumn("end_page", F.lit(3) + F.col("heading_level")))
 
 
-@query(f"""WITH {PARTS} SELECT CAST(position % 50 AS INT) AS query_id, 'hybrid' AS stage, '[' || string_agg('{{"id":"' || id || '","chip_models":["' || chip_models[1] || '"],"heading_level":' || heading_level || '}}', ',' ORDER BY position) || ']' AS json FROM pc WHERE length(chip_models) > 0 GROUP BY 1""")
-def debug_export(spark, sf_dir):
-    rows = part_chunks(spark, sf_dir).where("size(chip_models) > 0").select((F.col("position") % 50).alias("query_id"), F.lit("hybrid").alias("stage"), F.col("position").alias("rank"), "id", "chip_models", "tags", "version", "heading_level")
-    return files.debug_json(rows)
+@query(
+    f"""WITH {PARTS}, {ASKED}, {CANDIDATES},
+t AS (SELECT query_id, string_agg('{{"chunk_id":"' || id || '","hybrid_rank":' || hybrid_rank || ',"source":"' || source || '","section":"' || section || '","heading_level":' || heading_level || CASE WHEN length(product_codes) > 0 THEN ',"product_codes":["' || product_codes[1] || '"]' ELSE '' END
+  || CASE WHEN length(chip_models) > 0 THEN ',"chip_models":["' || chip_models[1] || '"]' ELSE '' END || ',"vendors":["' || vendors[1] || '"],"version":""}}', ',' ORDER BY hybrid_rank) AS j FROM cand JOIN pc USING (id) GROUP BY 1)
+SELECT query_id, '{{"schema_version":1,"generated_at":"2026-01-01T00:00:00","question":"' || question || '","args":{{"top_k":"5"}},"stages":{{"dense":[],"hybrid":[' || coalesce(j, '') || '],"rerank":[],"final":[]}},"structured_filter":{{"plan":'
+  || CASE WHEN query_id % 4 = 1 THEN '[{{"field":"ram_gb","op":">=","value":"4.0","text":"RAM 4GB"}}]' ELSE '[]' END || ',"filtered_products":' || CASE WHEN query_id = 1 THEN '[{{"key":"A","label":"a"}}]' ELSE '[]' END || '}}}}' AS json FROM asked LEFT JOIN t USING (query_id)"""
+)
+def debug_payload(spark, sf_dir):
+    """The whole trace of every nation's question, with one plan and one product."""
+    questions = nation_questions(spark, sf_dir)
+    found = candidates(spark, sf_dir).join(part_chunks(spark, sf_dir).drop("title", "product", "tags", "table_context", "list_structure", "text"), "id").withColumn("chunk_id", F.col("id"))
+    results = found.drop("id", "position", "hybrid_score").withColumn("stage", F.lit("hybrid")).withColumn("rank", F.col("hybrid_rank"))
+    plan = planner.conditions_of(questions).where("field = 'ram_gb'")
+    ranked = questions.where("query_id = 1").select("query_id", F.lit(1).alias("place"), F.lit("A").alias("key"), F.lit("a").alias("label"))
+    return reports.trace(questions, results, plan, ranked, {"top_k": "5"}, "2026-01-01T00:00:00")
 
 
 @query()
@@ -409,14 +508,23 @@ def retrieve_structured(spark, sf_dir):
     return R.structured(questions.select("query_id", "question"), chunks, stages)
 
 
-@query()
-def adjacent_expand(spark, sf_dir):
-    chunks = strides(spark, sf_dir).withColumnRenamed("position", "chunk_index")
+def _linked_strides(spark, sf_dir):
     from gleaner.operators.metadata import linked
 
-    linked_ = linked(chunks).withColumn("id", F.col("chunk_id"))
-    hits = linked_.where("chunk_index in (2, 3, 6)").select((F.col("source") % 50).alias("query_id"), "id", F.row_number().over(Window.partitionBy(F.col("source") % 50).orderBy("source", F.desc("chunk_index"))).alias("final_rank"), (F.col("chunk_index") * 1.0).cast("double").alias("rerank_score"))
-    return expand.neighbours(hits, linked_, 2)
+    return linked(strides(spark, sf_dir).withColumnRenamed("position", "chunk_index")).withColumn("id", F.col("chunk_id"))
+
+
+def adjacent_hits(spark, sf_dir):
+    """The ten best stretches of the documents for each benchmark item."""
+    docs = searched(spark, sf_dir).select(F.col("id").alias("source"), "text")
+    stretches = strides(spark, sf_dir).join(docs, "source").select(F.col("chunk_id").alias("id"), F.expr("substring(text, char_start + 1, char_end - char_start)").alias("text"))
+    found = retrieval.lexical(asked_items(spark, sf_dir), stretches, 10)
+    return found.select("query_id", "id", F.col("lexical_rank").alias("final_rank"), F.col("lexical_score").alias("rerank_score"))
+
+
+@query()
+def adjacent_expand(spark, sf_dir):
+    return expand.neighbours(adjacent_hits(spark, sf_dir), _linked_strides(spark, sf_dir), 2)
 
 
 @query()
@@ -427,5 +535,6 @@ def inspection_report(spark, sf_dir):
 
 @query()
 def answer_prompts(spark, sf_dir):
-    questions, _, stages = _retrieved(spark, sf_dir)
-    return R.answer_prompts(questions.select("query_id", "question"), stages["final"])
+    questions, chunks, stages = _retrieved(spark, sf_dir)
+    asked = questions.select("query_id", "question")
+    return R.answer_prompts(asked, stages["final"], R.structured_filter(asked, chunks, stages))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleaner.operators import chunking, expand, metadata, pages, planner, products, prompts, ranking, retrieval, sections
+from gleaner.plans import reports
 from gleaner.sources.tables import save
 
 
@@ -28,10 +29,13 @@ class Options:
     rerank: bool = True
 
 
-def pages_from_documents(documents: DataFrame) -> DataFrame:
-    """``documents`` (doc_id, source, text) as pages: numbered by doc_id within
-    their source."""
+def pages_from_documents(documents: DataFrame, in_file: int = 100) -> DataFrame:
+    """``documents`` (doc_id, source, text) as pages of files: those of a source in
+    stretches of ``in_file`` doc_ids, numbered by doc_id.  A file is bounded, however
+    many documents a source has."""
     number = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    file = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / in_file).cast("string"))
+    documents = documents.withColumn("source", file)
     return documents.select("source", F.concat(F.lit("docs/"), "source", F.lit(".pdf")).alias("file_path"), number.alias("page"), F.coalesce("text", F.lit("")).alias("text"))
 
 
@@ -78,9 +82,18 @@ def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, options:
     return {"dense": dense, "hybrid": hybrid, "rerank": ranked, "final": final}
 
 
-def structured(queries: DataFrame, chunks: DataFrame, stages: dict[str, DataFrame], options: Options = Options()) -> DataFrame:
-    """(query_id, place, key, label, first_rank): products that meet a question's
-    conditions, in the order in which reranked, hybrid and dense results name them."""
+@dataclass(frozen=True)
+class Filtered:
+    """What the structured filter of some questions gives."""
+
+    conditions: DataFrame  # query_id, ord, field, ...
+    products: DataFrame  # the rolled-up products
+    ranked: DataFrame  # query_id, place, key, label, first_rank
+
+
+def structured_filter(queries: DataFrame, chunks: DataFrame, stages: dict[str, DataFrame], options: Options = Options()) -> Filtered:
+    """Conditions of the questions and the products that meet them, in the order in
+    which reranked, hybrid and dense results name them."""
     known = ranking.known_vendors(chunks)  # one row
     conditions = save(planner.conditions_of(queries.join(F.broadcast(known)), F.col("known")), "conditions")
     table = save(products.rollup(chunks), "products")
@@ -89,10 +102,19 @@ def structured(queries: DataFrame, chunks: DataFrame, stages: dict[str, DataFram
     rows = listed[0].unionByName(listed[1]).unionByName(listed[2]).join(keys, "id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("stage", "r"))
     matches = planner.structured_filter(table, conditions)
-    return planner.rank_products(matches, table, rows.withColumn("rank", rank), limit=options.product_limit)
+    return Filtered(conditions, table, save(planner.rank_products(matches, table, rows.withColumn("rank", rank), limit=options.product_limit), "ranked"))
 
 
-def answer_prompts(queries: DataFrame, final: DataFrame) -> DataFrame:
-    """(query_id, prompt) over the final contexts."""
-    rows = queries.join(prompts.contexts(final), "query_id")
-    return rows.select("query_id", prompts.prompt(F.col("question"), F.col("context")).alias("prompt"))
+def structured(queries: DataFrame, chunks: DataFrame, stages: dict[str, DataFrame], options: Options = Options()) -> DataFrame:
+    """(query_id, place, key, label, first_rank) of ``structured_filter``."""
+    return structured_filter(queries, chunks, stages, options).ranked
+
+
+def answer_prompts(queries: DataFrame, final: DataFrame, filtered: Filtered | None = None, options: Options = Options()) -> DataFrame:
+    """(query_id, is_structured, prompt): questions with conditions over their filtered
+    products, others, or all without ``filtered``, over the final contexts."""
+    if filtered is None:
+        rows = queries.join(prompts.contexts(final), "query_id")
+        return rows.select("query_id", F.lit(False).alias("is_structured"), prompts.prompt(F.col("question"), F.col("context")).alias("prompt"))
+    shown = products.structured_context(filtered.ranked, filtered.products, filtered.conditions, options.product_limit)
+    return reports.routed_prompts(queries.select("query_id", "question"), final, filtered.conditions, shown)
