@@ -40,7 +40,7 @@ from gleaner.llm.common import n_words, row_key, save, words
 
 CHUNK = 65_536
 #: Rows ranked at a time.
-ROWS_IN_CELL = 10_000
+ROWS_IN_CELL = 1_000
 
 
 @dataclass
@@ -48,7 +48,7 @@ class Mix:
     docs: DataFrame  # doc_id, key_a, key_b, size, source, source_size, target, taken
     slots: DataFrame  # shard, position, source, block, words
     sources: DataFrame  # source, source_size, target, blocks
-    blocks: DataFrame  # source, block, pieces (low, start, doc_id, text)
+    blocks: DataFrame  # source, block, pieces (low, start, doc_id, n, text)
     mixed: DataFrame  # shard, position, source, block, pieces (start, doc_id, n, text)
 
 
@@ -120,10 +120,11 @@ def _cut(rows: DataFrame, at: Column, block: int, number) -> DataFrame:
     size = F.size("all")
     low = lambda b: F.greatest(at - b * block, F.lit(0))
     skipped = lambda b: F.greatest(b * block - at, F.lit(0))
-    piece = lambda b: F.struct(number(b).alias("block"), low(b).alias("low"), F.array_join(F.slice("all", (skipped(b) + 1).cast("int"), (F.lit(block) - low(b)).cast("int")), " ").alias("text"))
+    many = lambda b: F.least(size - skipped(b), block - low(b))
+    piece = lambda b: F.struct(number(b).alias("block"), low(b).alias("low"), many(b).cast("long").alias("n"), F.array_join(F.slice("all", (skipped(b) + 1).cast("int"), many(b).cast("int")), " ").alias("text"))
     places = F.sequence(F.floor(at / block), F.floor((at + size - 1) / block))
     cut = rows.where(size > 0).select("sid", "bucket", "source", "doc_id", "start", F.explode(F.transform(places, piece)).alias("x"))
-    return cut.select("sid", "bucket", "source", "doc_id", "start", "x.block", "x.low", "x.text")
+    return cut.select("sid", "bucket", "source", "doc_id", "start", "x.block", "x.low", "x.n", "x.text")
 
 
 def _pieces(placed: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
@@ -153,7 +154,7 @@ def _mixed(slots: DataFrame, pieces: tuple[DataFrame, DataFrame], cells: DataFra
     mine = found.select("sid", "bucket", F.explode(mine).alias("x")).groupBy("sid", "bucket", "x.block").agg(F.collect_list(F.struct("x.shard", "x.position", "x.words")).alias("slots"))
     mine = mine.groupBy("sid", "bucket").agg(F.map_from_entries(F.collect_list(F.struct("block", "slots"))).alias("by_block"))
 
-    packed = lambda rows, by: rows.groupBy(*by).agg(F.first("source").alias("source"), F.array_sort(F.collect_list(F.struct("low", "start", "doc_id", "text"))).alias("pieces"))
+    packed = lambda rows, by: rows.groupBy(*by).agg(F.first("source").alias("source"), F.array_sort(F.collect_list(F.struct("low", "start", "doc_id", "n", "text"))).alias("pieces"))
     own, rest = packed(pieces[0], ["sid", "bucket", "block"]), packed(pieces[1], ["sid", "block"])
     filled = own.join(mine.hint("shuffle_hash"), ["sid", "bucket"]).withColumn("slots", F.element_at("by_block", F.col("block")))
     left = rest.join(slots.groupBy("sid", "block").agg(F.collect_list(F.struct("shard", "position", "words")).alias("slots")), ["sid", "block"])
@@ -161,8 +162,10 @@ def _mixed(slots: DataFrame, pieces: tuple[DataFrame, DataFrame], cells: DataFra
     joined = filled.select(*columns).unionByName(left.select(*columns)).withColumn("slot", F.explode("slots"))
 
     def taken(p):
-        own = F.slice(F.split(p["text"], " "), F.lit(1), (F.col("slot.words") - p["low"]).cast("int"))
-        return F.struct(p["start"].alias("start"), p["doc_id"].alias("doc_id"), F.size(own).cast("long").alias("n"), F.array_join(own, " ").alias("text"))
+        # Only the last slot of a source cuts a piece.
+        room = F.col("slot.words") - p["low"]
+        text = F.when(p["n"] <= room, p["text"]).otherwise(F.array_join(F.slice(F.split(p["text"], " "), F.lit(1), room.cast("int")), " "))
+        return F.struct(p["start"].alias("start"), p["doc_id"].alias("doc_id"), F.least(p["n"], room).alias("n"), text.alias("text"))
 
     kept = F.transform(F.filter("pieces", lambda p: p["low"] < F.col("slot.words")), taken)
     rows = joined.select("sid", "slot.shard", "slot.position", "source", "block", kept.alias("pieces"))
