@@ -51,14 +51,14 @@ CACHE_WORDS = 200_000
 LEXICON = ("clown", "disgusting", "fool", "garbage", "idiot", "jerk", "loser", "moron", "pathetic", "pig", "scum", "stupid", "trash", "vermin", "worthless")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _INSULT = "(?:" + "|".join(LEXICON) + ")"
-#: Pattern voters that are counted on the text itself.
-PATTERNS = {
-    "x:shut up": re.compile(r"(?i)\bshut\s+up\b"),
-    "x:shouts": re.compile(r"\b[A-Z]{3,}(?:\s+[A-Z]{3,}){2,}\b"),
-    "x:thanks": re.compile(r"(?i)\b(?:please|thanks?|sincerely|licen[cs]e|copyright)\b"),
-    "x:figures": re.compile(r"\b\d+(?:[.,]\d+)?\b"),
-}
-#: Those that only a text with insults needs.
+THANKS = ("please", "thank", "thanks", "sincerely", "license", "licence", "copyright")
+_WORDS = dict.fromkeys(LEXICON, "x:insult") | dict.fromkeys(THANKS, "x:thanks") | {"shut": "x:shut up"}
+_FIGURE = re.compile(r"\W*\d+(?:[.,]\d+)?\W*")
+_SHOUTED = re.compile(r"[A-Z]{3,}")
+#: Pattern voters of single words: a shouted word is one of those after the first two.
+WORDLY = ("x:thanks", "x:figures", "x:shouts")
+#: Those that only a text with the word "shut", or with insults, needs.
+SHUT_UP = re.compile(r"(?i)\bshut\s+up\b")
 NEAR_INSULTS = {
     "x:you insult": re.compile(rf"(?i)\byou(?:r|rs|rself)?\b[^.!?\n]{{0,60}}\b{_INSULT}\b"),
     "x:two insults": re.compile(rf"(?i)\b{_INSULT}\b[^.!?\n]{{0,200}}\b{_INSULT}\b"),
@@ -112,8 +112,14 @@ class _Votes(dict):
     def __missing__(self, token: bytes) -> tuple[int, ...]:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        words = _LETTERS.findall(token.decode("utf-8", "replace").lower())
-        fired = [f for w in words for f in _features(w)] + [INSULT for w in words if w in LEXICON]
+        raw = token.decode("utf-8", "replace")
+        plain = raw.isalpha()
+        words = [raw.lower()] if plain else _LETTERS.findall(raw.lower())
+        fired = [f for w in words for f in _features(w)] + [_WORDS[w] for w in words if w in _WORDS]
+        if not plain:
+            fired += ["x:figures"] * bool(_FIGURE.fullmatch(raw))
+        if not raw.islower():
+            fired += ["x:shouts" for _ in _SHOUTED.finditer(raw)]
         out = tuple(self.index[f] for f in fired if f in self.index)
         if len(token) <= 100:
             self[token] = out
@@ -129,15 +135,19 @@ def _counts(texts: list[bytes | None], votes: _Votes) -> np.ndarray:
         for fired in filter(None, map(votes.__getitem__, tokens)):
             for j in fired:
                 out[i, j] += 1
-        if not tokens:
-            continue
-        text = raw.decode("utf-8", "replace")
-        insults = INSULT in index and out[i, index[INSULT]]
-        for name, pattern in (PATTERNS | NEAR_INSULTS if insults else PATTERNS).items():
-            if name in index:
-                out[i, index[name]] = sum(1 for _ in pattern.finditer(text))
+        at = lambda name: out[i, index[name]] if name in index else 0
+        insults, shut = at(INSULT), at("x:shut up")
+        if insults or shut:
+            text = raw.decode("utf-8", "replace")
+            for name, pattern in (NEAR_INSULTS if insults else {}).items():
+                if name in index:
+                    out[i, index[name]] = sum(1 for _ in pattern.finditer(text))
+            if shut:
+                out[i, index["x:shut up"]] = sum(1 for _ in SHUT_UP.finditer(text))
+        if "x:shouts" in index:
+            out[i, index["x:shouts"]] = max(out[i, index["x:shouts"]] - 2, 0)
         if PLAIN in index:
-            out[i, index[PLAIN]] = len(tokens) >= PLAIN_WORDS and not insults and not any(x in index and out[i, index[x]] for x in ("x:shut up", "x:shouts"))
+            out[i, index[PLAIN]] = len(tokens) >= PLAIN_WORDS and not insults and not at("x:shut up") and not at("x:shouts")
     return np.maximum(out[:, votes.columns] - votes.spared, 0)
 
 
@@ -169,7 +179,7 @@ def mine_voters(sample: DataFrame, most: int = MAX_VOTERS, most_clean: int = MAX
                 zero = pa.array([0] * len(part), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(part), *((zero, n) if toxic else (n, zero))], ["feature", "clean", "toxic"])
 
-    fixed = [INSULT, *PATTERNS, *NEAR_INSULTS, PLAIN, *("w:" + w for w in LEXICON)]
+    fixed = [INSULT, "x:shut up", *WORDLY, *NEAR_INSULTS, PLAIN, *("w:" + w for w in LEXICON)]
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = sum(v for k, v in n.items() if k), n.get(0, 0)
     if not bad or not good:
