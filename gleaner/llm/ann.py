@@ -197,7 +197,9 @@ def search_graph(raw: np.ndarray, x: np.ndarray, graph: np.ndarray, entries: np.
         found = np.tile(np.arange(len(x)), (len(q), 1))
     score = np.where(found >= 0, _cosines(q, raw[found]), -np.inf)
     kth = -np.sort(-score, 1)[:, min(k, score.shape[1] - 1)]
-    tied = (score.min(1) >= kth) & (kth > -np.inf)
+    there = found >= 0
+    # The last found ties with the k-th, or the graph led to fewer nodes than asked for.
+    tied = (np.where(there, score, np.inf).min(1) >= kth) | (there.sum(1) < min(beam, len(x)))
     if beam < len(x) and tied.any():
         at = np.flatnonzero(tied)
         more, wider = search_graph(raw, x, graph, entries, q[at], k, min(len(x), 4 * beam))
