@@ -26,6 +26,7 @@ their square over SHARD_ROWS * QUERY_BLOCK, each at a beam's cost.
 from __future__ import annotations
 
 import pickle
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -164,8 +165,7 @@ def index(rows: DataFrame, k: int) -> tuple[DataFrame, int]:
             ids = np.full((len(own), k + 1), -1, np.int64)
             for i, few in enumerate(own["ids"]):
                 ids[i, : len(few)] = few
-            graph, entries = build_graph(_unit(raw))
-            bodies.append((raw.shape[1], raw, ids, graph.astype(np.int32), entries))
+            bodies.append(Shard.of(raw, ids))
         return pd.DataFrame({"shard": [int(part["shard"].iloc[0])], "body": [pickle.dumps(bodies, protocol=5)]})
 
     return save(dealt.groupBy("shard").applyInPandas(make, "shard int, body binary"), "ann-index"), shards
@@ -188,27 +188,54 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return dot / (np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(2)))
 
 
-def search_graph(raw: np.ndarray, x: np.ndarray, graph: np.ndarray, entries: np.ndarray, q: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes (-1: none) and exact cosines that hold each query's k + 1 best found and
-    all nodes that tie with the last of these."""
-    if beam < len(x):
-        found, _ = beam_search(x, graph, entries, _unit(q), beam)
-    else:  # the beam holds the shard
-        found = np.tile(np.arange(len(x)), (len(q), 1))
-    score = np.where(found >= 0, _cosines(q, raw[found]), -np.inf)
-    kth = -np.sort(-score, 1)[:, min(k, score.shape[1] - 1)]
-    there = found >= 0
-    # The last found ties with the k-th, or the graph led to fewer nodes than asked for.
-    tied = (np.where(there, score, np.inf).min(1) >= kth) | (there.sum(1) < min(beam, len(x)))
-    if beam < len(x) and tied.any():
-        at = np.flatnonzero(tied)
-        more, wider = search_graph(raw, x, graph, entries, q[at], k, min(len(x), 4 * beam))
-        grown = max(found.shape[1], more.shape[1])
-        found = np.pad(found, ((0, 0), (0, grown - found.shape[1])), constant_values=-1)
-        score = np.pad(score, ((0, 0), (0, grown - score.shape[1])), constant_values=-np.inf)
-        found[at], score[at] = -1, -np.inf
-        found[at, : more.shape[1]], score[at, : more.shape[1]] = more, wider
-    return found, score
+@dataclass
+class Shard:
+    """A searchable shard of vectors of one length."""
+
+    raw: np.ndarray  # (n, d) doubles
+    ids: np.ndarray  # (n, k + 1), -1 where a vector has fewer
+    x: np.ndarray  # (m, d) the distinct directions, float32 unit vectors
+    members: np.ndarray  # rows of raw, direction by direction
+    starts: np.ndarray  # (m + 1,) where each direction's members start
+    graph: np.ndarray
+    entries: np.ndarray
+
+    @classmethod
+    def of(cls, raw: np.ndarray, ids: np.ndarray) -> "Shard":
+        """Vectors of one direction are one node of the graph: among equals, pruning
+        would cut the edges that lead to them."""
+        x, where, many = np.unique(_unit(raw), axis=0, return_inverse=True, return_counts=True)
+        graph, entries = build_graph(x)
+        return cls(raw, ids, x, np.argsort(where.ravel(), kind="stable"), np.append(0, np.cumsum(many)), graph.astype(np.int32), entries)
+
+    def search(self, q: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of raw (-1: none) and exact cosines that hold each query's k + 1 best
+        found and all that tie with the last of these."""
+        n = len(self.x)
+        if beam < n:
+            nodes, _ = beam_search(self.x, self.graph, self.entries, _unit(q), beam)
+        else:  # the beam holds the shard
+            nodes = np.tile(np.arange(n), (len(q), 1))
+        if len(self.members) == n:
+            found = np.where(nodes >= 0, self.members[nodes], -1)
+        else:
+            own = [np.concatenate([self.members[self.starts[j] : self.starts[j + 1]] for j in row[row >= 0]]) for row in nodes]
+            found = np.full((len(q), max(map(len, own))), -1)
+            for i, rows in enumerate(own):
+                found[i, : len(rows)] = rows
+        score = np.where(found >= 0, _cosines(q, self.raw[found]), -np.inf)
+        kth = -np.sort(-score, 1)[:, min(k, score.shape[1] - 1)]
+        # The last found ties with the k-th, or the graph led to fewer nodes than asked for.
+        tied = (np.where(found >= 0, score, np.inf).min(1) >= kth) | ((nodes >= 0).sum(1) < min(beam, n))
+        if beam < n and tied.any():
+            at = np.flatnonzero(tied)
+            more, wider = self.search(q[at], k, min(n, 4 * beam))
+            room = max(found.shape[1], more.shape[1])
+            found = np.pad(found, ((0, 0), (0, room - found.shape[1])), constant_values=-1)
+            score = np.pad(score, ((0, 0), (0, room - score.shape[1])), constant_values=-np.inf)
+            found[at], score[at] = -1, -np.inf
+            found[at, : more.shape[1]], score[at, : more.shape[1]] = more, wider
+        return found, score
 
 
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_column: str = "vec_id", vector_column: str = "embedding", beam: int = BEAM) -> DataFrame:
@@ -224,14 +251,13 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_column: str = "v
     def search(shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(shard) and len(asked):
-            for size, raw, ids, graph, entries in pickle.loads(shard["body"].iloc[0]):
-                x = _unit(raw)
-                own = asked[asked["v"].map(len) == size]
+            for body in pickle.loads(shard["body"].iloc[0]):
+                own = asked[asked["v"].map(len) == body.raw.shape[1]]
                 for low in range(0, len(own), 256):
                     part = own.iloc[low : low + 256]
                     q = np.stack(part["v"].to_numpy())
-                    found, score = search_graph(raw, x, graph, entries, q, k, beam)
-                    names = np.where((found >= 0)[:, :, None], ids[found], -1)
+                    found, score = body.search(q, k, beam)
+                    names = np.where((found >= 0)[:, :, None], body.ids[found], -1)
                     me = part["vec_id"].to_numpy()
                     names[names == me[:, None, None]] = -1
                     score = np.repeat(score[:, :, None], k + 1, 2).reshape(len(part), -1)
