@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import ann, chat, decontam, linededup, mixing, neardup, pii, sharding, tokencount, toxicity
+from gleaner.llm import ann, chat, decontam, linededup, mixing, neardup, pii, sharding, tokencount, toxicity, warc, whiten
 from gleaner.llm.common import table
 
 
@@ -58,6 +58,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).docs.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"), components=32)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+
+
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -124,6 +132,17 @@ best AS (SELECT *, count(*) OVER w AS n_windows, row_number() OVER (PARTITION BY
 SELECT doc_id, item_id, CAST(s - 1 AS BIGINT) AS start_word, CAST(window_words AS BIGINT) AS window_words, CAST(shared AS BIGINT) AS shared, CAST(total AS BIGINT) AS total, CAST(shared AS DOUBLE) / CAST(total AS DOUBLE) AS similarity, n_windows FROM best WHERE r = 1
 """
 
+_NIBBLE = "(instr('0123456789abcdef', substr(hex || '0', {at}, 1)) - 1)"
+
+OP12_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+o AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS owner FROM p)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((({_NIBBLE.format(at="1 + (5 * i) // 4")} * 16 + {_NIBBLE.format(at="2 + (5 * i) // 4")}) >> (3 - (5 * i) % 4)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id < owner THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < owner THEN owner END AS refers_to, CAST(NULL AS VARCHAR) AS problem
+FROM o
+"""
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_counts": op2_token_counts,
@@ -135,6 +154,8 @@ QUERIES = {
     "op8_graph_ann": op8_graph_ann,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op11_whitening": op11_whitening,
+    "op12_warc": op12_warc,
 }
 
 ORACLES = {
@@ -142,4 +163,5 @@ ORACLES = {
     "op3_minhash": OP3_SQL,
     "op5_chat_format": OP5_SQL,
     "op6_decontamination": OP6_SQL,
+    "op12_warc": OP12_SQL,
 }
