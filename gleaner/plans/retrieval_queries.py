@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleaner.functions import display as D
 from gleaner.functions import text as T
-from gleaner.operators import evaluate, expand, inspect, planner, products, prompts, ranking, retrieval
+from gleaner.operators import evaluate, expand, inspect, lexindex, planner, products, prompts, ranking, retrieval
 from gleaner.plans import fixtures as X
 from gleaner.plans import reports
 from gleaner.plans import retrieve as R
 from gleaner.plans.queries import LEXICAL, STRIDES, own_chunks, query, strides, table
 from gleaner.sources import files
-from gleaner.sources.tables import save
+from gleaner.sources.tables import save, shared_dir
 
 # -- ranking ------------------------------------------------------------------------
 
@@ -27,21 +29,21 @@ def vector_queries(spark, sf_dir):
     return vectors(spark, sf_dir).where(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), "vector")
 
 
-_DOT = "list_sum(list_transform(range(1, length(a.embedding) + 1), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE)))"
+DOT = "list_sum(list_transform(range(1, length(a.embedding) + 1), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE)))"
 _L2 = "1 / (1 + list_sum(list_transform(range(1, length(a.embedding) + 1), lambda i: (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) * (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)))))"
 
 
-def _dense_sql(score: str, asked: str = "a.vec_id % 100 = 0") -> str:
+def dense_sql(score: str, asked: str = "a.vec_id % 100 = 0") -> str:
     return f"""dense AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, id) AS INT) AS dense_rank
   FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round({score}, 6) AS dense_score FROM embeddings a, embeddings b WHERE {asked}) x) y WHERE dense_rank <= 20)"""
 
 
-@query(f"WITH {_dense_sql(_DOT)} SELECT * FROM dense")
+@query(f"WITH {dense_sql(DOT)} SELECT * FROM dense")
 def dense_topk_ip(spark, sf_dir):
     return retrieval.dense(vector_queries(spark, sf_dir), vectors(spark, sf_dir))
 
 
-@query(f"WITH {_dense_sql(_L2)} SELECT * FROM dense")
+@query(f"WITH {dense_sql(_L2)} SELECT * FROM dense")
 def dense_topk_l2(spark, sf_dir):
     return retrieval.dense(vector_queries(spark, sf_dir), vectors(spark, sf_dir), measure="l2")
 
@@ -84,12 +86,38 @@ def term_df(spark, sf_dir):
     return retrieval.postings(searched(spark, sf_dir)).groupBy("token").agg(F.count("*").alias("df"))
 
 
+#: Of an index from which the documents labelled toxic were deleted.
+KEPT = "SELECT doc_id AS id, coalesce(text, '') AS text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"
+
+
+def maintained_index(spark, sf_dir):
+    """The root of an index of all documents, inserted by source's two halves, the first
+    in an older version (its source as text), then without those labelled toxic."""
+    root = f"{shared_dir(spark)}/gleaner-tables/index-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    first = F.crc32("source") % 2 == 0
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"), F.lit("").alias("text"), F.lit(True).alias("gone"))
+    for changes in (docs.where(first).select("id", F.col("source").alias("text")), docs.select("id", "text"), toxic):
+        lexindex.update(spark, root, changes, part_ids=500, block_ids=50)
+    return root
+
+
+@query(f"WITH {bm25_sql(KEPT, 'SELECT item_id AS query_id, text FROM benchmark')} SELECT query_id, id, lexical_score, lexical_rank FROM bm25")
+def maintained_topk(spark, sf_dir):
+    return lexindex.search(spark, maintained_index(spark, sf_dir), asked_items(spark, sf_dir))[0]
+
+
+@query(f"WITH {bm25_sql(KEPT, 'SELECT item_id AS query_id, text FROM benchmark')} SELECT CAST(floor(id / 50) AS BIGINT) AS block, token, count(*) AS df, max(tf) AS max_tf, CAST(min(n) AS INT) AS min_length FROM post JOIN dl USING (id) GROUP BY 1, 2")
+def maintained_blocks(spark, sf_dir):
+    return lexindex.blocks(spark, maintained_index(spark, sf_dir)).where("token <> ''").select("block", "token", "df", "max_tf", "min_length")
+
+
 FUSED = """both_ AS (SELECT coalesce(d.query_id, l.query_id) AS query_id, coalesce(d.id, l.id) AS id, coalesce(dense_score, 0.0) AS dense_score, dense_rank, coalesce(lexical_score, 0.0) AS lexical_score, lexical_rank,
   round(coalesce(1.0 / (60 + dense_rank), 0) + coalesce(1.0 / (60 + lexical_rank), 0), 6) AS hybrid_score FROM dense d FULL OUTER JOIN bm25 l ON d.query_id = l.query_id AND d.id = l.id),
 fused AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, dense_rank NULLS LAST, lexical_rank NULLS LAST, id) AS INT) AS hybrid_rank FROM both_) x WHERE hybrid_rank <= 20)"""
 
 
-@query(f"WITH {_dense_sql(_DOT, 'a.vec_id IN (SELECT item_id FROM benchmark)')}, {BM25}, {FUSED} SELECT query_id, id, dense_rank, lexical_rank, hybrid_score, hybrid_rank FROM fused")
+@query(f"WITH {dense_sql(DOT, 'a.vec_id IN (SELECT item_id FROM benchmark)')}, {BM25}, {FUSED} SELECT query_id, id, dense_rank, lexical_rank, hybrid_score, hybrid_rank FROM fused")
 def rrf_fusion(spark, sf_dir):
     """Documents and vectors share ids, and an item's vector is the one with its id."""
     asked = asked_items(spark, sf_dir)
