@@ -11,8 +11,8 @@ languages made by a grammar in which every format also has look-alikes, and case
 format and context leave open go either way.  A third of them calibrates each
 generator's threshold, the lowest with a precision of PRECISION, and never under even
 odds; another third measures what that gives (``calibration``).  Features of training
-texts come from the same expressions as those of documents.  The trees become CASE
-expressions.
+texts come from the same expressions as those of documents.  The trees are a constant
+array that an expression folds over.
 
 Native: DataFrame functions only.  Offsets are code points, ends are exclusive.
 Positions come from a split and an extraction with one pattern: the texts between
@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import json
 import random
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,90 +63,88 @@ _CANDIDATE = {
 _CANDIDATE_HINT = {"number": r"[0-9]{2}\)?[\x20./-]", "digits": r"[0-9]{7}", "secret": r"[A-Za-z0-9_+/=-]{20}", "handle": r"@"}
 
 
-def _only_digits(c: Column) -> Column:
-    return F.regexp_replace(c, "[^0-9]", "")
+# The expressions are SQL text: a session makes one call for each column, where building
+# them from Column objects takes some 50,000.
 
 
-def _luhn(digits: Column) -> Column:
-    """Of a string of at least one digit."""
+def _regex(pattern: str) -> str:
+    return f"r'{pattern}'"
 
-    def add(total: Column, i: Column) -> Column:
-        x = F.substr(digits, F.length(digits) - i, F.lit(1)).cast("int")
-        double = F.when(x > 4, x * 2 - 9).otherwise(x * 2)
-        return total + F.when(i % 2 == 1, double).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), add) % 10 == 0
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _valid(kind: str, m: Column) -> Column:
+def _only_digits(c: str) -> str:
+    return f"regexp_replace({c}, '[^0-9]', '')"
+
+
+def _luhn(digits: str) -> str:
+    """Of a name for a string of at least one digit."""
+    n = f"cast(substr({digits}, length({digits}) - li, 1) as int)"
+    return f"(aggregate(sequence(0, length({digits}) - 1), 0, (lt, li) -> lt + if(li % 2 = 1, if({n} > 4, {n} * 2 - 9, {n} * 2), {n})) % 10 = 0)"
+
+
+def _valid(kind: str, m: str) -> str:
     if kind == "ip":
-        part = lambda p: F.ltrim(p, F.lit("0"))
-        return F.forall(F.split(m, r"\."), lambda p: (F.length(part(p)) <= 3) & (F.coalesce(F.substr(part(p), F.lit(1), F.lit(3)).try_cast("int"), F.lit(0)) <= 255))
+        part = "trim(LEADING '0' FROM vp)"
+        return f"forall(split({m}, r'\\.'), vp -> length({part}) <= 3 and coalesce(try_cast(substr({part}, 1, 3) as int), 0) <= 255)"
     if kind == "card":
-        return F.length(_only_digits(m)).between(12, 19) & _luhn(_only_digits(m))
+        return _let(_only_digits(m), "vd", f"length(vd) between 12 and 19 and {_luhn('vd')}")
     if kind == "phone":
-        return F.length(_only_digits(m)).between(9, 15)
-    return F.lit(True)
+        return f"length({_only_digits(m)}) between 9 and 15"
+    return "true"
+
+
+def _mixed(kind: str, m: str) -> str:
+    return _let(_only_digits(m), "vd", f"length(vd) >= 4 and length(vd) < length({m})") if kind == "secret" else "true"
 
 
 _SPANS = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
+_NO_TEXT = "cast(array() as array<string>)"
 
 
-def _starts(between: str, found: str) -> Column:
+def _starts(between: str, found: str) -> str:
     """Where each match starts.  Growing an array copies it, so sums run in chunks."""
-    lengths = F.transform(found, lambda m, i: F.struct(F.length(F.element_at(between, i + 1)).alias("gap"), F.length(m).alias("own")))
-    whole = lambda x: x["gap"] + x["own"]
-    chunk = lambda c: F.slice(lengths, c * CHUNK + 1, F.lit(CHUNK))
-    grow = lambda acc, at, step: F.struct((acc["at"] + step).alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
-    empty = lambda at: F.struct(at.alias("at"), F.array().cast("array<int>").alias("out"))
-    chunks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int"))
-    sums = F.transform(chunks, lambda c: F.aggregate(chunk(c), F.lit(0), lambda acc, x: acc + whole(x)))
-    firsts = F.aggregate(sums, empty(F.lit(0)), lambda acc, x: grow(acc, acc["at"], x))["out"]
-    inner = lambda at, c: F.aggregate(chunk(c), empty(at), lambda acc, x: grow(acc, acc["at"] + x["gap"], whole(x)))["out"]
-    return F.flatten(F.transform(firsts, inner))
+    lengths = f"transform({found}, (sm, si) -> named_struct('gap', length(element_at({between}, si + 1)), 'own', length(sm)))"
+    chunk = f"slice(sl, sc * {CHUNK} + 1, {CHUNK})"
+    grow = lambda at, step: f"named_struct('at', sa.at + {step}, 'out', concat(sa.out, array({at})))"
+    empty = lambda at: f"named_struct('at', {at}, 'out', cast(array() as array<int>))"
+    sums = f"transform(sequence(0, cast(floor((size({found}) - 1) / {CHUNK}) as int)), sc -> aggregate({chunk}, 0, (sa, sx) -> sa + sx.gap + sx.own))"
+    firsts = f"aggregate({sums}, {empty('0')}, (sa, sx) -> {grow('sa.at', 'sx')}, sa -> sa.out)"
+    inner = f"aggregate({chunk}, {empty('sf')}, (sa, sx) -> {grow('sa.at + sx.gap', 'sx.gap + sx.own')}, sa -> sa.out)"
+    return _let(lengths, "sl", f"flatten(transform({firsts}, (sf, sc) -> {inner}))")
 
 
 def _with_matches(rows: DataFrame, patterns: dict[str, str], hints: dict[str, str], valid) -> DataFrame:
     """``rows`` with an array of the valid spans of each pattern, named by it, in order:
     start, end, value and the characters before and after."""
-    none = F.array().cast("array<string>")
-    for k, p in patterns.items():
-        hint = F.col("text").rlike(hints[k])
-        rows = rows.withColumn(f"__f{k}", F.when(hint, F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none))
-    for k, p in patterns.items():
-        rows = rows.withColumn(f"__b{k}", F.when(F.size(f"__f{k}") > 0, F.split("text", p, -1)).otherwise(none))
-    some = {k: F.size(f"__f{k}") > 0 for k in patterns}
+    some = {k: f"size(__f{k}) > 0" for k in patterns}
+    rows = rows.withColumns({f"__f{k}": F.expr(f"if(text rlike {_regex(hints[k])}, regexp_extract_all(text, {_regex(p)}, 0), {_NO_TEXT})") for k, p in patterns.items()})
+    rows = rows.withColumns({f"__b{k}": F.expr(f"if({some[k]}, split(text, {_regex(p)}, -1), {_NO_TEXT})") for k, p in patterns.items()})
+    made = {}
     for k in patterns:
-        n, f, b = F.size(f"__f{k}"), f"__f{k}", f"__b{k}"
-        rows = rows.withColumn(f"__s{k}", F.when(some[k], _starts(b, f)))
-        parts = {"gap": F.slice(b, F.lit(1), n), "rest": F.slice(b, F.lit(2), n), "last": F.concat(F.array(F.lit("")), F.slice(f, F.lit(1), n - 1)), "next": F.concat(F.slice(f, F.lit(2), n), F.array(F.lit("")))}
-        rows = rows.withColumns({f"__{x}{k}": F.when(some[k], c) for x, c in parts.items()})
+        n, f, b = f"size(__f{k})", f"__f{k}", f"__b{k}"
+        parts = {"s": _starts(b, f), "gap": f"slice({b}, 1, {n})", "rest": f"slice({b}, 2, {n})", "last": f"concat(array(''), slice({f}, 1, {n} - 1))", "next": f"concat(slice({f}, 2, {n}), array(''))"}
+        made |= {f"__{x}{k}": F.expr(f"if({some[k]}, {c}, null)") for x, c in parts.items()}
+    rows = rows.withColumns(made)
 
     def spans(k: str) -> Column:
-        def one(x: Column) -> Column:
-            m, at = x[f"__f{k}"], x[f"__s{k}"]
-            before = F.right(F.concat(x[f"__last{k}"], x[f"__gap{k}"]), F.lit(24))
-            after = F.left(F.concat(x[f"__rest{k}"], x[f"__next{k}"]), F.lit(6))
-            return F.struct(at.alias("start"), (at + F.length(m)).alias("end"), m.alias("value"), before.alias("before"), after.alias("after"))
-
-        zipped = F.arrays_zip(*(f"__{x}{k}" for x in ("f", "s", "gap", "rest", "last", "next")))
-        good = F.filter(zipped, lambda x: valid(k, x[f"__f{k}"]))
-        return F.when(some[k], F.transform(good, one)).otherwise(F.array().cast(_SPANS)).alias(k)
+        at, m = f"x.__s{k}", f"x.__f{k}"
+        one = f"named_struct('start', {at}, 'end', {at} + length({m}), 'value', {m}, 'before', right(concat(x.__last{k}, x.__gap{k}), 24), 'after', left(concat(x.__rest{k}, x.__next{k}), 6))"
+        zipped = ", ".join(f"__{x}{k}" for x in ("f", "s", "gap", "rest", "last", "next"))
+        return F.expr(f"if({some[k]}, transform(filter(arrays_zip({zipped}), x -> {valid(k, m)}), x -> {one}), cast(array() as {_SPANS}))").alias(k)
 
     return rows.select(*(c for c in rows.columns if not c.startswith("__")), *map(spans, patterns))
 
 
-def _before(spans: str, field: str, value: Column) -> Column:
+def _before(spans: str, field: str, value: str) -> str:
     """How many of the sorted ``spans`` have a ``field`` less than ``value``."""
-    size = F.size(spans)
-    steps = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(size, F.lit(1)))).cast("int") + 1)
-
-    def halve(acc: Column, _: Column) -> Column:
-        mid = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
-        less = (acc["low"] < acc["high"]) & (F.coalesce(F.get(F.col(spans), mid)[field], F.lit(0)) < value)
-        return F.struct(F.when(less, mid + 1).otherwise(acc["low"]).alias("low"), F.when(less | (acc["low"] >= acc["high"]), acc["high"]).otherwise(mid).alias("high"))
-
-    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), size.alias("high")), halve)["low"]
+    mid = "cast((ba.low + ba.high) div 2 as int)"
+    less = f"(ba.low < ba.high and coalesce(get({spans}, {mid}).`{field}`, 0) < {value})"
+    halve = f"named_struct('low', if({less}, {mid} + 1, ba.low), 'high', if({less} or ba.low >= ba.high, ba.high, {mid}))"
+    return f"aggregate(sequence(0, cast(floor(log2(greatest(size({spans}), 1))) as int) + 1), named_struct('low', 0, 'high', size({spans})), (ba, bs) -> {halve}, ba -> ba.low)"
 
 
 #: Features of a candidate: what it looks like and what stands around it.
@@ -161,43 +159,39 @@ _CONTEXT = {
 }
 
 
-def _features(generator: int, value: Column, before: Column, after: Column) -> Column:
-    digits = _only_digits(value)
-    flag = lambda c: c.cast("double")
-    context = F.lower(before)
-    near = lambda kind: flag(context.rlike(rf"(?<![a-zà-ÿ])(?:{_CONTEXT[kind]})[a-z]{{0,3}}[^a-z0-9]{{0,6}}\z"))
+def _features(generator: int, x: str) -> str:
+    """Of ``x``, a struct of value, before and after."""
+    value, before, after = (f"{x}.{c}" for c in ("value", "before", "after"))
+    number = lambda c: f"cast({c} as double)"
+    like = lambda c, p: f"{c} rlike {_regex(p)}"
+    others = lambda p: number(f"length(regexp_replace({value}, {_regex(p)}, ''))")
+    near = lambda kind: number(like("fc", rf"(?<![a-zà-ÿ])(?:{_CONTEXT[kind]})[a-z]{{0,3}}[^a-z0-9]{{0,6}}\z"))
     parts = {
-        "digits": F.length(digits).cast("double"),
-        "letters": F.length(F.regexp_replace(value, "[^A-Za-z]", "")).cast("double"),
-        "upper": F.length(F.regexp_replace(value, "[^A-Z]", "")).cast("double"),
-        "separators": F.length(F.regexp_replace(value, "[A-Za-z0-9]", "")).cast("double"),
-        "groups": F.size(F.split(value, "[^A-Za-z0-9]+")).cast("double"),
-        "luhn": F.when(F.length(digits).between(12, 19), flag(_luhn(digits))).otherwise(0.0),
-        "money": flag(before.rlike(r"[$€£#][\x20]?\z") | after.rlike(r"\A[\x20]?(?:[€%]|USD|EUR|kg|km|px|ms)")),
+        "digits": number("length(fd)"),
+        "letters": others("[^A-Za-z]"),
+        "upper": others("[^A-Z]"),
+        "separators": others("[A-Za-z0-9]"),
+        "groups": number(f"size(split({value}, '[^A-Za-z0-9]+'))"),
+        "luhn": f"if(length(fd) between 12 and 19, {number(_luhn('fd'))}, 0.0D)",
+        "money": number(f"({like(before, r'[$€£#][\x20]?\z')} or {like(after, r'\A[\x20]?(?:[€%]|USD|EUR|kg|km|px|ms)')})"),
         **{kind: near(kind) for kind in _CONTEXT},
-        "code": flag(after.rlike(r"\A\s?[({<]|\A\n") | before.rlike(r"(?:\n|\A)\s*\z")),
-        "hex": flag(value.rlike(r"\A[0-9a-f]{20,}\z")),
-        "quoted": flag(before.rlike("[=:][\\x20]?[\"']?\\z")),
-        "ssn": flag(value.rlike(r"\A[0-9]{3}-[0-9]{2}-[0-9]{4}\z")),
-        "local": flag(value.rlike(r"\A\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}\z")),
-        "date": flag(value.rlike(r"\A(?:(?:19|20)[0-9]{2}[./-][0-9]{2}[./-][0-9]{2}|[0-9]{2}[./-][0-9]{2}[./-](?:19|20)[0-9]{2})")),
-        "year": flag(value.rlike(r"(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])")),
-        "mark": flag(value.rlike(r"[0-9_]")),
-        "generator": F.lit(float(generator)),
+        "code": number(f"({like(after, r'\A\s?[({<]|\A\n')} or {like(before, r'(?:\n|\A)\s*\z')})"),
+        "hex": number(like(value, r"\A[0-9a-f]{20,}\z")),
+        "quoted": number(like(before, r"[=:][\x20]?[\x22\x27]?\z")),
+        "ssn": number(like(value, r"\A[0-9]{3}-[0-9]{2}-[0-9]{4}\z")),
+        "local": number(like(value, r"\A\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}\z")),
+        "date": number(like(value, r"\A(?:(?:19|20)[0-9]{2}[./-][0-9]{2}[./-][0-9]{2}|[0-9]{2}[./-][0-9]{2}[./-](?:19|20)[0-9]{2})")),
+        "year": number(like(value, r"(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])")),
+        "mark": number(like(value, "[0-9_]")),
+        "generator": f"{float(generator)}D",
     }
-    return F.array(*(parts[f] for f in FEATURES))
+    return _let(_only_digits(value), "fd", _let(f"lower({before})", "fc", f"array({', '.join(parts[f] for f in FEATURES)})"))
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
     """``rows`` with the candidates of each generator: (start, end, g, features)."""
-    mixed = lambda k, m: (F.length(_only_digits(m)) >= 4) & (F.length(_only_digits(m)) < F.length(m)) if k == "secret" else F.lit(True)
-    rows = _with_matches(rows, _CANDIDATE, _CANDIDATE_HINT, mixed)
-
-
-    def made(g: int, k: str) -> Column:
-        return F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(g).alias("g"), _features(g, x["value"], x["before"], x["after"]).alias("features")))
-
-    return rows.withColumns({k: made(g, k) for g, k in enumerate(EXTRA)})
+    rows = _with_matches(rows, _CANDIDATE, _CANDIDATE_HINT, _mixed)
+    return rows.withColumns({k: F.expr(f"transform({k}, x -> named_struct('start', x.`start`, 'end', x.`end`, 'g', {g}, 'features', {_features(g, 'x')}))") for g, k in enumerate(EXTRA)})
 
 
 # -- training ---------------------------------------------------------------
@@ -274,11 +268,28 @@ def _evaluate(tree, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, j] <= t, _evaluate(a, x), _evaluate(b, x))
 
 
-def _as_column(tree, features: Column) -> Column:
-    if not isinstance(tree, tuple):
-        return F.lit(tree)
-    j, t, a, b = tree
-    return F.when(features[j] <= t, _as_column(a, features)).otherwise(_as_column(b, features))
+def _as_row(tree) -> tuple:
+    """A tree of depth two as (feature, threshold) of the root, the left and the right
+    split, and the four leaves; a leaf further up is a split with equal leaves."""
+    split = lambda t: t if isinstance(t, tuple) else (0, 0.0, t, t)
+    (j, t, a, b), out = split(tree), []
+    for side in (a, b):
+        k, u, left, right = split(side)
+        out.append((k, u, left, right))
+    return (j, t, out[0][0], out[0][1], out[1][0], out[1][1], out[0][2], out[0][3], out[1][2], out[1][3])
+
+
+def _forest(trees: list[tuple]) -> str:
+    """The trees as an array of structs: data, so the plan doesn't grow with them."""
+    names = ("j", "t", "k", "u", "l", "v", "a", "b", "c", "d")
+    rows = (", ".join(f"'{n}', {v!r}{'D' if isinstance(v, float) else ''}" for n, v in zip(names, _as_row(t), strict=True)) for t in trees)
+    return f"array({', '.join(f'named_struct({r})' for r in rows)})"
+
+
+def _log_odds(forest: str, features: str) -> str:
+    at = lambda i, least: f"get({features}, ot.{i}) <= ot.{least}"
+    leaf = f"if({at('j', 't')}, if({at('k', 'u')}, ot.a, ot.b), if({at('l', 'v')}, ot.c, ot.d))"
+    return f"aggregate({forest}, 0.0D, (os, ot) -> os + {leaf})"
 
 
 def _threshold(odds: np.ndarray, truth: np.ndarray) -> float:
@@ -328,45 +339,41 @@ def find(docs: DataFrame) -> DataFrame:
     """doc_id, text, base and extra: arrays of (start, rank, end, kind) by start,
     then kind as listed in KINDS and EXTRA."""
     trees, thresholds, _ = _model(docs.sparkSession.sparkContext.applicationId)
+    forest = _forest(trees)
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     rows = _candidates(_with_matches(rows, _BASE, _HINT, _valid))
 
-    def free(c: Column) -> Column:
-        """No base span overlaps c: the last that starts before its end ends before it.
-        Spans of one kind are in order and don't overlap."""
-        last = lambda k: F.coalesce(F.get(F.col(k), _before(k, "start", c["end"]) - 1)["end"], F.lit(0))
-        return reduce(lambda a, b: a & b, ((F.size(k) == 0) | (last(k) <= c["start"]) for k in KINDS))
-
-    def scored(c: Column) -> Column:
-        odds = reduce(lambda a, b: a + b, (_as_column(t, c["features"]) for t in trees))
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["g"].alias("g"), odds.alias("odds"))
-
     def over(k: str, least: float) -> Column:
-        good = F.filter(F.transform(k, scored), lambda c: c["odds"] >= F.lit(least))
-        return F.when(F.size(k) > 0, good).otherwise(F.array().cast("array<struct<start:int,end:int,g:int,odds:double>>"))
+        scored = f"transform({k}, c -> named_struct('start', c.`start`, 'end', c.`end`, 'g', c.g, 'odds', {_log_odds(forest, 'c.features')}))"
+        return F.expr(f"if(size({k}) > 0, filter({scored}, c -> c.odds >= double('{least}')), cast(array() as array<struct<start:int,end:int,g:int,odds:double>>))")
 
-    rows = rows.withColumns({k: over(k, least) for k, least in zip(EXTRA, thresholds, strict=True)})
-    rows = rows.withColumns({k: F.when(F.size(k) > 0, F.filter(k, free)).otherwise(F.col(k)) for k in EXTRA})
-    better = lambda a, b: (a["odds"] > b["odds"]) | ((a["odds"] == b["odds"]) & ((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["g"] < b["g"]))))
+    def free(k: str) -> Column:
+        """Those that no base span overlaps: the last that starts before their end ends
+        before them.  Spans of one kind are in order and don't overlap."""
+        clear = " and ".join(f"(size({b}) = 0 or coalesce(get({b}, {_before(b, 'start', 'c.`end`')} - 1).`end`, 0) <= c.`start`)" for b in KINDS)
+        return F.expr(f"if(size({k}) > 0, filter({k}, c -> {clear}), {k})")
 
-    def beaten(c: Column, k: str) -> Column:
-        low, high = _before(k, "end", c["start"] + 1), _before(k, "start", c["end"])
-        return (F.size(k) > 0) & F.exists(F.slice(F.col(k), low + 1, F.greatest(high - low, F.lit(0))), lambda o: better(o, c))
+    def beaten(k: str) -> str:
+        """Whether a better candidate of k overlaps c."""
+        better = "(o.odds > c.odds or (o.odds = c.odds and (o.`start` < c.`start` or (o.`start` = c.`start` and o.g < c.g))))"
+        run = f"named_struct('low', {_before(k, 'end', 'c.`start` + 1')}, 'high', {_before(k, 'start', 'c.`end`')})"
+        return f"(size({k}) > 0 and exists(array({run}), w -> w.high > w.low and exists(slice({k}, w.low + 1, w.high - w.low), o -> {better})))"
 
-    def kept(k: str) -> Column:
-        others = [o for o in EXTRA if o != k]
-        best = F.filter(k, lambda c: ~reduce(lambda a, b: a | b, (beaten(c, o) for o in others)))
-        return F.when(F.size(k) > 0, _spans(best, len(KINDS) + EXTRA.index(k), k)).otherwise(F.array().cast(_NAMED))
+    def kept(k: str) -> str:
+        best = f"filter({k}, c -> not ({' or '.join(beaten(o) for o in EXTRA if o != k)}))"
+        return f"if(size({k}) > 0, {_spans(best, len(KINDS) + EXTRA.index(k), k)}, cast(array() as {_NAMED}))"
 
-    base = F.array_sort(F.concat(*(_spans(F.col(k), i, k) for i, k in enumerate(KINDS))))
-    return rows.select("doc_id", "text", base.alias("base"), F.array_sort(F.concat(*map(kept, EXTRA))).alias("extra"))
+    rows = rows.withColumns({k: over(k, least) for k, least in zip(EXTRA, thresholds, strict=True)})
+    rows = rows.withColumns({k: free(k) for k in EXTRA})
+    base = f"array_sort(concat({', '.join(_spans(k, i, k) for i, k in enumerate(KINDS))}))"
+    return rows.select("doc_id", "text", F.expr(base).alias("base"), F.expr(f"array_sort(concat({', '.join(map(kept, EXTRA))}))").alias("extra"))
 
 
 _NAMED = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
-def _spans(found: Column, rank: int, kind: str) -> Column:
-    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind")))
+def _spans(found: str, rank: int, kind: str) -> str:
+    return f"transform({found}, x -> named_struct('start', x.`start`, 'rank', {rank}, 'end', x.`end`, 'kind', '{kind}'))"
 
 
 def spelled(spans: str | Column) -> Column:
