@@ -110,9 +110,9 @@ def _weights(queries: DataFrame, index: DataFrame) -> DataFrame:
     asked = queries.select("query_id", F.explode(T.lexical_tokens(F.col("question"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
     facts = index.where(F.col("token") == EVERY).agg(F.sum("df").alias("n"), F.greatest(F.sum("total_length") / F.sum("df"), F.lit(1.0)).alias("average"))
     df = index.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.sum("df").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    rows = asked.join(df, "token").join(F.broadcast(facts))  # one row
-    return rows.select("query_id", "token", (F.col("qtf") * idf).alias("weight"), "average")
+    n, average = facts.select("n").scalar(), facts.select("average").scalar()
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return asked.join(df, "token").select("query_id", "token", (F.col("qtf") * idf).alias("weight"), average.alias("average"))
 
 
 def _part(tf: str, length: str):

@@ -89,9 +89,10 @@ def lexical(queries: DataFrame, documents: DataFrame, k: int = 20, digits: int =
     df = index.join(used, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
     weighed = asked.join(df, "token").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(TOKEN_PARTS - 1))))
     kept = index.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(TOKEN_PARTS)).cast("int"))
-    rows = kept.join(weighed, ["token", "part"]).join(F.broadcast(facts))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    length = F.greatest("length", F.lit(1)) / F.col("average")
+    rows = kept.join(weighed, ["token", "part"])
+    n, average = facts.select("n").scalar(), facts.select("average").scalar()
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    length = F.greatest("length", F.lit(1)) / average
     part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length))
     scores = rows.groupBy("query_id", "id").agg(F.round(F.sum(part), digits).alias("lexical_score")).where("lexical_score > 0")
     return top(scores, "lexical_score", k, ["id"], "lexical_rank")

@@ -113,12 +113,15 @@ def query_reports(ranks: DataFrame, queries: DataFrame, found: DataFrame) -> Dat
     wide = rows.groupBy("query_id").agg(*(best(s).alias(s) for s in STAGES), *(any_(s).alias(f"has_{s}") for s in STAGES))
 
     def stage(s: str) -> Column:
+        """The rank is null where there is none; hits are left out of stages without results."""
         hits = [F.when(F.col(f"has_{s}"), F.coalesce(F.col(s) <= k, F.lit(False))).alias(f"hit@{k}") for k in evaluate.CUTOFFS[s]]
-        return F.struct(F.col(s).alias("first_relevant_rank"), F.coalesce(1 / F.col(s), F.lit(0.0)).alias("mrr"), *hits).alias(s)
+        rest = F.to_json(F.struct(F.coalesce(1 / F.col(s), F.lit(0.0)).alias("mrr"), *hits))
+        return F.concat(F.lit(f'"{s}":{{"first_relevant_rank":'), F.coalesce(F.col(s).cast("string"), F.lit("null")), F.lit(","), F.substr(rest, F.lit(2)))
 
     better = lambda s: F.coalesce(F.col(s) < F.coalesce("dense", F.lit(2**31 - 1)), F.lit(False)).alias(f"{s}_improved_vs_dense")
-    whole = F.struct("query", F.struct(*map(stage, STAGES)).alias("stages"), better("rerank"), better("final"))
-    return wide.join(queries, "query_id").select("query_id", F.to_json(whole).alias("json"))
+    head, tail = F.to_json(F.struct("query")), F.to_json(F.struct(better("rerank"), better("final")))
+    whole = F.concat(F.expr("substring(h, 1, length(h) - 1)"), F.when(F.col("h") == "{}", "").otherwise(","), F.lit('"stages":{'), F.concat_ws(",", *map(stage, STAGES)), F.lit("},"), F.substr(tail, F.lit(2)))
+    return wide.join(queries, "query_id").withColumn("h", head).select("query_id", whole.alias("json"))
 
 
 def summary_json(ranks: DataFrame) -> DataFrame:

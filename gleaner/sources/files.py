@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -23,9 +24,12 @@ def read_pdfs(spark: SparkSession, folder: str, decode: Callable[[bytes], list[t
     ``decode`` turns a file's bytes into (page, text blocks, tables) and is the only
     part that needs a PDF library; the rest of the page's text is made here.  Empty
     folders are an error.  Pages keep their numbers; empty ones are dropped."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder)
-    if files.isEmpty():
-        raise FileNotFoundError(f"no PDF in {folder}")
+    try:  # a pattern, not the folder: no subfolder is read as a partition
+        files = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/*.pdf")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"no PDF in {folder}") from None
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd

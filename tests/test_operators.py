@@ -88,7 +88,7 @@ def test_native_specs_agree(spark):
     for r in rows:
         s = r["x"]["specs"]
         assert (r["ram"], r["os"], r["soc"]) == (s["ram_gb"], s["os_list"], s["cpu_soc"])
-    assert rows[-1]["os"] == ["Android 11", "Windows CE"] and rows[-1]["soc"] == ["RK3588S", "i.MX 8M"] and rows[-2]["ram"] == 2 / 1024
+    assert rows[-1]["os"] == ["Android 11", "Windows CE"] and rows[-1]["soc"] == ["RK3588S", "i.MX 8M x"] and rows[-2]["ram"] == 2 / 1024
 
 
 def test_single_page(spark):
@@ -140,12 +140,18 @@ def test_overlap_and_gap(spark):
 
 
 def test_pdf_folder(spark, tmp_path):
-    (tmp_path / "a.pdf").write_bytes(b"x")
+    """Flat: subfolders, also ones that look like partitions, are neither read nor in the way."""
+    folder = tmp_path / "docs"
+    for sub in (folder / "x=1", folder / "sub"):
+        sub.mkdir(parents=True)
+        (sub / "b.pdf").write_bytes(b"y")
     decode = lambda _: [(1, ["Head line", "body of page one", "Foot line"], [[["Name", "Size"], ["ram", "2GB"]]]), (2, ["Head line", "second body", "more of it", "Foot line"], [])]
-    rows = files.read_pdfs(spark, str(tmp_path), decode).orderBy("page").collect()
-    assert [r["page"] for r in rows] == [1, 2] and "[TABLE 1]" in rows[0]["text"] and "second body" in rows[1]["text"]
-    with pytest.raises(FileNotFoundError):
-        files.read_pdfs(spark, str(tmp_path / ".."), decode) if not list(tmp_path.parent.glob("*.pdf")) else files.read_pdfs(spark, "/nonexistent", decode)
+    for missing in (str(folder), str(tmp_path / "nowhere")):
+        with pytest.raises(FileNotFoundError):
+            files.read_pdfs(spark, missing, decode)
+    (folder / "a.pdf").write_bytes(b"x")
+    rows = files.read_pdfs(spark, str(folder), decode).orderBy("page").collect()
+    assert [r["page"] for r in rows] == [1, 2] and "[TABLE 1]" in rows[0]["text"] and "second body" in rows[1]["text"] and {r["source"] for r in rows} == {"a.pdf"}
 
 
 def test_round_trips(spark, tmp_path):
