@@ -180,7 +180,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
     elif args.command == "inspect":
         audit = inspect.inspection(_chosen(spark, args))
         if args.format == "md":
-            files.write_markdown(audit, args.out, args.preview_chars, args.include_full_text)
+            files.write_markdown(audit, args.out, args.preview_chars, args.include_full_text, datetime.now(timezone.utc).isoformat(timespec="seconds"))
         else:
             files.write_jsonl(audit, args.out)
     else:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleaner.functions import text as T
+from gleaner.operators.running import before
 
 
 def repeated_lines(pages: DataFrame, min_pages: int = 2) -> DataFrame:
@@ -39,9 +40,23 @@ def strip_repeated(pages: DataFrame, repeated: DataFrame) -> DataFrame:
 
 def page_spans(pages: DataFrame) -> DataFrame:
     """(source, page, start, end) of each page in its document's text."""
-    before = Window.partitionBy("source").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text") + 2).over(before), F.lit(0)).cast("int")
-    return pages.select("source", "page", start.alias("start"), F.length("text").alias("length")).select("source", "page", "start", (F.col("start") + F.col("length")).alias("end"))
+    rows = pages.select("source", "page", F.length("text").cast("long").alias("length"))
+    rows = before(rows, "source", "page", ["length"], start=(F.sum, F.col("length") + 2)).withColumn("start", F.coalesce("start", F.lit(0)))
+    return rows.select("source", "page", F.col("start").cast("int").alias("start"), (F.col("start") + F.col("length")).cast("int").alias("end"))
+
+
+def lines_of(pages: DataFrame) -> DataFrame:
+    """(source, pos, line, last): the lines of each document that documents_of()
+    would make, without making it, so a document may be larger than a row.  ``pos`` counts
+    lines; ``last`` marks the document's last one."""
+    rows = pages.select("source", "page", F.length("text").alias("length"), F.split("text", "\n").alias("rows"))
+    rows = before(rows, "source", "page", ["length"], row=(F.sum, F.size("rows") + 1)).withColumn("row", F.coalesce("row", F.lit(0)))
+    ends = rows.groupBy(F.struct("source").alias("g")).agg(F.max(F.col("row") + F.size("rows")).alias("n"))
+    rows = rows.join(ends, F.struct("source") == F.col("g"))
+    # An empty line stands between two pages.
+    final = F.col("row") + F.size("rows") == F.col("n")
+    rows = rows.select("source", "row", "n", F.posexplode(F.when(final, F.col("rows")).otherwise(F.concat("rows", F.array(F.lit(""))))).alias("i", "line"))
+    return rows.select("source", (F.col("row") + F.col("i")).alias("pos"), "line", (F.col("row") + F.col("i") == F.col("n") - 1).alias("last"))
 
 
 def documents_of(pages: DataFrame) -> DataFrame:

@@ -1,47 +1,71 @@
-"""Sections of documents, native: headings split, tiny ones join their successor."""
+"""Sections of documents, native: headings split, tiny ones join their successor.
+
+Lines and sections are numbered and summed in blocks (``running``), so a source of any
+number of lines is worked on by many tasks; a task holds one section's text."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gleaner.functions import text as T
+from gleaner.operators.running import before
+from gleaner.sources.tables import save
 
 
-def raw_sections(documents: DataFrame) -> DataFrame:
+def lines_of(documents: DataFrame) -> DataFrame:
+    """(source, pos, line, last) of texts that are rows; pages.lines_of() gives the same
+    of pages."""
+    rows = documents.select("source", F.split("text", "\n").alias("rows")).select("source", F.size("rows").alias("n"), F.posexplode("rows").alias("pos", "line"))
+    return rows.select("source", "pos", "line", (F.col("pos") == F.col("n") - 1).alias("last"))
+
+
+def sections_of_lines(lines: DataFrame) -> DataFrame:
     """(source, section_no, start, end, text, section, heading_level): a document
     heading starts a section; blank ones are dropped, and a document without any
     is one section."""
-    rows = documents.select("source", F.length("text").alias("length"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    upto = Window.partitionBy("source").orderBy("pos")
-    rows = rows.withColumn("start", F.coalesce(F.sum(F.length("line") + 1).over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
-    rows = rows.withColumn("heading", T.is_document_heading(F.col("line"))).withColumn("part", F.sum(F.col("heading").cast("int")).over(upto))
-    parts = rows.groupBy("source", "part").agg(F.min("start").alias("start"), F.max("heading").alias("headed"), F.min_by("line", "pos").alias("line"), F.max("length").alias("length"))
-    ahead = Window.partitionBy("source").orderBy("part")
-    parts = parts.withColumn("end", F.coalesce(F.lead("start").over(ahead), F.col("length")))
-    name = F.when(F.col("headed"), T.strip(F.col("line"))).otherwise("")
-    parts = parts.select("source", "part", "start", "end", F.substring(name, 1, 120).alias("section"), F.when(F.col("headed"), T.heading_level(name)).otherwise(0).alias("heading_level"))
-    texts = parts.join(documents.select("source", F.col("text").alias("all")), "source").select(*parts.columns, F.expr("substring(all, start + 1, end - start)").alias("text"))
-    texts = texts.where(T.strip(F.col("text")) != "")
-    return texts.select("source", F.row_number().over(Window.partitionBy("source").orderBy("part")).alias("section_no"), "start", "end", "text", "section", "heading_level")
+    rows = lines.withColumn("heading", T.is_document_heading(F.col("line")))
+    rows = before(rows, "source", "pos", start=(F.sum, F.length("line").cast("long") + 1), part=(F.sum, F.col("heading").cast("int")))
+    rows = rows.withColumn("start", F.coalesce("start", F.lit(0))).withColumn("part", F.coalesce("part", F.lit(0)) + F.col("heading").cast("int"))
+    parts = rows.groupBy("source", "part").agg(
+        F.min("start").alias("start"), F.sum(F.length("line").cast("long") + 1).alias("size"), F.max("last").alias("last"), F.max("heading").alias("headed"),
+        F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("rows"),
+    )
+    # The line end before the next section belongs to this one.
+    text = F.concat(F.array_join("rows.line", "\n"), F.when(F.col("last"), "").otherwise("\n"))
+    name = F.when(F.col("headed"), T.strip(F.get(F.col("rows.line"), 0))).otherwise("")
+    parts = parts.select(
+        "source", "part", F.col("start").cast("int").alias("start"), (F.col("start") + F.col("size") - F.col("last").cast("int")).cast("int").alias("end"), text.alias("text"), F.substring(name, 1, 120).alias("section"),
+        F.when(F.col("headed"), T.heading_level(name)).otherwise(0).alias("heading_level"),
+    ).where(T.strip(F.col("text")) != "")
+    numbered = before(parts, "source", "part", n=(F.sum, F.lit(1)))
+    return numbered.select("source", (F.coalesce("n", F.lit(0)) + 1).cast("int").alias("section_no"), "start", "end", "text", "section", "heading_level")
 
 
-def sections_of(documents: DataFrame, tiny: int = 8) -> DataFrame:
-    """raw_sections() where a headed section of at most ``tiny`` tokens takes its
+def raw_sections(documents: DataFrame) -> DataFrame:
+    return sections_of_lines(lines_of(documents))
+
+
+def merged(sections: DataFrame, tiny: int = 8) -> DataFrame:
+    """``sections`` where a headed section of at most ``tiny`` tokens takes its
     successor in: in a run of tiny sections those at even places do."""
-    rows = raw_sections(documents)
-    by = Window.partitionBy("source").orderBy("section_no")
-    rows = rows.withColumn("tiny", (F.col("section") != "") & (T.count_length_tokens(F.col("text")) <= tiny))
-    rows = rows.withColumn("run", F.sum(F.when(F.col("tiny"), 0).otherwise(1)).over(by))
-    in_run = Window.partitionBy("source", "run", "tiny").orderBy("section_no")
-    rows = rows.withColumn("place", F.row_number().over(in_run) - 1)
-    has_next = F.lead("section_no").over(by).isNotNull()
-    takes = F.col("tiny") & (F.col("place") % 2 == 0) & has_next
-    rows = rows.withColumn("takes", takes).withColumn("taken", F.coalesce(F.lag("takes").over(by), F.lit(False)))
-    after = lambda c: F.lead(c).over(by)
-    label = F.when((after("section") != "") & (after("section") != F.col("section")), F.concat_ws(" / ", "section", after("section"))).otherwise(F.col("section"))
-    rows = rows.withColumn("label", F.when(F.col("takes"), F.substring(label, 1, 120)).otherwise(F.col("section")))
-    rows = rows.withColumn("stop", F.when(F.col("takes"), after("end")).otherwise(F.col("end"))).withColumn("body", F.when(F.col("takes"), F.concat("text", F.coalesce(after("text"), F.lit("")))).otherwise(F.col("text")))
-    rows = rows.where("not taken")
-    return rows.select("source", F.row_number().over(by).alias("section_no"), "start", F.col("stop").alias("end"), F.col("body").alias("text"), F.col("label").alias("section"), "heading_level")
+    rows = save(sections.withColumn("tiny", (F.col("section") != "") & (T.count_length_tokens(F.col("text")) <= tiny)).withColumn("group", F.struct("source")), "sections")
+    # Numbers alone decide.  Places in a run count from the last section before that isn't tiny.
+    runs = before(rows.select("group", "section_no", "tiny"), "group", "section_no", stored=True, solid=(F.max, F.when(~F.col("tiny"), F.col("section_no"))))
+    even = F.col("tiny") & ((F.col("section_no") - F.coalesce("solid", F.lit(0)) - 1) % 2 == 0)
+    runs = save(runs.select("group", "section_no", even.alias("even")), "runs")
+    prior = runs.select("group", (F.col("section_no") + 1).alias("section_no"), F.col("even").alias("taken"))
+    runs = runs.join(prior, ["group", "section_no"], "left").withColumn("taken", F.coalesce("taken", F.lit(False)))
+    runs = before(runs, "group", "section_no", gone=(F.sum, F.col("taken").cast("int"))).where(~F.col("taken"))
+    after = rows.select("group", (F.col("section_no") - 1).alias("section_no"), F.col("end").alias("next_end"), F.col("text").alias("next_text"), F.col("section").alias("next_section"))
+    rows = rows.join(runs.select("group", "section_no", "even", "gone"), ["group", "section_no"]).join(after, ["group", "section_no"], "left")
+    takes = F.col("even") & F.col("next_end").isNotNull()
+    label = F.when((F.col("next_section") != "") & (F.col("next_section") != F.col("section")), F.concat_ws(" / ", "section", "next_section")).otherwise(F.col("section"))
+    return rows.select(
+        "source", (F.col("section_no") - F.coalesce("gone", F.lit(0))).cast("int").alias("section_no"), "start", F.when(takes, F.col("next_end")).otherwise(F.col("end")).alias("end"), F.when(takes, F.concat("text", "next_text")).otherwise(F.col("text")).alias("text"),
+        F.when(takes, F.substring(label, 1, 120)).otherwise(F.col("section")).alias("section"), "heading_level",
+    )
+
+
+def sections_of(documents: DataFrame, tiny: int = 8) -> DataFrame:
+    return merged(raw_sections(documents), tiny)

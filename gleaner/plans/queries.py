@@ -275,6 +275,13 @@ def raw_sections(spark, sf_dir):
     return sections.raw_sections(section_docs(spark, sf_dir)).select("source", "section_no", "start", "end", "section", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+@query(f'WITH {PAGES}, texts AS (SELECT source AS id, string_agg(text, {NL} || {NL} ORDER BY page) AS text FROM pg GROUP BY source), {SECTIONS} SELECT source, CAST(no AS INT) AS section_no, CAST(a AS INT) AS "start", CAST(b AS INT) AS "end", section, md5(text) AS digest FROM raw')
+def source_sections(spark, sf_dir):
+    """Of the documents that whole sources make, without making them."""
+    lines = pages.lines_of(page_table(spark, sf_dir))
+    return sections.sections_of_lines(lines).select("source", "section_no", "start", "end", "section", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @query(
     f"""WITH {TEXTS}, {SECTIONS}, t AS (SELECT *, section <> '' AND length(regexp_extract_all(text, '{TOKENS}')) <= 8 AS tiny FROM raw),
 r AS (SELECT *, sum(CASE WHEN tiny THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY no) AS run FROM t),

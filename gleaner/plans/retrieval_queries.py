@@ -447,6 +447,31 @@ def facet_filter(spark, sf_dir):
     return inspect.browse(part_chunks(spark, sf_dir), source="Brand#11.pdf", terms="NXP").select("id")
 
 
+#: Facets of the parts under a selection of three, which are each left out for themselves.
+_FACETS = """v AS (SELECT position, source, coalesce(nullif(section, ''), title) AS section, vendors AS tags, CASE WHEN table_context <> '' THEN ['table'] ELSE [] END AS spec FROM pc
+  WHERE contains(lower(concat_ws(chr(10), id, source, section, title, product, array_to_string(product_codes, ' '), array_to_string(chip_models, ' '), array_to_string(vendors, ' '), array_to_string(vendors, ' '), text)), 'g')),
+f AS (SELECT *, source <> 'Brand#11.pdf' AS f1, NOT list_contains(tags, 'NXP') AS f2, NOT list_contains(spec, 'table') AS f3 FROM v),
+g AS (SELECT position, 'source' AS facet, source AS value FROM f WHERE NOT f2 AND NOT f3 UNION ALL SELECT position, 'section', section FROM f WHERE NOT f1 AND NOT f2 AND NOT f3
+  UNION ALL SELECT position, 'tag', unnest(tags) FROM f WHERE NOT f1 AND NOT f3 UNION ALL SELECT position, 'spec', unnest(spec) FROM f WHERE NOT f1 AND NOT f2)"""
+
+
+@query(f"WITH {PARTS}, {_FACETS} SELECT facet, value, count(*) AS n, min(position) AS first_position FROM g GROUP BY 1, 2")
+def facet_counts(spark, sf_dir):
+    rows = part_chunks(spark, sf_dir).withColumn("tags", F.col("vendors")).withColumn("chunk_id", F.col("id"))
+    return inspect.facet_counts(rows, {"source": "Brand#11.pdf", "tag": "NXP", "spec": "table"}, "G")
+
+
+@query(f"""WITH {PARTS}, s AS (SELECT source, count(*) AS n, min(position) AS "first" FROM pc GROUP BY 1) SELECT n, CAST("first" AS BIGINT) AS "first", '- ' || source || ': ' || n AS line FROM s
+UNION ALL SELECT 4611686018427387904, 0, '# Chunk Inspection' || repeat(chr(10), 2) || '- generated_at: now' || chr(10) || '- total_chunks: ' || sum(n) || chr(10) || '- sources: ' || count(*) || repeat(chr(10), 2) || '## Source Summary' || chr(10) FROM s""")
+def inspection_summary(spark, sf_dir):
+    return files.inspection_summary(part_chunks(spark, sf_dir).withColumnRenamed("position", "index"), "now")
+
+
+@query(f"WITH {PARTS} SELECT id, regexp_replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '(widget|ring|\\.)', '<mark>\\1</mark>', 'gi') AS html FROM pc")
+def highlighted_terms(spark, sf_dir):
+    return part_chunks(spark, sf_dir).select("id", inspect.highlighted(F.col("text"), "widget Ring .").alias("html"))
+
+
 _BLOCK = """'[Context ' || position || ']' || chr(10) || 'source: ' || source || chr(10) || 'page: 3' || CASE WHEN coalesce(nullif(section, ''), title) <> '' THEN chr(10) || 'section: ' || coalesce(nullif(section, ''), title) ELSE '' END || CASE WHEN product <> '' THEN chr(10) || 'product: ' || product ELSE '' END
   || CASE WHEN length(product_codes) > 0 THEN chr(10) || 'product_codes: ' || array_to_string(product_codes, ', ') ELSE '' END || CASE WHEN length(chip_models) > 0 THEN chr(10) || 'chip_models: ' || array_to_string(chip_models, ', ') ELSE '' END || chr(10) || 'vendors: ' || array_to_string(vendors, ', ')
   || chr(10) || 'heading_level: ' || heading_level || CASE WHEN list_structure <> '' THEN chr(10) || 'list_structure: ' || list_structure ELSE '' END || CASE WHEN table_context <> '' THEN chr(10) || 'table_context: ' || table_context ELSE '' END || chr(10) || 'text: ' || text"""

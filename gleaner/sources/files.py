@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gleaner.functions import text as T
-from gleaner.functions.display import page_label, specs_text, text_preview
+from gleaner.functions.display import page_label, text_preview
 from gleaner.operators.pages import repeated_lines, strip_repeated
+from gleaner.operators.running import before
 
 PAGE = "source string, file_path string, page int, text string"
 RAW_PAGE = "page int, blocks array<string>, tables array<array<array<string>>>"
@@ -105,19 +106,40 @@ def latest_by_id(chunks: DataFrame) -> DataFrame:
 
 
 def inspection_markdown(audit: DataFrame, preview: int = 400, full: bool = False) -> DataFrame:
-    """(index, markdown): a section for each audited chunk."""
-    labelled = {"page": "page_label", "chars": "char_length", "tokens": "estimated_tokens", "overlap": "overlap_with_previous_chars", "gap": "gap_from_previous_chars", "section": "section", "product": "product"}
-    lines = [F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.concat(F.lit(f"- {k}: "), F.col(c).cast("string"))) for k, c in labelled.items()]
-    specs = F.nullif(specs_text(F.col("specs")), F.lit(""))
-    body = F.col("text") if full else text_preview(F.col("text"), preview)
-    notes = F.when(F.size("notes") > 0, F.concat(F.lit("- notes: "), F.array_join("notes", ", ")))
-    whole = F.concat_ws("\n", F.concat(F.lit("## "), F.col("index").cast("string"), F.lit(". "), F.col("chunk_id")), *lines, F.concat(F.lit("- specs: "), specs), notes, F.lit("\n```text"), body, F.lit("```"))
-    return audit.select("index", whole.alias("markdown"))
-
-
-def write_markdown(audit: DataFrame, path: str, preview: int = 400, full: bool = False) -> None:
-    """Sections in order; Spark sorts by range, so no task holds them all."""
-    inspection_markdown(audit, preview, full).orderBy("index").select("markdown").write.mode("overwrite").text(path, lineSep="\n\n")
+    """(index, markdown): a section for each audited chunk; where the source changes, its
+    heading goes before."""
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    listed = lambda c: F.coalesce(F.array_join(c, ", "), F.lit(""))
+    rows = before(audit.withColumn("all", F.lit(0)), "all", "index", prior=(F.max, F.struct("index", F.coalesce("source", F.lit("")).alias("source"))))
+    new = ~F.coalesce(F.col("prior.source") == F.coalesce("source", F.lit("")), F.lit(False))
+    fields = {
+        "page": plain("page_label"), "char_range": F.concat(shown("char_start"), F.lit("-"), shown("char_end")), "chars/tokens": F.concat(plain("char_length"), F.lit(" / "), plain("estimated_tokens")), "parent_id": plain("parent_id"),
+        "prev/next": F.concat(plain("prev_chunk_id"), F.lit(" / "), plain("next_chunk_id")), "section": plain("section"), "product_codes": listed("product_codes"), "chip_models": listed("chip_models"), "vendors": listed("vendors"),
+        "overlap/gap from previous chars": F.concat(shown("overlap_with_previous_chars"), F.lit(" / "), shown("gap_from_previous_chars")), "notes": F.when(F.size("notes") > 0, F.array_join("notes", ", ")).otherwise("none"),
+    }
+    lines = [F.concat(F.lit(f"- {k}: "), c) for k, c in fields.items()]
+    body = F.coalesce(F.col("text"), F.lit(""))
+    head = F.when(new, F.concat(F.lit("\n## "), plain("source"), F.lit("\n")))
+    whole = F.concat_ws("\n", head, F.concat(F.lit("### "), F.col("index").cast("string"), F.lit(". "), plain("chunk_id")), F.lit(""), *lines, F.lit("\n```text"), body if full else text_preview(body, preview), F.lit("```\n"))
+    return rows.select("index", whole.alias("markdown"))
+
+
+def inspection_summary(audit: DataFrame, made: str) -> DataFrame:
+    """(n, first, line): the head of the audit and a line for each source, the most
+    frequent first (by falling n), then the first to appear."""
+    sources = audit.groupBy(F.coalesce("source", F.lit("")).alias("s")).agg(F.count("*").alias("n"), F.min("index").alias("first"))
+    counts = sources.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("sources"))
+    head = F.concat_ws("\n", F.lit("# Chunk Inspection\n"), F.lit(f"- generated_at: {made}"), F.concat(F.lit("- total_chunks: "), F.col("n").cast("string")), F.concat(F.lit("- sources: "), F.col("sources").cast("string")), F.lit("\n## Source Summary\n"))
+    first = counts.select(F.lit(2**62).alias("n"), F.lit(0).cast("long").alias("first"), head.alias("line"))
+    return first.unionByName(sources.select("n", F.col("first").cast("long").alias("first"), F.concat(F.lit("- "), "s", F.lit(": "), F.col("n").cast("string")).alias("line")))
+
+
+def write_markdown(audit: DataFrame, path: str, preview: int = 400, full: bool = False, made: str = "") -> None:
+    """Summary, then sections in order; Spark sorts by range, so no task holds them all."""
+    head = inspection_summary(audit, made).select(F.lit(0).alias("part"), (-F.col("n")).alias("a"), F.col("first").alias("b"), "line")
+    body = inspection_markdown(audit, preview, full).select(F.lit(1).alias("part"), F.col("index").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.col("markdown").alias("line"))
+    head.unionByName(body).orderBy("part", "a", "b").select("line").write.mode("overwrite").text(path)
 
 
 def script_json(df: DataFrame) -> DataFrame:
