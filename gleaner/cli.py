@@ -36,10 +36,13 @@ def _search_options(p: argparse.ArgumentParser) -> None:
 def parser() -> argparse.ArgumentParser:
     main = argparse.ArgumentParser(prog="gleaner", description=__doc__.splitlines()[0])
     sub = main.add_subparsers(dest="command", required=True)
-    chunk = sub.add_parser("chunk", help="pages (JSON lines) to a chunk table")
+    chunk = sub.add_parser("chunk", help="pages or PDF files to a chunk table")
     embed = sub.add_parser("embed", help="chunks to vectors")
     index = sub.add_parser("index", help="chunks and vectors to a search index")
-    for p, needs in ((chunk, ("pages", "out")), (embed, ("chunks", "out")), (index, ("chunks", "vectors", "out"))):
+    given = chunk.add_mutually_exclusive_group(required=True)
+    given.add_argument("--pages", help="JSON lines of pages")
+    given.add_argument("--docs", help="folder of PDF files")
+    for p, needs in ((chunk, ("out",)), (embed, ("chunks", "out")), (index, ("chunks", "vectors", "out"))):
         for name in needs:
             p.add_argument(f"--{name}", required=True)
     embed.add_argument("--batch-size", type=int, default=32)
@@ -162,7 +165,8 @@ def judged(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 def run(args: argparse.Namespace, spark: SparkSession) -> None:
     if args.command == "chunk":
-        retrieve.indexed(retrieve.chunks_of(files.clean_pages(files.read_jsonl(spark, args.pages, files.PAGE)))).write.mode("overwrite").parquet(args.out)
+        pages = files.read_pdfs(spark, args.docs) if args.docs else files.clean_pages(files.read_jsonl(spark, args.pages, files.PAGE))
+        retrieve.indexed(retrieve.chunks_of(pages)).write.mode("overwrite").parquet(args.out)
     elif args.command == "embed":
         chunks = spark.read.parquet(args.chunks)
         files.write_vectors(chunks.select("chunk_id", services.encode(metadata_text(chunks.columns), batch=args.batch_size).alias("embedding")), args.out)

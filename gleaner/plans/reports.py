@@ -134,11 +134,13 @@ def summary_json(ranks: DataFrame) -> DataFrame:
 
 
 def write_report(ranks: DataFrame, queries: DataFrame, found: DataFrame, path: str) -> None:
-    """{"summary": ..., "queries": [...]} as one JSON document in the text file of
-    ``path``: its lines are sorted and written one after the other, none is collected."""
+    """{"summary": ..., "queries": [...]} as one JSON document in the text files of
+    ``path``, one after the other by name: Spark sorts the lines by range, so no task
+    holds them all."""
     rows = query_reports(ranks, queries, found)
-    line = F.row_number().over(Window.orderBy("query_id"))
-    own = rows.select(line.alias("n"), F.concat(F.when(line == 1, "").otherwise(","), "json").alias("line"))
-    head = summary_json(ranks).select(F.lit(0).alias("n"), F.concat(F.lit('{"summary":'), "json", F.lit(',"queries":[')).alias("line"))
-    tail = head.select(F.lit(2**31 - 1).alias("n"), F.lit("]}").alias("line"))
-    head.unionByName(own).unionByName(tail).orderBy("n").select("line").coalesce(1).write.mode("overwrite").text(path)
+    first = rows.agg(F.min("query_id")).scalar()
+    own = rows.select(F.lit(1).alias("part"), "query_id", F.concat(F.when(F.col("query_id") == first, "").otherwise(","), "json").alias("line"))
+    none = F.lit(None).cast(rows.schema["query_id"].dataType).alias("query_id")
+    head = summary_json(ranks).select(F.lit(0).alias("part"), none, F.concat(F.lit('{"summary":'), "json", F.lit(',"queries":[')).alias("line"))
+    tail = head.select(F.lit(2).alias("part"), none, F.lit("]}").alias("line"))
+    head.unionByName(own).unionByName(tail).orderBy("part", "query_id").select("line").write.mode("overwrite").text(path)

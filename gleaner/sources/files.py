@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -14,23 +13,21 @@ from gleaner.functions import text as T
 from gleaner.functions.display import page_label, text_preview
 from gleaner.operators.pages import repeated_lines, strip_repeated
 from gleaner.operators.running import before
+from gleaner.sources import pdf
 
 PAGE = "source string, file_path string, page int, text string"
 RAW_PAGE = "page int, blocks array<string>, tables array<array<array<string>>>"
 
 
-def read_pdfs(spark: SparkSession, folder: str, decode: Callable[[bytes], list[tuple[int, list[str], list]]]) -> DataFrame:
+def read_pdfs(spark: SparkSession, folder: str, decode: Callable[[bytes], list[tuple[int, list[str], list]]] | None = None) -> DataFrame:
     """Pages of every *.pdf in a folder: source, file_path, page, text.
 
-    ``decode`` turns a file's bytes into (page, text blocks, tables) and is the only
-    part that needs a PDF library; the rest of the page's text is made here.  Empty
-    folders are an error.  Pages keep their numbers; empty ones are dropped."""
-    try:  # a pattern, not the folder: no subfolder is read as a partition
-        files = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/*.pdf")
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        raise FileNotFoundError(f"no PDF in {folder}") from None
+    They are decoded by ``gleaner.sources.pdf``, or by ``decode``, which turns a file's bytes
+    into (page, text blocks, tables).  Subfolders aren't read; a folder without a PDF is an
+    error.  Pages keep their numbers; empty ones are dropped."""
+    if decode is None:
+        return clean_pages(page_texts(pdf.raw_pages(spark, folder)))
+    files = pdf.files(spark, folder)
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
