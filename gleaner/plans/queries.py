@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleaner.functions import specs as S
+from gleaner.functions import tabular
 from gleaner.functions import text as T
 from gleaner.operators import chunking, inspect, pages, planner, sections
 from gleaner.plans import fixtures as X
@@ -391,18 +392,33 @@ def spec_capacity(spark, sf_dir):
     return all_texts(spark, sf_dir).select("id", S.native_capacity(text, "ram_gb").alias("ram_gb"), S.native_capacity(text, "flash_gb").alias("flash_gb"), S.native_flag(text, "has_lvds").alias("has_lvds"), S.native_flag(text, "has_mipi_dsi").alias("has_mipi_dsi"))
 
 
-@query(
+PLANNED = (
     """SELECT p_partkey AS query_id, ord, field, op, val FROM part, (VALUES (0, 1, 'uart_count', '>='), (1, 1, 'ram_gb', '>='), (2, 1, 'has_lvds', '=='), (2, 2, 'os_list', 'contains'), (3, 1, 'spi_count', '<='), (4, 1, 'cpu_soc', 'contains'), (4, 2, 'vendor', 'contains'), (5, 1, 'flash_gb', '>='), (5, 2, 'can_count', '>=')) AS c(kind, ord, field, op),
   LATERAL (SELECT CASE c.field WHEN 'has_lvds' THEN 'true' WHEN 'os_list' THEN 'Yocto' WHEN 'cpu_soc' THEN 'RK' || (3500 + p_size) WHEN 'vendor' THEN 'NXP' WHEN 'flash_gb' THEN CAST(CAST(p_size AS DOUBLE) / 2 AS VARCHAR) WHEN 'can_count' THEN '1.0' ELSE p_size || '.0' END AS val) v WHERE c.kind = p_partkey % 6"""
 )
-def plan_conditions(spark, sf_dir):
+
+
+def part_questions(spark, sf_dir):
     """A question for every part, in six kinds."""
     n, kind = F.col("p_size").cast("string"), F.col("p_partkey") % 6
     asked = F.when(kind == 0, F.concat(n, F.lit(" x UART ports"))).when(kind == 1, F.concat(F.lit("RAM "), n, F.lit("GB 以上"))).when(kind == 2, "支援 LVDS, runs Yocto").when(kind == 3, F.concat(F.lit("SPI "), n, F.lit(" 個以下")))
     asked = asked.when(kind == 4, F.concat(F.lit("the RK"), (F.col("p_size") + 3500).cast("string"), F.lit(" of NXP?"))).otherwise(F.concat((F.col("p_size") * 512).cast("string"), F.lit("MB Flash, supports CAN")))
-    value = F.coalesce(F.col("num_value").cast("string"), F.col("bool_value").cast("string"), "str_value")
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), asked.alias("question"))
-    return planner.conditions_of(rows).select("query_id", "ord", "field", "op", value.alias("val"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), asked.alias("question"))
+
+
+_VALUE = "coalesce(cast(num_value AS string), cast(bool_value AS string), str_value) AS val"
+
+
+@query(PLANNED)
+def plan_conditions(spark, sf_dir):
+    return planner.conditions_of(part_questions(spark, sf_dir)).selectExpr("query_id", "ord", "field", "op", _VALUE)
+
+
+@query(PLANNED)
+def plan_conditions_lateral(spark, sf_dir):
+    """The same through the table function of SQL."""
+    tabular.register(spark)
+    return spark.sql(f"SELECT query_id, ord, field, op, {_VALUE} FROM {{asked}} q, LATERAL plan_conditions(q.question) c", asked=part_questions(spark, sf_dir))
 
 
 _OPS = {0: ("以上", ">="), 1: ("不超過", ">"), 2: ("不少於", ">="), 3: ("小於等於", "<="), 4: ("=", "=="), 5: ("少於", "<"), 6: ("none", "")}

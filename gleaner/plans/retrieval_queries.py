@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from gleaner.functions import display as D
 from gleaner.functions import text as T
-from gleaner.operators import evaluate, expand, inspect, lexindex, planner, products, prompts, ranking, retrieval
+from gleaner.operators import cells, evaluate, expand, inspect, lexindex, planner, products, prompts, ranking, retrieval
 from gleaner.plans import fixtures as X
 from gleaner.plans import reports
 from gleaner.plans import retrieve as R
@@ -48,6 +48,12 @@ def dense_topk_l2(spark, sf_dir):
     return retrieval.dense(vector_queries(spark, sf_dir), vectors(spark, sf_dir), measure="l2")
 
 
+@query()
+def cells_topk_l2(spark, sf_dir):
+    """Approximate, by inverted cells; what dense_topk_l2 finds exactly."""
+    return cells.search(vector_queries(spark, sf_dir), cells.build(vectors(spark, sf_dir)))
+
+
 def searched(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
