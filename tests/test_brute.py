@@ -1,6 +1,7 @@
 """Queries and operators that SQL can't express, against plain Python written from
 their definitions."""
 
+import bisect
 import hashlib
 import json
 import math
@@ -26,28 +27,27 @@ SEPARATORS = ("\n\n", "\n", "Q:", "A:", "Question:", "Answer:", ". ", "; ", ", "
 
 
 def split_by_hand(text, size, overlap):
-    """Token by token: the longest piece of ``size`` tokens, shortened to the last place
-    behind the first kind of separator that ends past 55 % of it."""
+    """From the definition: among the places where a piece may end, the best kind of
+    separator wins, of that kind the last; without any, the piece is full."""
     spans = [m.span() for m in TOKEN.finditer(text)]
+    starts = [a for a, _ in spans]
+
+    def stop(first):
+        if first + size >= len(spans):
+            return len(spans)
+        least = max(1, min(size, max(20, int(size * 0.55))))
+        low, high = spans[first + least - 1][1], spans[first + size - 1][1]
+        last_of_kind = {rank: at + len(s) for rank, s in enumerate(SEPARATORS) for at in range(low, high - len(s) + 1) if text.startswith(s, at)}
+        places = (bisect.bisect_left(starts, last_of_kind[rank]) for rank in sorted(last_of_kind))
+        return next((i for i in places if i > first), first + size)
+
     if len(spans) <= size:
-        return [(text.index(text.strip()), len(text.rstrip()))] if spans else []
-    out, first = [], 0
-    while True:
-        end = min(first + size, len(spans))
-        if end < len(spans):
-            low, high = spans[min(first + max(20, int(size * 0.55)), end) - 1][1], spans[end - 1][1]
-            for s in SEPARATORS:
-                at = text.rfind(s, low, high)
-                # rfind finds the last start; overlapping finds don't matter for an end.
-                cut = next((i for i, (a, _) in enumerate(spans) if a >= at + len(s)), len(spans)) if at >= 0 else -1
-                if cut > first:
-                    end = cut
-                    break
-        a, b = spans[first][0], spans[end - 1][1]
-        out.append((a, b))
-        if end >= len(spans):
-            return out
-        first = max(end - overlap, first + 1)
+        return [(spans[0][0], spans[-1][1])] if spans else []
+    pieces = [(0, stop(0))]
+    while pieces[-1][1] < len(spans):
+        first = max(pieces[-1][1] - overlap, pieces[-1][0] + 1)
+        pieces.append((first, stop(first)))
+    return [(spans[i][0], spans[j - 1][1]) for i, j in pieces]
 
 
 def test_chunks_token_split(spark, sf_dir):
@@ -243,21 +243,41 @@ def specs_of(spark, texts):
     return [(r["x"]["specs"].asDict(), r["x"]["spec_evidence"]) for r in rows]
 
 
+UNITS = {"x", "個", "組", "路", "port", "ports"}
+
+
+def scanned(line, names):
+    """(number, where the mention starts, where its number stands if that comes first):
+    a scanner over words, numbers and marks."""
+    found = [(m.group(), m.start()) for m in re.finditer(r"[A-Za-z][A-Za-z0-9]*|[0-9]+|\S", line)]
+    word = lambda i: found[i][0] if i < len(found) else ""
+    for i, (token, at) in enumerate(found):
+        if token.isdigit():
+            ahead = i + 2 if word(i + 1).lower() in UNITS else i + 1
+            if word(ahead).upper() in names:
+                yield int(token), at, at
+        elif token.upper() in names:
+            j = i + 1
+            if token.upper() == "USB" and len(word(j)) == 1 and word(j).isdigit():  # its version
+                j += 3 if word(j + 1) == "." and word(j + 2).isdigit() else 1
+            j += word(j).lower() in {"port", "ports"}
+            if word(j) in {":", "="} and word(j + 1).isdigit():
+                yield int(word(j + 1)), at, None
+
+
 def counts_by_hand(text, names, skip):
-    """Line by line: every number before or behind a name, each mention once."""
-    name = "(?:" + "|".join(names) + ")"
-    unit = "(?:x|X|個|組|路|port|ports)?"
-    seen = {}
-    for line in (x.strip() for x in re.sub(r"[ \t]+", " ", text).splitlines()):
-        if not re.search(name, line, re.I) or skip and re.search(r"\b(?:E-Key|M\.2|Mini-PCIe|PCIe|PCI\s*Express)\b", line, re.I):
+    """The sum over a text's mentions, those of one number and wording once.  A mention
+    reaches to the next number before a name, and is worded by what is before a colon."""
+    once = set()
+    for line in text.split("\n"):
+        if skip and "pcie" in line.lower():
             continue
-        for pattern in (rf"(\d+)\s*{unit}\s*{name}\b", rf"\b{name}\s*(?:port|ports)?\s*[:=]\s*(\d+)\b"):
-            for m in re.finditer(pattern, line, re.I):
-                rest = line[m.start() :]
-                cut = re.search(rf"(?<=.)\s+\d+\s*{unit}\s*{name}\b", rest, re.I)
-                key = rest[: cut.start()] if cut else rest
-                seen[int(m[1]), " ".join(key.split(":")[0].split()).strip(" :").lower()] = int(m[1])
-    return sum(seen.values()) or None
+        found = list(scanned(line, names))
+        for n, at, _ in found:
+            later = [x for _, _, x in found if x is not None and x > at and line[x - 1].isspace()]
+            wording = line[at : min(later, default=len(line))].partition(":")[0]
+            once.add((n, " ".join(wording.lower().split())))
+    return sum(n for n, _ in once) or None
 
 
 def test_interface_counts(spark):
@@ -265,7 +285,7 @@ def test_interface_counts(spark):
     piece = lambda: r.choice(["{} x UART", "{}x UART", "UART: {}", "UART ports = {}", "{} UART, {} x I2C", "I2C {}", "IIC: {}", "{} ports SPI", "Mini-PCIe {} x UART", "USB 2.0: {}", "{} x USB 3.0", "{} CAN and {} x CAN FD", "nothing {}"]).replace("{}", str(r.randint(0, 9)))
     texts = ["\n".join(" ".join(piece() for _ in range(r.randint(1, 3))) for _ in range(r.randint(1, 5))) for _ in range(200)]
     for text, (specs, proofs) in zip(texts, specs_of(spark, texts), strict=True):
-        for field, names in (("uart_count", ("UART",)), ("i2c_count", ("I2C", "IIC")), ("spi_count", ("SPI",)), ("can_count", ("FDCAN", "CAN")), ("usb_count", (r"USB(?:\s*\d(?:\.\d)?|[0-9.]+)?",))):
+        for field, names in (("uart_count", ("UART",)), ("i2c_count", ("I2C", "IIC")), ("spi_count", ("SPI",)), ("can_count", ("FDCAN", "CAN")), ("usb_count", ("USB",))):
             assert specs[field] == counts_by_hand(text, names, field != "usb_count"), (field, text)
             assert (specs[field] is None) or proofs[field]
 
