@@ -705,7 +705,7 @@ def test_slots_are_dealt_by_seed(docs):
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     c = duckdb.connect()
-    for t in ("documents", "conversations", "benchmark", "labels", "embeddings"):
+    for t in ("documents", "conversations", "benchmark", "pages", "labels", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return c
 
