@@ -32,6 +32,8 @@ POSTINGS = "block long, token string, id long, tf long, length int, part long"
 BLOCKS = "block long, token string, df long, max_tf long, min_length int, total_length long, part long"
 #: Ids of a part and of a block.
 PART_IDS, BLOCK_IDS = 1_000_000, 1_000
+#: Parts that an update may touch: their list is broadcast.
+MAX_PARTS = 100_000
 #: Blocks that are scored first for a query, to learn which others can matter.
 SEEDS = 4
 _EACH = ["block", "token", "id", "tf", "length", "part"]
@@ -84,8 +86,10 @@ def update(spark: SparkSession, root: str, changes: DataFrame, part_ids: int = P
     with scratch(spark) as keep:
         new = keep(latest(changes).withColumn("part", place(part_ids)), "changes")
         counts = new.agg(F.count_if(~F.col("gone")).alias("documents"), F.count_if("gone").alias("deleted")).first().asDict() | {"parts": 0, "postings": 0}
-        # Parts are directories, so these lists are short, and prune the scans.
+        # Parts are directories: these lists are short and prune the scans.
         touched = keep(new.select("part").distinct(), "touched")
+        if (parts := touched.count()) > MAX_PARTS:
+            raise ValueError(f"{parts} parts touched at once: ids are too scattered for parts of {part_ids}")
         ids = postings(spark, root).where(F.col("token") == EVERY).join(F.broadcast(touched), "part", "left_semi")
         changed = keep(ids.join(new, "id", "left_semi").select("part").distinct(), "changed")
         fresh = inverted(new.where("not gone").select("id", "text")).withColumn("part", place(part_ids)).withColumn("block", place(block_ids))

@@ -36,7 +36,7 @@ def chunk_stream(pages: DataFrame, out: str, checkpoint: str):
             return
         old = _stored(spark, out + "-pages")
         if old is not None:
-            touched = old.join(F.broadcast(fresh.select("part").distinct()), "part", "left_semi")
+            touched = old.join(fresh.select("part").distinct(), "part", "left_semi")
             fresh = save(fresh.unionByName(touched.select(*fresh.columns).join(fresh.select("source", "page"), ["source", "page"], "left_anti")), "merged")
         for rows, path in ((fresh, out + "-pages"), (chunks_of(clean_pages(fresh.drop("part"))).withColumn("part", F.concat(F.lit("s-"), F.col("source"))), out)):
             rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)

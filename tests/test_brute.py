@@ -225,12 +225,12 @@ def test_inspection_report(spark, sf_dir):
     rows = [r["markdown"] for r in RQ.inspection_report(spark, sf_dir).collect()]
     chunks = Q.own_chunks(spark, sf_dir).collect()
     assert len(rows) == len(chunks)
-    heads = {re.match(r"## \d+\. (.*)", m)[1] for m in rows}
-    assert heads == {c["chunk_id"] for c in chunks}
-    by_id = {re.match(r"## \d+\. (.*)", m)[1]: m for m in rows}
+    by_id = {re.search(r"^### \d+\. (.*)$", m, re.M)[1]: m for m in rows}
+    assert set(by_id) == {c["chunk_id"] for c in chunks}
+    assert {m.split("\n")[1] for m in rows if m.startswith("\n## ")} == {f"## {c['source']}" for c in chunks}
     for c in chunks:
         m = by_id[c["chunk_id"]]
-        assert f"- chars: {len(c['text'])}\n" in m and f"- tokens: {len(TOKEN.findall(c['text']))}\n" in m
+        assert f"- chars/tokens: {len(c['text'])} / {len(TOKEN.findall(c['text']))}\n" in m
         body = m.split("```text\n", 1)[1].rsplit("\n```", 1)[0]
         assert body == c["text"] if len(c["text"]) <= 400 else body.startswith(c["text"][:300]) and body.endswith("[truncated]")
 

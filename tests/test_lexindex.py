@@ -65,6 +65,14 @@ def test_repeated_update_changes_nothing(spark, tmp_path):
     assert lexindex.update(spark, root, frame(spark, [(99, None, True)]), 10, 5)["parts"] == 0
 
 
+def test_scattered_ids_are_refused(spark, tmp_path, monkeypatch):
+    """Before anything is written."""
+    monkeypatch.setattr(lexindex, "MAX_PARTS", 3)
+    with pytest.raises(ValueError, match="too scattered"):
+        lexindex.update(spark, str(tmp_path / "index"), frame(spark, [(i, doc(i), False) for i in range(40)]), 10, 5)
+    assert lexindex.postings(spark, str(tmp_path / "index")).isEmpty()
+
+
 def test_untouched_parts_are_not_written(spark, tmp_path):
     root = str(tmp_path / "index")
     lexindex.update(spark, root, frame(spark, [(i, doc(i), False) for i in range(40)]), 10, 5)
