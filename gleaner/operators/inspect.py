@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from gleaner.functions import text as T
 from gleaner.functions.display import boundary_notes, evidence_count, page_label
 from gleaner.operators.running import before
+from gleaner.sources.tables import save
 
 #: Where terms are looked for, besides specifications and their evidence.
 BROWSED = ("chunk_id", "source", "section", "title", "product", "product_codes", "text_product_codes", "source_product_codes", "chip_models", "vendors", "tags", "text")
@@ -35,13 +36,17 @@ def inspection(chunks: DataFrame) -> DataFrame:
     )
 
 
-def median(rows: DataFrame, value: str) -> DataFrame:
-    """One row, median: of a column of whole numbers, null if there is none.  Equal
-    values are counted first; then the middle places are looked up in running counts, so
-    nothing holds more than a row for each different value in a block of values."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("long").alias("v")).agg(F.count("*").alias("c")).withColumn("all", F.lit(0))
-    placed = before(counts, "all", "v", below=(F.sum, F.col("c"))).withColumn("below", F.coalesce("below", F.lit(0)))
-    total = counts.agg(F.sum("c").alias("n")).select("n").scalar()
+def value_counts(rows: DataFrame, value: str) -> DataFrame:
+    """(v, c): a written table of a column of whole numbers, nulls left out."""
+    return save(rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("long").alias("v")).agg(F.count("*").alias("c")), "value-counts")
+
+
+def median(counts: DataFrame) -> DataFrame:
+    """One row, median: of value_counts(), null if there are none.  The middle places are
+    looked up in running counts, so nothing holds more than a row for each different value
+    in a block of values."""
+    placed = before(counts.withColumn("all", F.lit(0)), "all", "v", stored=True, below=(F.sum, F.col("c"))).withColumn("below", F.coalesce("below", F.lit(0)))
+    total = counts.agg(F.sum("c")).scalar()
     holds = lambda place: (F.col("below") <= place) & (place < F.col("below") + F.col("c"))
     low, high = F.floor((total - 1) / 2), F.floor(total / 2)
     return placed.where(holds(low) | holds(high)).agg(((F.min("v") + F.max("v")) / 2).alias("median"))
@@ -49,14 +54,14 @@ def median(rows: DataFrame, value: str) -> DataFrame:
 
 def statistics(chunks: DataFrame) -> DataFrame:
     """One row: chunk, source, parent and tag counts, token minimum, maximum, mean
-    and median."""
-    tags = chunks.select(F.explode("tags").alias("tag")).agg(F.countDistinct("tag").alias("tag_count"))
-    whole = chunks.agg(
-        F.count("*").alias("chunk_count"), F.countDistinct("source").alias("source_count"), F.countDistinct(F.nullif("parent_id", F.lit(""))).alias("parent_count"), F.coalesce(F.min("token_count"), F.lit(0)).alias("token_min"), F.coalesce(F.max("token_count"), F.lit(0)).alias("token_max"),
-        F.coalesce(F.round(F.avg("token_count"), 1), F.lit(0.0)).alias("token_mean"),
-    )
-    middle = F.coalesce(F.round(median(chunks, "token_count").scalar(), 1), F.lit(0.0))
-    return whole.select("*", middle.alias("token_median"), tags.scalar().alias("tag_count"))
+    and median.  All of the tokens comes from one count of equal values."""
+    tags = chunks.select(F.explode("tags").alias("tag")).agg(F.countDistinct("tag"))
+    counts = value_counts(chunks, "token_count")
+    mean = F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 1)
+    tokens = counts.agg(F.coalesce(F.min("v"), F.lit(0)).cast("int").alias("token_min"), F.coalesce(F.max("v"), F.lit(0)).cast("int").alias("token_max"), F.coalesce(mean, F.lit(0.0)).alias("token_mean"))
+    middle = F.coalesce(F.round(median(counts).scalar(), 1), F.lit(0.0))
+    whole = chunks.agg(F.count("*").alias("chunk_count"), F.countDistinct("source").alias("source_count"), F.countDistinct(F.nullif("parent_id", F.lit(""))).alias("parent_count"))
+    return whole.select("*", *(tokens.select(c).scalar().alias(c) for c in tokens.columns), middle.alias("token_median"), tags.scalar().alias("tag_count"))
 
 
 def most_common(rows: DataFrame, value: str) -> DataFrame:

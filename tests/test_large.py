@@ -90,7 +90,7 @@ def test_one_source_of_very_many_lines(spark):
 
 @pytest.mark.parametrize("values", [[], [4], [1, 9], [3, 3, 8], [1, 2, 2, 100], [None, 5, 7]])
 def test_median(spark, values):
-    got = inspect.median(spark.createDataFrame([(v,) for v in values], "v int"), "v").first()["median"]
+    got = inspect.median(inspect.value_counts(spark.createDataFrame([(v,) for v in values], "v int"), "v")).first()["median"]
     known = [v for v in values if v is not None]
     assert got == (statistics.median(known) if known else None)
 
