@@ -7,14 +7,17 @@ of words has a weighted similarity of 0.8 or more with it: shingles of five word
 1. Filter.  A window that similar shares more than four fifths of the item's
    shingles.  For each item a few of its longest words are chosen such that more
    than a fifth of its shingles hold one, so such a window has a shingle of an item
-   of its length with one of these words.  Only windows that do are fingerprinted;
-   the filter says nothing about which item, and loses no window.
+   of its length with one of these words.  Only windows that do are fingerprinted,
+   and a run of such windows meets only the items that chose a word found in it.  The
+   filter loses no window.
 2. Fingerprints.  Each such window gets a 64-bit SimHash of its shingles, from
    running sums along the document: 32 longs of two 32-bit counters each, so a window
    costs the same whatever its length.
 3. Candidates.  Fingerprints are cut into RADIUS + 1 blocks; two within RADIUS agree
-   in at least one, so joining windows and items of one length by block value finds
-   every such pair.  Similarity 0.8 means a distance of 9.6 +- 2.9.
+   in at least one, so joining the windows and the items of a run by block value finds
+   every such pair.  Similarity 0.8 means a distance of 9.6 +- 2.9.  Blocks of two or
+   three bits select little by themselves; what a run meets keeps the pairs few however
+   many items the benchmark has.
 4. Verification.  The exact weighted similarity of every candidate: a shingle's
    occurrence counts in the windows that start after the occurrence as many places
    before as the item has it, so running sums give all windows' shared weight.
@@ -40,8 +43,6 @@ from pyspark.sql.window import Window
 from gleaner.llm.common import keep_rows, row_key, save, text_or_empty, words
 
 RADIUS = 23
-#: Windows that share one copy of the items' block values.
-WINDOWS_IN_PART = 200_000
 _LANES = 0x0000000100000001
 _LOW = 0xFFFFFFFF
 #: A document (doc_id may be null), and its windows of one length: ``doc`` and
@@ -92,8 +93,8 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def anchors_of(items: DataFrame) -> DataFrame:
-    """anchor, m, k: words of which every window of m words that is similar enough
-    to an item holds one, within a shingle that it shares with the item."""
+    """item, anchor, m, k: words of which every window of m words that is similar enough
+    to the item holds one, within a shingle that it shares with the item."""
     order = F.array_sort(F.array_distinct("words"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
     placed = items.select("item", "m", "k", "words", order.alias("order"))
     rank = placed.select("item", F.posexplode("order").alias("rank", "word"))
@@ -104,19 +105,20 @@ def anchors_of(items: DataFrame) -> DataFrame:
     turn = F.row_number().over(Window.partitionBy("item").orderBy("rank", "at"))
     needed = F.floor((F.col("m") - F.col("k") + 1) * 0.2) + 1
     needed = least.withColumn("turn", turn).where(F.col("turn") == needed).select("item", "m", "k", F.col("rank").alias("most"))
-    return needed.join(rank, "item").where("rank <= most").select(F.col("word").alias("anchor"), "m", "k").distinct()
+    return needed.join(rank, "item").where("rank <= most").select("item", F.col("word").alias("anchor"), "m", "k")
 
 
 def _hits(docs: DataFrame, anchors: DataFrame, shingles: DataFrame) -> DataFrame:
-    """doc_id, key_a, key_b, m, k, n (words of the document), p: places of anchors
-    whose shingles hold one that an item of m words has too."""
+    """doc_id, key_a, key_b, m, k, n (words of the document), p, anchor (hash): places
+    of anchors whose shingles hold one that an item of m words has too."""
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(), words(F.lower(text_or_empty())).alias("words"))
-    found = split.select(*_DOC, "words", F.posexplode("words").alias("p", "word")).join(anchors, F.col("word") == F.col("anchor"))
+    chosen = anchors.select("anchor", "m", "k").distinct()
+    found = split.select(*_DOC, "words", F.posexplode("words").alias("p", "word")).join(chosen, F.col("word") == F.col("anchor"))
     n, k, p = F.size("words"), F.col("k"), F.col("p")
     # The shingles that hold p.  No lambda here: the document's words are looked at
     # where they are and not copied for each of its hits.
     near = F.array(*(F.when((F.lit(j) < k) & (p >= j) & (p - j + k <= n), _gram(F.col("words"), p - j + 1, k)) for j in range(5)))
-    found = found.select(*_DOC, "m", "k", n.alias("n"), "p", F.explode(near).alias("gram")).where("gram is not null")
+    found = found.select(*_DOC, "m", "k", n.alias("n"), "p", F.xxhash64("anchor").alias("anchor"), F.explode(near).alias("gram")).where("gram is not null")
     return found.join(shingles.select("m", "gram").distinct(), ["m", "gram"], "left_semi").drop("gram").distinct()
 
 
@@ -132,8 +134,14 @@ def _grams(docs: DataFrame, runs: DataFrame) -> DataFrame:
     return each.select("doc", "key_b", "r.m", "r.run", F.explode(at).alias("x")).select(*_RUN, "run", "x.p", "x.gram")
 
 
-def candidates(grams: DataFrame, runs: DataFrame, items: DataFrame) -> DataFrame:
-    """_RUN, run, s, item: pairs of a window and an item of its length whose
+def _met(places: DataFrame, anchors: DataFrame) -> DataFrame:
+    """_RUN, run, item: the items that chose a word at one of the run's places."""
+    kinds = anchors.select("item", "m", F.xxhash64("anchor").alias("anchor")).distinct()
+    return places.select(*_RUN, "run", "anchor").distinct().join(kinds, ["m", "anchor"]).select(*_RUN, "run", "item").distinct()
+
+
+def candidates(grams: DataFrame, runs: DataFrame, met: DataFrame, items: DataFrame) -> DataFrame:
+    """_RUN, run, s, item: pairs of a window and an item that its run meets whose
     fingerprints are within RADIUS."""
     along = Window.partitionBy(*_RUN, "run").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
     hashed = grams.select(*_RUN, "run", "p", F.xxhash64("gram").alias("h")).join(runs.select(*_RUN, "run", "span"), [*_RUN, "run"])
@@ -148,11 +156,10 @@ def candidates(grams: DataFrame, runs: DataFrame, items: DataFrame) -> DataFrame
     rows = items.select("item", "m", F.size("grams").alias("weight"), F.explode("grams").alias("gram")).select("item", "m", "weight", F.xxhash64("gram").alias("h"))
     prints = rows.select("item", "m", "weight", *_lanes("h")).groupBy("item", "m", "weight").agg(*(F.sum(f"l{j}").alias(f"l{j}") for j in range(32)))
     prints = prints.select("item", "m", _fingerprint(F.col("weight")).alias("item_fp"))
-    parts = 1 + windows.count() // WINDOWS_IN_PART
-    left = windows.withColumn("part", F.pmod(F.xxhash64("doc", "s"), F.lit(parts)).cast("int")).select("*", _block_values("fp"))
-    right = prints.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("*", _block_values("item_fp"))
+    own = met.join(prints.drop("m"), "item")
+    left, right = windows.select("*", _block_values("fp")), own.select("*", _block_values("item_fp"))
     differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    near = left.join(right, ["m", "part", "block", "value"]).where(F.bit_count(differ) <= RADIUS)
+    near = left.join(right, [*_RUN, "run", "block", "value"]).where(F.bit_count(differ) <= RADIUS)
     # Each pair once: in the first block that agrees.
     for b, (at, bits) in enumerate(_blocks()[:-1]):
         near = near.where((F.col("block") <= b) | (differ.bitwiseAND(F.lit(((1 << bits) - 1) << at)) != 0))
@@ -182,21 +189,23 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = 80, keyed: bool =
     shared and total weight, similarity, n_windows (that are similar enough)."""
     items = items_of(benchmark)
     shingles = items.select("m", F.explode("grams").alias("gram"))
-    hits = save(_hits(docs, save(anchors_of(items), "anchors"), shingles), "hits")
+    anchors = save(anchors_of(items), "anchors")
+    hits = save(_hits(docs, anchors, shingles), "hits")
 
     # Runs of windows: those around hits whose windows meet.
     by = Window.partitionBy(*_DOC, "m").orderBy("p")
     p, m, n, k = (F.col(c) for c in ("p", "m", "n", "k"))
-    runs = hits.withColumn("new", F.coalesce(p - F.lag("p").over(by) > m, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(by))
-    runs = runs.groupBy(*_DOC, "m", "k", "n", "run").agg(F.min("p").alias("first"), F.max("p").alias("last"))
+    doc = F.xxhash64("doc_id", F.col("doc_id").isNull(), "key_a").alias("doc")
+    places = hits.withColumn("new", F.coalesce(p - F.lag("p").over(by) > m, F.lit(True)).cast("int")).select("*", doc, F.sum("new").over(by).alias("run"))
+    runs = places.groupBy("doc", *_DOC, "m", "k", "n", "run").agg(F.min("p").alias("first"), F.max("p").alias("last"))
     span = F.least(m, n) - k + 1
     low = F.when(n <= m, F.lit(0)).otherwise(F.greatest(F.col("first") - m + 1, F.lit(0)))
     top = F.when(n <= m, F.lit(0)).otherwise(F.least(F.col("last"), n - m))
     runs = runs.withColumn("span", span).withColumn("low", low).withColumn("top", top).where("span > 0 and low <= top")
-    runs = runs.withColumn("high", F.col("top") + F.col("span") - 1).withColumn("doc", F.xxhash64("doc_id", F.col("doc_id").isNull(), "key_a"))
-    runs = save(runs, "leak-runs")
+    runs = runs.withColumn("high", F.col("top") + F.col("span") - 1)
+    runs, met = save(runs, "leak-runs"), save(_met(places, anchors), "leak-met")
     grams = save(_grams(docs, runs), "leak-grams")
-    near = save(candidates(grams, runs, items), "leak-candidates")
+    near = save(candidates(grams, runs, met, items), "leak-candidates")
 
     key = [*_RUN, "run", "item"]
     along = Window.partitionBy(*key).orderBy("s").rangeBetween(Window.unboundedPreceding, Window.currentRow)

@@ -412,6 +412,28 @@ def test_candidates_come_from_fingerprints(spark, docs, sf_dir, monkeypatch):
     assert not {"item", "item_id"} & set(hits.columns)
 
 
+def test_windows_meet_few_items(spark, monkeypatch):
+    """Items of one length: a window is compared with those that chose a word of its
+    run, not with all, and every near copy is found."""
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 11))) for _ in range(1500)]
+    texts = [[r.choice(vocabulary) for _ in range(30)] for _ in range(150)]
+    docs = []
+    for i in range(120):
+        own = list(texts[i])
+        own[(3 * i) % 2 * 29] = "other"
+        docs.append((i, " ".join(r.choices(vocabulary, k=40) + own + r.choices(vocabulary, k=40) + texts[-1 - i % 20][:9])))
+    items = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    saved = {}
+    monkeypatch.setattr(decontam, "save", lambda df, name, **k: saved.setdefault(name, common.save(df, name, **k)))
+    got = {(x["doc_id"], x["item_id"]) for x in decontam.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == set(leaks_by_hand(docs, items)) and {(i, i) for i in range(120)} <= got
+    windows = saved["leak-windows"].count()
+    pairs = saved["leak-windows"].join(saved["leak-met"], [*decontam._RUN, "run"]).count()
+    print(f"{windows} windows, {len(items)} items, {pairs / windows:.1f} items a window")
+    assert 0 < pairs <= 0.05 * windows * len(items)
+
+
 def test_repeated_words_in_items_and_windows(spark):
     """Weights above one, windows that overlap themselves."""
     r = random.Random(5)
