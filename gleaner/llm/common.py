@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
     return (set_dir or "/tmp/checkpoints/gleaner").rstrip("/")
 
 
+#: Paths that save() has written inside the innermost ``released``, if there is one.
+_INSIDE: ContextVar[list[str] | None] = ContextVar("inside", default=None)
+
+
 def save(df: DataFrame, name: str, rows: int = 1_000, size: str = "8m") -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back:
     lineage ends there, and a lost executor costs nothing that was written.
@@ -42,15 +49,33 @@ def save(df: DataFrame, name: str, rows: int = 1_000, size: str = "8m") -> DataF
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+        if (inside := _INSIDE.get()) is not None:
+            inside.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Removes, on leaving, the tables that save() wrote inside and no others; what is
+    still to be read of them has to be written elsewhere before."""
+    token = _INSIDE.set(inside := [])
+    try:
+        yield
+    finally:
+        _INSIDE.reset(token)
+        for path in inside:
+            _remove(spark, path)
+
+
 def drop_saved(spark: SparkSession) -> None:
     """Removes every table that save() wrote under the shared folder; call it
     when no result that reads them is needed any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/gleaner")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, f"{shared_dir(spark)}/gleaner")
 
 
 def text_or_empty(c: str | Column = "text") -> Column:

@@ -89,7 +89,9 @@ def assign(docs: DataFrame, shards: int = 16, tree: Tree | None = None, rows_in_
     size, text_crc32, law, shard, slot, grown_shard.
 
     Null text counts as empty.  A null doc_id is a key of its own.  Repeated rows
-    each get a slot of their own.  An empty table gives an empty result."""
+    each get a slot of their own.  Other columns are ignored, whatever their names.  An
+    empty table gives an empty result.  Rows of one doc_id go to one shard by law; their
+    slots are dealt by bucket of doc_id and text, so only rows that repeat both share one."""
     tree = tree or Tree.balanced(shards)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     text = text_or_empty().cast("binary")
@@ -97,7 +99,7 @@ def assign(docs: DataFrame, shards: int = 16, tree: Tree | None = None, rows_in_
     rows = save(rows.select("*", shard_of(key, tree).alias("shard"), shard_of(key, tree.grown()).alias("grown_shard")), "shards")
     # Slots: rank within a bucket plus the rows of the shard's earlier buckets.
     buckets = 1 + rows.count() // rows_in_bucket
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("long"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)).cast("long"))
     cells = rows.groupBy("shard", "bucket").agg(F.count("*").alias("cell"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("shard", "bucket", F.coalesce(F.sum("cell").over(before), F.lit(0)).alias("first"))

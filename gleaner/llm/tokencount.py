@@ -8,7 +8,9 @@ longest-match pieces comes out without building a piece.
 A piece that starts with the word mark (sentencepiece's U+2581) matches only at a
 word's start, others only after it.  A word that can't be covered counts as one
 unknown piece.  Words are runs of anything but the six space characters; no word or
-text is cut.  Null or empty text: no word, no token.
+text is cut.  Null or empty text: no word, no token.  Repeated rows are counted each
+for itself; an empty table gives an empty result; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
