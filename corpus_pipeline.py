@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import decontam, mixing, neardup, sharding, toxicity
-from gleaner.llm.common import keep_rows, row_key, save, shared_dir, table, unique
+from gleaner.llm.common import keep_rows, released, row_key, save, shared_dir, table, unique
 
 #: Of the draw by which a row gets the part of a copy that blocks cut off.
 _SEED = 11
@@ -77,11 +77,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each result is written as Parquet in the
-    shared folder and read again for the next."""
+    shared folder and read again for the next, and what the stage saved on its way is
+    removed."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/gleaner/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
-        made = stage(spark, docs, sf_dir)
-        made.write.parquet(path := f"{folder}/{i}-{name}")
+        with released(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path := f"{folder}/{i}-{name}")
         docs = spark.read.schema(made.schema).parquet(path)
     return docs
