@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import time
@@ -267,6 +268,14 @@ def test_sharding(docs, odd, none):
         assert all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
+def test_rows_of_no_id_are_dealt_to_many_buckets(spark):
+    """The slots of many texts under one null doc_id are gapless, whatever their bucket."""
+    rows = spark.range(900).select(F.lit(None).cast("long").alias("doc_id"), F.format_string("text %d", F.col("id") % 700).alias("text"))
+    got = sorted((r["shard"], r["slot"]) for r in sharding.assign(rows, 16, rows_in_bucket=20).collect())
+    (shard,) = {s for s, _ in got}
+    assert got == [(shard, i) for i in range(900)]
+
+
 def test_tree_moves_only_what_its_weights_ask_for(spark):
     keys = spark.range(4000).select(F.col("id").cast("string").alias("k"))
     old = sharding.Tree((({0: 1.0, 1: 1.0}, {2: 1.0, 3: 1.0}), ({4: 1.0, 5: 1.0},)))
@@ -769,6 +778,19 @@ def test_pipeline(spark, sf_dir, tmp_path):
         assert stage(spark, empty, sf_dir).count() == 0
 
 
+def test_pipeline_removes_what_its_stages_saved(spark, sf_dir):
+    """A run leaves its stages' results, and tables saved outside it stay."""
+    import corpus_pipeline as P
+
+    mine = common.save(spark.range(3), "mine")
+    folder = f"{common.shared_dir(spark)}/gleaner"
+    before = set(os.listdir(folder))
+    got = P.run(spark, sf_dir)
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and left.pop().startswith("pipeline-") and before <= set(os.listdir(folder))
+    assert got.count() > 0 and mine.count() == 3
+
+
 def test_pipeline_on_odd_rows(spark, sf_dir, odd):
     """Null ids and texts, empty and long texts and repeated rows go through every
     stage; what isn't toxic, copied or leaked stays."""
