@@ -28,6 +28,23 @@ def joined(values: Column, by: str = ", ") -> Column:
     return F.array_join(F.filter(F.transform(values, lambda x: T.strip(x)), lambda x: x != ""), by)
 
 
+def compact_list(c: Column, many: bool = True) -> Column:
+    """The values of an array that are neither null nor empty, as strings in their order;
+    of a single value (``many`` false) a list of it, if it is known.  Null gives an empty
+    list."""
+    values = c.cast("array<string>") if many else F.array(c.cast("string"))
+    return F.coalesce(F.filter(values, lambda x: x != ""), F.array().cast("array<string>"))
+
+
+def known_json(kinds: dict[str, str], columns: list[str] | tuple[str, ...]) -> Column:
+    """A JSON object of the columns (types by name in ``kinds``, as ``dict(df.dtypes)``)
+    that are known: null values and empty lists and maps are left out, nested values are
+    written out whole, and columns that don't exist are passed over."""
+    some = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c) if kinds[c].startswith(("array", "map")) else F.col(c)
+    known = [some(c) for c in columns if c in kinds]
+    return F.to_json(F.struct(*known)) if known else F.lit("{}")
+
+
 def number(c: Column) -> Column:
     """A double without a useless fraction."""
     return F.regexp_replace(c.cast("string"), r"\.0$", "")
@@ -85,11 +102,6 @@ def evidence_count(evidence: Column) -> Column:
     return F.coalesce(F.aggregate(F.map_values(evidence), F.lit(0), lambda n, x: n + F.size(x)), F.lit(0))
 
 
-def capacity_gb(number_: Column, unit: Column) -> Column:
-    value = number_.cast("double")
-    return F.when(F.lower(unit) == "mb", value / 1024).otherwise(value)
-
-
 def product_label(source_codes: Column, codes: Column, text_codes: Column, source: Column, product: Column, chunk_id: Column) -> Column:
     some = lambda c: F.nullif(T.first(c), F.lit(""))
     return F.coalesce(some(source_codes), some(codes), some(text_codes), F.nullif(T.stem(F.coalesce(source, F.lit(""))), F.lit("")), F.nullif(product, F.lit("")), chunk_id, F.lit("unknown"))

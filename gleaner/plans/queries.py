@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from gleaner.functions import specs as S
 from gleaner.functions import tabular
 from gleaner.functions import text as T
+from gleaner.functions.display import compact_list, known_json
 from gleaner.operators import chunking, inspect, pages, planner, sections
 from gleaner.plans import fixtures as X
 from gleaner.plans import retrieve as R
@@ -196,6 +197,18 @@ def array_subset(spark, sf_dir):
     return rows.select("id", (F.size(F.array_except("t", wanted)) == 0).alias("subset"), F.arrays_overlap("t", wanted).alias("overlap"))
 
 
+@query(
+    """WITH x AS (SELECT p_partkey AS id, CASE WHEN p_brand <> 'Brand#13' THEN p_brand END AS brand, CASE WHEN p_type = 'PROMO' THEN [] ELSE list_filter(regexp_split_to_array(p_name, '[ aeiou]'), lambda v: v <> '') END AS pieces, CASE WHEN p_size % 2 = 0 THEN p_size END AS size FROM part)
+SELECT id, array_to_string(pieces, '|') AS pieces, CASE WHEN size IS NULL THEN 0 ELSE 1 END AS n_sizes,
+'{' || array_to_string(list_filter([CASE WHEN brand IS NOT NULL THEN '"brand":"' || brand || '"' END, CASE WHEN len(pieces) > 0 THEN '"pieces":["' || array_to_string(pieces, '","') || '"]' END, CASE WHEN size IS NOT NULL THEN '"size":' || size END], lambda v: v IS NOT NULL), ',') || '}' AS record FROM x"""
+)
+def compact_records(spark, sf_dir):
+    """Every part as a record of what is known of it: empty pieces, lists and values drop."""
+    cut = F.when(F.col("p_type") != "PROMO", F.split("p_name", "[ aeiou]"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_brand") != "Brand#13", F.col("p_brand")).alias("brand"), compact_list(cut).alias("pieces"), F.when(F.col("p_size") % 2 == 0, F.col("p_size")).alias("size"))
+    return rows.select("id", F.array_join("pieces", "|").alias("pieces"), F.size(compact_list(F.col("size"), many=False)).alias("n_sizes"), known_json(dict(rows.dtypes), ("brand", "pieces", "size", "absent")).alias("record"))
+
+
 # -- pages and sections -----------------------------------------------------------
 
 PAGES = "pg AS (SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page, text FROM (SELECT source || '-' || (doc_id // 100) AS source, doc_id, coalesce(text, '') AS text FROM documents) x)"

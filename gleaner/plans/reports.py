@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleaner.functions.display import SPECS, format_spec, number
+from gleaner.functions.display import SPECS, format_spec, known_json, number
 from gleaner.operators import evaluate, prompts
 from gleaner.operators.products import condition_fields
 
@@ -64,9 +64,7 @@ def printed_products(ranked: DataFrame, products: DataFrame, conditions: DataFra
 def traced(results: DataFrame) -> DataFrame:
     """(query_id, stage, json): the results of each stage in order of ``rank``, with
     TRACED's keys; unknown values and empty lists are left out."""
-    kinds = dict(results.dtypes)
-    known = [F.when(F.size(c) > 0, F.col(c)).alias(c) if kinds[c].startswith(("array", "map")) else F.col(c) for c in TRACED if c in kinds]
-    rows = results.select("query_id", "stage", "rank", F.to_json(F.struct(*known)).alias("j"))
+    rows = results.select("query_id", "stage", "rank", known_json(dict(results.dtypes), TRACED).alias("j"))
     out = rows.groupBy("query_id", "stage").agg(F.array_sort(F.collect_list(F.struct("rank", "j"))).alias("x"))
     return out.select("query_id", "stage", F.concat(F.lit("["), F.array_join(F.col("x.j"), ","), F.lit("]")).alias("json"))
 

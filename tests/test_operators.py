@@ -1,10 +1,12 @@
 """Operators on literal rows with answers worked out by hand, and invariants."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.functions import display
 from gleaner.functions import specs as S
 from gleaner.functions import text as T
 from gleaner.operators import chunking, evaluate, expand, inspect, pages, planner, retrieval
@@ -198,3 +200,14 @@ def test_empty_inputs(spark):
     asked = spark.createDataFrame([(1, "a b")], "query_id int, question string")
     assert retrieval.lexical(asked, empty).count() == 0
     assert T.VENDORS
+
+
+def test_known_values_as_lists_and_records(spark):
+    rows = [(1, ["a", None, "", "0"], "x", {"u": 1}), (2, [], "", {}), (3, None, None, None), (4, ["", None], "y\"", {"v": None})]
+    df = spark.createDataFrame(rows, "id int, many array<string>, one string, map map<string,int>")
+    got = {r["id"]: r for r in df.select("id", display.compact_list(F.col("many")).alias("a"), display.compact_list(F.col("one"), many=False).alias("b"), display.known_json(dict(df.dtypes), ("many", "one", "map", "none")).alias("j")).collect()}
+    assert [got[i]["a"] for i in (1, 2, 3, 4)] == [["a", "0"], [], [], []]
+    assert [got[i]["b"] for i in (1, 2, 3, 4)] == [["x"], [], [], ['y"']]
+    assert json.loads(got[1]["j"]) == {"many": ["a", None, "", "0"], "one": "x", "map": {"u": 1}} and json.loads(got[2]["j"]) == {"one": ""} and got[3]["j"] == "{}"
+    numbers = df.select(display.compact_list(F.array(F.lit(0), F.lit(None).cast("int"), F.lit(7))).alias("n"))
+    assert numbers.first()["n"] == ["0", "7"] and df.select(display.known_json({}, ("many",)).alias("j")).first()["j"] == "{}"
