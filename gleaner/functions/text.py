@@ -45,6 +45,11 @@ VENDORS = ("NXP", "Rockchip", "ST", "Realtek", "Renesas")
 _NO_STRINGS = "array<string>"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(c, rf"(?U)^[{BLANK}]+|[{BLANK}]+$", "")
@@ -206,19 +211,32 @@ def keyword_mentions(question: Column, vendors: Column) -> Column:
 
 
 def table_rows(table: Column, index: Column) -> Column:
-    """A table (array of rows of cells) as lines ``header: cell`` under row marks."""
+    """A table (array of rows of cells) as lines ``header: cell`` under row marks.
+    Lambdas name what they read as often as it has rows and cells, so each step is a
+    value of its own (``let``): every cell is cleaned once."""
     cells = F.transform(table, lambda row: F.transform(row, lambda x: normalize(F.coalesce(x, F.lit("")))))
-    rows = F.filter(cells, lambda row: F.exists(row, lambda x: x != ""))
-    width = F.coalesce(F.array_max(F.transform(rows, F.size)), F.lit(0))
-    padded = F.transform(rows, lambda row: F.concat(row, F.array_repeat(F.lit(""), width - F.size(row))))
-    head = F.get(padded, F.lit(0))
-    shaped = (F.size(F.filter(head, lambda x: x != "")) >= 2) & (F.size(F.filter(head, lambda x: x.rlike(r"[A-Za-z\x{4e00}-\x{9fff}]"))) >= 2)
-    names = F.transform(head, lambda x, i: F.when(shaped & (x != ""), x).otherwise(F.concat(F.lit("Column "), (i + 1).cast("string"))))
-    data = F.when(shaped, F.slice(padded, 2, F.greatest(F.size(padded) - 1, F.lit(0)))).otherwise(padded)
-
-    def spelled(row: Column, i: Column) -> Column:
-        pairs = F.filter(F.zip_with(names, row, lambda n, x: F.when(x != "", F.concat(n, F.lit(": "), x))), lambda x: x.isNotNull())
-        return F.array_join(F.concat(F.array(F.concat(F.lit("Row "), (i + 1).cast("string"), F.lit(":"))), pairs), "\n")
-
-    body = F.concat(F.array(F.concat(F.lit("Table: Table "), index.cast("string"))), F.transform(data, spelled))
-    return F.when(F.size(rows) > 0, F.array_join(body, "\n")).otherwise("")
+    filled = F.filter(cells, lambda row: F.exists(row, lambda x: x != ""))
+
+    def sized(rows: Column) -> Column:
+        width = F.coalesce(F.array_max(F.transform(rows, F.size)), F.lit(0))
+        return let(let(width, lambda w: F.transform(rows, lambda row: F.concat(row, F.array_repeat(F.lit(""), w - F.size(row))))), headed)
+
+    def headed(padded: Column) -> Column:
+        head = F.get(padded, F.lit(0))
+        shaped = (F.size(F.filter(head, lambda x: x != "")) >= 2) & (F.size(F.filter(head, lambda x: x.rlike(r"[A-Za-z\x{4e00}-\x{9fff}]"))) >= 2)
+        return let(F.struct(padded.alias("rows"), head.alias("head"), F.coalesce(shaped, F.lit(False)).alias("shaped")), named)
+
+    def named(t: Column) -> Column:
+        names = F.transform(t["head"], lambda x, i: F.when(t["shaped"] & (x != ""), x).otherwise(F.concat(F.lit("Column "), (i + 1).cast("string"))))
+        data = F.when(t["shaped"], F.slice(t["rows"], F.lit(2), F.greatest(F.size(t["rows"]) - 1, F.lit(0)))).otherwise(t["rows"])
+        return let(F.struct(names.alias("names"), data.alias("data")), spelled)
+
+    def spelled(t: Column) -> Column:
+        def one(row: Column, i: Column) -> Column:
+            pairs = F.filter(F.zip_with(t["names"], row, lambda n, x: F.when(x != "", F.concat(n, F.lit(": "), x))), lambda x: x.isNotNull())
+            return F.array_join(F.concat(F.array(F.concat(F.lit("Row "), (i + 1).cast("string"), F.lit(":"))), pairs), "\n")
+
+        body = F.concat(F.array(F.concat(F.lit("Table: Table "), index.cast("string"))), F.transform(t["data"], one))
+        return F.when(F.size(t["data"]) + F.size(t["names"]) > 0, F.array_join(body, "\n")).otherwise("")
+
+    return let(filled, sized)
