@@ -17,6 +17,7 @@ from gleaner.operators import chunking, inspect, pages, planner, sections
 from gleaner.plans import fixtures as X
 from gleaner.plans import retrieve as R
 from gleaner.sources import files
+from gleaner.sources.tables import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -384,7 +385,8 @@ def spec_extract(spark, sf_dir):
     system = F.when(kind == 0, "Yocto Linux").otherwise(F.concat(F.lit("Ubuntu "), number(n)))
     sheet = F.concat_ws("\n", F.concat(F.lit("CPU: RK"), number(n + 3500)), F.concat(F.lit("RAM: "), number(n), F.when(kind == 4, "MB").otherwise("GB"), F.lit(" LPDDR4")), F.lit("Mini-PCIe with 4 x UART"), F.concat(number(n % 4 + 1), F.lit(" x UART")), more, F.concat(F.lit("OS: "), system), F.lit("Power Input: DC 12V"), F.when(n % 2 == 0, "LVDS display"))
     text = F.when(F.col("p_partkey") % 3 == 0, F.concat(sheet, F.lit("\n\n"), sheet)).otherwise(sheet)
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), S.extract(text).alias("x")).select("id", "x.*")
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    rows = parts.select(F.col("p_partkey").alias("id"), S.extract(text).alias("x")).select("id", "x.*")
     single, lists = ("uart_count", "i2c_count", "usb_count", "ethernet_count", "ram_gb", "flash_gb", "has_lvds"), ("cpu_soc", "os_list", "power_input")
     proof = lambda f: F.element_at("spec_evidence", f)[0]
     return rows.select("id", *(f"specs.{f}" for f in single), *(F.array_join(f"specs.{f}", ",").alias(f) for f in lists), proof("ram_gb").alias("ram_proof"), proof("uart_count").alias("uart_proof"))
@@ -416,7 +418,7 @@ def part_questions(spark, sf_dir):
     n, kind = F.col("p_size").cast("string"), F.col("p_partkey") % 6
     asked = F.when(kind == 0, F.concat(n, F.lit(" x UART ports"))).when(kind == 1, F.concat(F.lit("RAM "), n, F.lit("GB 以上"))).when(kind == 2, "支援 LVDS, runs Yocto").when(kind == 3, F.concat(F.lit("SPI "), n, F.lit(" 個以下")))
     asked = asked.when(kind == 4, F.concat(F.lit("the RK"), (F.col("p_size") + 3500).cast("string"), F.lit(" of NXP?"))).otherwise(F.concat((F.col("p_size") * 512).cast("string"), F.lit("MB Flash, supports CAN")))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), asked.alias("question"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select(F.col("p_partkey").alias("query_id"), asked.alias("question"))
 
 
 _VALUE = "coalesce(cast(num_value AS string), cast(bool_value AS string), str_value) AS val"
