@@ -103,10 +103,11 @@ def lexical_tokens(c: Column) -> Column:
 
 
 def _heading(line: Column, keywords: tuple[str, ...]) -> Column:
-    line = strip(line)
-    named = F.lower(line).isin(*keywords)
-    shaped = line.rlike(NUMBERED_HEADING) | line.rlike(CHAPTER_HEADING) | named
-    return (line != "") & (F.length(line) <= 100) & ~line.rlike(QUANTITY_LINE) & shaped
+    def shaped(line: Column) -> Column:
+        like = line.rlike(NUMBERED_HEADING) | line.rlike(CHAPTER_HEADING) | F.lower(line).isin(*keywords)
+        return (line != "") & (F.length(line) <= 100) & ~line.rlike(QUANTITY_LINE) & like
+
+    return let(strip(line), shaped)
 
 
 def is_section_heading(line: Column) -> Column:
@@ -124,15 +125,17 @@ def section_of(c: Column) -> Column:
 
 def title_of(c: Column) -> Column:
     """First heading line, else the first line, up to 120 characters."""
-    heading = first(F.filter(lines(c), is_section_heading))
-    return F.substring(F.when(heading != "", heading).otherwise(first(lines(c))), 1, 120)
+    own = lambda rows: F.concat(F.slice(F.filter(rows, is_section_heading), 1, 1), F.slice(rows, 1, 1))
+    return F.substring(first(let(lines(c), own)), 1, 120)
 
 
 def heading_level(c: Column) -> Column:
-    line = first(lines(c))
-    number = F.regexp_extract(line, r"^(\d+(?:\.\d+)*)", 1)
-    capitals = (F.upper(line) == line) & (F.lower(line) != line) & (F.size(F.split(collapse(line), " ")) <= 8)
-    return F.when(line == "", 0).when(number != "", F.length(number) - F.length(F.replace(number, F.lit("."), F.lit(""))) + 1).when(capitals, 1).when(is_section_heading(line), 2).otherwise(0)
+    def level(line: Column) -> Column:
+        number = F.regexp_extract(line, r"^(\d+(?:\.\d+)*)", 1)
+        capitals = (F.upper(line) == line) & (F.lower(line) != line) & (F.size(F.split(collapse(line), " ")) <= 8)
+        return F.when(line == "", 0).when(number != "", F.length(number) - F.length(F.replace(number, F.lit("."), F.lit(""))) + 1).when(capitals, 1).when(is_section_heading(line), 2).otherwise(0)
+
+    return let(first(lines(c)), level)
 
 
 def list_structure(c: Column) -> Column:

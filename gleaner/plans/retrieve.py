@@ -53,8 +53,9 @@ def chunks_of(clean: DataFrame) -> DataFrame:
 def indexed(chunks: DataFrame) -> DataFrame:
     """A written table of the chunks with ``id`` and ``position``, which ranking
     needs: sources by name, chunks in reading order.  A range partitioning and the
-    partitions' own numbers give increasing positions without one task that sorts."""
-    ordered = chunks.repartitionByRange("source", "chunk_index").sortWithinPartitions("source", "chunk_index")
+    partitions' own numbers give increasing positions without one task that sorts.  The
+    chunks are written first: to find the ranges, Spark would make them all once more."""
+    ordered = save(chunks, "records").repartitionByRange("source", "chunk_index").sortWithinPartitions("source", "chunk_index")
     return save(ordered.withColumn("id", F.col("chunk_id")).withColumn("position", F.monotonically_increasing_id()), "chunks")
 
 
