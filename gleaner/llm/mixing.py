@@ -130,10 +130,11 @@ def _cut(rows: DataFrame, at: Column, block: int, number) -> DataFrame:
 def _pieces(placed: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """The pieces of the buckets' own blocks, and those of the blocks that are made of
     what is left of them."""
-    split = placed.withColumn("all", words(F.col("text"))).drop("text")
     inside = F.greatest(F.lit(0), F.least(F.col("size"), F.col("full") * block - F.col("inner"))).cast("int")
-    own = split.withColumn("all", F.slice("all", F.lit(1), inside))
-    rest = split.withColumn("all", F.slice("all", inside + 1, F.size("all")))
+    # Only a bucket's last texts have words in the rest: no others are split for it.
+    split = lambda some: placed.where(some).withColumn("all", words(F.col("text"))).drop("text")
+    own = split(inside > 0).withColumn("all", F.slice("all", F.lit(1), inside))
+    rest = split(F.col("size") > inside).withColumn("all", F.slice("all", inside + 1, F.size("all")))
     # Offset in the source's stream of rests.
     at = F.col("first_left") + F.greatest(F.col("inner") - F.col("full") * block, F.lit(0))
     return _cut(own, F.col("inner"), block, lambda b: F.col("first_block") + b), _cut(rest, at, block, lambda b: F.col("all_full") + b)

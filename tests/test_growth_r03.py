@@ -28,3 +28,23 @@ def test_texts_without_a_fields_words_are_not_cut_into_windows(spark):
     assert got == [(True, [], [], None, None), (None, ["ANDROİD 12"], [], None, None), (None, [], ["RK3568"], None, None), (None, [], [], 16.0, None), (None, [], [], None, None), (None, [], [], None, None)]
     gates = spark.createDataFrame([(t,) for t in texts], "one string").select(S._gates(F.col("one")).alias("g")).collect()
     assert not any(gates[-1].g) and gates[0].g.flags and gates[1].g.named
+
+
+def test_only_the_last_texts_of_a_bucket_are_split_for_its_rest(spark):
+    from gleaner.llm import mixing
+
+    texts = [" ".join(f"w{i}x{k}" for k in range(n)) for i, n in enumerate((30, 50, 40, 7))]
+    rows, inner = [], 0
+    for i, text in enumerate(texts):
+        n = len(text.split())
+        rows.append((1, 0, "s", i, inner, inner, n, 2, 0, 5, 9, text))
+        inner += n
+    placed = spark.createDataFrame(rows, "sid int, bucket int, source string, doc_id int, start long, inner long, size long, full long, first_block long, first_left long, all_full long, text string")
+    own, rest = mixing._pieces(placed, 50)
+    at = lambda df: [tuple(r) for r in df.select("doc_id", "block", "low", "n", "text").orderBy("block", "low").collect()]
+    words = [x.split() for x in texts]
+    assert at(own) == [(0, 0, 0, 30, texts[0]), (1, 0, 30, 20, " ".join(words[1][:20])), (1, 1, 0, 30, " ".join(words[1][20:])), (2, 1, 30, 20, " ".join(words[2][:20]))]
+    assert at(rest) == [(2, 9, 5, 20, " ".join(words[2][20:])), (3, 9, 25, 7, texts[3])]
+    plan = rest._jdf.queryExecution().analyzed().toString()
+    below = plan[plan.rindex("split(") :].split("\n", 1)[1]
+    assert any("Filter" in line and "size" in line and "inner" in line for line in below.split("\n")), plan
