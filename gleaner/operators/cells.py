@@ -22,10 +22,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gleaner.operators.retrieval import top
+from gleaner.operators.retrieval import best_of_block, top
 from gleaner.sources.tables import save
 
 FIT_ROWS = 50_000
@@ -110,9 +111,9 @@ def search(queries: DataFrame, cells: Cells | None, k: int = 20, measure: str =
     asked = asked.select("query_id", F.col("v").alias("q"), F.explode("cells").alias("cell")).join(F.broadcast(cells.parts), "cell")
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
-    def folded(f) -> Column:
-        return F.aggregate(F.zip_with("q", "v", f), F.lit(0.0), lambda s, x: s + x)
-
-    score = folded(lambda a, b: a * b) if measure == "ip" else 1 / (1 + folded(lambda a, b: (a - b) * (a - b)))
-    rows = cells.index.join(asked, ["cell", "part"]).select("query_id", "id", F.round(score, digits).alias("dense_score"))
+    # A part of a cell and the queries that look there meet as two matrices.
+    by = ("cell", "part")
+    schema = StructType([cells.index.schema["id"], asked.schema["query_id"], StructField("dense_score", DoubleType())])
+    best = cells.index.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(best_of_block(k, measure, digits), schema)
+    rows = best.select("query_id", "id", "dense_score")
     return top(rows, "dense_score", k, ["id"], "dense_rank")

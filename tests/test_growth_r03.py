@@ -48,3 +48,15 @@ def test_only_the_last_texts_of_a_bucket_are_split_for_its_rest(spark):
     plan = rest._jdf.queryExecution().analyzed().toString()
     below = plan[plan.rindex("split(") :].split("\n", 1)[1]
     assert any("Filter" in line and "size" in line and "inner" in line for line in below.split("\n")), plan
+
+
+def test_cells_and_their_queries_meet_as_matrices(spark):
+    from gleaner.operators import cells
+
+    rows = spark.range(300).select("id", F.array(*(F.sin(F.col("id") * k) for k in range(1, 5))).alias("vector"))
+    asked = rows.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    index = cells.build(rows, k=3, cells=4, probes=4)
+    found = cells.search(asked, index, k=3)
+    assert "CoGroup" in found._jdf.queryExecution().optimizedPlan().toString()
+    got = found.where("dense_rank = 1").orderBy("query_id").collect()
+    assert [(r.query_id, r.id, r.dense_score) for r in got] == [(q, q, 1.0) for q in (0, 100, 200)]
