@@ -122,6 +122,13 @@ def keep_rows(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return keyed.join(ids, same, how).drop(x, y)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` as the side of a join that both sides are dealt out by key for.  Spark
+    broadcasts a table by its packed size, but the driver builds it unpacked, and for rows
+    that grow with the documents that is many times its threshold."""
+    return rows.hint("merge")
+
+
 #: A key is hot if it has more rows than this, and more than one in HOT_SHARE of all:
 #: there are at most HOT_SHARE such keys, whatever the size of the data.
 HOT_ROWS = 500

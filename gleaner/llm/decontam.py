@@ -29,7 +29,8 @@ a doc_id and a text are one document, several texts of one doc_id give one row f
 best of them; rows without a doc_id are told apart by their text, and items without an
 item_id too.  Of equally similar windows the first is named.  Other columns are ignored, whatever their names; empty tables give an
 empty result.  Spark broadcasts items and words while they are under its own measured
-threshold and joins by key beyond it.
+threshold and joins by key beyond it; windows, runs and their shingles are never
+broadcast.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleaner.llm.common import keep_rows, row_key, save, text_or_empty, words
+from gleaner.llm.common import dealt, keep_rows, row_key, save, text_or_empty, words
 
 RADIUS = 23
 _LANES = 0x0000000100000001
@@ -129,7 +130,7 @@ def _grams(docs: DataFrame, runs: DataFrame) -> DataFrame:
     mine = keep_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "left_semi").dropDuplicates(["doc_id", "text"])
     mine = mine.select(F.col("doc_id").alias("id"), *(c.alias(x) for c, x in zip(row_key(), "xy", strict=True)), "text")
     same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("x") == F.col("key_a")) & (F.col("y") == F.col("key_b"))
-    each = mine.join(wanted, same).select("doc", "key_b", words(F.lower(text_or_empty())).alias("words"), F.explode("runs").alias("r"))
+    each = mine.join(dealt(wanted), same).select("doc", "key_b", words(F.lower(text_or_empty())).alias("words"), F.explode("runs").alias("r"))
     at = F.transform(F.sequence("r.low", "r.high"), lambda p: F.struct(p.alias("p"), _gram(F.col("words"), p + 1, F.col("r.k")).alias("gram")))
     return each.select("doc", "key_b", "r.m", "r.run", F.explode(at).alias("x")).select(*_RUN, "run", "x.p", "x.gram")
 
@@ -144,7 +145,7 @@ def candidates(grams: DataFrame, runs: DataFrame, met: DataFrame, items: DataFra
     """_RUN, run, s, item: pairs of a window and an item that its run meets whose
     fingerprints are within RADIUS."""
     along = Window.partitionBy(*_RUN, "run").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    hashed = grams.select(*_RUN, "run", "p", F.xxhash64("gram").alias("h")).join(runs.select(*_RUN, "run", "span"), [*_RUN, "run"])
+    hashed = grams.select(*_RUN, "run", "p", F.xxhash64("gram").alias("h")).join(dealt(runs.select(*_RUN, "run", "span")), [*_RUN, "run"])
     sums = hashed.select(*_RUN, "run", "p", "span", *_lanes("h")).select(*_RUN, "run", "p", "span", *(F.struct(F.sum(f"l{j}").over(along).alias("upto"), F.col(f"l{j}").alias("own")).alias(f"l{j}") for j in range(32)))
     # A window from s has the sums up to its last shingle less those before s.
     ends = sums.withColumn("end", F.explode(F.array(F.lit(True), F.lit(False))))
@@ -159,7 +160,7 @@ def candidates(grams: DataFrame, runs: DataFrame, met: DataFrame, items: DataFra
     own = met.join(prints.drop("m"), "item")
     left, right = windows.select("*", _block_values("fp")), own.select("*", _block_values("item_fp"))
     differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    near = left.join(right, [*_RUN, "run", "block", "value"]).where(F.bit_count(differ) <= RADIUS)
+    near = left.join(dealt(right), [*_RUN, "run", "block", "value"]).where(F.bit_count(differ) <= RADIUS)
     # Each pair once: in the first block that agrees.
     for b, (at, bits) in enumerate(_blocks()[:-1]):
         near = near.where((F.col("block") <= b) | (differ.bitwiseAND(F.lit(((1 << bits) - 1) << at)) != 0))
@@ -172,7 +173,7 @@ def _steps(near: DataFrame, grams: DataFrame, runs: DataFrame, items: DataFrame)
     key = [*_RUN, "run", "item"]
     counts = items.select("item", F.explode("grams").alias("gram")).groupBy("item", "gram").agg(F.count("*").cast("int").alias("v"))
     pairs = near.select(*key).distinct()
-    held = pairs.join(runs.select(*_RUN, "run", "span"), [*_RUN, "run"]).join(grams, [*_RUN, "run"]).join(counts, ["item", "gram"])
+    held = pairs.join(dealt(runs.select(*_RUN, "run", "span")), [*_RUN, "run"]).join(dealt(grams), [*_RUN, "run"]).join(counts, ["item", "gram"])
     places = held.groupBy(*key, "gram", "v", "span").agg(F.sort_array(F.collect_list("p")).alias("at"))
     turn = places.select(*key, "v", "span", "at", F.posexplode("at").alias("i", "p"))
     before = F.when(F.col("i") >= F.col("v"), F.element_at("at", F.greatest(F.col("i") - F.col("v") + 1, F.lit(1)))).otherwise(-1)
@@ -216,7 +217,7 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = 80, keyed: bool =
 
 def _best(sums: DataFrame, span: DataFrame, items: DataFrame, percent: int, keyed: bool) -> DataFrame:
     weights = items.select("item", "item_id", F.size("grams").alias("weight"))
-    sums = sums.withColumnRenamed("inside", "shared").join(span, [*_RUN, "run"]).join(weights, "item")
+    sums = sums.withColumnRenamed("inside", "shared").join(dealt(span), [*_RUN, "run"]).join(weights, "item")
     sums = sums.withColumn("total", F.col("span") + F.col("weight") - F.col("shared")).where(F.col("shared") * 100 >= F.col("total") * percent)
     doc = _DOC if keyed else ["doc_id"]
     named = sums.withColumn("own", F.when(F.col("doc_id").isNull(), F.struct("key_a", F.col("key_b").alias("b")))).withColumn("own_item", F.when(F.col("item_id").isNull(), F.col("item")))
