@@ -3,12 +3,12 @@
 Every assistant turn becomes an example of its own: all preceding turns are its
 context and only that reply is trainable.  All examples of a conversation are
 prefixes of one formatted text, so the text is stored once, in one row a turn
-(``segments``); ``expand`` explodes the examples, each with the segments it spans, and
-hands them over one after the other with their own text: GROUP examples of a
-conversation share one pass over their segments, so a long conversation is many
-groups for many tasks, and none holds a whole text.  ``digests`` reads every example
-back: its turns from its context, the trainable text by its loss mask.
-``materialize`` spells the texts out as rows.
+(``segments``).  ``spelled`` makes the examples, a row each with its whole text, context
+and reply, and its loss mask: GROUP examples of a conversation share one pass over
+their segments, so a long conversation is many groups for many tasks.  ``expand`` reads
+each example back from that text alone: its turns, and the trainable text by its
+mask.  ``digests`` puts what was read together by conversation; ``materialize`` makes the
+rows of ``spelled`` by a join.
 
 Template: ``<s>role<|text|>text</s>``.  Inside roles and texts a backslash follows
 every ``<`` and ``[`` and doubles every backslash, so no control string (``<s>``,
@@ -41,6 +41,8 @@ _TURN = re.compile(r"<s>((?:[^<]|<\\)*)<\|text\|>((?:[^<]|<\\)*)</s>\Z")
 SEGMENTS = "conv_id long, seq long, formatted string, start long, length long, loss_start long, loss_length long, example long, before long"
 #: Examples of a conversation that share one pass over their segments.
 GROUP = 64
+#: Characters of examples after which a batch of them is handed on.
+TEXT_IN_BATCH = 4_000_000
 
 
 def escape(text: str) -> str:
@@ -64,6 +66,19 @@ def parse_turn(formatted: str) -> tuple[str, str]:
     return unescape(m[1]), unescape(m[2])
 
 
+def parse(text: str) -> list[tuple[str, str]]:
+    """The turns (role, text) of a formatted text."""
+    *turns, rest = text.split(CLOSE)  # no control string occurs inside a turn
+    if rest:
+        raise ValueError(f"not a formatted turn: {rest[:80]!r}")
+    out = []
+    for turn in turns:
+        role, head, said = turn[len(OPEN) :].partition(HEAD)
+        plain = turn.startswith(OPEN) and head and not any(c in x for x in (role, said) for c in "<\\")
+        out.append((role, said) if plain else parse_turn(turn + CLOSE))
+    return out
+
+
 def segments(turns: DataFrame) -> DataFrame:
     """One row for each turn of ``turns`` (conv_id, turn, role, text) in order:
     conv_id, seq, formatted, start and length in the conversation's text (code
@@ -106,34 +121,59 @@ def materialize(parts: DataFrame) -> DataFrame:
     return texts.select("conv_id", "example", F.array_join(F.col("x.formatted"), "").alias("text"), "loss_start", "loss_length")
 
 
-def expand(parts: DataFrame) -> DataFrame:
-    """One row for each example, read from its own text: conv_id, example, n_turns,
-    turns_sha256 (of its context and reply), chars, and reply, what its loss mask holds."""
+def spelled(parts: DataFrame) -> DataFrame:
+    """The examples as rows (conv_id, example, text, loss_start, loss_length), a
+    group's one after the other: each text is that of the turns before and the reply."""
     last = parts.where("example is not null").groupBy(F.col("conv_id").alias("c")).agg(F.max("example").alias("last"))
     own = parts.join(last, F.col("conv_id").eqNullSafe(F.col("c"))).where("before <= last")
     groups = own.withColumn("group", F.explode(F.sequence(F.floor(F.col("before") / GROUP), F.floor(F.col("last") / GROUP))))
     rows = groups.select("conv_id", "group", "formatted", "loss_start", "loss_length", "example", "seq")
     rows = rows.repartition("conv_id", "group").sortWithinPartitions("conv_id", "group", "seq")
+    names = ["conv_id", "example", "text", "loss_start", "loss_length"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["conv_id", "example", "n_turns", "turns_sha256", "chars", "reply"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
-        now, turns, chars, digest = object(), 0, 0, hashlib.sha256()
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        whole = lambda made: pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], kind) for i, kind in enumerate(kinds)], names)
+        now, context = object(), ""
         for batch in batches:
-            done: list[tuple] = []
+            made, held = [], 0
             for conv, group, formatted, start, length, example in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if now != (conv, group):
-                    now, turns, chars, digest = (conv, group), 0, 0, hashlib.sha256()
-                role, text = parse_turn(formatted)
-                digest.update(f"{role}\n{text}\n".encode())
-                turns, chars = turns + 1, chars + len(formatted)
+                    now, context = (conv, group), ""
+                context += formatted
                 if example is not None and example // GROUP == group:
-                    # The mask counts from the start of the example's own text.
-                    at = start - (chars - len(formatted))
-                    done.append((conv, example, turns, digest.copy().hexdigest(), chars, unescape(formatted[at : at + length])))
+                    made.append((conv, example, context, start, length))
+                    held += len(context)
+                    if held > TEXT_IN_BATCH:
+                        yield whole(made)
+                        made, held = [], 0
+            yield whole(made)
+
+    return rows.select("conv_id", "group", "formatted", "loss_start", "loss_length", "example").mapInArrow(run, "conv_id long, example long, text string, loss_start long, loss_length long")
+
+
+def read_back(examples: DataFrame) -> DataFrame:
+    """What each text of ``examples`` (as ``spelled``) says: conv_id, example, n_turns,
+    turns_sha256 (of its context and reply), chars, and reply, what its loss mask holds."""
+    names = ["conv_id", "example", "n_turns", "turns_sha256", "chars", "reply"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+        for batch in batches:
+            done = []
+            for i in range(batch.num_rows):
+                conv, example, text, start, length = (batch.column(k)[i].as_py() for k in range(5))
+                turns = parse(text)
+                digest = hashlib.sha256("".join(f"{role}\n{said}\n" for role, said in turns).encode())
+                done.append((conv, example, len(turns), digest.hexdigest(), len(text), unescape(text[start : start + length])))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], kind) for i, kind in enumerate(kinds)], names)
 
-    return rows.select("conv_id", "group", "formatted", "loss_start", "loss_length", "example").mapInArrow(run, "conv_id long, example long, n_turns long, turns_sha256 string, chars long, reply string")
+    return examples.select("conv_id", "example", "text", "loss_start", "loss_length").mapInArrow(run, "conv_id long, example long, n_turns long, turns_sha256 string, chars long, reply string")
+
+
+def expand(parts: DataFrame) -> DataFrame:
+    """One row for each example, read from its own text: see ``read_back``."""
+    return read_back(spelled(parts))
 
 
 def _in_order(rows: DataFrame, order: str, text: str, schema: str, start, step, end) -> DataFrame:
@@ -179,7 +219,7 @@ def digests(parts: DataFrame) -> DataFrame:
         state[2:] = [state[2] + chars, state[3] + 1, chars]
 
     whole = _in_order(parts, "seq", "formatted", "conv_id long, n_turns long, turns_sha256 string, all_chars long", lambda: [0, hashlib.sha256(), 0], turn, lambda s: (s[0], s[1].hexdigest(), s[2]))
-    learned = _in_order(expand(parts), "example", "reply", "c long, loss_chars long, loss_sha256 string, example_chars long, n_examples long, last_chars long", lambda: [0, hashlib.sha256(), 0, 0, 0], reply, lambda s: (s[0], s[1].hexdigest(), *s[2:]))
+    learned = _in_order(save(expand(parts), "examples"), "example", "reply", "c long, loss_chars long, loss_sha256 string, example_chars long, n_examples long, last_chars long", lambda: [0, hashlib.sha256(), 0, 0, 0], reply, lambda s: (s[0], s[1].hexdigest(), *s[2:]))
     both = whole.join(learned, F.col("conv_id").eqNullSafe(F.col("c")), "left")
     none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return both.select("conv_id", "n_turns", "turns_sha256", none("loss_chars").alias("loss_chars"), F.coalesce("loss_sha256", F.lit(hashlib.sha256().hexdigest())).alias("loss_sha256"), (none("example_chars") + F.col("all_chars") - none("last_chars")).alias("formatted_chars"), none("n_examples").alias("n_examples"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gleaner.llm import common, decontam
+from gleaner.llm import chat, common, decontam
 
 
 def test_windows_and_runs_are_never_broadcast(spark):
@@ -19,3 +19,19 @@ def test_windows_and_runs_are_never_broadcast(spark):
         joined = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
         assert not any("run#" in line for line in joined), plan
         assert "SortMergeJoin" in plan
+
+
+def test_examples_are_rows_with_their_texts(spark, monkeypatch):
+    """Each example's text is made, and what is read back comes from it alone."""
+    monkeypatch.setattr(chat, "GROUP", 2)
+    monkeypatch.setattr(chat, "TEXT_IN_BATCH", 50)
+    rows = [(1, i, "assistant" if i % 2 else "user", f"</s> <{i}>[INST]") for i in range(11)] + [(2, 0, "assistant", None)]
+    parts = chat.segments(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    made = chat.spelled(parts)
+    key = lambda x: (x["conv_id"], x["example"])
+    assert sorted(made.collect(), key=key) == sorted(chat.materialize(parts).select(*made.columns).collect(), key=key)
+    other = chat.read_back(made.withColumn("text", F.expr("replace(text, 'user', 'system')")).withColumn("loss_start", F.col("loss_start") + 2 * F.col("example") + 2).where("conv_id = 1"))
+    got = {r["example"]: r for r in other.collect()}
+    assert [(got[e]["n_turns"], got[e]["reply"]) for e in range(5)] == [(2 * e + 2, f"</s> <{2 * e + 1}>[INST]") for e in range(5)]
+    first = {r["example"]: r["turns_sha256"] for r in chat.read_back(made.where("conv_id = 1")).collect()}
+    assert all(first[e] != got[e]["turns_sha256"] for e in first)
