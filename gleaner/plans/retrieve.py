@@ -42,12 +42,14 @@ def pages_from_documents(documents: DataFrame, in_file: int = 100) -> DataFrame:
 def chunks_of(clean: DataFrame) -> DataFrame:
     """Chunks of cleaned pages: question-answer pairs of files named so that have
     any, parents and children of sections for the rest."""
-    spans, documents = pages.page_spans(clean), pages.documents_of(clean)
-    pairs = chunking.faq_spans(documents.where(F.contains(F.lower("source"), F.lit("faq"))), spans)
+    clean = save(clean, "clean-pages")
+    spans, documents = save(pages.page_spans(clean), "page-spans"), save(pages.documents_of(clean), "documents")
+    pairs = save(chunking.faq_spans(documents.where(F.contains(F.lower("source"), F.lit("faq"))), spans), "pairs")
     rest = documents.join(pairs.select("source").distinct(), "source", "left_anti")
-    split = chunking.parent_child_spans(sections.sections_of(rest), spans)
-    both = save(split.unionByName(pairs, allowMissingColumns=True), "spans")
-    return metadata.chunk_records(both, spans, documents.select("source", "file_path"))
+    parents = save(chunking.parents_of(sections.sections_of(rest)), "parents")
+    children = save(chunking.children_of(parents, spans).unionByName(pairs.select(*chunking.CHILD_NUMBERS)), "children")
+    parents = parents.unionByName(pairs.select(*parents.columns))
+    return metadata.chunk_records(parents, metadata.numbered(children, spans, documents.select("source", "file_path")))
 
 
 def indexed(chunks: DataFrame) -> DataFrame:
