@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import hot_keys, row_key, salted_join, save
+from gleaner.llm.common import hot_keys, row_key, salted_join, save, unique
 from gleaner.llm.components import components
 
 PERMUTATIONS = 64
@@ -56,6 +56,8 @@ BANDS = 2 * PERMUTATIONS // ROWS
 CACHE_WORDS = 200_000
 PARITY = 1536
 BLOCK = 512
+#: Bits of a map of rows (1 MB), and of a row of it.
+MAP_BITS, MAP_ROW = 2**23, 2**15
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(0, 2**63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -154,6 +156,35 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, shingles binary")
 
 
+def _marked(rows: DataFrame, found: str, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``found``: false only where its columns of the names of ``keys`` aren't
+    in ``keys``.  A map of MAP_BITS bits, whatever their number, tells where the rows are
+    read, so that few have to be dealt out for an exact join."""
+    m, row, bits = map(unique, ("map", "row", "bits"))
+    slot, place = F.pmod(F.xxhash64(*keys.columns), F.lit(MAP_BITS)), F.col(m) % MAP_ROW
+    known = keys.select(slot.alias(m)).groupBy(F.floor(F.col(m) / MAP_ROW).alias(row)).agg(F.bitmap_construct_agg(place).alias(bits))
+    placed = rows.withColumn(m, slot).join(F.broadcast(known), F.floor(F.col(m) / MAP_ROW) == F.col(row), "left")
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return placed.withColumn(found, F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))).drop(m, row, bits)
+
+
+def _perhaps(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` without most of those that aren't in ``keys``, by its columns."""
+    found = unique("found")
+    return _marked(docs, found, keys).where(found).drop(found)
+
+
+def _own_rows(full: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
+    """The rows of ``full`` that name a node of ``nodes``: those that surely aren't copies
+    stay where they are, others are joined."""
+    found = unique("found")
+    hot = hot_keys(nodes.where("c > 1"), "key", total)
+    copies = salted_join(full.select("row", "key"), nodes.where("c > 1").select("key", "node"), "key", hot, F.col("row"))
+    marked = _marked(full, found, save(copies.where("row <> node").select("row"), "near-copies"))
+    rest = marked.where(found).join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi")
+    return marked.where(~F.col(found)).unionByName(rest).drop(found)
+
+
 @dataclass
 class Texts:
     """Where the sets of nodes come from."""
@@ -170,7 +201,7 @@ class Texts:
         wanted = save(self.own.join(save(nodes, "near-wanted"), "node", "left_semi"), "near-rows")
         wanted = wanted.select("node", *(F.col(c).alias("w" + c) for c in ("doc_id", "key_a", "key_b")))
         same = F.col("doc_id").eqNullSafe(F.col("wdoc_id")) & (F.col("key_a") == F.col("wkey_a")) & (F.col("key_b") == F.col("wkey_b"))
-        sets = _sets(self.docs.join(wanted, same), self.size)
+        sets = _sets(_perhaps(self.docs, wanted.select(F.col("wdoc_id").alias("doc_id"), F.col("wkey_a").alias("key_a"))).join(wanted, same), self.size)
         return save(sets.dropDuplicates(["node"]) if self.repeated else sets, "near-sets")
 
 
@@ -233,8 +264,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, keyed: bool = Fal
     full = rows.where("key is not null")
     nodes = save(full.groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("id"), F.count("*").alias("c"), *least), "near-nodes")
 
-    own = full.join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi")
-    own = save(own.select(F.col("row").alias("node"), "doc_id", "key_a", "key_b", "n", "parities", "bands"), "near-own")
+    own = save(_own_rows(full, nodes, total).select(F.col("row").alias("node"), "doc_id", "key_a", "key_b", "n", "parities", "bands"), "near-own")
     repeated = rows.select("doc_id", "key_a", "key_b").distinct().count() < total
     texts = Texts(source.drop("row"), own.select("node", "doc_id", "key_a", "key_b"), repeated, size)
     members = own.select("node", F.explode("bands").alias("bucket"))

@@ -35,3 +35,38 @@ def test_examples_are_rows_with_their_texts(spark, monkeypatch):
     assert [(got[e]["n_turns"], got[e]["reply"]) for e in range(5)] == [(2 * e + 2, f"</s> <{2 * e + 1}>[INST]") for e in range(5)]
     first = {r["example"]: r["turns_sha256"] for r in chat.read_back(made.where("conv_id = 1")).collect()}
     assert all(first[e] != got[e]["turns_sha256"] for e in first)
+
+
+def test_only_texts_that_are_wanted_again_are_dealt_out(spark):
+    """The map drops most other texts where they are read, and none that is wanted."""
+    from pyspark.sql import functions as F
+
+    from gleaner.llm import neardup
+    from gleaner.llm.common import row_key
+
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    docs = docs.select("doc_id", *row_key(), "text")
+    wanted = docs.where("doc_id % 16 = 3")
+    got = {r.doc_id for r in neardup._perhaps(docs, wanted.select("doc_id", "key_a")).select("doc_id").collect()}
+    want = set(range(3, 20_000, 16))
+    assert want <= got and len(got) < len(want) + 40
+    copy = docs.withColumn("doc_id", F.col("doc_id") + 100_000).unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    assert neardup._perhaps(copy, wanted.select("doc_id", "key_a")).count() < 80
+    none = neardup._perhaps(docs, wanted.where("false").select("doc_id", "key_a"))
+    assert none.isEmpty() and none.columns == docs.columns
+
+
+def test_sets_deal_out_no_other_texts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from gleaner.llm import neardup
+
+    rows = spark.range(3_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.hash(F.col("id"), F.lit(i)).cast("string") for i in range(30))).alias("text"))
+    docs = rows.unionByName(rows.where("doc_id < 5").withColumn("doc_id", F.col("doc_id") + 10_000))
+    docs = docs.unionByName(rows.where("doc_id < 40").select((F.col("doc_id") + 20_000).alias("doc_id"), F.concat("text", F.lit(" end")).alias("text")))
+    asked = []
+    keep = neardup._perhaps
+    monkeypatch.setattr(neardup, "_perhaps", lambda d, k: asked.append(keep(d, k)) or asked[-1])
+    got = {r.doc_id: r.component_id for r in neardup.classes(docs, size=4, percent=80).collect()}
+    assert got == {i: i for i in range(3_000)} | {i + 10_000: i for i in range(5)} | {i + 20_000: i for i in range(40)}
+    assert asked and all(df.count() < 120 for df in asked)
