@@ -47,3 +47,39 @@ def test_a_parents_text_is_read_before_its_children_are_rows(spark):
     above, below = re.split(r"Generate explode\(children", plan)
     assert "may_specs" in below and "STM32" not in above.split("parent_token_count")[-1]
     assert below.count("AS may_specs") == 1 and "AS may_specs" not in above
+
+
+def test_an_index_has_a_file_for_a_small_part_and_no_rows_twice(spark, tmp_path):
+    import glob
+
+    from gleaner.operators import lexindex
+
+    docs = spark.range(400).select("id", F.concat_ws(" ", F.lit("all"), F.concat(F.lit("w"), F.col("id") % 50), F.concat(F.lit("v"), "id")).alias("text"))
+    root = str(tmp_path / "index")
+    lexindex.update(spark, root, docs, part_ids=10, block_ids=5)
+    for table in ("postings", "blocks"):  # 40 parts, 4 tasks
+        assert len(glob.glob(f"{root}/{table}/part=*/*.parquet")) == 40
+    counts = lexindex.update(spark, root, docs.where("id % 2 = 0").withColumn("text", F.lit("new all")), part_ids=10, block_ids=5)
+    assert counts == {"documents": 200, "deleted": 0, "parts": 40, "postings": 200 * 3 + 200 * 4}
+    blocks = {(r.block, r.token): (r.df, r.max_tf, r.min_length) for r in lexindex.blocks(spark, root).collect()}
+    assert blocks[0, "all"] == (5, 1, 2) and blocks[0, "new"] == (3, 1, 2) and (0, "v0") not in blocks and blocks[0, "v1"] == (1, 1, 3)
+
+
+def test_few_queries_meet_the_index_by_block(spark, tmp_path, monkeypatch):
+    from gleaner.operators import lexindex
+
+    docs = spark.range(300).select("id", F.concat_ws(" ", F.lit("all"), F.concat(F.lit("w"), F.col("id") % 7), F.concat(F.lit("v"), F.col("id") % 31)).alias("text"))
+    asked = spark.createDataFrame([(q, f"all w{q % 7} v{q} w{q % 3}") for q in range(20)] + [(20, "nothing here")], "query_id long, question string")
+    root = str(tmp_path / "index")
+    lexindex.update(spark, root, docs.where("id < 200"), part_ids=100, block_ids=10)
+    lexindex.update(spark, root, docs.where("id >= 195"), part_ids=100, block_ids=10)
+    few, seen = lexindex.search(spark, root, asked, 5)
+    got, scored = sorted(few.collect()), sorted(seen.collect())
+    monkeypatch.setattr(lexindex, "FEW_QUERIES", 5)
+    many, again = lexindex.search(spark, root, asked, 5)
+    assert got == sorted(many.collect()) and scored == sorted(again.collect()) and len(got) == 100
+    weights, rows = lexindex.save(lexindex._weights(asked, lexindex.blocks(spark, root)), "weights"), lexindex.postings(spark, root)
+    wanted = spark.createDataFrame([(1, 2)], "query_id long, block long")
+    plan = lambda few: lexindex.scores(wanted, weights, rows, 6, few)._jdf.queryExecution().executedPlan().toString()
+    pair = re.compile(r"Exchange hashpartitioning\(query_id#\d+L?, id#")
+    assert pair.search(plan(False)) and not pair.search(plan(True))
