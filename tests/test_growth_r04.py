@@ -83,3 +83,21 @@ def test_few_queries_meet_the_index_by_block(spark, tmp_path, monkeypatch):
     plan = lambda few: lexindex.scores(wanted, weights, rows, 6, few)._jdf.queryExecution().executedPlan().toString()
     pair = re.compile(r"Exchange hashpartitioning\(query_id#\d+L?, id#")
     assert pair.search(plan(False)) and not pair.search(plan(True))
+
+
+def test_tokens_that_nobody_asks_for_are_dropped_where_texts_are_read(spark, monkeypatch):
+    from gleaner.operators import retrieval
+
+    plans = []
+    keep = retrieval.save
+    monkeypatch.setattr(retrieval, "save", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, name))
+    docs = spark.createDataFrame([(i, f"all w{i % 5} v{i}") for i in range(50)], "id long, text string")
+    asked = spark.createDataFrame([(1, "w1 v3"), (2, "absent")], "query_id long, question string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = retrieval.lexical(asked, docs, 5).collect()
+        monkeypatch.setattr(retrieval, "FEW_TOKENS", 0)
+        assert few == retrieval.lexical(asked, docs, 5).collect() and len(few) == 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plans[0] and "BroadcastHashJoin" not in plans[1]
